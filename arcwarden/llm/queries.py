@@ -5,14 +5,17 @@ from __future__ import annotations
 from arcwarden.llm.langid import op1_langid
 from arcwarden.llm.linededup import OP10_SQL, op10_linededup
 from arcwarden.llm.minhash import OP7_SQL, op7_minhash
+from arcwarden.llm.mixing import OP2_SQL, op2_mixing
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_mixing": op2_mixing,
     "op7_minhash": op7_minhash,
     "op10_linededup": op10_linededup,
 }
 
 ORACLE_SQL = {
+    "op2_mixing": OP2_SQL,
     "op7_minhash": OP7_SQL,
     "op10_linededup": OP10_SQL,
 }
