@@ -149,6 +149,11 @@ def dedup_lines(docs: DataFrame, config: LineDedupConfig = LineDedupConfig()) ->
     return joined.mapInArrow(run, schema_with(kept, "n_lines long, n_dropped long")).toDF(*docs.columns, "n_lines", "n_dropped")
 
 
+def with_lengths(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars``, if it has that column, set to the text's length."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def op10_linededup(spark, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

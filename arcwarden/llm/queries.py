@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from arcwarden.llm.decontam import op3_decontam
 from arcwarden.llm.langid import op1_langid
 from arcwarden.llm.linededup import OP10_SQL, op10_linededup
 from arcwarden.llm.minhash import OP7_SQL, op7_minhash
@@ -10,6 +11,7 @@ from arcwarden.llm.mixing import OP2_SQL, op2_mixing
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_mixing": op2_mixing,
+    "op3_decontam": op3_decontam,
     "op7_minhash": op7_minhash,
     "op10_linededup": op10_linededup,
 }
