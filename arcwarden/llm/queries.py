@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from arcwarden.llm.chat import OP8_SQL, op8_chat
 from arcwarden.llm.decontam import op3_decontam
 from arcwarden.llm.langid import op1_langid
 from arcwarden.llm.linededup import OP10_SQL, op10_linededup
 from arcwarden.llm.minhash import OP7_SQL, op7_minhash
 from arcwarden.llm.mixing import OP2_SQL, op2_mixing
+from arcwarden.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_mixing": op2_mixing,
     "op3_decontam": op3_decontam,
+    "op6_warc": op6_warc,
     "op7_minhash": op7_minhash,
+    "op8_chat": op8_chat,
     "op10_linededup": op10_linededup,
 }
 
 ORACLE_SQL = {
     "op2_mixing": OP2_SQL,
+    "op6_warc": OP6_SQL,
     "op7_minhash": OP7_SQL,
+    "op8_chat": OP8_SQL,
     "op10_linededup": OP10_SQL,
 }
