@@ -5,13 +5,19 @@ of a bin is its value, and an empty bin borrows from the first filled bin of its
 give bucket keys. Work then goes from cheap to exact:
 
 1. documents with equal sets form a class (one grouped aggregation), and only its smallest ``doc_id`` goes on;
-2. in each bucket every member is paired with the bucket's smallest one: a star, so pairs grow as members do;
+2. in each bucket every member is paired with one centre, the member that shares most buckets with others (in a family of
+   edited copies that is the original, as a rule): a star, so pairs grow as members do;
 3. star pairs are confirmed on the full shingle sets, and confirmed links give components;
-4. where a bucket still holds several components, the members outside its commonest component meet the others in blocks of
-   bounded size; pairs that agree on at least two bands are confirmed on full sets as well.
+4. where a bucket still holds several components, the best member outside its commonest component becomes the centre of a
+   new star over the other components;
+5. where a bucket holds several components even then, the members outside its commonest component meet the others in blocks
+   of bounded size. A pair is looked at in the first band that it shares; if its sketches agree in nearly as many bins as
+   the threshold asks for, and so do the least hashes of both sets (all of them, for sets of up to ``low``), it is confirmed
+   on full sets as well. So a block hands on links, and few pairs besides, however many rows a bucket has.
 
 Pairs inside a component need no test, as they can't change it, so no link between components is lost to the stars. With 32
-bands of 4 bins a pair at the threshold of 0.8 shares no two bands about once in a million pairs.
+bands of 4 bins, a pair at the threshold of 0.8 shares no band about once in 20 million pairs, and its sketches agree in less
+than 0.635 of the bins about once in a million.
 
 Edge cases: a text without words has the empty set and links with nothing; one of fewer words than a shingle is one shingle.
 A row without a ``doc_id`` links with nothing, has a null component and is kept. Repeated rows get the same answer.
@@ -40,9 +46,13 @@ class MinHashConfig:
     threshold: int = 80
     bands: int = 32
     band_bins: int = 4
-    #: Members of one block in the residual comparison.
-    block: int = 64
-    agree: int = 2
+    star_rounds: int = 1
+    #: Members of one block in the residual comparison, the share of sketch bins that a pair must agree in there, the least
+    #: hashes looked at, and the similarity that they must have where they aren't the whole sets.
+    block: int = 512
+    agree: float = 0.635
+    low: int = 512
+    low_agree: float = 0.72
     seed: int = 11
 
     @property
@@ -79,8 +89,8 @@ def shingle_set(text: bytes | None, config: MinHashConfig) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def band_keys(shingles: np.ndarray, config: MinHashConfig) -> np.ndarray:
-    """Bucket keys of a non-empty sorted set, one for each band."""
+def sketch(shingles: np.ndarray, config: MinHashConfig) -> np.ndarray:
+    """Sixteen bits of each bin's value of a non-empty sorted set, the bins of a band side by side in one 64-bit number."""
     bins, shift = config.bins, np.uint64(64 - (config.bins - 1).bit_length())
     starts = np.searchsorted(shingles >> shift, np.arange(bins + 1, dtype=np.uint64))
     filled = starts[:-1] < starts[1:]
@@ -98,26 +108,26 @@ def band_keys(shingles: np.ndarray, config: MinHashConfig) -> np.ndarray:
         empty, at = empty[~found], tries
     if len(empty):
         source[empty] = np.flatnonzero(filled)[0]
-    values = shingles[starts[:-1][source]].reshape(config.bands, config.band_bins)
-    odd = _odd(config.band_bins, config.seed + 2)
-    return mix64((values * odd).sum(axis=1) + _odd(config.bands, config.seed + 3)).view(np.int64)
+    return mix64(shingles[starts[:-1][source]]).astype(np.uint16).view(np.int64)
 
 
 def signatures(docs: DataFrame, config: MinHashConfig) -> DataFrame:
-    """``(doc_id, n_shingles, set_key, bands)`` of every row; the last two are null for empty sets."""
+    """``(doc_id, n_shingles, set_key, bands, keys)`` of every row: the sketch by band, and the bands' bucket keys; null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, bands = [], [], []
+            sizes, keys, bands, buckets = [], [], [], []
             for value in batch.column(1).cast(pa.binary()):
                 found = shingle_set(value.as_py(), config)
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                bands.append(band_keys(found, config) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+                bands.append(sketch(found, config) if len(found) else None)
+                buckets.append(bucket_keys(bands[-1]) if len(found) else None)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(buckets, longs)], ["doc_id", "n_shingles", "set_key", "bands", "keys"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, keys array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, config: MinHashConfig) -> DataFrame:
@@ -142,77 +152,120 @@ def confirmed(pairs: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataF
     return pairs.join(right, "b").join(left, "a").where(near & (100 * both >= config.threshold * (na + nb - both))).select("a", "b")
 
 
-def _residual_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, config: MinHashConfig) -> DataFrame:
-    """Pairs of one bucket in different components that agree on at least ``agree`` bands.
+def _several(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components: key, doc_id, score, label, and the bucket's main label, size, and size of the main."""
+    named = members.join(maybe_broadcast(labels.where("node != component").withColumnRenamed("node", "doc_id")), "doc_id", "left").select("key", "doc_id", "score", F.coalesce("component", "doc_id").alias("label"))
+    counts = named.groupBy("key", "label").agg(F.count("*").alias("m"))
+    buckets = counts.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    return stored(named.join(stored(buckets, "buckets"), "key"), "several")
 
-    Members of a bucket's commonest component stand on the right side only; all others stand on the left, and on the right
-    too. Both sides are dealt to blocks, and every block of the left meets every block of the right in a group of its own.
+
+def _star(several: DataFrame) -> DataFrame:
+    """Pairs of the best member outside the main component with all members of other components."""
+    best = several.where("label != main").groupBy("key").agg(F.max(F.struct("score", -F.col("doc_id"), F.col("label").alias("of"))).alias("c"))
+    pairs = several.select("key", "doc_id", "label").join(best, "key").where(F.col("label") != F.col("c.of"))
+    return pairs.select(F.least("doc_id", -F.col("c.col2")).alias("a"), F.greatest("doc_id", -F.col("c.col2")).alias("b")).distinct()
+
+
+def low_similarity(a: np.ndarray, b: np.ndarray, low: int) -> tuple[float, bool]:
+    """Similarity of two sets by their least hashes (sorted), and whether these were the whole sets."""
+    whole = len(a) < low and len(b) < low
+    if not whole:
+        end = min(a[-1] if len(a) == low else b[-1], b[-1] if len(b) == low else a[-1])
+        a, b = a[: np.searchsorted(a, end, "right")], b[: np.searchsorted(b, end, "right")]
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
+    return both / max(1, len(a) + len(b) - both), whole
+
+
+def _block_pairs(several: DataFrame, reps: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataFrame:
+    """Pairs of one bucket in different components whose sketches agree well enough.
+
+    Members of a bucket's main component stand on the right side only; all others stand on the left, and on the right too.
+    Both sides are dealt to blocks, and every block of the left meets every block of the right in a group of its own.
     """
-    named = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    counts = stored(named.groupBy("key", "label").agg(F.count("*").alias("m")), "labels")
-    buckets = counts.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    rows = named.join(stored(buckets, "buckets"), "key")
     blocks = lambda n: F.ceil(n / config.block).cast("int")
     lefts, rights = blocks(F.col("all") - F.col("most")), blocks(F.col("all"))
     spread = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = rows.where("label != main").select("key", "doc_id", "label", F.lit(0).alias("side"), spread(lefts, 1).alias("i"), every(rights).alias("j"))
-    right = rows.select("key", "doc_id", "label", F.lit(1).alias("side"), every(lefts).alias("i"), spread(rights, 2).alias("j"))
-    placed = left.unionByName(right).join(reps.select("doc_id", "bands"), "doc_id")
-    dealt = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "doc_id", "label", "bands")
-
-    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    left = several.where("label != main").select("key", "doc_id", "label", F.lit(0).alias("side"), spread(lefts, 1).alias("i"), every(rights).alias("j"))
+    right = several.select("key", "doc_id", "label", F.lit(1).alias("side"), every(lefts).alias("i"), spread(rights, 2).alias("j"))
+    least_hashes = F.transform(F.slice("shingles", 1, config.low), lambda x: F.shiftrightunsigned(x, 32))
+    shapes = reps.select("doc_id", "bands").join(sets.select("doc_id", least_hashes.alias("lows")), "doc_id")
+    placed = left.unionByName(right).join(stored(shapes, "shapes"), "doc_id")
+    dealt = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "doc_id", "label", "bands", "lows")
+    least = int(np.ceil(config.agree * config.bins))
+
+    def compare(t: pa.Table) -> np.ndarray:
         side, ids, label = (t.column(c).to_numpy() for c in ("side", "doc_id", "label"))
-        bands = np.array(t.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)
-        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = [np.zeros((0, 2), np.int64)]
-        for k in l:
-            agree = (bands[r] == bands[k]).sum(axis=1) >= config.agree
-            other = ids[r[agree & (label[r] != label[k])]]
-            found.append(np.stack([np.minimum(other, ids[k]), np.maximum(other, ids[k])], axis=1))
-        pairs = np.concatenate(found)
-        return pairs[:, 0], pairs[:, 1]
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        key, bins = t.column("key")[0].as_py(), bands.view(np.uint16)
+        flat = t.column("lows").combine_chunks()
+        ends, lows = flat.value_lengths().to_numpy().cumsum(), flat.flatten().to_numpy()
+        low = lambda n: lows[ends[n - 1] if n else 0 : ends[n]]
+        right, found = np.flatnonzero(side == 1), [np.zeros((0, 2), np.int64)]
+        for k in np.flatnonzero(side == 0):
+            near = right[((bins[right] == bins[k]).sum(axis=1) >= least) & (label[right] != label[k])]
+            if len(near):
+                near = near[_first_key(bands[near], bands[k]) == key]
+                own = low(k)
+                alike = [low_similarity(own, low(n), config.low) for n in near]
+                near = near[np.array([x >= (config.threshold / 100 - 1e-9 if whole else config.low_agree) for x, whole in alike], np.bool_)]
+                found.append(np.stack([np.minimum(ids[near], ids[k]), np.maximum(ids[near], ids[k])], axis=1))
+        return np.concatenate(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
-            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            cuts, rest = _groups(t)
-            a, b = zip(*[compare(t.slice(s, e - s)) for s, e in cuts], strict=True) if cuts else ((), ())
-            if cuts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-        if rest is not None and rest.num_rows:
-            a, b = compare(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    def _groups(t: pa.Table) -> tuple[list[tuple[int, int]], pa.Table]:
-        """Bounds of the whole groups of a sorted table, and the rows of the last, which may go on."""
-        k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-        cuts = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        bounds = [0, *cuts.tolist()]
-        return list(zip(bounds[:-1], bounds[1:], strict=True)), t.slice(bounds[-1])
+            t = pa.concat_tables([*([] if rest is None else [rest]), pa.Table.from_batches([batch])])
+            k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+            bounds = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()]
+            rest = t.slice(bounds[-1])  # the last group may go on
+            pairs = [compare(t.slice(s, e - s)) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+            if pairs and len(found := np.concatenate(pairs)):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        if rest is not None and rest.num_rows and len(found := compare(rest)):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     small_batches(placed.sparkSession)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def bucket_keys(bands: np.ndarray) -> np.ndarray:
+    """Bucket keys of sketches: each band with its number."""
+    return mix64(bands.view(np.uint64) + _odd(bands.shape[-1], 29)).view(np.int64)
+
+
+def _first_key(others: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The key of the first band that each of ``others`` shares with ``own``."""
+    return bucket_keys(own)[(others == own).argmax(axis=1)]
+
+
 def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``."""
     signed = stored(signatures(docs, config), "signatures")
     usable = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("set_key", "rep"), "classes")
     classed = signed.join(maybe_broadcast(classes), "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    reps = stored(classed.where(F.col("set_key").isNotNull() & (F.col("doc_id") == F.col("rep"))).select("doc_id", "bands").dropDuplicates(["doc_id"]), "reps")
-    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("m")).where("m > 1").select("key", "center")
-    members = stored(keyed.join(buckets, "key").select("key", "doc_id", "center"), "members")
-    sets = stored(full_sets(docs, stored(members.select("doc_id").distinct(), "ids"), config), "sets")
-    stars = members.where("doc_id != center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
+    reps = stored(classed.where(F.col("set_key").isNotNull() & (F.col("doc_id") == F.col("rep"))).select("doc_id", "bands", "keys").dropDuplicates(["doc_id"]), "reps")
+    keyed = reps.select("doc_id", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = stored(keyed.join(buckets, "key"), "shared")
+    scores = stored(shared.groupBy("doc_id").agg(F.sum("m").alias("score")), "scores")
+    members = stored(shared.select("key", "doc_id").join(maybe_broadcast(scores), "doc_id"), "members")
+    sets = stored(full_sets(docs, scores.select("doc_id"), config), "sets")
+    centres = members.groupBy("key").agg((-F.max(F.struct("score", -F.col("doc_id"))).getField("col2")).alias("c"))
+    stars = members.join(centres, "key").where("doc_id != c").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
     links = stored(confirmed(stars, sets, config), "links")
     labels = stored(components(links), "components")
-    more = stored(confirmed(_residual_pairs(members, labels, reps, config), sets, config), "links")
-    if more.limit(1).count():
-        labels = stored(components(links.union(more)), "components")
+    for step in range(config.star_rounds + 1):
+        several = _several(members, labels)
+        if not several.limit(1).count():
+            break
+        last = step == config.star_rounds
+        more = stored(confirmed(_block_pairs(several, reps, sets, config) if last else _star(several), sets, config), "links")
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = stored(components(links), "components")
     named = classed.join(maybe_broadcast(labels.where("node != component")), F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
