@@ -7,8 +7,8 @@ minus position in the item), on which the words are compared one by one: a docum
 window of ``window`` words on the diagonal (the whole item, if that is shorter) agrees in at least ``agree`` of its words.
 The three masks together hit every window of 13 words with at most two substitutions.
 
-A bitmap of the benchmark's hashes keeps most of a document's hashes from the join; it only ever lets too many through. It
-is left out beyond ``filter_keys`` hashes. Documents pass in segments of bounded length, so no row holds a whole text.
+The benchmark's hashes, sorted, with a table of their leading bits before them, keep a document's other hashes from the join;
+this filter is left out beyond ``filter_keys`` hashes, and the join does all. Documents pass in segments of bounded length, so no row holds a whole text.
 
 Edge cases: null and empty texts hit nothing. Items of fewer than ``min_words`` words find nothing, those shorter than the
 masks must be found word by word. A row without a ``doc_id`` is never reported, and stays. Repeated rows are reported once.
@@ -34,7 +34,7 @@ class SeedConfig:
     agree: float = 0.8
     min_words: int = 5
     segment: int = 256
-    filter_keys: int = 8_000_000
+    filter_keys: int = 2_000_000
     seed: int = 3
 
 
@@ -110,15 +110,32 @@ def _seeds(items: DataFrame, masks: tuple[tuple[int, ...], ...], config: SeedCon
     return items.mapInArrow(run, "key long, item_id long, at int")
 
 
-def _segments(docs: DataFrame, masks: tuple[tuple[int, ...], ...], bits: np.ndarray | None, shift: int, config: SeedConfig) -> DataFrame:
-    """Stretches of documents with a possible hit: words with enough context on both sides, and the hits."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def key_filter(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted keys, whether a leading part of a key occurs among them, and the shift to that part."""
+    size = min(26, max(16, (32 * len(keys)).bit_length()))
+    heads = np.zeros(1 << size, np.bool_)
+    heads[keys >> np.uint64(64 - size)] = True
+    return np.sort(keys), heads, 64 - size
+
+
+def matches(found: np.ndarray, known: tuple[np.ndarray, np.ndarray, int] | None) -> np.ndarray:
+    """Places of ``found`` whose key is known; all without a filter."""
+    if known is None:
+        return np.arange(len(found))
+    keys, heads, shift = known
+    at = np.flatnonzero(heads[found >> np.uint64(shift)])
+    return at[keys[np.minimum(np.searchsorted(keys, found[at]), len(keys) - 1)] == found[at]] if len(keys) else at[:0]
+
+
+def _segments(docs: DataFrame, masks: tuple[tuple[int, ...], ...], known: tuple[np.ndarray, np.ndarray, int] | None, config: SeedConfig) -> DataFrame:
+    """Stretches of documents with a hit: words with enough context on both sides, and the hits."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
     context, span = config.window - 1, max(m[-1] for m in masks) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        seen = shared.value
+        filtered = shared.value
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -126,7 +143,7 @@ def _segments(docs: DataFrame, masks: tuple[tuple[int, ...], ...], bits: np.ndar
                 places, keys = [], []
                 for mask in masks:
                     found = seed_keys(ids, mask, config)
-                    at = np.arange(len(found)) if seen is None else np.flatnonzero(seen[found >> np.uint64(shift)])
+                    at = matches(found, filtered)
                     places.append(at)
                     keys.append(found[at])
                 place, key = np.concatenate(places), np.concatenate(keys)
@@ -154,12 +171,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = S
     masks = masks_for(lengths, config)
     seeds = stored(_seeds(items, masks, config), "seeds")
     n = seeds.count()
-    size = max(16, (32 * n).bit_length())
-    bits = None
+    known = None
     if n <= config.filter_keys:
-        bits = np.zeros(1 << size, np.bool_)
-        bits[np.array([r[0] for r in seeds.select(F.shiftrightunsigned("key", 64 - size)).distinct().toLocalIterator()], np.int64)] = True
-    segments = stored(_segments(docs, masks, bits, 64 - size, config), "segments").dropDuplicates(["seg"])
+        known = key_filter(np.array([r[0] for r in seeds.select("key").distinct().toLocalIterator()], np.int64).view(np.uint64))
+    segments = stored(_segments(docs, masks, known, config), "segments").dropDuplicates(["seg"])
     hits = segments.select("seg", F.explode(F.arrays_zip("places", "keys")).alias("h")).select("seg", "h.places", F.col("h.keys").alias("key"))
     diagonals = hits.join(maybe_broadcast(seeds, n), "key").select("seg", "item_id", (F.col("places") - F.col("at")).alias("diagonal")).distinct()
     pairs = diagonals.join(segments.select("seg", "doc_id", "start", "tokens"), "seg").join(maybe_broadcast(items.withColumnRenamed("tokens", "item"), limit=100_000), "item_id")
