@@ -97,9 +97,9 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 class WordIds(dict):
-    """64-bit ids of words (bytes); a bounded cache, as vocabularies are not."""
+    """64-bit ids of words (bytes); a cache of some 50 MB at most, as vocabularies have no bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -113,6 +113,10 @@ class WordIds(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One cache for all operators of a Python worker.
+WORD_IDS = WordIds()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (xor-shift and odd multipliers)."""
     x = x ^ (x >> np.uint64(31))

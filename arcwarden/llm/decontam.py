@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwarden.llm.common import WordIds, maybe_broadcast, mix64, small_batches, stored, table, without_ids
+from arcwarden.llm.common import WORD_IDS, maybe_broadcast, mix64, small_batches, stored, table, without_ids
 
 
 @dataclass(frozen=True)
@@ -38,13 +38,12 @@ class SeedConfig:
     seed: int = 3
 
 
-_WORDS = WordIds()
 _SEPARATE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
 def words(text: str | None) -> np.ndarray:
     """64-bit ids of a text's lower-case words."""
-    return _WORDS.ids((text or "").lower().encode("utf-8", "replace").translate(_SEPARATE).split())
+    return WORD_IDS.ids((text or "").lower().encode("utf-8", "replace").translate(_SEPARATE).split())
 
 
 def masks_for(lengths: set[int], config: SeedConfig) -> tuple[tuple[int, ...], ...]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwarden.llm.common import WordIds, maybe_broadcast, mix64, small_batches, stored, table, without_ids
+from arcwarden.llm.common import WORD_IDS, maybe_broadcast, mix64, small_batches, stored, table, without_ids
 from arcwarden.llm.components import components
 
 
@@ -60,9 +60,6 @@ class MinHashConfig:
         return self.bands * self.band_bins
 
 
-_WORDS = WordIds()
-
-
 @functools.cache
 def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,7 +76,7 @@ def shingle_set(text: bytes | None, config: MinHashConfig) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    ids, odd = _WORDS.ids(words), _odd(max(config.width, 8), config.seed)
+    ids, odd = WORD_IDS.ids(words), _odd(max(config.width, 8), config.seed)
     if len(ids) < config.width:
         return mix64((ids * odd[: len(ids)]).sum(keepdims=True) + np.uint64(len(ids)))
     n = len(ids) - config.width + 1
