@@ -95,17 +95,17 @@ def promotions(edges: DataFrame, nodes: DataFrame, config: DeriveConfig = Derive
     return made.withColumn("edge_id", edge_id(*KEY)).select(*COLUMNS)
 
 
-def _taken(pairs: DataFrame, type_: Column, kind: Column) -> DataFrame:
+def _taken(pairs: DataFrame, type_: str, kind: str) -> DataFrame:
     empty = F.array().cast("array<string>")
     made = pairs.select(
-        type_.alias("type"), "source", F.col("node_id").alias("target"), F.lit("").alias("scope"), kind.alias("relationship_kind"), F.lit("derived").alias("nature"), "provider", "state",
+        F.lit(type_).alias("type"), "source", F.col("node_id").alias("target"), F.lit("").alias("scope"), F.lit(kind).alias("relationship_kind"), F.lit("derived").alias("nature"), "provider", "state",
         (F.col("confidence") * 0.85).alias("confidence"), (F.col("weight") + 2.0).alias("weight"), empty.alias("permissions"), empty.alias("conditions"), _from(F.col("derived_from"), F.col("edge_id")).alias("derived_from"), F.lit("project-takeover").alias("rule_id"),
     )
     return made.withColumn("edge_id", edge_id(*KEY)).select(*COLUMNS)
 
 
-_CONTROL = F.lit("CanControl"), F.lit("CONTROL")
-_ESCALATE = F.lit("CanEscalateTo"), F.lit("DERIVED_ATTACK_PATH")
+_CONTROL = "CanControl", "CONTROL"
+_ESCALATE = "CanEscalateTo", "DERIVED_ATTACK_PATH"
 
 
 def _controllers(edges: DataFrame, nodes: DataFrame, types: tuple[str, ...]) -> DataFrame:
