@@ -32,7 +32,9 @@ OUTPUTS = ("held_out", "lang_pred", "score", "rejected")
 class LangIdConfig:
     buckets: int = 1 << 16
     dim: int = 16
+    #: Passes over the sample, and the steps that a small sample gets at least.
     epochs: int = 6
+    least_steps: int = 6000
     rate: float = 0.4
     #: Bounds of the training sample: documents of a language, and of all languages.
     per_lang: int = 1200
@@ -136,8 +138,9 @@ def fit(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> LangIdModel |
     rng = np.random.default_rng(config.seed)
     embeddings = rng.uniform(-1 / config.dim, 1 / config.dim, (config.buckets, config.dim)).astype(np.float32)
     weights, bias = np.zeros((config.dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    steps, step = config.epochs * len(training), 0
-    for _ in range(config.epochs):
+    epochs = max(config.epochs, -(-config.least_steps // len(training)))
+    steps, step = epochs * len(training), 0
+    for _ in range(epochs):
         for k in rng.permutation(len(training)):
             _, lang, _, index, share = training[k]
             rate = np.float32(config.rate * (1 - step / steps))

@@ -92,7 +92,7 @@ def repeated_lines(lines: DataFrame, config: LineDedupConfig) -> DataFrame:
     if not n:
         return lines.sparkSession.createDataFrame([], "hash binary, max_doc long")
     n_batches = int(min(config.most_batches, max(config.least_batches, -(-n // config.batch_lines))))
-    edges = lines.approxQuantile("doc_id", [k / n_batches for k in range(1, n_batches)], 0.01) if high > low else []
+    edges = lines.approxQuantile("doc_id", [k / n_batches for k in range(1, n_batches)], 0.01) if high > low and n_batches > 1 else []
     edges = sorted({int(x) for x in edges} | {low})
     levels: list[list[DataFrame]] = [[]]
     for start, end in reversed(list(zip(edges, [*edges[1:], high + 1], strict=True))):
