@@ -14,6 +14,11 @@ def col(x: C) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed, and standing in the expression, only once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text(x: C) -> Column:
     """The value as a string, empty for null."""
     return F.coalesce(col(x).cast("string"), F.lit(""))
@@ -258,39 +263,46 @@ def expand_policy_vars(pattern: C, context: dict[str, Column]) -> Column:
 # Values
 
 
+_OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+
 def ipv4_number(ip: C) -> Column:
     """An IPv4 address as a long, null if it is none."""
-    parts = F.split(text(ip), r"\.")
-    octet = lambda k: F.get(parts, F.lit(k)).try_cast("long")
-    valid = text(ip).rlike(r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$")
-    return F.when(valid, ((octet(0) * 256 + octet(1)) * 256 + octet(2)) * 256 + octet(3))
+    number = lambda s: F.aggregate(F.split(s, r"\."), F.lit(0).cast("long"), lambda a, o: a * 256 + o.cast("long"))
+    return let(text(ip), lambda s: F.when(s.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$"), number(s)))
 
 
 def ipv6_groups(ip: C) -> Column:
     """The eight 16-bit groups of an IPv6 address, null if it is none; one ``::`` stands for the missing groups."""
-    raw = F.lower(text(ip))
-    valid = raw.rlike(r"^[0-9a-f:]+$") & F.contains(raw, F.lit(":")) & ~raw.rlike(":::") & (F.size(F.split(raw, "::")) <= 2)
     groups = lambda s: F.filter(F.split(s, ":"), lambda x: x != "")
-    halves = F.split(raw, "::")
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    full = F.when(F.contains(raw, F.lit("::")), F.concat(left, F.array_repeat(F.lit("0"), missing), right)).otherwise(left)
-    return F.when(valid & (F.size(full) == 8) & F.forall(full, lambda x: F.length(x) <= 4), F.transform(full, lambda x: F.conv(x, 16, 10).cast("int")))
+
+    def expand(raw: Column) -> Column:
+        halves = F.struct(groups(F.substring_index(raw, "::", 1)).alias("l"), groups(F.when(F.contains(raw, F.lit("::")), F.substring_index(raw, "::", -1)).otherwise(F.lit(""))).alias("r"), F.contains(raw, F.lit("::")).alias("open"))
+        full = let(halves, lambda h: F.concat(h["l"], F.array_repeat(F.lit("0"), F.when(h["open"], 8 - F.size(h["l"]) - F.size(h["r"])).otherwise(F.lit(0))), h["r"]))
+        valid = raw.rlike("^[0-9a-f:]+$") & F.contains(raw, F.lit(":")) & ~F.contains(raw, F.lit(":::")) & (F.size(F.split(raw, "::")) <= 2)
+        return F.when(valid, let(full, lambda f: F.when((F.size(f) == 8) & F.forall(f, lambda x: F.length(x) <= 4), F.transform(f, lambda x: F.conv(x, 16, 10).cast("int")))))
+
+    return let(F.lower(text(ip)), expand)
 
 
 def ip_in_cidr(ip: C, pattern: C) -> Column:
     """Whether an address lies in a network, or equals an address; false if either can't be read."""
-    base, bits = F.substring_index(text(pattern), "/", 1), F.when(F.contains(text(pattern), F.lit("/")), F.substring_index(text(pattern), "/", -1).try_cast("int"))
-    host, net = ipv4_number(ip), ipv4_number(base)
-    width = F.coalesce(bits, F.lit(32))
-    block = F.pow(F.lit(2.0), 32 - width)
-    v4 = (width.between(0, 32)) & (F.floor(host / block) == F.floor(net / block))
-    bits6 = F.coalesce(bits, F.lit(128))
-    pairs = F.zip_with(ipv6_groups(ip), ipv6_groups(base), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    room = lambda k: F.greatest(F.lit(0), F.least(F.lit(16), bits6 - 16 * k))
-    same = F.transform(pairs, lambda p, k: F.floor(p["a"] / F.pow(F.lit(2.0), 16 - room(k))) == F.floor(p["b"] / F.pow(F.lit(2.0), 16 - room(k))))
-    v6 = bits6.between(0, 128) & F.forall(same, lambda x: x)
-    return F.coalesce(F.when(host.isNotNull() & net.isNotNull(), v4).otherwise(v6), F.lit(False)) & ~(F.contains(text(pattern), F.lit("/")) & bits.isNull())
+
+    def network(p: Column) -> Column:
+        slash = F.contains(p, F.lit("/"))
+        return F.struct(F.substring_index(p, "/", 1).alias("base"), F.when(slash, F.substring_index(p, "/", -1).try_cast("int")).alias("bits"), slash.alias("slash"))
+
+    def v4(n: Column) -> Column:
+        return let(F.struct(ipv4_number(ip).alias("h"), ipv4_number(n["base"]).alias("b"), F.coalesce(n["bits"], F.lit(32)).alias("w")), lambda s: F.when(s["h"].isNotNull() & s["b"].isNotNull(), s["w"].between(0, 32) & (F.floor(s["h"] / F.pow(F.lit(2.0), 32 - s["w"])) == F.floor(s["b"] / F.pow(F.lit(2.0), 32 - s["w"])))))
+
+    def v6(n: Column) -> Column:
+        width = F.coalesce(n["bits"], F.lit(128))
+        unit = lambda k: F.pow(F.lit(2.0), 16 - F.greatest(F.lit(0), F.least(F.lit(16), width - 16 * k)))
+        pairs = F.arrays_zip(ipv6_groups(ip).alias("a"), ipv6_groups(n["base"]).alias("b"))
+        same = F.transform(pairs, lambda x, k: F.floor(x.getField("a") / unit(k)) == F.floor(x.getField("b") / unit(k)))
+        return width.between(0, 128) & F.forall(same, lambda x: F.coalesce(x, F.lit(False)))
+
+    return let(network(text(pattern)), lambda n: ~(n["slash"] & n["bits"].isNull()) & F.coalesce(v4(n), v6(n), F.lit(False)))
 
 
 def parse_condition_date(value: C) -> Column:

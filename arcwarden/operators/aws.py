@@ -7,6 +7,8 @@ Then denies and gates remove pairs by joins on principal, account or resource.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +27,37 @@ def capabilities(spark) -> DataFrame:
     return config_frame(spark, rows, "ord int, edge string, action string, types array<string>, kind string, weight double, suffix string, service string")
 
 
-def principal_statements(facts: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Policies:
+    """Stored statements with the actions that they match (``hits``), and memberships."""
+
+    statements: DataFrame
+    members: DataFrame
+
+    def of(self, kind: str) -> DataFrame:
+        return self.statements.where(F.col("kind") == kind)
+
+
+def load_policies(facts: DataFrame) -> Policies:
+    """Every document parsed, and matched with the configured actions, once."""
+    kinds = ("identity_policy", "managed_policy", "resource_policy", "scp", "permission_boundary")
+    rows = P.parse_policy_statements(facts.where(F.col("kind").isin(*kinds)), ("policy", "document"))
+    hits = F.filter(F.array(*map(F.lit, ACTIONS)), P.statement_action_match)
+    return Policies(stored(rows.withColumn("hits", hits), "statements"), stored(facts.where("kind = 'membership'").select("edge_hint", "source", "target").distinct(), "members"))
+
+
+def _matched(statements: DataFrame) -> DataFrame:
+    return statements.withColumn("action", F.explode("hits"))
+
+
+def principal_statements(policies: Policies) -> DataFrame:
     """Statements of each principal: inline, attached, and those of its groups; a managed document once."""
-    inline = P.parse_policy_statements(facts.where("kind = 'identity_policy'"), ("document",)).withColumn("principal", F.col("source"))
-    managed = P.parse_policy_statements(facts.where("kind = 'managed_policy'"), ("document",))
-    has = facts.where("kind = 'membership' and edge_hint = 'HasPolicy'").select(F.col("source").alias("principal"), F.col("target").alias("_policy")).distinct()
+    inline = policies.of("identity_policy").withColumn("principal", F.col("source"))
+    managed = policies.of("managed_policy")
+    has = policies.members.where("edge_hint = 'HasPolicy'").select(F.col("source").alias("principal"), F.col("target").alias("_policy"))
     attached = managed.join(has, F.col("source") == F.col("_policy")).drop("_policy")
     own = inline.unionByName(attached)
-    member = facts.where("kind = 'membership' and edge_hint = 'MemberOf'").select(F.col("source").alias("user"), F.col("target").alias("principal")).distinct()
+    member = policies.members.where("edge_hint = 'MemberOf'").select(F.col("source").alias("user"), F.col("target").alias("principal"))
     grouped = own.join(member, "principal").withColumn("principal", F.col("user")).drop("user")
     return own.unionByName(grouped).dropDuplicates(["principal", "fact_id", "source", "at"])
 
@@ -67,20 +92,20 @@ def allowed_by(matched: DataFrame) -> DataFrame:
     return rows.select(*PAIR, "solid", F.when(~F.col("solid"), F.array_sort(F.array_distinct("l"))).otherwise(F.array().cast("array<string>")).alias("labels"), F.array_sort(F.when(F.col("solid"), F.col("f0")).otherwise(F.col("f1"))).alias("facts"))
 
 
-def _identity_allows(facts: DataFrame, resources: DataFrame, people: DataFrame) -> DataFrame:
-    own = principal_statements(facts).join(people.select("principal"), "principal", "left_semi")
-    statements = P.matched_actions(own.where(P.allows()), ACTIONS).select("principal", *STATEMENT)
+def _identity_allows(policies: Policies, resources: DataFrame, people: DataFrame) -> DataFrame:
+    own = principal_statements(policies).join(people.select("principal"), "principal", "left_semi")
+    statements = _matched(own.where(P.allows())).select("principal", *STATEMENT)
     return allowed_by(_tri(_on_resources(statements, resources)))
 
 
-def _resource_statements(facts: DataFrame) -> DataFrame:
-    rows = P.parse_policy_statements(facts.where("kind = 'resource_policy'"), ("policy", "document"))
-    return P.matched_actions(rows, ACTIONS)
+def _resource_statements(policies: Policies) -> DataFrame:
+    rows = policies.of("resource_policy")
+    return _matched(rows)
 
 
-def _resource_allows(facts: DataFrame, resources: DataFrame, people: DataFrame) -> DataFrame:
+def _resource_allows(policies: Policies, resources: DataFrame, people: DataFrame) -> DataFrame:
     """Direct allows of resource policies; a policy belongs to the arn that it is attached to."""
-    rows = _resource_statements(facts).where(P.allows()).select(F.col("source").alias("target_arn"), *STATEMENT)
+    rows = _resource_statements(policies).where(P.allows()).select(F.col("source").alias("target_arn"), *STATEMENT)
     at = rows.join(resources.select("action", "target_arn").distinct(), ["action", "target_arn"]).where(P.statement_resource_match("target_arn"))
     plain = ~F.col("public") & F.forall("principals", lambda p: glob_class(p) == "exact")
     named = at.where(plain).withColumn("principal", F.explode(F.array_distinct("principals"))).where(~F.col("principal").endswith(":root")).join(people.select("principal"), "principal", "left_semi")
@@ -88,16 +113,16 @@ def _resource_allows(facts: DataFrame, resources: DataFrame, people: DataFrame)
     return allowed_by(_tri(named.unionByName(loose.select(*named.columns))))
 
 
-def explicit_deny(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+def explicit_deny(pairs: DataFrame, policies: Policies) -> DataFrame:
     """``(principal, action, target_arn, hard, labels)`` of pairs that some deny matches: identity, boundary, account, resource."""
     sets = []
-    own = principal_statements(facts).where(P.denies())
-    bounds = P.parse_policy_statements(facts.where("kind = 'permission_boundary'"), ("document",)).where(P.denies()).withColumn("principal", F.col("source"))
+    own = principal_statements(policies).where(P.denies())
+    bounds = policies.of("permission_boundary").where(P.denies()).withColumn("principal", F.col("source"))
     for rows in (own, bounds):
-        sets.append(P.matched_actions(rows, ACTIONS).select("principal", *STATEMENT).join(pairs.select(*PAIR), ["principal", "action"]))
-    scps = P.matched_actions(P.parse_policy_statements(facts.where("kind = 'scp'"), ("document",)).where(P.denies()), ACTIONS).select(F.col("account").alias("of"), *STATEMENT)
+        sets.append(_matched(rows).select("principal", *STATEMENT).join(pairs.select(*PAIR), ["principal", "action"]))
+    scps = _matched(policies.of("scp").where(P.denies())).select(F.col("account").alias("of"), *STATEMENT)
     sets.append(scps.join(pairs.select(*PAIR, account_of("principal").alias("of")), ["of", "action"]).drop("of"))
-    attached = _resource_statements(facts).where(P.denies()).select(F.col("source").alias("target_arn"), *STATEMENT)
+    attached = _resource_statements(policies).where(P.denies()).select(F.col("source").alias("target_arn"), *STATEMENT)
     sets.append(attached.join(pairs.select(*PAIR), ["target_arn", "action"]).where(P.principal_match_broad("principal")))
     every = sets[0].select(*PAIR, *[c for c in STATEMENT if c != "action"])
     for s in sets[1:]:
@@ -106,28 +131,28 @@ def explicit_deny(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return hit.groupBy(*PAIR).agg((F.min("tri") == 0).alias("hard"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(P.condition_labels("conditions"))))).alias("deny_labels"))
 
 
-def scp_gate(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+def scp_gate(pairs: DataFrame, policies: Policies) -> DataFrame:
     """Pairs whose account has no service control policy, or one that allows the action."""
-    scps = P.parse_policy_statements(facts.where("kind = 'scp'"), ("document",))
-    allowed = P.matched_actions(scps.where(P.allows()), ACTIONS).select(F.col("account").alias("of"), "action").distinct()
+    scps = policies.of("scp")
+    allowed = _matched(scps.where(P.allows())).select(F.col("account").alias("of"), "action").distinct()
     of = pairs.withColumn("of", account_of("principal"))
     governed = scps.select(F.col("account").alias("of")).distinct()
     return of.join(governed, "of", "left_anti").unionByName(of.join(allowed, ["of", "action"], "left_semi"), allowMissingColumns=True).select(*pairs.columns)
 
 
-def boundary_gate(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+def boundary_gate(pairs: DataFrame, policies: Policies) -> DataFrame:
     """Pairs whose principal has no boundary, or one that allows the action on the resource, conditionally perhaps."""
-    bounds = P.parse_policy_statements(facts.where("kind = 'permission_boundary'"), ("document",)).withColumn("principal", F.col("source"))
-    met = P.matched_actions(bounds.where(P.allows()), ACTIONS).select("principal", *STATEMENT).join(pairs.select(*PAIR), ["principal", "action"])
+    bounds = policies.of("permission_boundary").withColumn("principal", F.col("source"))
+    met = _matched(bounds.where(P.allows())).select("principal", *STATEMENT).join(pairs.select(*PAIR), ["principal", "action"])
     fine = _tri(met.where(P.statement_resource_match("target_arn"))).where("tri < 2").select(*PAIR).distinct()
     free = pairs.join(bounds.select("principal").distinct(), "principal", "left_anti")
     return free.select(*pairs.columns).unionByName(pairs.join(fine, PAIR, "left_semi").select(*pairs.columns))
 
 
-def kms_decision(identity: DataFrame, facts: DataFrame, resources: DataFrame, people: DataFrame) -> DataFrame:
+def kms_decision(identity: DataFrame, policies: Policies, resources: DataFrame, people: DataFrame) -> DataFrame:
     """Pairs of ``kms:`` actions: direct grants of the key policy, delegation to IAM, or an unknown key policy."""
-    keys = P.parse_policy_statements(facts.where("kind = 'resource_policy'"), ("policy", "document"))
-    grants = P.matched_actions(keys.where(P.allows() & ~P.has_condition_key("conditions", "kms:viaservice")), [a for a in ACTIONS if a.startswith("kms:")])
+    keys = policies.of("resource_policy")
+    grants = _matched(keys.where(P.allows() & ~P.has_condition_key("conditions", "kms:viaservice"))).where("action like 'kms:%'")
     grants = grants.select(F.col("source").alias("target_arn"), *STATEMENT).join(resources.select("action", "target_arn").distinct(), ["action", "target_arn"])
     met = grants.withColumn("one", F.lit(1)).join(people.select("principal", F.lit(1).alias("one")), "one").drop("one").withColumn("names", P.principal_match_direct("principal")).withColumn("root", P.principal_names_root(account_of("principal"))).where("names or root")
     tri = _tri(met)
@@ -165,11 +190,12 @@ def aws_permission_edges(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Permission edges of AWS principals: ACTIVE at confidence 1, or CONDITIONAL at one half."""
     people = stored(nodes.where(F.col("node_type").isin(*PRINCIPAL_TYPES) & ~blank("arn")).select(F.col("arn").alias("principal"), F.col("node_id").alias("p_node"), "provider").dropDuplicates(["principal", "p_node"]), "people")
     resources = stored(candidate_resources(nodes), "resources")
-    identity = stored(_identity_allows(facts, resources, people), "identity")
-    plain = combine_decision(identity.where("action not like 'kms:%'"), _resource_allows(facts, resources, people).where("action not like 'kms:%'"))
-    decided = stored(plain.unionByName(kms_decision(identity, facts, resources, people)), "decided")
-    gated = boundary_gate(scp_gate(decided, facts), facts)
-    denied = stored(explicit_deny(decided, facts), "denied")
+    policies = load_policies(facts)
+    identity = stored(_identity_allows(policies, resources, people), "identity")
+    plain = combine_decision(identity.where("action not like 'kms:%'"), _resource_allows(policies, resources, people).where("action not like 'kms:%'"))
+    decided = stored(plain.unionByName(kms_decision(identity, policies, resources, people)), "decided")
+    gated = boundary_gate(scp_gate(decided, policies), policies)
+    denied = stored(explicit_deny(decided, policies), "denied")
     left = gated.join(denied.where("hard").select(*PAIR), PAIR, "left_anti").join(denied.where("not hard").select(*PAIR, "deny_labels"), PAIR, "left")
     loose = F.col("conditional") | F.col("deny_labels").isNotNull() & ~F.col("action").startswith("kms:")
     conditions = F.when(F.col("action").startswith("kms:"), F.col("conditions")).otherwise(F.array_sort(F.array_union("conditions", F.coalesce("deny_labels", F.array().cast("array<string>")))))
@@ -180,8 +206,6 @@ def aws_permission_edges(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def public_statements(facts: DataFrame) -> DataFrame:
+def public_statements(policies: Policies) -> DataFrame:
     """Allow statements of resource policies that name everyone."""
-    return P.parse_policy_statements(facts.where("kind = 'resource_policy'"), ("policy", "document")).where(P.allows() & F.col("public"))
-
-
+    return policies.of("resource_policy").where(P.allows() & F.col("public"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcwarden.catalog import REQUEST_TIME_KEYS
-from arcwarden.functions.scalars import C, account_of, col, fact_id, glob_match, ip_in_cidr, json_text, parse_condition_date, text
+from arcwarden.functions.scalars import C, account_of, col, fact_id, glob_match, ip_in_cidr, json_text, let, parse_condition_date, text
 
 STATEMENT = "struct<Sid:string,Effect:string,Action:string,NotAction:string,Resource:string,NotResource:string,Principal:string,Condition:string>"
 
@@ -104,29 +104,26 @@ def principal_context(principal: C) -> Column:
     return F.map_from_entries(known)
 
 
+_ORDER = ("Equals", "NotEquals", "LessThan", "LessThanEquals", "GreaterThan", "GreaterThanEquals")
+_ALIKE = ("StringLike", "StringNotLike", "ArnEquals", "ArnLike", "ArnNotEquals", "ArnNotLike")
+_EQUAL, _FOLDED, _ADDRESS = ("StringEquals", "StringNotEquals"), ("StringEqualsIgnoreCase", "StringNotEqualsIgnoreCase", "Bool"), ("IpAddress", "NotIpAddress")
+_NEGATED = ("StringNotLike", "ArnNotEquals", "ArnNotLike", "StringNotEquals", "StringNotEqualsIgnoreCase", "NotIpAddress")
+OPERATORS = (*_ALIKE, *_EQUAL, *_FOLDED, *_ADDRESS, *[f"{t}{o}" for t in ("Numeric", "Date") for o in _ORDER])
+
+
 def _compare(op: Column, a: Column, p: Column) -> Column:
-    """The comparator ``op`` of a value and a pattern; null for unknown operators."""
-    x, y = a.try_cast("double"), p.try_cast("double")
-    t, u = parse_condition_date(a), parse_condition_date(p)
-    no = F.lit(False)
-    numeric = {"Equals": x == y, "NotEquals": x != y, "LessThan": x < y, "LessThanEquals": x <= y, "GreaterThan": x > y, "GreaterThanEquals": x >= y}
-    dates = {"Equals": t == u, "NotEquals": t != u, "LessThan": t < u, "LessThanEquals": t <= u, "GreaterThan": t > u, "GreaterThanEquals": t >= u}
-    cases = {
-        "StringEquals": a == p, "StringNotEquals": a != p, "StringEqualsIgnoreCase": F.lower(a) == F.lower(p), "StringNotEqualsIgnoreCase": F.lower(a) != F.lower(p),
-        "StringLike": glob_match(p, a), "StringNotLike": ~glob_match(p, a), "Bool": F.lower(a) == F.lower(p), "IpAddress": ip_in_cidr(a, p), "NotIpAddress": ~ip_in_cidr(a, p),
-        **{f"Arn{n}": glob_match(p, a) for n in ("Equals", "Like")}, **{f"Arn{n}": ~glob_match(p, a) for n in ("NotEquals", "NotLike")},
-        **{f"Numeric{n}": F.coalesce(c, no) for n, c in numeric.items()}, **{f"Date{n}": F.coalesce(c, no) for n, c in dates.items()},
-    }
-    out = None
-    for name, value in cases.items():
-        out = F.when(op == name, value) if out is None else out.when(op == name, value)
-    return out
+    """Whether a value satisfies a pattern under one of ``OPERATORS``. Every family appears once, as expressions are nested deeply."""
+    number = lambda x: F.when(op.startswith("Date"), F.unix_micros(parse_condition_date(x)).cast("double")).otherwise(x.try_cast("double"))
+    ordered = let(F.struct(number(a).alias("x"), number(p).alias("y"), F.regexp_replace(op, "^(Numeric|Date)", "").alias("o")), lambda s: F.coalesce(
+        F.when(s["o"] == "Equals", s["x"] == s["y"]).when(s["o"] == "NotEquals", s["x"] != s["y"]).when(s["o"] == "LessThan", s["x"] < s["y"]).when(s["o"] == "LessThanEquals", s["x"] <= s["y"]).when(s["o"] == "GreaterThan", s["x"] > s["y"]).otherwise(s["x"] >= s["y"]), F.lit(False)))
+    plain = F.when(op.isin(*_ALIKE), glob_match(p, a)).when(op.isin(*_EQUAL), a == p).when(op.isin(*_FOLDED), F.lower(a) == F.lower(p)).when(op.isin(*_ADDRESS), ip_in_cidr(a, p))
+    return F.when(op.rlike("^(Numeric|Date)"), ordered).otherwise(plain != op.isin(*_NEGATED))
 
 
 def eval_clause(op: C, key: C, values: C, known: C) -> Column:
     """0 true, 1 unresolved or 2 false for one operator, key and list of patterns."""
     raw, k, patterns = text(op), F.lower(text(key)), col(values)
-    quantifier = F.when(raw.startswith("ForAllValues:"), "all").when(raw.startswith("ForAnyValue:"), "any").otherwise("default")
+    quantifier = F.when(raw.startswith("ForAllValues:"), "all").otherwise("any")
     plain = F.regexp_replace(raw, "^(ForAllValues|ForAnyValue):", "")
     if_exists, base = plain.endswith("IfExists"), F.regexp_replace(plain, "IfExists$", "")
     actual = F.try_element_at(col(known), k)
@@ -134,12 +131,11 @@ def eval_clause(op: C, key: C, values: C, known: C) -> Column:
     wants_absent = F.exists(patterns, lambda p: F.lower(p) == "true")
     null = F.when(actual.isNull() & later, F.lit(1)).when(wants_absent == actual.isNull(), F.lit(0)).otherwise(F.lit(2))
     hit = lambda a: F.exists(patterns, lambda p: F.coalesce(_compare(base, a, p), F.lit(False)))
-    held = F.when(quantifier == "all", F.forall(actual, hit)).otherwise(F.exists(actual, hit))
-    modelled = _compare(base, F.lit(""), F.lit("")).isNotNull()
+    held = F.size(F.filter(actual, hit)) >= F.when(quantifier == "all", F.size(actual)).otherwise(F.lit(1))
     return (
         F.when(F.lower(base) == "null", null)
         .when(actual.isNull(), F.when(later, F.lit(1)).when(if_exists, F.lit(0)).otherwise(F.lit(2)))
-        .when(~modelled, F.lit(1)).when(held, F.lit(0)).otherwise(F.lit(2))
+        .when(~base.isin(*OPERATORS), F.lit(1)).when(held, F.lit(0)).otherwise(F.lit(2))
     )
 
 
