@@ -24,7 +24,7 @@ def binding_grants(facts: DataFrame) -> DataFrame:
     lists = facts.where("kind = 'role_permissions'").select(F.col("source").alias("role"), F.explode(F.from_json(json_text("attributes", "permissions"), "array<string>")).alias("permission")).distinct()
     bound = facts.where("kind = 'iam_binding'").select(
         F.col("source").alias("member"), json_text("attributes", "role").alias("role"), (json_text("attributes", "level") == "project").alias("wide"), text("scope.account").alias("project"), "target",
-        ~blank(json_text("attributes", "condition")).alias("conditioned"), fact_id("provider", "kind", "source", "target", "edge_hint", "scope.account").alias("fact_id"),
+        (~blank(json_text("attributes", "condition"))).alias("conditioned"), fact_id("provider", "kind", "source", "target", "edge_hint", "scope.account").alias("fact_id"),
     ).withColumn("wide", F.coalesce("wide", F.lit(False)))
     keyed = bound.withColumn("project", F.when(F.col("wide"), F.col("project"))).withColumn("target", F.when(~F.col("wide"), F.col("target")))
     known = keyed.join(lists.select("role").distinct(), "role", "left_semi")
