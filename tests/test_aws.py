@@ -1,27 +1,26 @@
 """Statement-model scenarios: deny wins, gates, both sides across accounts, keys, conditions."""
 
 import pytest
-from pyspark.sql import functions as F
 from tests.helpers import allow, deny, doc, facts, nodes
 
 from arcwarden.operators import policy as P
 from arcwarden.operators.aws import aws_permission_edges
 
-JO, ROLE = "arn:aws:iam::111111111111:user/jo", "arn:aws:iam::222222222222:role/far"
-SECRET, KEY, BUCKET = "arn:aws:secretsmanager:eu-1:111111111111:secret:s", "arn:aws:kms:eu-1:111111111111:key/k", "arn:aws:s3:::b"
-
+READ = "secretsmanager:GetSecretValue"
+MFA = {"BoolIfExists": {"aws:MultiFactorAuthPresent": "false"}}
+SOURCE = {"IpAddress": {"aws:SourceIp": "10.0.0.0/8"}}
 
-@pytest.fixture(scope="module")
-def graph(spark):
-    return nodes(
-        spark, ("aws|111111111111|aws:iam:user|jo", "HumanIdentity", JO), ("aws|222222222222|aws:iam:role|far", "Role", ROLE), ("aws|111111111111|aws:secretsmanager:secret|s", "Secret", SECRET),
-        ("aws|111111111111|aws:kms:key|k", "EncryptionKey", KEY), ("aws|111111111111|aws:s3:bucket|b", "ObjectStorage", BUCKET),
-    ).cache()
 
+class Case:
+    """An account of its own for each case: a user, a role of another account, a secret, a key and a bucket."""
 
-def found(spark, graph, *rows):
-    out = aws_permission_edges(facts(spark, *rows), graph).collect()
-    return {(r["type"], r["source"].split("|")[-1], r["target"].split("|")[-1]): r for r in out}
+    def __init__(self, n: int):
+        a, b = f"{n:012d}", f"{n + 500:012d}"
+        self.n, self.account = n, a
+        self.jo, self.far = f"arn:aws:iam::{a}:user/jo{n}", f"arn:aws:iam::{b}:role/far{n}"
+        self.root, self.far_root = f"arn:aws:iam::{a}:root", f"arn:aws:iam::{b}:root"
+        self.secret, self.key, self.bucket = f"arn:aws:secretsmanager:eu-1:{a}:secret:s{n}", f"arn:aws:kms:eu-1:{a}:key/k{n}", f"arn:aws:s3:::b{n}"
+        self.nodes = [(f"aws|{a}|aws:iam:user|jo{n}", "HumanIdentity", self.jo), (f"aws|{b}|aws:iam:role|far{n}", "Role", self.far), (f"aws|{a}|aws:secretsmanager:secret|s{n}", "Secret", self.secret), (f"aws|{a}|aws:kms:key|k{n}", "EncryptionKey", self.key), (f"aws|{a}|aws:s3:bucket|b{n}", "ObjectStorage", self.bucket)]
 
 
 def inline(who, *statements):
@@ -32,68 +31,66 @@ def attached(what, *statements):
     return ("resource_policy", "", what, "", {"policy": doc(*statements)})
 
 
-READ = "secretsmanager:GetSecretValue"
+def scenarios(c):
+    """Facts of each case, by number."""
+    group, policy = f"arn:aws:iam::{c[10].account}:group/g", f"arn:aws:iam::{c[10].account}:policy/p"
+    mine = lambda k: inline(c[k].far, allow(READ, c[k].secret))
+    theirs = lambda k: attached(c[k].secret, allow(READ, None, Principal={"AWS": c[k].far}))
+    use = lambda k: inline(c[k].jo, allow("kms:Decrypt", c[k].key))
+    return [
+        inline(c[1].jo, allow(READ, c[1].secret), allow("s3:Get*", c[1].bucket + "/*")),
+        inline(c[2].jo, allow("*", "*"), deny(READ, "*")),
+        inline(c[3].jo, {"Effect": "Allow", "NotAction": "s3:*", "Resource": "*"}),
+        inline(c[4].jo, {"Effect": "Allow", "Action": READ, "NotResource": c[4].secret}),
+        inline(c[5].jo, allow(READ, c[5].secret), deny("*", "*", Condition=MFA)),
+        inline(c[6].jo, allow(READ, c[6].secret, Condition=SOURCE)),
+        inline(c[7].jo, allow(READ, c[7].secret, Condition=SOURCE), allow(READ, "*")),
+        inline(c[8].jo, allow(READ, c[8].secret, Condition={"StringEquals": {"aws:PrincipalAccount": "999999999999"}})),
+        inline(c[9].jo, allow("*", "*")), ("scp", "", "p", "", {"document": doc(allow("s3:*", "*"))}, "aws", c[9].account),
+        ("membership", "MemberOf", c[10].jo, group, {}), ("membership", "HasPolicy", group, policy, {}), ("managed_policy", "", policy, "", {"document": doc(allow(READ, "*"))}),
+        inline(c[11].jo, allow("*", "*")), ("permission_boundary", "", c[11].jo, "", {"document": doc(allow(READ, "*"))}),
+        mine(12), theirs(13), mine(14), theirs(14), mine(15), attached(c[15].secret, allow(READ, None, Principal={"AWS": c[15].far_root})),
+        attached(c[16].secret, allow(READ, None, Principal="*")), mine(17), attached(c[17].secret, allow(READ, None, Principal={"AWS": c[17].far}), deny(READ, None, Principal={"AWS": f"{517:012d}"})),
+        use(18), attached(c[19].key, allow("kms:*", "*", Principal={"AWS": c[19].root})), attached(c[20].key, allow("kms:*", "*", Principal={"AWS": c[20].root})), use(20),
+        attached(c[21].key, allow("kms:*", "*", Principal="*", Condition={"StringEquals": {"kms:ViaService": "x"}})), use(21), attached(c[22].key, allow("kms:*", "*", Principal={"AWS": c[22].jo})),
+    ]
 
 
-def test_allow_and_deny(spark, graph):
-    got = found(spark, graph, inline(JO, allow(READ, SECRET), allow("s3:Get*", "arn:aws:s3:::b/*")))
-    assert got["CanReadSecret", "jo", "s"]["state"] == "ACTIVE" and got["CanReadSecret", "jo", "s"]["scope"] == SECRET and len(got["CanReadSecret", "jo", "s"]["facts"]) == 1
-    assert ("CanReadData", "jo", "b") in got and ("CanWriteData", "jo", "b") not in got
-    assert not found(spark, graph, inline(JO, allow("*", "*"), deny(READ, "*")))[("CanDecrypt", "jo", "k")]["state"] == "ACTIVE"
-    assert ("CanReadSecret", "jo", "s") not in found(spark, graph, inline(JO, allow("*", "*"), deny(READ, "*")))
-
-
-def test_not_action_and_not_resource(spark, graph):
-    got = found(spark, graph, inline(JO, {"Effect": "Allow", "NotAction": "s3:*", "Resource": "*"}))
-    assert ("CanReadSecret", "jo", "s") in got and ("CanReadData", "jo", "b") not in got
-    assert ("CanReadSecret", "jo", "s") not in found(spark, graph, inline(JO, {"Effect": "Allow", "Action": READ, "NotResource": SECRET}))
+@pytest.fixture(scope="module")
+def found(spark):
+    cases = {n: Case(n) for n in range(1, 23)}
+    graph = nodes(spark, *[x for c in cases.values() for x in c.nodes])
+    rows = aws_permission_edges(facts(spark, *scenarios(cases)), graph).collect()
+    held = {(r["type"], r["source"].split("|")[-1], r["target"].split("|")[-1]): r for r in rows}
+    return lambda n, who="jo", edge="CanReadSecret", what="s": held.get((edge, f"{who}{n}", f"{what}{n}"))
 
 
-def test_conditional_deny_and_allow(spark, graph):
-    mfa = {"BoolIfExists": {"aws:MultiFactorAuthPresent": "false"}}
-    got = found(spark, graph, inline(JO, allow(READ, SECRET), deny("*", "*", Condition=mfa)))["CanReadSecret", "jo", "s"]
-    assert got["state"] == "CONDITIONAL" and got["confidence"] == 0.5 and got["conditions"] == ["BoolIfExists:aws:MultiFactorAuthPresent"]
-    source = {"IpAddress": {"aws:SourceIp": "10.0.0.0/8"}}
-    assert found(spark, graph, inline(JO, allow(READ, SECRET, Condition=source)))["CanReadSecret", "jo", "s"]["state"] == "CONDITIONAL"
-    assert found(spark, graph, inline(JO, allow(READ, SECRET, Condition=source), allow(READ, "*")))["CanReadSecret", "jo", "s"]["state"] == "ACTIVE"
-    other = {"StringEquals": {"aws:PrincipalAccount": "999999999999"}}
-    assert not found(spark, graph, inline(JO, allow(READ, SECRET, Condition=other)))
+def test_allow_and_deny(found):
+    assert found(1)["state"] == "ACTIVE" and found(1)["scope"].endswith("secret:s1") and len(found(1)["facts"]) == 1
+    assert found(1, edge="CanReadData", what="b") and not found(1, edge="CanWriteData", what="b")
+    assert not found(2) and found(2, edge="CanReadData", what="b")
+    assert found(3) and not found(3, edge="CanReadData", what="b") and not found(4)
 
 
-def test_gates(spark, graph):
-    scp = ("scp", "", "p", "", {"document": doc(allow("s3:*", "*"))})
-    assert ("CanReadSecret", "jo", "s") not in found(spark, graph, inline(JO, allow("*", "*")), scp)
-    assert ("CanReadData", "jo", "b") in found(spark, graph, inline(JO, allow("*", "*")), scp)
-    boundary = ("permission_boundary", "", JO, "", {"document": doc(allow(READ, "*"))})
-    got = found(spark, graph, inline(JO, allow("*", "*")), boundary)
-    assert ("CanReadSecret", "jo", "s") in got and ("CanReadData", "jo", "b") not in got
+def test_conditions(found):
+    assert found(5)["state"] == "CONDITIONAL" and found(5)["confidence"] == 0.5 and found(5)["conditions"] == ["BoolIfExists:aws:MultiFactorAuthPresent"]
+    assert found(6)["state"] == "CONDITIONAL" and found(7)["state"] == "ACTIVE" and not found(8)
 
 
-def test_groups_and_managed(spark, graph):
-    group, policy = "arn:aws:iam::111111111111:group/g", "arn:aws:iam::111111111111:policy/p"
-    rows = [("membership", "MemberOf", JO, group, {}), ("membership", "HasPolicy", group, policy, {}), ("managed_policy", "", policy, "", {"document": doc(allow(READ, "*"))})]
-    assert ("CanReadSecret", "jo", "s") in found(spark, graph, *rows)
+def test_gates_and_groups(found):
+    assert not found(9) and found(9, edge="CanReadData", what="b")
+    assert found(10) and found(11) and not found(11, edge="CanReadData", what="b")
 
 
-def test_cross_account_needs_both(spark, graph):
-    mine, theirs = inline(ROLE, allow(READ, SECRET)), attached(SECRET, allow(READ, None, Principal={"AWS": ROLE}))
-    assert not found(spark, graph, mine) and not found(spark, graph, theirs)
-    assert found(spark, graph, mine, theirs)["CanReadSecret", "far", "s"]["state"] == "ACTIVE"
-    root = attached(SECRET, allow(READ, None, Principal={"AWS": "arn:aws:iam::222222222222:root"}))
-    assert not found(spark, graph, mine, root)
-    assert ("CanReadSecret", "jo", "s") in found(spark, graph, attached(SECRET, allow(READ, None, Principal="*")))
-    assert not found(spark, graph, mine, theirs, attached(SECRET, deny(READ, None, Principal={"AWS": "222222222222"})))
+def test_cross_account_needs_both(found):
+    assert not found(12, "far") and not found(13, "far") and found(14, "far")["state"] == "ACTIVE" and not found(15, "far")
+    assert found(16) and not found(16, "far") and not found(17, "far")
 
 
-def test_keys(spark, graph):
-    use = allow("kms:Decrypt", KEY)
-    unknown = found(spark, graph, inline(JO, use))["CanDecrypt", "jo", "k"]
-    assert unknown["state"] == "CONDITIONAL" and unknown["conditions"] == ["key_policy_unknown"]
-    root = attached(KEY, allow("kms:*", "*", Principal={"AWS": "arn:aws:iam::111111111111:root"}))
-    assert not found(spark, graph, root) and found(spark, graph, root, inline(JO, use))["CanDecrypt", "jo", "k"]["state"] == "ACTIVE"
-    service = attached(KEY, allow("kms:*", "*", Principal="*", Condition={"StringEquals": {"kms:ViaService": "x"}}))
-    assert ("CanDecrypt", "jo", "k") not in found(spark, graph, service, inline(JO, use))
-    assert found(spark, graph, attached(KEY, allow("kms:*", "*", Principal={"AWS": JO})))["CanDecrypt", "jo", "k"]["state"] == "ACTIVE"
+def test_keys(found):
+    key = lambda n: found(n, edge="CanDecrypt", what="k")
+    assert key(18)["state"] == "CONDITIONAL" and key(18)["conditions"] == ["key_policy_unknown"]
+    assert not key(19) and key(20)["state"] == "ACTIVE" and not key(21) and key(22)["state"] == "ACTIVE"
 
 
 KNOWN = {"aws:principalaccount": ["1"], "k": ["a", "b"], "n": ["5"], "d": ["2024-01-02T00:00:00Z"], "ip": ["10.1.1.1"]}
@@ -117,4 +114,3 @@ def test_false_beats_unresolved(spark):
     cond = [("StringEquals", "absent", ["a"]), ("IpAddress", "aws:SourceIp", ["0.0.0.0/0"])]
     df = spark.createDataFrame([(KNOWN, cond), (KNOWN, cond[1:]), (KNOWN, [])], "known map<string,array<string>>, c array<struct<op:string,key:string,values:array<string>>>")
     assert [r["x"] for r in df.select(P.eval_conditions("c", "known").alias("x")).collect()] == [2, 1, 0]
-    assert P.__doc__ and F
