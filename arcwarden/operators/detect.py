@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,15 +37,20 @@ def extract_path(df: DataFrame, json: str, path: str, value: str = "value") -> D
     return df.withColumn(value, F.explode(scalars))
 
 
+def _into(step: str) -> Callable[[Column], Column]:
+    """What one step makes of a JSON text: its elements, all its values, or one of them."""
+    if step == "[]":
+        return lambda n: F.when(n.startswith("["), F.from_json(n, "array<string>"))
+    held = lambda n: F.from_json(n, "map<string,string>")
+    if step.startswith("<"):
+        return lambda n: F.when(n.startswith("{"), F.map_values(held(n)))
+    return lambda n: F.when(n.startswith("{"), F.array(F.try_element_at(held(n), F.lit(step))))
+
+
 def _walk(nodes: Column, steps: list[str]) -> Column:
-    for step in steps:
-        if step == "[]":
-            inner = lambda n: F.when(n.startswith("["), F.from_json(n, "array<string>"))
-        elif step.startswith("<"):
-            inner = lambda n: F.when(n.startswith("{"), F.map_values(F.from_json(n, "map<string,string>")))
-        else:
-            inner = lambda n, s=step: F.when(n.startswith("{"), F.array(F.try_element_at(F.from_json(n, "map<string,string>"), F.lit(s))))
-        nodes = F.filter(F.flatten(F.transform(nodes, lambda n, f=inner: F.coalesce(f(n), F.array().cast("array<string>")))), lambda n: n.isNotNull())
+    for step in map(_into, steps):
+        found = F.flatten(F.transform(nodes, lambda n: F.coalesce(step(n), F.array().cast("array<string>"))))  # noqa: B023
+        nodes = F.filter(found, lambda n: n.isNotNull())
     return nodes
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from arcwarden.plans import graph_queries
+from arcwarden.plans import graph_queries, record_queries
 
-QUERIES = {**graph_queries.QUERIES}
-ORACLE = {**graph_queries.ORACLE}
+QUERIES = {**graph_queries.QUERIES, **record_queries.QUERIES}
+ORACLE = {**graph_queries.ORACLE, **record_queries.ORACLE}
 entry = graph_queries.entry_query
