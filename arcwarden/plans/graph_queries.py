@@ -146,8 +146,8 @@ query("bfs_depth", walk(GOAL, 6, False) + " SELECT node, min(d) AS depth FROM wa
 query("shortest_path", costs(START, 8) + " SELECT node, cost, hops, hops AS n_edges FROM cost WHERE node = (SELECT max(w.node) FROM way w WHERE w.node LIKE '%part%')", True)(
     lambda n, e: T.shortest_path(e, first_customer(e), T.bfs_within(e, first_customer(e), 8).where("node like '%part%'").groupBy().agg(F.max("node").alias("node")), 8).select("node", "cost", "hops", F.size("edge_ids").alias("n_edges"))
 )
-query("shortest_bounded", costs(START, 6) + " SELECT node, cost, hops FROM cost JOIN nodes ON node = node_id WHERE node_type = 'ObjectStorage' ORDER BY cost, node LIMIT 1", True)(
-    lambda n, e: T.shortest_bounded(e, first_customer(e), X.resolve_targets(n, "type:ObjectStorage"), 6).select("node", "cost", "hops")
+query("shortest_bounded", costs(START, 6) + " SELECT node, cost, hops FROM cost JOIN nodes ON node = node_id WHERE node_type = 'Secret' ORDER BY cost, node LIMIT 1", True)(
+    lambda n, e: T.shortest_bounded(e, first_customer(e), X.resolve_targets(n, "type:Secret"), 6).select("node", "cost", "hops")
 )
 query("shortest_to_each", costs(START, 6) + " SELECT node, cost, hops FROM cost JOIN nodes ON node = node_id WHERE node_type = 'Secret'", True)(
     lambda n, e: T.shortest_to_each(e, first_customer(e), X.resolve_targets(n, "type:Secret"), 6).select("node", "cost", "hops")
@@ -160,8 +160,8 @@ query("explore_reachable", walk(START, 6) + ", dep AS (SELECT node, min(d) AS d
     lambda n, e: X.explore_reachable(e, first_customer(e), 6).select("edge_id", "layer")
 )
 query("explore_reaches", walk(GOAL, 6, False) + " SELECT edge_id FROM edges WHERE source IN (SELECT node FROM walk) AND target IN (SELECT node FROM walk)", True)(lambda n, e: X.explore_reaches(e, last_part(e), 6).select("edge_id"))
-query("explore_path", walk(START, 6) + f", back(node, d) AS (SELECT node_id, 0 FROM nodes WHERE node_type = 'ObjectStorage' UNION SELECT e.source, b.d + 1 FROM back b JOIN edges e ON e.target = b.node WHERE b.d < 6) SELECT edge_id FROM edges WHERE source IN (SELECT node FROM walk) AND target IN (SELECT node FROM back)", True)(
-    lambda n, e: X.explore_path(e, first_customer(e), X.resolve_targets(n, "type:ObjectStorage"), 6).select("edge_id")
+query("explore_path", walk(START, 6) + f", back(node, d) AS (SELECT node_id, 0 FROM nodes WHERE node_type = 'Secret' UNION SELECT e.source, b.d + 1 FROM back b JOIN edges e ON e.target = b.node WHERE b.d < 6) SELECT edge_id FROM edges WHERE source IN (SELECT node FROM walk) AND target IN (SELECT node FROM back)", True)(
+    lambda n, e: X.explore_path(e, first_customer(e), X.resolve_targets(n, "type:Secret"), 6).select("edge_id")
 )
 query("explore_preset", f", src AS (SELECT node_id FROM nodes WHERE node_type IN {PEOPLE} ORDER BY node_id LIMIT 400), way(start, node, d, c) AS (SELECT node_id, node_id, 0, 0.0::DOUBLE FROM src UNION SELECT w.start, e.target, w.d + 1, w.c + e.weight FROM way w JOIN edges e ON e.source = w.node WHERE w.d < 4), "
       "hit AS (SELECT start, node, min(c) AS cost FROM way JOIN nodes ON node = node_id WHERE node_type IN ('Secret', 'EncryptionKey') GROUP BY start, node) SELECT start, arg_min(node, (cost, node)) AS node, min(cost) AS cost FROM hit GROUP BY start", True)(

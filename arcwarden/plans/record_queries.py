@@ -62,11 +62,11 @@ query("fingerprint", "SELECT doc_id, 'sha256:' || substr(sha256('pepper' || text
 query("extract_path", "SELECT event_id, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")(lambda s, d: T.extract_path(read_table(s, d, "events").select("event_id", "props"), "props", "k / missing.x").select("event_id", "value"))
 
 
-@query("detect_sensitive", f"SELECT doc_id::VARCHAR AS resource_id, 'site-1' AS site_id, 0.99::DOUBLE AS confidence FROM documents WHERE {_MARKED}")
+@query("detect_sensitive", f"SELECT doc_id::VARCHAR AS resource_id, 'site-1' AS site_id, 0.75::DOUBLE AS confidence FROM documents UNION ALL SELECT doc_id::VARCHAR, 'site-1', 0.99 FROM documents WHERE {_MARKED}")
 def _detect(s, d):
     body = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("Value"), F.lit("plain words here").alias("Note"))).alias("Items")))
     responses = read_table(s, d, "documents").select(F.lit("get").alias("operation"), F.lit("doc").alias("resource_type"), F.col("doc_id").cast("string").alias("resource_id"), body.alias("body"))
-    sites = s.createDataFrame([("site-1", "get", "doc", "Items[].<any>", "doc.Items", "tag", "CanReadSecret", "high")], "site_id string, operation string, resource_type string, response_path string, location string, location_kind string, emits_hint string, severity string")
+    sites = s.createDataFrame([("site-1", "get", "doc", "Items[].<any>", "doc.Items", "secret_value", "CanReadSecret", "high")], "site_id string, operation string, resource_type string, response_path string, location string, location_kind string, emits_hint string, severity string")
     return T.detect_sensitive(responses, sites).select("resource_id", "site_id", "confidence").distinct()
 
 
