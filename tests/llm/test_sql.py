@@ -1,6 +1,7 @@
 """The numbered queries against their SQL, on a small scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from arcwarden.llm.queries import ORACLE_SQL, QUERIES
@@ -14,5 +15,5 @@ def test_query(spark, name):
     for t in ("documents", "pages", "conversations", "benchmark", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE_SQL[name]).fetchdf()
-    norm = lambda df: sorted(tuple("" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    norm = lambda df: sorted(tuple("" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and norm(got) == norm(want)
