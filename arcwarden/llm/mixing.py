@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcwarden.llm.common import n_words, positional, stored, table
+from arcwarden.llm.common import BROADCAST_ROWS, n_words, positional, stored, table
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,7 @@ def source_targets(sizes: DataFrame, config: MixConfig) -> DataFrame:
     return level.select("source", "source_size", F.round(target, TARGET_PLACES).alias("target"))
 
 
-def _cut(ranked: DataFrame, plan: DataFrame, config: MixConfig) -> DataFrame:
+def _cut(ranked: DataFrame, plan: DataFrame, n: int, config: MixConfig) -> DataFrame:
     """``(source, last)``: the rank up to which documents of a source fit into ``rest``, of ``ranked(source, rank, tie, size)``.
 
     ``rank`` is an integer of 52 bits. Each level sums sizes by bin of the rank, finds the bin in which the running total
@@ -78,14 +78,14 @@ def _cut(ranked: DataFrame, plan: DataFrame, config: MixConfig) -> DataFrame:
     state = plan.select("source", "rest", F.lit(0.0).alias("done"), F.lit(0).cast("long").alias("bin"))
     width = UNIT
     for level in range(config.levels):
-        inside = ranked if level == 0 else _same_source(ranked.withColumn("bin", F.floor(F.col("rank") / width)), state.select("source", "bin"), ["bin"])
+        inside = ranked if level == 0 else _same_source(ranked.withColumn("bin", F.floor(F.col("rank") / width)), state.select("source", "bin"), ["bin"], n)
         width //= config.bins
         sums = inside.groupBy("source", F.floor(F.col("rank") / width).alias("bin")).agg(F.sum("size").alias("words"))
         running = Window.partitionBy("source").orderBy("bin")
-        totals = _same_source(sums, state.drop("bin"), []).withColumn("upto", F.col("done") + F.sum("words").over(running))
+        totals = _same_source(sums, state.drop("bin"), [], n).withColumn("upto", F.col("done") + F.sum("words").over(running))
         over = totals.where(F.col("upto") > F.col("rest"))
         state = over.groupBy("source").agg(F.min(F.struct("bin", "rest", (F.col("upto") - F.col("words")).alias("done"))).alias("s")).select("source", "s.*")
-    inside = _same_source(ranked.withColumn("bin", F.floor(F.col("rank") / width)), state, ["bin"])
+    inside = _same_source(ranked.withColumn("bin", F.floor(F.col("rank") / width)), state, ["bin"], n)
     running = Window.partitionBy("source").orderBy("rank", "tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fits = inside.withColumn("upto", F.col("done") + F.sum("size").over(running))
     key = F.struct("rank", "tie", "size")
@@ -93,13 +93,17 @@ def _cut(ranked: DataFrame, plan: DataFrame, config: MixConfig) -> DataFrame:
     return cut
 
 
-def _same_source(left: DataFrame, right: DataFrame, also: list[str]) -> DataFrame:
-    """Join on the source, null included, and on the columns ``also``."""
+def _same_source(left: DataFrame, right: DataFrame, also: list[str], n: int) -> DataFrame:
+    """Join on the source, null included, and on the columns ``also``.
+
+    ``right`` has a row for each of ``n`` sources at most: up to the limit of broadcasts, documents stay where they are, and a
+    source with a third of them isn't dealt to one task.
+    """
     other = right.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in also], *[c for c in right.columns if c != "source" and c not in also])
     same = F.col("source").eqNullSafe(F.col("_source"))
     for c in also:
         same = same & (F.col(c) == F.col(f"_{c}"))
-    return left.join(other, same).drop("_source", *[f"_{c}" for c in also])
+    return left.join(F.broadcast(other) if n <= BROADCAST_ROWS else other, same).drop("_source", *[f"_{c}" for c in also])
 
 
 def plan_mix(sizes: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
@@ -110,13 +114,13 @@ def plan_mix(sizes: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """
     targets = source_targets(sizes, config)
     plan = stored(targets.withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size")), "targets")
-    ranked = ranked_sizes(sizes, config).where("size > 0")
-    cut = stored(_cut(ranked, plan, config), "cut")
-    placed = _same_source(_same_source(ranked, cut, []), plan.select("source", "rest"), [])
+    ranked, n = ranked_sizes(sizes, config).where("size > 0"), plan.count()
+    cut = stored(_cut(ranked, plan, n, config), "cut")
+    placed = _same_source(_same_source(ranked, cut, [], n), plan.select("source", "rest"), [], n)
     inside = placed.where(F.struct("rank", "tie", "size") < F.col("first_out"))
     gaps = cut.join(inside.groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("filled")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    gaps = _same_source(gaps, plan.select("source", "rest"), []).select("source", "first_out", (F.col("rest") - F.coalesce("filled", F.lit(0))).alias("gap"))
-    outside = _same_source(ranked, gaps, []).where((F.struct("rank", "tie", "size") >= F.col("first_out")) & (F.col("size") < 2 * F.col("gap")))
+    gaps = _same_source(gaps, plan.select("source", "rest"), [], n).select("source", "first_out", (F.col("rest") - F.coalesce("filled", F.lit(0))).alias("gap"))
+    outside = _same_source(ranked, gaps, [], n).where((F.struct("rank", "tie", "size") >= F.col("first_out")) & (F.col("size") < 2 * F.col("gap")))
     closing = outside.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "tie", "size")).alias("closing"))
     full = plan.drop("rest").join(cut.withColumnRenamed("source", "_c"), F.col("source").eqNullSafe(F.col("_c")), "left").drop("_c")
     full = full.join(closing.withColumnRenamed("source", "_c"), F.col("source").eqNullSafe(F.col("_c")), "left").drop("_c")
@@ -137,7 +141,7 @@ def ranked_sizes(sizes: DataFrame, config: MixConfig) -> DataFrame:
 
 def _with_copies(ranked: DataFrame, plan: DataFrame) -> DataFrame:
     """``copies`` of each ranked row: the whole copies, and one more for sampled and closing documents."""
-    joined = _same_source(ranked, plan, [])
+    joined = _same_source(ranked, plan, [], plan.count())
     key = F.struct("rank", "tie", "size")
     sampled = F.when(F.col("first_out").isNull(), (F.col("target") - F.col("base") * F.col("source_size")) > 0).otherwise(key < F.col("first_out"))
     closing = F.coalesce((F.col("closing.rank") == F.col("rank")) & (F.col("closing.tie") == F.col("tie")) & (F.col("closing.size") == F.col("size")), F.lit(False))
