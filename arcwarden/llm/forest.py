@@ -102,7 +102,9 @@ def _best(ids: np.ndarray, x: np.ndarray, near: np.ndarray, query_id: int, query
     near = near[ids[near] != query_id]
     rough = x[near] @ query
     if len(near) > 4 * k:
-        floor = np.partition(rough, len(rough) - 2 * k)[len(rough) - 2 * k]
+        heads = np.flatnonzero(np.diff(ids[near], prepend=ids[near[0]] - 1))  # ids are sorted: each id's best row stands for it
+        most = np.maximum.reduceat(rough, heads) if len(heads) < len(rough) else rough
+        floor = np.partition(most, max(0, len(most) - 2 * k))[max(0, len(most) - 2 * k)]
         near = near[rough >= floor - 1e-9 * max(1.0, abs(floor))]
     score = np.multiply(x[near], query).sum(axis=1)
     first = np.lexsort((ids[near], -score))
@@ -118,7 +120,7 @@ def nearest(rows: DataFrame, queries: DataFrame, config: ForestConfig = ForestCo
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows found for each query; both have ``vec_id`` and ``embedding``."""
     spark = rows.sparkSession
     small_batches(spark, 4096)
-    index = usable(rows)
+    index = usable(rows).dropDuplicates()
     asked = usable(queries).dropDuplicates(["vec_id"])
     n, length = index.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))).first()
     n_queries = asked.count()

@@ -250,6 +250,21 @@ def test_forest(spark):
     assert forest.nearest(frame.where("false"), frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("times", [3, 50])
+def test_forest_repeated_rows(spark, times):
+    """Repeated rows change nothing, and an id's differing rows leave room for the other ids."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(120, 16)).astype(np.float32)
+    one = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    found = lambda df: sorted(map(tuple, forest.nearest(df, one.where("vec_id % 10 = 0")).collect()))
+    want = found(one)
+    assert len(want) == 12 * 20 and found(one.selectExpr("vec_id", "embedding", f"explode(sequence(1, {times}))").drop("col")) == want
+    ids, x = np.repeat(np.arange(120), times), np.repeat(vectors.astype(float), times, axis=0) * np.tile(1 - 1e-6 * np.arange(times), 120)[:, None]
+    out = [[], [], []]
+    forest._best(ids, x, np.arange(len(ids)), 0, vectors[0].astype(float), 20, out)
+    assert len(set(out[1][0])) == 20
+
+
 def test_pipeline_against_brute_force(spark):
     """Stage by stage over a small table: what each stage keeps is what a plain version keeps."""
     import corpus_pipeline as c
