@@ -10,7 +10,8 @@ Scripts, styles, forms and other parts that never hold reading matter are left o
 decoded; white space inside a block becomes one space; blocks are joined in page order by one space.
 
 Edge cases: a null html is empty; a page without content has an empty text; an unfinished tag at the end is dropped; unclosed
-elements end where their parent does. Repeated rows and extra columns pass through; ``text`` and ``n_chars`` are replaced.
+elements, skipped ones too, end where their parent does, and a skipped one that the page never closes also before the next
+article or other section. Repeated rows and extra columns pass through; ``text`` and ``n_chars`` are replaced.
 """
 
 from __future__ import annotations
@@ -42,6 +43,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table tbody article section main div body aside nav header footer blockquote".split())
 
+#: Their start tags end a skipped element that has no end tag in the rest of the page.
+SECTIONS = frozenset("article main section nav aside header footer".split())
+
 NEGATIVE = frozenset("ad ads advert adverts advertisement advertising banner menu menus nav navbar navigation sidebar footer header masthead comment comments reply replies disqus cookie cookies consent notice notices alert promo promotion sponsor sponsored share sharing social related recommended subscribe newsletter signup login popup modal overlay breadcrumb breadcrumbs pagination pager widget toolbar copyright legal disclaimer skip".split())
 POSITIVE = frozenset("article content main post entry story body text".split())
 
@@ -91,8 +95,8 @@ def blocks(page: str, config: CutConfig) -> list[Block]:
     parts: list[str] = []
     link_chars = chars = n_elements = 0
     in_link = False
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # name, place, number
-    skip: list[str] = []
+    stack: list[tuple[str, float, int, bool]] = [("", 0.0, 0, False)]  # name, place, number, whether it is skipped
+    last_end: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal link_chars, chars
@@ -103,12 +107,18 @@ def blocks(page: str, config: CutConfig) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal link_chars, chars
-        if not skip and raw:
+        if not stack[-1][3] and raw:
             parts.append(htmllib.unescape(raw) if "&" in raw else raw)
             n = len(raw.strip())
             chars += n
             link_chars += n * in_link
 
+    def closes(name: str, at: int) -> bool:
+        """Whether an end tag of the name stands at or after a place."""
+        if name not in last_end:
+            last_end[name] = max((m.start() for m in re.finditer(rf"</{name}[\s/>]", page, re.I)), default=-1)
+        return last_end[name] >= at
+
     at, end = 0, len(page)
     while at < end:
         lt = page.find("<", at)
@@ -141,17 +151,16 @@ def blocks(page: str, config: CutConfig) -> list[Block]:
                 close = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
                 at = close.start() if close else end
             continue
-        if skip:
-            if name == skip[-1] and closing:
-                skip.pop()
-            elif name in SKIPPED and not closing and not attributes.endswith("/"):
-                skip.append(name)
-            elif name == "body" and not closing:
-                skip.clear()
-            continue
-        if name in SKIPPED and not closing and not attributes.endswith("/"):
-            flush()
-            skip.append(name)
+        own_end = attributes.endswith("/")
+        hidden = stack[-1][3]
+        if hidden and not closing:
+            first = next(k for k, e in enumerate(stack) if e[3])
+            if name == "body" or not closes(stack[first][0], at) and (name in SECTIONS or stack[first][0] == "head" and name not in VOID and name not in SKIPPED):
+                del stack[first:]
+                hidden = False
+            elif own_end or len(stack) >= 512:
+                continue
+        if hidden and name in INLINE:
             continue
         if name in INLINE:
             if name == "a":
@@ -160,10 +169,13 @@ def blocks(page: str, config: CutConfig) -> list[Block]:
                 parts.append(" ")
             continue
         flush()
-        in_link = False
+        skips = name in SKIPPED and not closing and not own_end
+        if not hidden and not skips:
+            in_link = False
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
+                    in_link = in_link and stack[k][3]  # an outer end tag ends links, that of a skipped element doesn't
                     del stack[k:]
                     break
                 if name in ENDS and stack[k][0] in SCOPES:
@@ -177,14 +189,13 @@ def blocks(page: str, config: CutConfig) -> list[Block]:
                 if stack[k][0] in ended:
                     del stack[k:]
                     break
-                if stack[k][0] in SCOPES:
+                if stack[k][0] in SCOPES or stack[k][3] and stack[k][0] in SKIPPED:
                     break
         n_elements += 1
-        stack.append((name, stack[-1][1] + _place(name, attributes, config), n_elements))
+        stack.append((name, stack[-1][1] + _place(name, attributes, config), n_elements, hidden or skips))
         if len(stack) > 512:  # deeper elements count as their ancestor
             del stack[256:511]
-    if not skip:
-        flush()
+    flush()
     return out
 
 

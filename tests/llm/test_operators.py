@@ -163,6 +163,20 @@ def test_html(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"] and sorted((r["page_id"], r["n_chars"]) for r in out.collect()) == [(1, len(want)), (2, 0), (2, 0)]
 
 
+ARTICLE = "<article><h1>Big news</h1><p>First part of the story, told at length, with commas and a full stop.</p><p>Second part, longer than the first one, goes on and on here.</p></article>"
+
+
+@pytest.mark.parametrize("name", sorted(htmltext.SKIPPED - {"head"}))
+def test_html_after_unclosed_skipped(name):
+    want = htmltext.main_text(ARTICLE)
+    assert want.startswith("Big news First part") and want.endswith("on here.")
+    for before in (f"<div><{name}><b>Junk, that is long enough to look like a sentence of some story.</b></div>", f"<{name}><b>Junk of some words.</b>", f"<div><{name}><select><option>One</{name}></div>", f"<div><{name}><p>Junk</{name}></div>", f"<p>Short<{name}><p>Junk<p>Junk</{name}></p>"):
+        assert htmltext.main_text(f"<html><body>{before}{ARTICLE}</body></html>") == want or "<p>Short" in before and htmltext.main_text(f"<body>{before}{ARTICLE}") in (want, f"Short {want}"), before
+    closed = f"<body><{name}><article><p>Inside, told at length, with commas and a full stop, it is left out as before.</p></article></{name}>{ARTICLE}</body>"
+    assert htmltext.main_text(closed) == want
+    assert htmltext.main_text(f"<head><title>x</title><meta charset=a>{ARTICLE}") == want
+
+
 def test_min_cut_is_least():
     rng = np.random.default_rng(4)
     for _ in range(60):
