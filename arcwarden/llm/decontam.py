@@ -1,23 +1,28 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts become lower-case words (letters and digits; all else separates). A fixed mask selects some positions of a short
+Texts become lower-case words (letters and digits; all else separates; in scripts without spaces each letter is a word). A fixed mask selects some positions of a short
 stretch of words, and the selected words are hashed; a stretch that differs from a benchmark's only at ignored positions has
 the same hash. Hashes of documents and benchmark items are joined; every hit names a diagonal (position in the document
 minus position in the item), on which the words are compared one by one: a document is contaminated by an item if some
 window of ``window`` words on the diagonal (the whole item, if that is shorter) agrees in at least ``agree`` of its words.
-The three masks together hit every window of 13 words with at most two substitutions.
+The three masks together hit every window of 13 words with at most two substitutions. An item shorter than the window has
+masks of its length: cut into two groups of words more than it may have substitutions, the masks leave out as many groups as
+there may be substitutions, in every way, so that one of them meets no substitution.
 
 The benchmark's hashes, sorted, with a table of their leading bits before them, keep a document's other hashes from the join;
 this filter is left out beyond ``filter_keys`` hashes, and the join does all. Documents pass in segments of bounded length, so no row holds a whole text.
 
-Edge cases: null and empty texts hit nothing. Items of fewer than ``min_words`` words find nothing, those shorter than the
-masks must be found word by word. A row without a ``doc_id`` is never reported, and stays. Repeated rows are reported once.
+Edge cases: null and empty texts hit nothing. Items of fewer than ``min_words`` words find only documents that have
+the same words and no more; items without a word find nothing. A row without a ``doc_id`` is never reported, and stays. Repeated rows are reported once.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +46,36 @@ class SeedConfig:
 _SEPARATE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
+#: Beyond ASCII, what is neither letter nor digit.
+_ODD = re.compile(r"[^\w\x00-\x7f]+")
+#: Letters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+
+
 def words(text: str | None) -> np.ndarray:
     """64-bit ids of a text's lower-case words."""
-    return WORD_IDS.ids((text or "").lower().encode("utf-8", "replace").translate(_SEPARATE).split())
+    low = (text or "").lower()
+    if not low.isascii():
+        low = _UNSPACED.sub(r" \1 ", _ODD.sub(" ", low))
+    return WORD_IDS.ids(low.encode("utf-8", "replace").translate(_SEPARATE).split())
+
+
+def short_masks(n: int, config: SeedConfig) -> tuple[tuple[int, ...], ...]:
+    """Masks over an item of ``n`` words, one of which meets none of the substitutions that ``agree`` grants, wherever they are."""
+    granted = n - math.ceil(config.agree * n - 1e-9)
+    groups = [g.tolist() for g in np.array_split(np.arange(n), min(n, granted + 2))]
+    return tuple(tuple(k for g in kept for k in g) for kept in combinations(groups, len(groups) - granted))
 
 
 def masks_for(lengths: set[int], config: SeedConfig) -> tuple[tuple[int, ...], ...]:
-    """The fixed masks, and a plain one for each item length below their span."""
-    span = max(m[-1] for m in config.masks) + 1
-    return (*config.masks, *[tuple(range(n)) for n in sorted(lengths) if config.min_words <= n < span])
+    """The fixed masks, and those of each item length below the window."""
+    return tuple(dict.fromkeys([*config.masks, *[m for n in sorted(lengths) if config.min_words <= n < config.window for m in short_masks(n, config)]]))
+
+
+def whole_key(ids: np.ndarray, config: SeedConfig) -> np.ndarray:
+    """One hash of a text of fewer than ``min_words`` words, unlike that of any mask; none of other texts."""
+    n = len(ids)
+    return mix64(seed_keys(ids, tuple(range(n)), config) ^ np.uint64(n)) if 0 < n < config.min_words else np.zeros(0, np.uint64)
 
 
 def seed_keys(ids: np.ndarray, mask: tuple[int, ...], config: SeedConfig) -> np.ndarray:
@@ -79,7 +105,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, config: SeedConfig
 
 
 def benchmark_items(benchmark: DataFrame, config: SeedConfig) -> DataFrame:
-    """``(item_id, tokens)`` of the items with enough words."""
+    """``(item_id, tokens)`` of the items with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,23 +113,27 @@ def benchmark_items(benchmark: DataFrame, config: SeedConfig) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64()))], ["item_id", "tokens"])
 
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return items.mapInArrow(run, "item_id long, tokens array<long>").where(F.size("tokens") >= config.min_words).dropDuplicates()
+    return items.mapInArrow(run, "item_id long, tokens array<long>").where(F.size("tokens") > 0).dropDuplicates()
 
 
-def _seeds(items: DataFrame, masks: tuple[tuple[int, ...], ...], config: SeedConfig) -> DataFrame:
-    """``(key, item_id, at)`` of every mask at every position of every item; plain masks only for items of their length."""
+def _seeds(items: DataFrame, config: SeedConfig) -> DataFrame:
+    """``(key, item_id, at)`` of every fixed mask at every position of every item; of items shorter than the window, of their own masks and place 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, ids, ats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for item, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.array(tokens.values, np.int64).view(np.uint64)
-                for mask in masks:
-                    if mask in config.masks or len(mask) == len(own):
-                        found = seed_keys(own, mask, config)
-                        keys.append(found.view(np.int64))
-                        ids.append(np.full(len(found), item, np.int64))
-                        ats.append(np.arange(len(found), dtype=np.int32))
+                if len(own) < config.min_words:
+                    each = [whole_key(own, config)]
+                elif len(own) < config.window:
+                    each = [seed_keys(own, mask, config)[:1] for mask in short_masks(len(own), config)]
+                else:
+                    each = [seed_keys(own, mask, config) for mask in config.masks]
+                for found in each:
+                    keys.append(found.view(np.int64))
+                    ids.append(np.full(len(found), item, np.int64))
+                    ats.append(np.arange(len(found), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, ats)], ["key", "item_id", "at"])
 
     return items.mapInArrow(run, "key long, item_id long, at int")
@@ -140,8 +170,7 @@ def _segments(docs: DataFrame, masks: tuple[tuple[int, ...], ...], known: tuple[
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = words(text.as_py())
                 places, keys = [], []
-                for mask in masks:
-                    found = seed_keys(ids, mask, config)
+                for found in (*(seed_keys(ids, mask, config) for mask in masks), whole_key(ids, config)):
                     at = matches(found, filtered)
                     places.append(at)
                     keys.append(found[at])
@@ -166,9 +195,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = S
     spark = docs.sparkSession
     small_batches(spark)
     items = stored(benchmark_items(benchmark, config), "items")
-    lengths = {r[0] for r in items.select(F.size("tokens")).where(F.size("tokens") <= config.window).distinct().collect()}
+    lengths = {r[0] for r in items.select(F.size("tokens")).where(F.size("tokens") < config.window).distinct().collect()}
     masks = masks_for(lengths, config)
-    seeds = stored(_seeds(items, masks, config), "seeds")
+    seeds = stored(_seeds(items, config), "seeds")
     n = seeds.count()
     known = None
     if n <= config.filter_keys:

@@ -129,6 +129,26 @@ def test_masks_hit_all_double_substitutions():
             assert any((decontam.seed_keys(ids, m, config) == decontam.seed_keys(other, m, config)).any() for m in config.masks)
 
 
+def test_decontamination_of_short_items(spark):
+    """Every placement of the substitutions that an item of 5 to 12 words may have, and one more, against brute force."""
+    from itertools import combinations
+
+    rows, want, items = [], set(), []
+    for n in range(5, 13):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for subs in range(n // 5 + 2):
+            for at in combinations(range(n), subs):
+                rows.append((len(rows) + 1, "some words " + " ".join("other" if k in at else w for k, w in enumerate(item)) + " go on"))
+                if subs <= n // 5:
+                    want.add((len(rows), n))
+    rows += [(9001, "Yes: forty–two!"), (9002, "yes forty two more"), (9003, "那只敏捷的棕色狐狸跳过了懒狗然后回家"), (9004, "前言。敏捷的棕色狐狸跳过了懒猫，然后"), (9005, "so “alpha—beta\u2003gamma” delta…epsilon zeta"), (9006, "Yes")]
+    items += [(101, "Yes, forty two."), (102, "敏捷的棕色狐狸跳过了懒狗"), (103, "alpha beta gamma delta epsilon zeta"), (104, "..."), (105, "yes")]
+    want |= {(9001, 101), (9003, 102), (9004, 102), (9005, 103), (9006, 105)}
+    found = decontam.contaminations(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+
+
 def test_mixing(spark):
     rows = [(k, "w " * (1 + k % 7), None, f"s{k % 3}") for k in range(90)] + [(900, None, None, "s0"), (901, "w " * 5, None, None), (902, "", None, "empty"), (5, "w " * 6, None, "s2"), (None, "w w", None, "s1")]
     out = mixing.mix_sources(docs(spark, rows)).collect()
