@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
@@ -63,6 +65,20 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCA
     return F.broadcast(df) if n <= limit else df
 
 
+def global_row_number(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """``df`` with its rows numbered from 1 in the order given: numbers within range partitions, plus the rows before each.
+
+    What the driver gets is one count for each partition.
+    """
+    parts = stored(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before, start = [], 0
+    for part, n in sorted(map(tuple, parts.groupBy("_part").count().collect())):
+        before += [F.lit(part), F.lit(start).cast("long")]
+        start += n
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return parts.withColumn(name, own + F.create_map(*before)[F.col("_part")] if before else own).drop("_part")
+
+
 def n_words(text: Column | str) -> Column:
     """Number of runs of characters other than space and ``\\t`` to ``\\r``; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")

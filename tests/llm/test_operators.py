@@ -149,23 +149,101 @@ def test_decontamination_of_short_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == want
 
 
-def test_mixing(spark):
-    rows = [(k, "w " * (1 + k % 7), None, f"s{k % 3}") for k in range(90)] + [(900, None, None, "s0"), (901, "w " * 5, None, None), (902, "", None, "empty"), (5, "w " * 6, None, "s2"), (None, "w w", None, "s1")]
-    out = mixing.mix_sources(docs(spark, rows)).collect()
-    total = sum(r["size"] for r in out)
+def mix_brute(rows, config=mixing.MixConfig()):
+    """Taken words by a plain walk over (id, size, source) rows, as {source: [taken of each row, sorted]}; targets by filling up step by step."""
+    import hashlib
+    import math
+    from collections import defaultdict
+
+    by = defaultdict(list)
+    for k, n, s in rows:
+        by[s].append((k, n))
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: config.weights[i % 3] for i, s in enumerate(order)}
+    size = {s: sum(n for _, n in by[s]) for s in by}
+    total, capped = sum(size.values()), set()
+    while True:
+        open_ = [s for s in by if s not in capped]
+        level = (total - 3 * sum(size[s] for s in capped)) / sum(weight[s] for s in open_) if open_ else 0
+        more = {s for s in open_ if level * weight[s] >= 3 * size[s]}
+        if not more:
+            break
+        capped |= more
+    out = {}
+    for s, docs_ in by.items():
+        target = round(float(3 * size[s]) if s in capped else level * weight[s], 4)
+        base = math.floor(target / size[s]) if size[s] else 0
+        gap = target - base * size[s]
+        u = lambda k: (int(hashlib.sha256(f"mix:{'' if k is None else k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        ranked = sorted((u(k) / (1 - u(k)) / math.sqrt(max(n, 1)), i) for i, (k, n) in enumerate(docs_) if n)
+        taken = set()
+        for step in range(2):
+            room = gap
+            for _, i in ranked:
+                if i not in taken and (step == 0 or docs_[i][1] <= room):
+                    if docs_[i][1] > gap:
+                        break
+                    taken.add(i)
+                    gap -= docs_[i][1]
+        rest = [(abs(docs_[i][1] - gap), r, i) for r, i in ranked if i not in taken and docs_[i][1] < 2 * gap]
+        taken |= {min(rest)[2]} if rest else set()
+        out[s] = (target, sorted(n * (base + (i in taken)) for i, (_, n) in enumerate(docs_)))
+    return out
+
+
+MIX_ROWS = [(k, "w " * (1 + k % 7), None, f"s{k % 3}") for k in range(90)] + [(900, None, None, "s0"), (901, "w " * 5, None, None), (902, "", None, "empty"), (5, "w " * 6, None, "s2"), (None, "w w", None, "s1"), (77, "w " * 400, None, "s2")]
+
+
+@pytest.mark.parametrize("rank_rows", [3, 50_000])
+def test_mixing(spark, rank_rows):
+    config, rows = mixing.MixConfig(rank_rows=rank_rows), MIX_ROWS
+    out = mixing.mix_sources(docs(spark, rows), config).collect()
     by = {}
     for r in out:
         by.setdefault(r["source"], []).append(r)
         assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
-    assert sum(v[0]["target"] for v in by.values()) == pytest.approx(total, abs=0.01) and by["empty"][0]["target"] == 0 and by[None][0]["target"] <= 15
-    for v in by.values():
-        assert abs(sum(r["taken"] for r in v) - v[0]["target"]) <= 3.5 and v[0]["target"] <= 3 * v[0]["source_size"]
-    again = mixing.mix_sources(docs(spark, rows[::-1])).collect()
+    assert sum(v[0]["target"] for v in by.values()) == pytest.approx(sum(r["size"] for r in out), abs=0.01) and by["empty"][0]["target"] == 0 and by[None][0]["target"] <= 15
+    want = mix_brute([(k, len((t or "").split()), s) for k, t, _, s in rows])
+    assert {s: (v[0]["target"], sorted(r["taken"] for r in v)) for s, v in by.items()} == {s: (pytest.approx(t), w) for s, (t, w) in want.items()}
+    again = mixing.mix_sources(docs(spark, rows[::-1]), config).collect()
     assert sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in out) == sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in again)
     assert mixing.mix_sources(docs(spark, [])).count() == 0
     assert mixing.draw_mix(docs(spark, rows)).count() == sum(r["copies"] for r in out)
 
 
+def test_mixing_of_equal_rows(spark):
+    """Rows without an id, and repeated rows, are cut one by one, down to the hash of the row."""
+    rows = [(None, "w " * 10, None, "a")] * 300 + [(7, "w " * 10, None, "b")] * 300 + [(k, "w " * 10, None, "c") for k in range(200)]
+    out = mixing.mix_sources(docs(spark, rows), mixing.MixConfig(rank_rows=5)).groupBy("source", "target").agg({"taken": "sum"}).collect()
+    assert len(out) == 3 and all(abs(r["target"] - r["sum(taken)"]) <= 5 for r in out)
+
+
+def test_mixing_inclusion_frequencies(spark):
+    """Over many seeds, documents are taken about as often as their design probabilities say."""
+    sizes = [1 + 3 * k for k in range(40)]
+    frame = spark.createDataFrame([(k, "x", n) for k, n in enumerate(sizes)], "doc_id long, source string, size long")
+    seen, rest = np.zeros(40), sum(sizes) / 2
+    for seed in range(60):  # one column of ranks for each seed
+        frame = mixing.ranked_sizes(frame, mixing.MixConfig(seed=f"seed{seed}")).withColumnRenamed("rank", f"r{seed}")
+    rows = frame.where("source = 'x'").collect()
+    for seed in range(60):
+        left = rest
+        for r in sorted(rows, key=lambda r: r[f"r{seed}"]):  # noqa: B023
+            if r["size"] > left:
+                break
+            left -= r["size"]
+            seen[r["doc_id"]] += 1 / 60
+    want = np.array(mixing.inclusion_probabilities(sizes, [n**0.5 for n in sizes], rest))
+    assert abs(np.dot(want, sizes) - rest) < 0.01 and abs(seen - want).mean() < 0.08 and np.corrcoef(seen, want)[0, 1] > 0.6
+    assert seen[20:].mean() - seen[:20].mean() > 0.5 * (want[20:].mean() - want[:20].mean()) > 0.05
+
+
+def test_mix_keeps_clashing_columns(spark):
+    frame = docs(spark, MIX_ROWS).selectExpr("doc_id", "text", "source", "'mine' as copies", "'own' as copy", "'s' as size", "1 as row", "2 as rank")
+    out = mixing.draw_mix(frame)
+    assert out.columns == [*frame.columns, "copies_", "copy_"] and {(r["copies"], r["copy"], r["size"], r["row"], r["rank"]) for r in out.collect()} == {("mine", "own", "s", 1, 2)}
+
+
 PAGE = """<!doctype html><html><head><title>No</title><style>p{}</style></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=/a>Menu one</a><li><a href=/b>Menu two</a></ul></nav>
 <div class="cookie-notice">We use cookies. Accept them all now, please, to go on.</div><article><h1>Big&nbsp;news &amp; more</h1><p>First   part of
 the <b>story</b>, told at length, with commas and a full stop.<p>Second part, longer than the first one, goes on &lt;here&gt;.<br>And there.</article>
