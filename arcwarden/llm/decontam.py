@@ -9,17 +9,22 @@ The three masks together hit every window of 13 words with at most two substitut
 masks of its length: cut into two groups of words more than it may have substitutions, the masks leave out as many groups as
 there may be substitutions, in every way, so that one of them meets no substitution.
 
-The benchmark's hashes, sorted, with a table of their leading bits before them, keep a document's other hashes from the join;
-this filter is left out beyond ``filter_keys`` hashes, and the join does all. Documents pass in segments of bounded length, so no row holds a whole text.
+A Bloom filter of the benchmark's hashes keeps nearly all other hashes of documents from the join. It is made by grouped
+aggregation, has at most ``2 ** filter_bits`` bits however large the benchmark is, and only lets more pass as it fills: every
+hash that passes goes on to the join. Documents are hashed many at a time, very long ones in pieces, and pass on in segments
+of bounded length, so no row holds a whole text.
 
-Edge cases: null and empty texts hit nothing. Items of fewer than ``min_words`` words find only documents that have
+Edge cases: null and empty texts hit nothing; an empty table on either side gives an empty result. Columns other than the id
+and the text aren't looked at, and stay as they are in ``drop_contaminated``. Items of fewer than ``min_words`` words find only documents that have
 the same words and no more; items without a word find nothing. A row without a ``doc_id`` is never reported, and stays. Repeated rows are reported once.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -32,6 +37,10 @@ from pyspark.sql import functions as F
 from arcwarden.llm.common import WORD_IDS, maybe_broadcast, mix64, small_batches, stored, table, without_ids
 
 
+#: Benchmark texts of at most so many bytes of word ids are broadcast for the comparison.
+ITEM_BYTES = 32 << 20
+
+
 @dataclass(frozen=True)
 class SeedConfig:
     masks: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 5, 6, 8), (0, 1, 2, 4, 7, 8, 9), (0, 3, 4, 5, 7, 8, 9))
@@ -39,25 +48,59 @@ class SeedConfig:
     agree: float = 0.8
     min_words: int = 5
     segment: int = 256
-    filter_keys: int = 2_000_000
+    #: Bits of the filter: so many for each benchmark hash, and at most two to this power; and how many a hash has set.
+    filter_share: int = 64
+    filter_bits: int = 29
+    probes: int = 4
+    #: Bytes of words that are hashed at once, which bounds memory on very long texts.
+    chunk: int = 4 << 20
     seed: int = 3
 
 
+#: Stands between two texts that are hashed together; separates words as any other control character does.
+BREAK = b"\x01"
 _SEPARATE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-
-
-#: Beyond ASCII, what is neither letter nor digit.
-_ODD = re.compile(r"[^\w\x00-\x7f]+")
 #: Letters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
 _UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 
 
-def words(text: str | None) -> np.ndarray:
-    """64-bit ids of a text's lower-case words."""
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For each code point: 1 what is beyond ASCII and neither letter nor digit, 2 a letter of a script without spaces, 0 all else."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(128, 0x110000):
+        out[c] = 0 if (s := chr(c)).isalnum() or s == "_" else 1
+        if c >= 0xE00 and not 0xD800 <= c < 0xE000 and _UNSPACED.match(s):
+            out[c] = 2
+    return out
+
+
+def separated(text: str | None) -> bytes:
+    """A text's lower-case words in UTF-8 with white space between."""
     low = (text or "").lower()
     if not low.isascii():
-        low = _UNSPACED.sub(r" \1 ", _ODD.sub(" ", low))
-    return WORD_IDS.ids(low.encode("utf-8", "replace").translate(_SEPARATE).split())
+        points = np.frombuffer(low.encode("utf-32-le", "replace"), "<u4")
+        kinds = _kinds()[points]
+        if kinds.any():
+            low = np.where(kinds == 1, np.uint32(32), points).tobytes().decode("utf-32-le")
+            low = _UNSPACED.sub(r" \1 ", low) if (kinds == 2).any() else low
+    return low.encode("utf-8", "replace").translate(_SEPARATE)
+
+
+def ids_of(data: bytes, chunk: int = SeedConfig.chunk) -> np.ndarray:
+    """64-bit ids of the words in ``data``, piece by piece."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.find(b" ", at + chunk) if at + chunk < len(data) else -1
+        end = len(data) if end < 0 else end
+        out.append(WORD_IDS.ids(data[at:end].split()))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def words(text: str | None) -> np.ndarray:
+    """64-bit ids of a text's lower-case words."""
+    return ids_of(separated(text))
 
 
 def short_masks(n: int, config: SeedConfig) -> tuple[tuple[int, ...], ...]:
@@ -78,16 +121,34 @@ def whole_key(ids: np.ndarray, config: SeedConfig) -> np.ndarray:
     return mix64(seed_keys(ids, tuple(range(n)), config) ^ np.uint64(n)) if 0 < n < config.min_words else np.zeros(0, np.uint64)
 
 
+@functools.cache
+def _factors(seed: int) -> np.ndarray:
+    """An odd factor for each position of a mask."""
+    return np.random.default_rng(seed).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mask_keys(ids: np.ndarray, masks: tuple[tuple[int, ...], ...], config: SeedConfig) -> list[np.ndarray]:
+    """For each mask its hash at each position at which it fits; products of words and factors are shared by the masks."""
+    products: dict[int, np.ndarray] = {}
+    out = []
+    for mask in masks:
+        n = len(ids) - mask[-1]
+        if n <= 0:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        salt = np.uint64(zlib.crc32(repr(mask).encode()))
+        total = None
+        for at in mask:
+            if at not in products:
+                products[at] = ids * _factors(config.seed)[at]
+            total = products[at][at : at + n] + salt if total is None else np.add(total, products[at][at : at + n], out=total)
+        out.append(total)
+    return out
+
+
 def seed_keys(ids: np.ndarray, mask: tuple[int, ...], config: SeedConfig) -> np.ndarray:
-    """Hash of the mask at each position of a text at which it fits."""
-    n = len(ids) - mask[-1]
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    odd = np.random.default_rng([config.seed, *mask]).integers(0, 1 << 63, len(mask), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    total = np.full(n, odd.sum(), np.uint64)
-    for at, factor in zip(mask, odd, strict=True):
-        total = total + ids[at : at + n] * factor
-    return mix64(total)
+    """Hash of one mask at each position of a text at which it fits."""
+    return mask_keys(ids, (mask,), config)[0]
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, config: SeedConfig) -> tuple[int, int, int] | None:
@@ -139,55 +200,94 @@ def _seeds(items: DataFrame, config: SeedConfig) -> DataFrame:
     return items.mapInArrow(run, "key long, item_id long, at int")
 
 
-def key_filter(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted keys, whether a leading part of a key occurs among them, and the shift to that part."""
-    size = min(26, max(16, (32 * len(keys)).bit_length()))
-    heads = np.zeros(1 << size, np.bool_)
-    heads[keys >> np.uint64(64 - size)] = True
-    return np.sort(keys), heads, 64 - size
+def _probes(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The bit of the filter that the ``k``-th probe of each key looks at."""
+    return (keys if k == 0 else mix64(keys + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - bits)
 
 
-def matches(found: np.ndarray, known: tuple[np.ndarray, np.ndarray, int] | None) -> np.ndarray:
-    """Places of ``found`` whose key is known; all without a filter."""
-    if known is None:
-        return np.arange(len(found))
-    keys, heads, shift = known
-    at = np.flatnonzero(heads[found >> np.uint64(shift)])
-    return at[keys[np.minimum(np.searchsorted(keys, found[at]), len(keys) - 1)] == found[at]] if len(keys) else at[:0]
+def key_filter(seeds: DataFrame, n: int, config: SeedConfig) -> np.ndarray:
+    """A Bloom filter of the keys as bits, 64 to a number; made of grouped parts of at most ``2 ** filter_bits`` bits in all."""
+    bits = min(config.filter_bits, max(6, (config.filter_share * max(1, n)).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([_probes(keys, bits, k) for k in range(config.probes)]))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["place", "bits"])
 
+    parts = seeds.select("key").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[parts.column("place").to_numpy()] = parts.column("bits").to_numpy()
+    return out.view(np.uint64)
 
-def _segments(docs: DataFrame, masks: tuple[tuple[int, ...], ...], known: tuple[np.ndarray, np.ndarray, int] | None, config: SeedConfig) -> DataFrame:
+
+def matches(found: np.ndarray, known: np.ndarray, config: SeedConfig) -> np.ndarray:
+    """Places of ``found`` whose key the filter lets pass."""
+    bits, at = len(known).bit_length() + 5, np.arange(len(found))
+    for k in range(config.probes):
+        probe = _probes(found if k == 0 else found[at], bits, k)
+        at = at[(known[probe >> np.uint64(6)] >> (probe & np.uint64(63)) & np.uint64(1)).astype(np.bool_)]
+    return at
+
+
+def _segments(docs: DataFrame, masks: tuple[tuple[int, ...], ...], known: np.ndarray, config: SeedConfig) -> DataFrame:
     """Stretches of documents with a hit: words with enough context on both sides, and the hits."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
     context, span = config.window - 1, max(m[-1] for m in masks) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hits(ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and keys of the masks that lie in one text and pass the filter."""
+        places, keys = [], []
+        for mask, found in zip(masks, mask_keys(ids, masks, config), strict=True):
+            at = matches(found, shared.value, config)
+            at = at[owner[at] == owner[at + mask[-1]]]
+            places.append(at)
+            keys.append(found[at])
+        return np.concatenate(places), np.concatenate(keys)
+
+    def rows(doc: int, ids: np.ndarray, place: np.ndarray, key: np.ndarray) -> Iterator[tuple]:
         import xxhash
 
-        filtered = shared.value
+        for k in np.unique(place // config.segment).tolist():
+            own = place // config.segment == k
+            start = max(0, k * config.segment - context)
+            stretch = ids[start : (k + 1) * config.segment + span + context]
+            row = (xxhash.xxh3_64_intdigest(stretch.tobytes(), doc & (1 << 64) - 1) ^ start) - (1 << 63)
+            yield row, doc, start, stretch.view(np.int64), (place[own] - start).astype(np.int32), key[own].view(np.int64)
+
+    def together(group: list[tuple[int, bytes]]) -> Iterator[tuple]:
+        """Rows of some texts that are hashed as one, with a break between."""
+        ids = ids_of((b" " + BREAK + b" ").join(data for _, data in group), config.chunk)
+        breaks = ids == WORD_IDS[BREAK]
+        owner, bounds = np.cumsum(breaks), np.concatenate(([-1], np.flatnonzero(breaks), [len(ids)]))
+        place, key = hits(ids, owner)
+        found = owner[place]
+        short = np.flatnonzero(np.diff(bounds) <= config.min_words)
+        for k in np.union1d(found, short).tolist():
+            own, start = ids[bounds[k] + 1 : bounds[k + 1]], bounds[k] + 1
+            of = found == k
+            at, keys = place[of] - start, key[of]
+            whole = whole_key(own, config)
+            pass_ = matches(whole, shared.value, config)
+            at, keys = np.concatenate([at, pass_]), np.concatenate([keys, whole[pass_]])
+            inside = at >= 0  # a mask that begins at the break itself belongs to no text
+            yield from rows(group[k][0], own, at[inside], keys[inside])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            group, size, left = [], 0, batch.num_rows
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words(text.as_py())
-                places, keys = [], []
-                for found in (*(seed_keys(ids, mask, config) for mask in masks), whole_key(ids, config)):
-                    at = matches(found, filtered)
-                    places.append(at)
-                    keys.append(found[at])
-                place, key = np.concatenate(places), np.concatenate(keys)
-                for k in np.unique(place // config.segment):
-                    own = place // config.segment == k
-                    start = max(0, int(k) * config.segment - context)
-                    stretch = ids[start : (int(k) + 1) * config.segment + span + context]
-                    row = (xxhash.xxh3_64_intdigest(stretch.tobytes(), doc & (1 << 64) - 1) ^ start) - (1 << 63)
-                    for column, value in zip(out, (row, doc, start, stretch.view(np.int64), (place[own] - start).astype(np.int32), key[own].view(np.int64)), strict=True):
-                        column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], ["seg", "doc_id", "start", "tokens", "places", "keys"])
+                group.append((doc, separated(text.as_py())))
+                size, left = size + len(group[-1][1]), left - 1
+                if size > config.chunk or not left:
+                    out = list(zip(*together(group), strict=True)) or [[]] * len(types)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], ["seg", "doc_id", "start", "tokens", "places", "keys"])
+                    group, size = [], 0
 
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "seg long, doc_id long, start int, tokens array<long>, places array<int>, keys array<long>")
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    return texts.mapInArrow(run, "seg long, doc_id long, start int, tokens array<long>, places array<int>, keys array<long>")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = SeedConfig()) -> DataFrame:
@@ -199,13 +299,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, config: SeedConfig = S
     masks = masks_for(lengths, config)
     seeds = stored(_seeds(items, config), "seeds")
     n = seeds.count()
-    known = None
-    if n <= config.filter_keys:
-        known = key_filter(np.array([r[0] for r in seeds.select("key").distinct().toLocalIterator()], np.int64).view(np.uint64))
-    segments = stored(_segments(docs, masks, known, config), "segments").dropDuplicates(["seg"])
-    hits = segments.select("seg", F.explode(F.arrays_zip("places", "keys")).alias("h")).select("seg", "h.places", F.col("h.keys").alias("key"))
-    diagonals = hits.join(maybe_broadcast(seeds, n), "key").select("seg", "item_id", (F.col("places") - F.col("at")).alias("diagonal")).distinct()
-    pairs = diagonals.join(segments.select("seg", "doc_id", "start", "tokens"), "seg").join(maybe_broadcast(items.withColumnRenamed("tokens", "item"), limit=100_000), "item_id")
+    item_bytes = items.agg(F.coalesce(F.sum(8 * F.size("tokens") + 16), F.lit(0))).first()[0]
+    segment = ["doc_id", "start", "seg"]
+    segments = stored(_segments(docs, masks, key_filter(seeds, n, config), config), "segments").dropDuplicates(segment)
+    hits = segments.select(*segment, F.explode(F.arrays_zip("places", "keys")).alias("h")).select(*segment, "h.places", F.col("h.keys").alias("key"))
+    diagonals = hits.join(maybe_broadcast(seeds, n), "key").select(*segment, "item_id", (F.col("places") - F.col("at")).alias("diagonal")).distinct()
+    pairs = diagonals.join(segments.select(*segment, "tokens"), segment).join(maybe_broadcast(items.withColumnRenamed("tokens", "item"), item_bytes, ITEM_BYTES), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -101,9 +101,24 @@ def test_densified_sketches_estimate():
     assert max(map(abs, off)) < 0.2
 
 
-def brute_leak(text, item, config=decontam.SeedConfig()):
-    d, i = decontam.words(text), decontam.words(item)
-    return len(i) >= config.min_words and any(decontam.overlap(d, i, k, config) for k in range(-len(i), len(d)))
+def plain_words(text):
+    """Lower-case words, by a pattern of its own."""
+    import regex
+
+    return regex.findall(r"[\p{Thai}\p{Lao}\p{Tibetan}\p{Myanmar}\p{Khmer}\p{Hiragana}\p{Katakana}\p{Han}]|(?:(?![\p{Thai}\p{Lao}\p{Tibetan}\p{Myanmar}\p{Khmer}\p{Hiragana}\p{Katakana}\p{Han}])[\p{L}\p{N}])+", (text or "").lower())
+
+
+def brute_leak(text, item, window=13, percent=80):
+    """Whether some window of the item, laid word on word over some stretch of the text, agrees in enough words."""
+    d, i = plain_words(text), plain_words(item)
+    if len(i) < 5:
+        return bool(i) and d == i
+    width = min(window, len(i))
+    for s in range(len(i) - width + 1):
+        for t in range(len(d) - width + 1):
+            if 100 * sum(a == b for a, b in zip(i[s : s + width], d[t : t + width], strict=True)) >= percent * width:
+                return True
+    return False
 
 
 def test_decontamination(spark):
@@ -112,7 +127,7 @@ def test_decontamination(spark):
     rows = [(1, f"intro, {item.upper()}! end"), (2, f"x y z {swap(5, 13)} end"), (3, " ".join(WORDS[:8]) + " and more"), (4, None), (5, ""), (None, item), (6, swap(*range(0, 20, 3))), (7, "tiny item text of six"), (8, "short " * 400 + item), (9, " ".join(WORDS[3:17]))]
     bench = spark.createDataFrame([(1, item), (2, "tiny item text of six"), (3, "a b"), (4, None), (None, item)], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminations(docs(spark, rows), bench).collect()}
-    want = {(k, i) for k, t, *_ in rows if k for i, x in ((1, item), (2, "tiny item text of six")) if t and brute_leak(t, x)}
+    want = {(k, i) for k, t, *_ in rows if k for i, x in ((1, item), (2, "tiny item text of six"), (3, "a b")) if t and brute_leak(t, x)}
     assert found == want and {(1, 1), (2, 1), (8, 1), (7, 2), (9, 1)} <= found and not {k for k, _ in found} & {3, 6}
     assert decontam.contaminations(docs(spark, []), bench).count() == 0 and decontam.contaminations(docs(spark, rows), bench.where("false")).count() == 0
     kept = decontam.drop_contaminated(docs(spark, rows), bench)
@@ -194,6 +209,32 @@ def mix_brute(rows, config=mixing.MixConfig()):
 MIX_ROWS = [(k, "w " * (1 + k % 7), None, f"s{k % 3}") for k in range(90)] + [(900, None, None, "s0"), (901, "w " * 5, None, None), (902, "", None, "empty"), (5, "w " * 6, None, "s2"), (None, "w w", None, "s1"), (77, "w " * 400, None, "s2")]
 
 
+def test_decontamination_against_brute_force(spark):
+    """Random substitutions, insertions and cuts over a small vocabulary; a filter too small for its keys changes nothing."""
+    rng = np.random.default_rng(9)
+    items = [(k, " ".join(rng.choice(WORDS, int(rng.integers(4, 40))))) for k in range(12)]
+    rows = []
+    for k in range(150):
+        own = items[int(rng.integers(12))][1].split()
+        cut = int(rng.integers(len(own)))
+        part = own[cut : cut + int(rng.integers(3, 40))]
+        part = [w if rng.random() > 0.12 else "zzz" for w in part]
+        rows.append((k + 1, " ".join([*rng.choice(WORDS, int(rng.integers(0, 300))), *part, *rng.choice(WORDS, int(rng.integers(0, 9)))])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, i) for k, t in rows for i, x in items if brute_leak(t, x)}
+    for config in (decontam.SeedConfig(), decontam.SeedConfig(filter_bits=8, chunk=500, segment=32)):
+        assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminations(docs(spark, rows), bench, config).collect()} == want
+    assert len(want) > 40
+
+
+def test_op3_query(spark):
+    """The registered query on the small tables against brute force."""
+    read = lambda t: [tuple(r) for r in spark.read.parquet(f"{SF}/{t}.parquet").select("item_id" if t == "benchmark" else "doc_id", "text").collect()]
+    items = [(i, x, set(plain_words(x))) for i, x in read("benchmark")]
+    want = {(k, i) for k, t in read("documents") for w in [set(plain_words(t))] for i, x, own in items if len(own & w) >= 8 and brute_leak(t, x)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.op3_decontam(spark, SF).collect()} == want and want
+
+
 @pytest.mark.parametrize("rank_rows", [3, 50_000])
 def test_mixing(spark, rank_rows):
     config, rows = mixing.MixConfig(rank_rows=rank_rows), MIX_ROWS
@@ -392,8 +433,8 @@ def test_pipeline_against_brute_force(spark):
     assert ids(single) == {k for k, (_, comp) in near_brute(texts, 5).items() if k == comp}
     clean = c.common.stored(c.decontaminate(spark, single, SF), "t")
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    words = [set(decontam.words(i).tolist()) for i in items]
-    leaks = {k for k, t in texts if k in ids(single) for i, w in zip(items, words, strict=True) if len(w & set(decontam.words(t).tolist())) >= 8 and brute_leak(t, i)}
+    words = [set(plain_words(i)) for i in items]
+    leaks = {k for k, t in texts if k in ids(single) for i, w in zip(items, words, strict=True) if len(w & set(plain_words(t))) >= 8 and brute_leak(t, i)}
     assert ids(clean) == ids(single) - leaks
     mixed = c.mix(spark, clean, SF)
     assert ids(mixed) <= ids(clean) and mixed.where("copy > 3").count() == 0
