@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -112,27 +113,6 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), dict(zip(df.columns, names, strict=True))
 
 
-class WordIds(dict):
-    """64-bit ids of words (bytes); a cache of some 50 MB at most, as vocabularies have no bound."""
-
-    LIMIT = 250_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-#: One cache for all operators of a Python worker.
-WORD_IDS = WordIds()
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (xor-shift and odd multipliers)."""
     x = x ^ (x >> np.uint64(31))
@@ -142,6 +122,67 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@functools.cache
+def _random_values(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@functools.cache
+def letter_values() -> np.ndarray:
+    """A random number for each letter and digit (the same for upper and lower case) by code point; 0 for all else, which separates words."""
+    values, out = _random_values(0x110000, 17), np.zeros(0x110000, np.uint64)
+    for c in range(0x110000):
+        if (s := chr(c)).isalnum():
+            out[c] = values[ord(s.lower()[0])]
+    return out
+
+
+@functools.cache
+def byte_values() -> np.ndarray:
+    """A random number for each byte (the same for A to Z and a to z); 0 for the white space of ``WORD``."""
+    out = _random_values(256, 19).copy()
+    out[ord("A") : ord("Z") + 1] = out[ord("a") : ord("z") + 1]
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    return out
+
+
+def run_hashes(values: np.ndarray, alone: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the runs of numbers other than 0; where ``alone`` is set, a number is a run by itself."""
+    on = values != 0
+    start = on.copy()
+    start[1:] &= ~on[:-1]
+    if alone is not None:
+        start |= alone
+        start[1:] |= alone[:-1] & on[1:]
+    inner, first = values[on], np.flatnonzero(start[on])
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(inner)) - np.repeat(first, np.diff(np.append(first, len(inner))))
+    return mix64(np.add.reduceat(inner * _random_values(4096, 23)[place & 4095], first))
+
+
+def whole_runs(data: np.ndarray, values: np.ndarray, chunk: int, alone: Callable[[np.ndarray], np.ndarray | None] = lambda part: None) -> np.ndarray:
+    """``run_hashes`` of ``values[data]``, some ``chunk`` items at a time, cut between runs, which bounds memory on very long texts."""
+    out, at, size = [], 0, chunk
+    while at < len(data):
+        part = data[at : at + size]
+        own = values[part]
+        if at + size < len(data):
+            gaps = np.flatnonzero(own == 0)
+            if not len(gaps):
+                size *= 2
+                continue
+            part, own = part[: gaps[-1] + 1], own[: gaps[-1] + 1]
+        out.append(run_hashes(own, alone(part)))
+        at, size = at + len(part), chunk
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def byte_word_ids(text: bytes, chunk: int = 1 << 20) -> np.ndarray:
+    """64-bit ids of the words ``WORD`` of UTF-8 bytes, A to Z lower-cased."""
+    return whole_runs(np.frombuffer(text, np.uint8), byte_values(), chunk)
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id isn't in ``ids`` (a stored one-column table); rows with a null id stay."""
     return docs.join(maybe_broadcast(ids.select(column).distinct()), column, "left_anti").select(*docs.columns)

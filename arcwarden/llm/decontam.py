@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwarden.llm.common import WORD_IDS, maybe_broadcast, mix64, small_batches, stored, table, without_ids
+from arcwarden.llm.common import letter_values, maybe_broadcast, mix64, run_hashes, small_batches, stored, table, whole_runs, without_ids
 
 
 #: Benchmark texts of at most so many bytes of word ids are broadcast for the comparison.
@@ -52,55 +51,49 @@ class SeedConfig:
     filter_share: int = 64
     filter_bits: int = 29
     probes: int = 4
-    #: Bytes of words that are hashed at once, which bounds memory on very long texts.
-    chunk: int = 4 << 20
+    #: Characters that are hashed at once, which bounds memory on very long texts.
+    chunk: int = 1 << 20
     seed: int = 3
 
 
-#: Stands between two texts that are hashed together; separates words as any other control character does.
-BREAK = b"\x01"
-_SEPARATE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-#: Letters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
-_UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+#: Stands between two texts that are hashed together; inside a text it separates words, as other control characters do.
+BREAK = "\x01"
+#: Ranges of code points of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 
 
 @functools.cache
-def _kinds() -> np.ndarray:
-    """For each code point: 1 what is beyond ASCII and neither letter nor digit, 2 a letter of a script without spaces, 0 all else."""
-    out = np.zeros(0x110000, np.uint8)
-    for c in range(128, 0x110000):
-        out[c] = 0 if (s := chr(c)).isalnum() or s == "_" else 1
-        if c >= 0xE00 and not 0xD800 <= c < 0xE000 and _UNSPACED.match(s):
-            out[c] = 2
+def _values() -> np.ndarray:
+    out = letter_values().copy()
+    out[1] = 0x9E3779B97F4A7C15  # the break
     return out
 
 
-def separated(text: str | None) -> bytes:
-    """A text's lower-case words in UTF-8 with white space between."""
-    low = (text or "").lower()
-    if not low.isascii():
-        points = np.frombuffer(low.encode("utf-32-le", "replace"), "<u4")
-        kinds = _kinds()[points]
-        if kinds.any():
-            low = np.where(kinds == 1, np.uint32(32), points).tobytes().decode("utf-32-le")
-            low = _UNSPACED.sub(r" \1 ", low) if (kinds == 2).any() else low
-    return low.encode("utf-8", "replace").translate(_SEPARATE)
+def _unspaced(points: np.ndarray) -> np.ndarray | None:
+    """Where the letters of scripts without spaces stand; None without any."""
+    if not len(points) or points.max() < UNSPACED[0][0]:
+        return None
+    found = np.zeros(len(points), np.bool_)
+    for low, high in UNSPACED:
+        found |= (points >= low) & (points <= high)
+    return found & (letter_values()[points] != 0)
 
 
-def ids_of(data: bytes, chunk: int = SeedConfig.chunk) -> np.ndarray:
-    """64-bit ids of the words in ``data``, piece by piece."""
-    out, at = [], 0
-    while at < len(data):
-        end = data.find(b" ", at + chunk) if at + chunk < len(data) else -1
-        end = len(data) if end < 0 else end
-        out.append(WORD_IDS.ids(data[at:end].split()))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def ids_of(texts: list[str | None], chunk: int) -> np.ndarray:
+    """64-bit ids of the lower-case words of some texts, with the id of a break between two texts."""
+    joined = f" {BREAK} ".join((t or "").replace(BREAK, " ") for t in texts)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    return whole_runs(points, _values(), chunk, _unspaced)
 
 
 def words(text: str | None) -> np.ndarray:
     """64-bit ids of a text's lower-case words."""
-    return ids_of(separated(text))
+    return ids_of([text], SeedConfig.chunk)
+
+
+@functools.cache
+def _break_id() -> int:
+    return int(run_hashes(_values()[[1]])[0])
 
 
 def short_masks(n: int, config: SeedConfig) -> tuple[tuple[int, ...], ...]:
@@ -202,7 +195,7 @@ def _seeds(items: DataFrame, config: SeedConfig) -> DataFrame:
 
 def _probes(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
     """The bit of the filter that the ``k``-th probe of each key looks at."""
-    return (keys if k == 0 else mix64(keys + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - bits)
+    return (keys if k == 0 else mix64(keys + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) >> np.uint64(64 - bits)
 
 
 def key_filter(seeds: DataFrame, n: int, config: SeedConfig) -> np.ndarray:
@@ -255,10 +248,10 @@ def _segments(docs: DataFrame, masks: tuple[tuple[int, ...], ...], known: np.nda
             row = (xxhash.xxh3_64_intdigest(stretch.tobytes(), doc & (1 << 64) - 1) ^ start) - (1 << 63)
             yield row, doc, start, stretch.view(np.int64), (place[own] - start).astype(np.int32), key[own].view(np.int64)
 
-    def together(group: list[tuple[int, bytes]]) -> Iterator[tuple]:
+    def together(group: list[tuple[int, str]]) -> Iterator[tuple]:
         """Rows of some texts that are hashed as one, with a break between."""
-        ids = ids_of((b" " + BREAK + b" ").join(data for _, data in group), config.chunk)
-        breaks = ids == WORD_IDS[BREAK]
+        ids = ids_of([text for _, text in group], config.chunk)
+        breaks = ids == np.uint64(_break_id())
         owner, bounds = np.cumsum(breaks), np.concatenate(([-1], np.flatnonzero(breaks), [len(ids)]))
         place, key = hits(ids, owner)
         found = owner[place]
@@ -278,7 +271,7 @@ def _segments(docs: DataFrame, masks: tuple[tuple[int, ...], ...], known: np.nda
         for batch in batches:
             group, size, left = [], 0, batch.num_rows
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                group.append((doc, separated(text.as_py())))
+                group.append((doc, text.as_py()))
                 size, left = size + len(group[-1][1]), left - 1
                 if size > config.chunk or not left:
                     out = list(zip(*together(group), strict=True)) or [[]] * len(types)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwarden.llm.common import WORD_IDS, maybe_broadcast, mix64, small_batches, stored, table, without_ids
+from arcwarden.llm.common import byte_word_ids, maybe_broadcast, mix64, small_batches, stored, table, without_ids
 from arcwarden.llm.components import components
 
 
@@ -73,10 +73,9 @@ def _probes(bins: int, seed: int, tries: int = 4096) -> np.ndarray:
 
 def shingle_set(text: bytes | None, config: MinHashConfig) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = (text or b"").lower().split()
-    if not words:
+    ids, odd = byte_word_ids(text or b""), _odd(max(config.width, 8), config.seed)
+    if not len(ids):
         return np.zeros(0, np.uint64)
-    ids, odd = WORD_IDS.ids(words), _odd(max(config.width, 8), config.seed)
     if len(ids) < config.width:
         return mix64((ids * odd[: len(ids)]).sum(keepdims=True) + np.uint64(len(ids)))
     n = len(ids) - config.width + 1
