@@ -1,17 +1,26 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is split into blocks, the runs of text between block-level tags. A linear classifier scores each block from its place
-(tags, class and id words, roles of its ancestors), its length, punctuation and share of link text; positive scores speak for
-content. The scores become capacities from the source (content) or to the sink (boilerplate); blocks next to each other, and
-blocks under one parent, are tied by smoothness edges. A minimum cut then labels all blocks at once, so that a short odd
-paragraph stays with its article, and a long advert inside a menu goes with the menu.
-
-Scripts, styles, forms and other parts that never hold reading matter are left out while parsing. Character references are
+A page is split into blocks, the runs of text between block-level tags. A logistic classifier gives each block the odds of
+being content, from its shape (length, links, sentences, commas, headings) and its place (elements, class and id words and
+roles of its ancestors). The odds become capacities from the source (content) or to the sink (boilerplate). Smoothness edges
+tie neighbours in page order, the less the farther apart they are in the DOM, blocks of one container, and neighbours in one
+article. A minimum cut then labels all blocks at once, so that a short odd paragraph stays with its article, and a long advert
+inside a menu goes with the menu.
+
+The classifier starts from the weights of ``CutConfig`` and learns from the pages themselves: blocks inside ``article`` or
+``main`` are taken for content, those of ``nav``, ``aside``, ``footer`` and page headers for boilerplate, and weights of shape
+and class words are fitted to them, with the start as their prior; the weights of the elements that gave the labels stay.
+Block tags other than headings say nothing, as a corpus that marks paragraphs one way would teach to drop all others.
+The sample is bounded by ``sample_pages`` and ``sample_blocks``; without blocks of both kinds the start stands.
+
+Scripts, styles, form controls and other parts that never hold reading matter are left out while parsing. A form, or an element
+with a boilerplate class, around an article or main heading says nothing about what is in it. Character references are
 decoded; white space inside a block becomes one space; blocks are joined in page order by one space.
 
 Edge cases: a null html is empty; a page without content has an empty text; an unfinished tag at the end is dropped; unclosed
 elements, skipped ones too, end where their parent does, and a skipped one that the page never closes also before the next
-article or other section. Repeated rows and extra columns pass through; ``text`` and ``n_chars`` are replaced.
+article or other section. Any depth of nesting takes time in proportion to the page. Repeated rows and extra columns pass
+through; ``text`` and ``n_chars`` are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +28,15 @@ from __future__ import annotations
 import html as htmllib
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from arcwarden.llm.common import positional, schema_with, small_batches, table
 
@@ -36,72 +49,87 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is never parsed as markup.
 RAW = frozenset("script style title textarea iframe xmp noembed noframes plaintext".split())
 #: Their content is markup, but no reading matter.
-SKIPPED = frozenset("head noscript template svg math object canvas audio video form select button datalist dialog map applet".split())
+SKIPPED = frozenset("head noscript template svg math object canvas audio video select button datalist dialog map applet".split())
 #: Inline elements don't end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
-#: A start tag of the key ends an open element of the value within the nearest of the scopes.
+#: A start tag of the key ends open elements of the values within the nearest of the scopes.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SCOPES = frozenset("ul ol dl table tbody article section main div body aside nav header footer blockquote".split())
+SCOPES = frozenset("ul ol dl table tbody article section main div body aside nav header footer blockquote form".split())
 
 #: Their start tags end a skipped element that has no end tag in the rest of the page.
 SECTIONS = frozenset("article main section nav aside header footer".split())
 
 NEGATIVE = frozenset("ad ads advert adverts advertisement advertising banner menu menus nav navbar navigation sidebar footer header masthead comment comments reply replies disqus cookie cookies consent notice notices alert promo promotion sponsor sponsored share sharing social related recommended subscribe newsletter signup login popup modal overlay breadcrumb breadcrumbs pagination pager widget toolbar copyright legal disclaimer skip".split())
 POSITIVE = frozenset("article content main post entry story body text".split())
+NEGATIVE_ROLES = frozenset("navigation banner contentinfo complementary search menu alert dialog".split())
+POSITIVE_ROLES = frozenset("main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+#: What an element's place says, inherited by all below it.
+BOILER, HEADER, ARTICLE, BAD_ROLE, GOOD_ROLE, GOOD_NAME = (1 << k for k in range(6))
+FEATURES = ("bias", "length", "links", "sentence", "commas", "heading", "good_name", "bad_name", "boiler", "header", "article", "bad_role", "good_role", "form")
+#: Weights that labels from elements can't teach: those of the elements themselves.
+FIXED = frozenset("boiler header article bad_role good_role form".split())
+
+
+def _start() -> dict[str, float]:
+    return {"bias": -2.5, "length": 0.5, "links": -4.0, "sentence": 0.5, "commas": 0.5, "heading": 1.0, "good_name": 1.0, "bad_name": -7.0, "boiler": -8.0, "header": -5.0, "article": 2.0, "bad_role": -8.0, "good_role": 2.0, "form": -8.0}
 
 
 @dataclass(frozen=True)
 class CutConfig:
-    """Weights of the classifier and of the smoothness edges."""
-
-    tags: dict = field(default_factory=lambda: {"article": 3.0, "main": 2.5, "nav": -8.0, "footer": -8.0, "aside": -8.0, "header": -5.0, "menu": -8.0, "address": -2.0, "figcaption": -0.5, "blockquote": 0.5, "pre": 0.5, "p": 1.2, "h1": 1.2, "h2": 0.8, "h3": 0.6, "h4": 0.4, "li": -0.3, "td": -0.2, "dd": -0.1})
-    roles: dict = field(default_factory=lambda: {"navigation": -8.0, "banner": -6.0, "contentinfo": -8.0, "complementary": -8.0, "search": -8.0, "menu": -8.0, "alert": -6.0, "dialog": -8.0, "main": 2.5, "article": 3.0})
-    negative: float = -7.0
-    positive: float = 1.0
-    most_positive: float = 5.0
-    links: float = -4.0
-    word: float = 0.5
-    sentence: float = 0.5
-    bias: float = -2.5
-    adjacent: float = 0.4
-    siblings: float = 0.5
+    """Start of the classifier, how far it may learn, and capacities of the smoothness edges."""
+
+    start: dict[str, float] = field(default_factory=_start)
+    #: About so many pages, and blocks of each, teach; together they weigh as much as ``evidence`` blocks, each weight's prior
+    #: having the standard deviation ``spread``.
+    sample_pages: int = 2000
+    sample_blocks: int = 40
+    evidence: float = 300.0
+    spread: float = 0.7
+    #: Capacities: of neighbours (halved at a DOM distance of two), of neighbours in one article, of one container's blocks.
+    adjacent: float = 1.6
+    together: float = 1.5
+    siblings: float = 1.0
+    seed: int = 13
 
 
 @dataclass
 class Block:
     text: str
-    place: float
-    parent: int
+    tag: str
+    bits: int
+    element: int
+    container: int
+    article: int
+    depth: int
+    distance: int  # to the block before it, in steps through the DOM
     link_share: float
+    bad_name: bool = False
+    form: bool = False
 
 
-def _place(name: str, attributes: str, config: CutConfig) -> float:
-    """What an element says about the blocks under it."""
-    score = config.tags.get(name, 0.0)
-    if attributes:
-        for key, *values in ATTRIBUTE.findall(attributes):
-            value = next((v for v in values if v), "")
-            if key.lower() == "role":
-                score += config.roles.get(value.strip().lower(), 0.0)
-            else:
-                names = {w.lower() for w in NAME_WORD.findall(value)}
-                score += config.negative if names & NEGATIVE else config.positive if names & POSITIVE else 0.0
-    return score
-
-
-def blocks(page: str, config: CutConfig) -> list[Block]:
-    """The page's blocks in order, with the score of their place."""
+def blocks(page: str) -> list[Block]:
+    """The page's blocks in order."""
     out: list[Block] = []
     parts: list[str] = []
-    link_chars = chars = n_elements = 0
+    link_chars = chars = 0
     in_link = False
-    stack: list[tuple[str, float, int, bool]] = [("", 0.0, 0, False)]  # name, place, number, whether it is skipped
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # name, bits, number, whether it is hidden
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name, scopes and skipped elements stand
+    scopes, skipped, articles = [0], [], [0]
+    parent, bad, form, trusted = [0], [False], [False], [True]  # by element number
     last_end: dict[str, int] = {}
+    low = last_depth = 1
 
     def flush() -> None:
-        nonlocal link_chars, chars
+        nonlocal link_chars, chars, low, last_depth
         if parts and (text := " ".join("".join(parts).split())):
-            out.append(Block(text, stack[-1][1], stack[-1][2], link_chars / max(1, chars)))
+            name, bits, number, _ = stack[-1]
+            depth = len(stack)
+            low = min(low, depth)
+            out.append(Block(text, name, bits, number, parent[number], articles[-1], depth, last_depth + depth - 2 * low, link_chars / max(1, chars)))
+            low = last_depth = depth
         parts.clear()
         link_chars = chars = 0
 
@@ -113,6 +141,37 @@ def blocks(page: str, config: CutConfig) -> list[Block]:
             chars += n
             link_chars += n * in_link
 
+    def push(name: str, bits: int, hidden: bool, bad_name: bool) -> None:
+        parent.append(stack[-1][2])
+        bad.append(bad_name)
+        form.append(name == "form")
+        trusted.append(True)
+        places[name].append(len(stack))
+        for names, own in ((SCOPES, scopes), (SKIPPED, skipped)):
+            if name in names:
+                own.append(len(stack))
+        if name in ("article", "main"):
+            articles.append(len(parent) - 1)
+        stack.append((name, bits, len(parent) - 1, hidden))
+        if name in ("article", "main", "h1") and not bad_name:  # what stands around it isn't boilerplate because of its name
+            number = parent[-1]
+            while number and trusted[number]:
+                trusted[number] = False
+                number = parent[number]
+
+    def cut_to(k: int) -> None:
+        """End the elements from place ``k`` of the stack on."""
+        nonlocal low
+        for name, *_ in stack[k:]:
+            places[name].pop()
+            if name in ("article", "main"):
+                articles.pop()
+        for own in (scopes, skipped):
+            while own and own[-1] >= k:
+                own.pop()
+        del stack[k:]
+        low = min(low, k)
+
     def closes(name: str, at: int) -> bool:
         """Whether an end tag of the name stands at or after a place."""
         if name not in last_end:
@@ -154,11 +213,11 @@ def blocks(page: str, config: CutConfig) -> list[Block]:
         own_end = attributes.endswith("/")
         hidden = stack[-1][3]
         if hidden and not closing:
-            first = next(k for k, e in enumerate(stack) if e[3])
+            first = skipped[0]
             if name == "body" or not closes(stack[first][0], at) and (name in SECTIONS or stack[first][0] == "head" and name not in VOID and name not in SKIPPED):
-                del stack[first:]
+                cut_to(first)
                 hidden = False
-            elif own_end or len(stack) >= 512:
+            elif own_end:
                 continue
         if hidden and name in INLINE:
             continue
@@ -173,41 +232,121 @@ def blocks(page: str, config: CutConfig) -> list[Block]:
         if not hidden and not skips:
             in_link = False
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    in_link = in_link and stack[k][3]  # an outer end tag ends links, that of a skipped element doesn't
-                    del stack[k:]
-                    break
-                if name in ENDS and stack[k][0] in SCOPES:
-                    break
+            found = places[name][-1] if places[name] else 0
+            if found and not (name in ENDS and scopes[-1] > found):
+                in_link = in_link and stack[found][3]  # an outer end tag ends links, that of a skipped element doesn't
+                cut_to(found)
             continue
         if name in VOID:
             continue
         if name in ENDS or name in SCOPES:
-            ended = ENDS.get(name, ("p",))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ended:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPES or stack[k][3] and stack[k][0] in SKIPPED:
-                    break
-        n_elements += 1
-        stack.append((name, stack[-1][1] + _place(name, attributes, config), n_elements, hidden or skips))
-        if len(stack) > 512:  # deeper elements count as their ancestor
-            del stack[256:511]
+            least = max(scopes[-1], skipped[-1] if skipped else 0)
+            ended = [own[k] for e in ENDS.get(name, ("p",)) if (own := places[e]) and (k := bisect_right(own, least)) < len(own)]
+            if ended:
+                cut_to(min(ended))
+        bits, bad_name = _place(name, attributes, stack[-1][1])
+        push(name, bits, hidden or skips, bad_name)
     flush()
+    under_bad, under_form = [False], [False]
+    for number in range(1, len(parent)):
+        under_bad.append(under_bad[parent[number]] or bad[number] and trusted[number])
+        under_form.append(under_form[parent[number]] or form[number] and trusted[number])
+    for block in out:
+        block.bad_name, block.form = under_bad[block.element], under_form[block.element]
     return out
 
 
+def _place(name: str, attributes: str, bits: int) -> tuple[int, bool]:
+    """What an element below ``bits`` says about the blocks in it, and whether its names are those of boilerplate."""
+    bad = False
+    if name in ("nav", "aside", "menu", "footer"):
+        bits |= BOILER
+    elif name == "header" and not bits & ARTICLE:
+        bits |= HEADER
+    elif name in ("article", "main"):
+        bits |= ARTICLE
+    if attributes and name not in ("html", "body"):
+        for key, *values in ATTRIBUTE.findall(attributes):
+            value = next((v for v in values if v), "")
+            if key.lower() == "role":
+                role = value.strip().lower()
+                bits |= BAD_ROLE if role in NEGATIVE_ROLES else GOOD_ROLE if role in POSITIVE_ROLES else 0
+            else:
+                names = {w.lower() for w in NAME_WORD.findall(value)}
+                bad = bad or bool(names & NEGATIVE)
+                bits |= GOOD_NAME if names & POSITIVE and not names & NEGATIVE else 0
+    return bits, bad
+
+
 SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 
 
-def block_score(block: Block, config: CutConfig) -> float:
-    """The classifier: positive for content. Weighted by length, as longer blocks are surer and matter more."""
+def features(block: Block) -> tuple[float, ...]:
+    """The numbers that the classifier looks at, in the order of ``FEATURES``."""
     words = block.text.count(" ") + 1
-    score = config.bias + min(config.most_positive, block.place) + config.links * block.link_share + config.word * min(5.0, math.log2(1 + words))
-    score += config.sentence if SENTENCE.search(block.text) else 0.0
-    return score * (0.5 + 0.1 * min(10.0, math.log2(1 + words)))
+    has = lambda bit: float(bool(block.bits & bit))
+    return (
+        1.0, min(5.0, math.log2(1 + words)), block.link_share, float(bool(SENTENCE.search(block.text))), min(1.0, 10 * block.text.count(",") / words),
+        float(block.tag in HEADINGS), has(GOOD_NAME), float(block.bad_name), has(BOILER), has(HEADER), has(ARTICLE), has(BAD_ROLE), has(GOOD_ROLE), float(block.form),
+    )
+
+
+def element_label(block: Block) -> int | None:
+    """1 or 0 where the elements around a block say that it is content or boilerplate, else None."""
+    if block.bits & (BOILER | HEADER):
+        return 0
+    return 1 if block.bits & ARTICLE and not block.bad_name and not block.form else None
+
+
+def fit(pages: DataFrame, config: CutConfig = CutConfig()) -> tuple[float, ...]:
+    """Weights of the classifier, learned from a bounded sample of ``pages(page_id, url, html)``."""
+    start = np.array([config.start[f] for f in FEATURES])
+    small_batches(pages.sparkSession)
+    n = pages.count()
+    hashed = pages.select("html", F.xxhash64("page_id", "url", "html", F.lit(config.seed)).alias("h")).where("html is not null")
+    drawn = hashed.where(F.pmod("h", F.lit(1 << 24)) < F.lit(float(config.sample_pages) / max(1, n) * (1 << 24))).dropDuplicates(["h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for html in batch.column(0):
+                labelled = [(x, b) for b in blocks(html.as_py()) if (x := element_label(b)) is not None]
+                step = max(1, -(-len(labelled) // config.sample_blocks))
+                rows += [(*features(b), float(x)) for x, b in labelled[::step]]
+            yield pa.RecordBatch.from_arrays([pa.array([list(r) for r in rows], pa.list_(pa.float64()))], ["row"])
+
+    rows = sorted(tuple(r["row"]) for r in drawn.mapInArrow(run, "row array<double>").collect())
+    if len({r[-1] for r in rows}) < 2:
+        return tuple(start.tolist())
+    x, y = np.array(rows)[:, :-1], np.array(rows)[:, -1]
+    learns = np.array([f not in FIXED for f in FEATURES])
+    z, prior = x[:, learns], start[learns]
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum()) * config.evidence
+    w, penalty = prior.copy(), np.eye(len(prior)) / config.spread**2
+    for _ in range(30):  # Newton's method
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        gradient = z.T @ (share * (p - y)) + penalty @ (w - prior)
+        w = w - np.linalg.solve((z * (share * p * (1 - p))[:, None]).T @ z + penalty, gradient)
+    start[learns] = w
+    return tuple(start.tolist())
+
+
+def block_costs(found: list[Block], weights: tuple[float, ...]) -> list[float]:
+    """Log odds of content, weighted by length, as longer blocks are surer and matter more; not beyond 8 either way."""
+    return [max(-8.0, min(8.0, sum(w * x for w, x in zip(weights, row, strict=True)))) * (0.5 + 0.2 * row[1]) for row in map(features, found)]
+
+
+def block_edges(found: list[Block], config: CutConfig) -> list[tuple[int, int, float]]:
+    """Smoothness edges: neighbours by DOM distance, more so inside one article, and blocks of one container."""
+    edges, last = [], {}
+    for k, block in enumerate(found):
+        if k:
+            near = config.adjacent * 2 / (2 + block.distance)
+            edges.append((k - 1, k, near + (config.together if block.article and block.article == found[k - 1].article else 0.0)))
+        if block.container in last:
+            edges.append((last[block.container], k, config.siblings))
+        last[block.container] = k
+    return edges
 
 
 def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -271,24 +410,19 @@ def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[boo
                     break
 
 
-def main_text(page: str | None, config: CutConfig = CutConfig()) -> str:
+def main_text(page: str | None, weights: tuple[float, ...] | None = None, config: CutConfig = CutConfig()) -> str:
     """The blocks that the cut leaves with the content, joined by one space."""
-    found = blocks(page or "", config)
+    found = blocks(page or "")
     if not found:
         return ""
-    scores = [block_score(b, config) for b in found]
-    edges = [(k - 1, k, config.adjacent) for k in range(1, len(found))]
-    last: dict[int, int] = {}
-    for k, block in enumerate(found):
-        if block.parent in last:
-            edges.append((last[block.parent], k, config.siblings))
-        last[block.parent] = k
-    return " ".join(b.text for b, content in zip(found, min_cut(scores, edges), strict=True) if content)
+    content = min_cut(block_costs(found, weights or tuple(config.start[f] for f in FEATURES)), block_edges(found, config))
+    return " ".join(b.text for b, kept in zip(found, content, strict=True) if kept)
 
 
-def extract_text(pages: DataFrame, config: CutConfig = CutConfig()) -> DataFrame:
-    """``pages`` with ``text`` and ``n_chars`` in place of ``html``."""
+def extract_text(pages: DataFrame, config: CutConfig = CutConfig(), weights: tuple[float, ...] | None = None) -> DataFrame:
+    """``pages`` with ``text`` and ``n_chars`` in place of ``html``; without ``weights`` they are learned from ``pages``."""
     pages = pages.drop("text", "n_chars")
+    weights = weights or fit(pages, config)
     plain, names = positional(pages)
     at, others = plain.columns.index(names["html"]), [c for c in pages.columns if c != "html"]
     rest = plain.drop(names["html"])
@@ -297,7 +431,7 @@ def extract_text(pages: DataFrame, config: CutConfig = CutConfig()) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(v.as_py(), config) for v in batch.column(at)]
+            texts = [main_text(v.as_py(), weights, config) for v in batch.column(at)]
             kept = [c for k, c in enumerate(batch.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], columns)
 

@@ -3,8 +3,15 @@
 Character n-grams (2 to 4, inside words, with word ends) are hashed to buckets, each bucket has an embedding, a text is the
 mean of the embeddings of its n-grams, and a linear softmax turns the mean into probabilities. Embeddings and softmax are
 trained together by stochastic gradient descent in numpy on a bounded sample. As the model is linear up to the softmax, a
-prediction only adds up bucket scores (embedding times softmax weights). A temperature, fitted on a calibration fold, makes
-probabilities honest, and the rejection threshold is a low quantile of the calibrated scores of right answers.
+prediction only adds up bucket scores (embedding times softmax weights).
+
+Calibration uses a fold that trains nothing. Its texts and their first words are scored; a temperature, higher for texts of
+few n-grams, makes the probabilities honest. Texts are rejected for two reasons: a probability below a low quantile of those
+of right answers, or too many n-grams that training never met. The limit of the latter lies half way between what texts of the
+fold have, as a rule, and what the same texts have with their letters shuffled.
+
+What the driver gets is bounded: ``max_sample`` rows of at most ``most_features`` buckets each, their commonest ones, a few
+times over for the calibration fold. Predictions use whole texts and all their n-grams.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text when nothing could
 be learned. Rows with a null language train nothing. Repeated rows are predicted alike. Extra columns pass through; columns
@@ -42,6 +49,10 @@ class LangIdConfig:
     #: Share of right calibration answers that the rejection may lose.
     reject_quantile: float = 0.001
     reject_cap: float = 0.5
+    #: Buckets of a training row, characters of a calibration text that are shuffled, and word counts of its short pieces.
+    most_features: int = 2048
+    junk_chars: int = 20_000
+    pieces: tuple[int, ...] = (1, 3, 10)
     #: Characters handled at once, which bounds memory on very long texts.
     chunk: int = 1 << 20
     seed: int = 7
@@ -53,7 +64,10 @@ class LangIdModel:
     scores: np.ndarray  # bucket x language: embeddings times softmax weights
     bias: np.ndarray
     temperature: float
+    brevity: float  # n-grams at which the temperature is twice as high
     reject_below: float
+    known: np.ndarray  # buckets that training met
+    known_below: float
     config: LangIdConfig
 
 
@@ -100,8 +114,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def _commonest(text: str, config: LangIdConfig) -> tuple[bytes, bytes, int]:
+    """The text's commonest buckets and their shares, as bytes, and its number of n-grams."""
+    index, share = text_features(text, config)
+    if len(index) > config.most_features:
+        top = np.sort(np.argsort(-share, kind="stable")[: config.most_features])
+        index, share = index[top], share[top] / share[top].sum()
+    return index.tobytes(), share.tobytes(), sum(map(len, subword_buckets(text, config)))
+
+
+def _shuffled(text: str, config: LangIdConfig) -> str:
+    """The start of a text with its letters dealt out anew; other characters stay."""
+    signs = list(text[: config.junk_chars])
+    places = [k for k, c in enumerate(signs) if c.isalpha()]
+    for k, other in zip(places, np.random.default_rng([config.seed, len(signs)]).permutation(places).tolist(), strict=True):
+        signs[k] = text[other]
+    return "".join(signs)
+
+
+#: What a sampled row is: a text that trains, one of the calibration fold, its first words, or it with its letters shuffled.
+TRAIN, WHOLE, PIECE, JUNK = range(4)
+
+
 def _sample(docs: DataFrame, config: LangIdConfig) -> list:
-    """Featurised training rows: at most about ``per_lang`` of a language, by a hash of the id."""
+    """Featurised rows ``(doc_id, lang, kind, index, share, n)``: about ``per_lang`` texts of a language, by a hash of the row; equal rows count once."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
@@ -109,16 +145,24 @@ def _sample(docs: DataFrame, config: LangIdConfig) -> list:
     wanted = min(config.per_lang, max(1, config.max_sample // len(counts)))
     shares = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(float(wanted / n)))])
     small_batches(docs.sparkSession)
-    drawn = usable.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(config.seed)), F.lit(1 << 24)) < shares[F.col("lang")] * (1 << 24))
+    drawn = usable.withColumn("h", F.xxhash64("doc_id", F.md5("text"), F.lit(config.seed))).where(F.pmod("h", F.lit(1 << 24)) < shares[F.col("lang")] * (1 << 24))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_features(t.as_py(), config) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("fold"), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([w.tobytes() for _, w in rows], pa.binary())], ["doc_id", "lang", "fold", "index", "share"])
+            rows = []
+            for doc, lang, fold, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                text = text.as_py()
+                rows.append((doc, lang, WHOLE if fold == 1 else TRAIN, *_commonest(text, config)))
+                if fold == 1:
+                    first = text.split(None, max(config.pieces))[: max(config.pieces)]
+                    rows += [(doc, lang, PIECE, *_commonest(" ".join(first[:k]), config)) for k in config.pieces if k < len(first)]
+                    rows.append((doc, lang, JUNK, *_commonest(_shuffled(text, config), config)))
+            types = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, types, strict=True)], ["doc_id", "lang", "kind", "index", "share", "n"])
 
     columns = drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int").alias("fold"), "text")
-    rows = columns.mapInArrow(featurise, "doc_id long, lang string, fold int, index binary, share binary").collect()
-    return sorted(((r["doc_id"], r["lang"], r["fold"], np.frombuffer(r["index"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows if len(r["index"])), key=lambda r: (r[0], r[1], r[3].tobytes(), r[4].tobytes()))
+    rows = columns.mapInArrow(featurise, "doc_id long, lang string, kind int, index binary, share binary, n long").dropDuplicates().collect()
+    return sorted(((r["doc_id"], r["lang"], r["kind"], np.frombuffer(r["index"], np.int32), np.frombuffer(r["share"], np.float32), r["n"]) for r in rows if len(r["index"])), key=lambda r: (r[0], r[1], r[2], r[5], r[3].tobytes(), r[4].tobytes()))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -133,8 +177,9 @@ def fit(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> LangIdModel |
         return None
     langs = tuple(sorted({r[1] for r in rows}))
     code = {lang: k for k, lang in enumerate(langs)}
-    calibration = [r for r in rows if r[2] == 1] or rows
-    training = [r for r in rows if r[2] != 1] or rows
+    whole = [r for r in rows if r[2] == WHOLE] or [r for r in rows if r[2] == TRAIN]
+    calibration = [*whole, *(r for r in rows if r[2] == PIECE)]
+    training = [r for r in rows if r[2] == TRAIN] or whole
     rng = np.random.default_rng(config.seed)
     embeddings = rng.uniform(-1 / config.dim, 1 / config.dim, (config.buckets, config.dim)).astype(np.float32)
     weights, bias = np.zeros((config.dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
@@ -142,7 +187,7 @@ def fit(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> LangIdModel |
     steps, step = epochs * len(training), 0
     for _ in range(epochs):
         for k in rng.permutation(len(training)):
-            _, lang, _, index, share = training[k]
+            _, lang, _, index, share, _ = training[k]
             rate = np.float32(config.rate * (1 - step / steps))
             step += 1
             rows_of = embeddings[index]
@@ -154,28 +199,39 @@ def fit(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> LangIdModel |
             bias -= rate * gradient
             embeddings[index] = rows_of - (rate * len(index) ** 0.5) * share[:, None] * back[None, :]
     scores = (embeddings @ weights).astype(np.float32)
-    logits = np.array([share @ scores[index] for *_, index, share in calibration]) + bias
-    truth = np.array([code[r[1]] for r in calibration])
-    temperatures = np.geomspace(0.05, 20, 121)
-    loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in temperatures]
-    temperature = float(temperatures[int(np.argmin(loss))])
-    sure = _softmax(logits / temperature)
-    right = sure.argmax(axis=1) == truth
+    logits = np.array([r[4] @ scores[r[3]] for r in calibration]) + bias
+    truth, lengths = np.array([code[r[1]] for r in calibration]), np.array([r[5] for r in calibration])
+    loss = {}
+    for brevity in (0.0, *np.geomspace(2, 200, 9)):
+        for t in np.geomspace(0.05, 20, 121):
+            sure = _softmax(logits / (t * (1 + brevity / lengths))[:, None])
+            loss[float(t), float(brevity)] = -np.log(np.maximum(sure[np.arange(len(truth)), truth], 1e-12)).mean()
+    temperature, brevity = min(loss, key=loss.__getitem__)
+    sure = _softmax(logits / (temperature * (1 + brevity / lengths))[:, None])[: len(whole)]
+    right = sure.argmax(axis=1) == truth[: len(whole)]
     limit = float(np.quantile(sure.max(axis=1)[right], config.reject_quantile)) if right.any() else 0.0
-    return LangIdModel(langs, scores, bias.astype(np.float64), temperature, min(config.reject_cap, limit), config)
-
-
-def predict_text(model: LangIdModel, text: str | None) -> tuple[str, float]:
-    """Language and calibrated probability of one whole text."""
-    total, n = np.zeros(len(model.langs)), 0
+    known = np.zeros(config.buckets, np.bool_)
+    for r in training:
+        known[r[3]] = True
+    share_known = lambda found: [float(r[4][known[r[3]]].sum()) for r in found]
+    low = float(np.quantile(share_known(whole), config.reject_quantile))
+    junk = share_known(r for r in rows if r[2] == JUNK)
+    high = float(np.quantile(junk, 0.99)) if junk else 0.0
+    return LangIdModel(langs, scores, bias.astype(np.float64), temperature, brevity, min(config.reject_cap, limit), known, (low + high) / 2 if high < low else 0.0, config)
+
+
+def predict_text(model: LangIdModel, text: str | None) -> tuple[str, float, bool]:
+    """Language and calibrated probability of one whole text, and whether it is rejected."""
+    total, n, n_known = np.zeros(len(model.langs)), 0, 0
     for grams in subword_buckets(text or "", model.config):
         total += model.scores[grams].sum(axis=0, dtype=np.float64)
+        n_known += int(model.known[grams].sum())
         n += len(grams)
     if not n:
-        return UNKNOWN, 0.0
-    sure = _softmax((total / n + model.bias) / model.temperature)
+        return UNKNOWN, 0.0, True
+    sure = _softmax((total / n + model.bias) / (model.temperature * (1 + model.brevity / n)))
     k = int(sure.argmax())
-    return model.langs[k], float(sure[k])
+    return model.langs[k], float(sure[k]), bool(sure[k] < model.reject_below or n_known < model.known_below * n)
 
 
 def identify_language(docs: DataFrame, model: LangIdModel | None, text: str = "text") -> DataFrame:
@@ -189,9 +245,8 @@ def identify_language(docs: DataFrame, model: LangIdModel | None, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [predict_text(own, t.as_py()) if own else (UNKNOWN, 0.0) for t in batch.column(text)]
-            limit = own.reject_below if own else 0.0
-            extra = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == UNKNOWN and s == 0 or s < limit for x, s in found], pa.bool_())]
+            found = [predict_text(own, t.as_py()) if own else (UNKNOWN, 0.0, True) for t in batch.column(text)]
+            extra = [pa.array([r[k] for r in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names)
 
     return kept.mapInArrow(run, schema)

@@ -4,12 +4,14 @@ A document's lines are keyed by their stripped, ASCII-lower-cased form; keys of
 The documents fall into batches by descending ``doc_id``. Each batch summarises its keys (hash, number of documents,
 largest document) and merge-anti-joins the runs written so far: keys that the runs already hold as settled (seen in at least
 ``min_docs`` documents) bring nothing new, as their largest document lies in an earlier batch; the rest become the batch's
-own sorted run. Every ``fan_in`` runs of one level are merged into one run of the next level, so that a batch always meets
-few runs. After the last batch the runs are merged once more, and keys in at least ``min_docs`` documents lose their lines
+own sorted run. Two runs of one level are merged into one run of the next level, so that a batch meets one run of each level
+at most, a logarithm of the batches. After the last batch the runs are merged once more, and keys in at least ``min_docs`` documents lose their lines
 in all documents but the largest.
 
-Runs are tables in the shared folder, sorted by hash inside hash-dealt parts: a lost executor costs a re-run of tasks only.
-A batch holds about ``batch_lines`` lines, so the number of batches follows the corpus.
+Runs are bucketed tables in the shared folder, sorted by hash inside buckets by hash: a lost executor costs a re-run of tasks
+only. All runs have the same buckets, and a batch's keys, counted before they move, are dealt to them once; merges and
+anti-joins then read the runs as they lie, without moving them again. A batch is a share of the corpus and as distributed as
+the corpus is, so batches grow with it, and their number doesn't; ``part_lines`` sets how many buckets there are.
 
 Edge cases: a null or empty text is one empty line; repeated rows of a ``doc_id`` are one document; a row without a
 ``doc_id`` neither counts nor loses lines; a text that loses every line becomes the empty string. An empty table gives an
@@ -23,24 +25,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwarden.llm.common import maybe_broadcast, positional, schema_with, small_batches, stored, table
-
-RUN = "hash binary, n_docs long, max_doc long"
-
+from arcwarden.llm.common import fresh_path, maybe_broadcast, positional, schema_with, small_batches, stored, table
 
 @dataclass(frozen=True)
 class LineDedupConfig:
     min_chars: int = 20
     min_docs: int = 3
-    #: Lines of a batch, and the most batches; more lines make larger batches.
-    batch_lines: int = 50_000_000
-    least_batches: int = 3
-    most_batches: int = 64
-    #: Runs of a level that are merged into one of the next.
-    fan_in: int = 4
+    #: Shares of the corpus by id that are taken one after the other, and lines for each bucket of a run.
+    batches: int = 5
+    part_lines: int = 1_000_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -74,49 +70,86 @@ def line_table(docs: DataFrame, config: LineDedupConfig, doc_id: str = "doc_id",
     return rows.mapInArrow(run, "doc_id long, hash binary")
 
 
-def _merged(runs: list[DataFrame]) -> DataFrame:
-    every = runs[0]
-    for run in runs[1:]:
-        every = every.unionByName(run)
-    return every.groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+def _merged(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Two runs as one, by a merge join of their buckets: a union of bucketed tables would have to be dealt out anew."""
+    other = two.select("hash", F.col("n_docs").alias("_n"), F.col("max_doc").alias("_max"))
+    both = one.hint("merge").join(other, "hash", "full")
+    return both.select("hash", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "_max").alias("max_doc"))
+
+
+class Runs:
+    """The runs of one pass, at most one of each level, as external tables of the catalog.
+
+    ``drop`` forgets the tables, their files stay in the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets = spark, buckets
+        self.levels: list[DataFrame | None] = []
+        self.names: list[str] = []
+
+    def all(self) -> list[DataFrame]:
+        return [run for run in self.levels if run is not None]
+
+    def _written(self, df: DataFrame) -> DataFrame:
+        path = fresh_path(self.spark, "run")
+        self.names.append(path.rsplit("/", 1)[1].replace("-", "_"))
+        df.select("hash", "n_docs", "max_doc").sortWithinPartitions("hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(self.names[-1])
+        return self.spark.table(self.names[-1])
+
+    def add(self, own: DataFrame) -> None:
+        """A new run of the lowest level; two runs of a level become one of the next."""
+        run, k = self._written(own), 0
+        while k < len(self.levels) and self.levels[k] is not None:
+            run, self.levels[k], k = self._written(_merged(self.levels[k], run)), None, k + 1
+        self.levels[k : k + 1] = [run]
+
+    def merged(self) -> DataFrame:
+        """All runs as one, from the smallest up."""
+        every = self.all()
+        run = every[0]
+        for k, other in enumerate(every[1:]):
+            run = _merged(run if k == 0 else self._written(run), other)
+        return run
+
+    def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
 
+def _news(batch: DataFrame, runs: Runs, config: LineDedupConfig) -> DataFrame:
+    """Counts of a batch's keys that the runs don't hold as settled, dealt to the runs' buckets.
 
-def _as_run(df: DataFrame) -> DataFrame:
-    """Written sorted by hash within parts dealt by hash."""
-    return stored(df.select("hash", "n_docs", "max_doc").sortWithinPartitions("hash"), "run")
+    Each run meets the batch in a merge join that keeps the batch's keys, and the counts found are added up: an anti-join
+    proper would be pushed below the counting, and meet every line.
+    """
+    own = batch.groupBy("hash").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc")).repartition(runs.buckets, "hash").withColumn("before", F.lit(0).cast("long"))
+    for run in runs.all():
+        own = own.hint("merge").join(run.select("hash", F.col("n_docs").alias("_n")), "hash", "left").withColumn("before", F.col("before") + F.coalesce("_n", F.lit(0))).drop("_n")
+    return own.where(F.col("before") < config.min_docs).drop("before")
 
 
 def repeated_lines(lines: DataFrame, config: LineDedupConfig) -> DataFrame:
-    """``(hash, max_doc)`` of the keys found in at least ``min_docs`` documents, from a stored ``(doc_id, hash)`` table."""
+    """``(hash, max_doc)`` of the keys found in at least ``min_docs`` documents, stored, from a stored ``(doc_id, hash)`` table."""
+    spark = lines.sparkSession
     n, low, high = lines.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
     if not n:
-        return lines.sparkSession.createDataFrame([], "hash binary, max_doc long")
-    n_batches = int(min(config.most_batches, max(config.least_batches, -(-n // config.batch_lines))))
-    edges = lines.approxQuantile("doc_id", [k / n_batches for k in range(1, n_batches)], 0.01) if high > low and n_batches > 1 else []
+        return spark.createDataFrame([], "hash binary, max_doc long")
+    edges = lines.approxQuantile("doc_id", [k / config.batches for k in range(1, config.batches)], 0.01) if high > low and config.batches > 1 else []
     edges = sorted({int(x) for x in edges} | {low})
-    levels: list[list[DataFrame]] = [[]]
+    runs = Runs(spark, max(4, -(-n // config.part_lines)))
     for start, end in reversed(list(zip(edges, [*edges[1:], high + 1], strict=True))):
-        batch = lines.where((F.col("doc_id") >= start) & (F.col("doc_id") < end))
-        own = batch.groupBy("hash").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        if known := [run for level in levels for run in level]:
-            settled = _merged(known).where(F.col("n_docs") >= config.min_docs).select("hash")
-            own = own.join(settled, "hash", "left_anti")
-        levels[0].append(_as_run(own))
-        k = 0
-        while len(levels[k]) >= config.fan_in:
-            if k + 1 == len(levels):
-                levels.append([])
-            levels[k + 1].append(_as_run(_merged(levels[k])))
-            levels[k] = []
-            k += 1
-    return _merged([run for level in levels for run in level]).where(F.col("n_docs") >= config.min_docs).select("hash", "max_doc")
+        runs.add(_news(lines.where((F.col("doc_id") >= start) & (F.col("doc_id") < end)), runs, config))
+    found = stored(runs.merged().where(F.col("n_docs") >= config.min_docs).select("hash", "max_doc"), "repeated")
+    runs.drop()
+    return found
 
 
 def dedup_lines(docs: DataFrame, config: LineDedupConfig = LineDedupConfig()) -> DataFrame:
     """``docs`` with the text's repeated lines dropped, and ``n_lines`` (before) and ``n_dropped``."""
     docs = docs.drop("n_lines", "n_dropped")
     lines = stored(line_table(docs, config), "lines")
-    repeated = stored(repeated_lines(lines, config), "repeated")
+    repeated = repeated_lines(lines, config)
     losing = lines.join(maybe_broadcast(repeated), "hash").where(F.col("doc_id") != F.col("max_doc"))
     drops = stored(losing.groupBy("doc_id").agg(F.collect_set("hash").alias("_hashes")), "drops")
     n_drops = drops.agg(F.count("*"), F.coalesce(F.sum(F.size("_hashes")), F.lit(0))).first()

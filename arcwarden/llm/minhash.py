@@ -153,13 +153,13 @@ def _several(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = members.join(maybe_broadcast(labels.where("node != component").withColumnRenamed("node", "doc_id")), "doc_id", "left").select("key", "doc_id", "score", F.coalesce("component", "doc_id").alias("label"))
     counts = named.groupBy("key", "label").agg(F.count("*").alias("m"))
     buckets = counts.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    return stored(named.join(stored(buckets, "buckets"), "key"), "several")
+    return stored(named.join(maybe_broadcast(stored(buckets, "buckets")), "key"), "several")
 
 
 def _star(several: DataFrame) -> DataFrame:
     """Pairs of the best member outside the main component with all members of other components."""
     best = several.where("label != main").groupBy("key").agg(F.max(F.struct("score", -F.col("doc_id"), F.col("label").alias("of"))).alias("c"))
-    pairs = several.select("key", "doc_id", "label").join(best, "key").where(F.col("label") != F.col("c.of"))
+    pairs = several.select("key", "doc_id", "label").join(maybe_broadcast(stored(best, "best")), "key").where(F.col("label") != F.col("c.of"))
     return pairs.select(F.least("doc_id", -F.col("c.col2")).alias("a"), F.greatest("doc_id", -F.col("c.col2")).alias("b")).distinct()
 
 
@@ -244,13 +244,13 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     classed = signed.join(maybe_broadcast(classes), "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     reps = stored(classed.where(F.col("set_key").isNotNull() & (F.col("doc_id") == F.col("rep"))).select("doc_id", "bands", "keys").dropDuplicates(["doc_id"]), "reps")
     keyed = reps.select("doc_id", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    shared = stored(keyed.join(buckets, "key"), "shared")
+    buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+    shared = stored(keyed.join(maybe_broadcast(buckets), "key"), "shared")
     scores = stored(shared.groupBy("doc_id").agg(F.sum("m").alias("score")), "scores")
     members = stored(shared.select("key", "doc_id").join(maybe_broadcast(scores), "doc_id"), "members")
     sets = stored(full_sets(docs, scores.select("doc_id"), config), "sets")
-    centres = members.groupBy("key").agg((-F.max(F.struct("score", -F.col("doc_id"))).getField("col2")).alias("c"))
-    stars = members.join(centres, "key").where("doc_id != c").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
+    centres = stored(members.groupBy("key").agg((-F.max(F.struct("score", -F.col("doc_id"))).getField("col2")).alias("c")), "centres")
+    stars = members.join(maybe_broadcast(centres), "key").where("doc_id != c").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
     links = stored(confirmed(stars, sets, config), "links")
     labels = stored(components(links), "components")
     for step in range(config.star_rounds + 1):

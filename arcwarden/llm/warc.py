@@ -11,14 +11,19 @@ which carry the HTTP header with the payload's length, its digest, and the respo
 The reader loads the dictionary, decodes frame by frame, and checks every record: version line, needed headers, block length
 against Content-Length, the two line ends after the block, and the payload's length and digest.
 
+An archive is made of one partition of the input, and read as one row, so a partition must stay below 2 GB compressed; scans
+of ``spark.sql.files.maxPartitionBytes`` (128 MB by default) do. Records are handed on in batches of some 16 MB.
+
 Edge cases: a null html is an empty payload; a null url leaves out the target; a row without a ``page_id`` is always a
 response; repeated rows make repeated records. An empty table makes archives without records. A record is decoded whole.
+Columns other than ``page_id``, ``url`` and ``html`` aren't written.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +38,7 @@ DICT_MAGIC = 0x184D2A5D
 #: An empty skippable frame, all ASCII.
 FRAME_END = "P*M\x18\x00\x00\x00\x00"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DIGEST = re.compile(r"[A-Z2-7]{32}")
 NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
@@ -42,8 +48,9 @@ class WarcConfig:
     revisit_min_bytes: int = 0
     level: int = 3
     dict_bytes: int = 32 << 10
-    #: Pages that the dictionary is trained on, by a hash of the id.
+    #: Pages that the dictionary is trained on, by a hash, and characters of each.
     dict_pages: int = 400
+    dict_chars: int = 16_384
     date: str = "2024-01-01T00:00:00Z"
 
 
@@ -56,10 +63,15 @@ def payload_digest(payload: bytes) -> str:
 
 
 def train_dictionary(pages: DataFrame, config: WarcConfig) -> bytes:
-    """A Zstandard dictionary from a bounded sample of pages; empty where there is too little to learn from."""
+    """A Zstandard dictionary from the starts of a bounded sample of pages; empty where there is too little to learn from.
+
+    The sample is chosen by hashes alone, so that tasks send no pages but the chosen ones.
+    """
     import zstandard
 
-    drawn = pages.where(F.length("html") > 0).select("html", F.xxhash64("page_id", "html").alias("h")).orderBy("h").limit(config.dict_pages).collect()
+    hashed = pages.where(F.length("html") > 0).select(F.xxhash64("page_id", "url").alias("h"), "html")
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(config.dict_pages).collect()]
+    drawn = hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.min(F.substring("html", 1, config.dict_chars)).alias("html")).orderBy("h").collect()
     try:
         return zstandard.train_dictionary(config.dict_bytes, [r["html"].encode() for r in drawn]).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -77,7 +89,10 @@ def _id(page_id: int | None) -> str:
 def _page(record_id: str) -> int | None:
     if not (record_id.startswith("<urn:page:") and record_id.endswith(">")):
         raise WarcError(f"record id {record_id!r}")
-    return int(record_id[10:-1]) if record_id[10:-1] else None
+    number = record_id[10:-1]
+    if number and not number.removeprefix("-").isdigit():
+        raise WarcError(f"record id {record_id!r}")
+    return int(number) if number else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, config: WarcConfig) -> bytes:
@@ -97,7 +112,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def _headers(lines: list[bytes]) -> dict[str, str]:
     out = {}
     for line in lines:
-        name, colon, value = line.decode("utf-8").partition(":")
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon or not name.strip() or name != name.strip():
             raise WarcError(f"header line {line[:80]!r}")
         out[name.lower()] = value.strip()
@@ -129,7 +144,11 @@ def parse_record(data: bytes) -> dict:
         raise WarcError(f"status line {status[0][:40]!r}")
     http = _headers(status[1:])
     digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    size = int(http.get("content-length", "-1"))
+    if not http.get("content-length", "").isdigit():
+        raise WarcError(f"HTTP Content-Length {http.get('content-length')!r}")
+    size = int(http["content-length"])
+    if not DIGEST.fullmatch(digest):
+        raise WarcError(f"payload digest {digest[:80]!r}")
     if kind == "response" and (len(body) != size or payload_digest(body) != digest):
         raise WarcError("payload differs from its length or digest")
     if kind == "revisit" and (body or "warc-refers-to" not in head):
@@ -218,6 +237,15 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return files.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """Revisits whose response is missing or has another digest or length: what no record shows by itself."""
+    responses = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).dropDuplicates()
+    same = (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
+    revisits = records.where("record_type = 'revisit'")
+    good = revisits.join(responses, "refers_to").where(same).select("page_id", "refers_to").distinct()
+    return revisits.join(good, ["page_id", "refers_to"], "left_anti").select(*records.columns)
+
+
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)

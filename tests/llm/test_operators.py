@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arcwarden.llm import chat, decontam, forest, htmltext, langid, linededup, minhash, mixing, quality, warc
 
@@ -39,6 +40,22 @@ def test_langid_held_out(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
 
 
+def test_langid_rejects(spark):
+    """Shuffled letters, a language that wasn't learned and texts of next to nothing go; texts of the corpus stay."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(frame)
+    kept = langid.identify_language(frame.where("length(text) > 200 and lang is not null"), model)
+    assert kept.where("rejected").count() <= 0.02 * kept.count()
+    rng = np.random.default_rng(1)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), 400)) for _ in range(20)]
+    dutch = "Het was een mooie dag en de jongens liepen langs het water naar huis, waar hun moeder met het eten op hen wachtte"
+    polish = "Wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw, sa oni obdarzeni rozumem i sumieniem"
+    out = [langid.predict_text(model, t) for t in (*junk, dutch, polish)]
+    assert all(r[2] for r in out), out
+    repeated = docs(spark, [(1, "the cat sat on the mat " * 9, "en"), (2, "le chat est sur la table " * 9, "fr")] * 200)
+    assert len(langid._sample(repeated, langid.LangIdConfig())) < 12
+
+
 def test_line_dedup(spark):
     line = "A line of more than twenty signs"
     rows = [(1, f"x\n{line}\ny"), (2, f" {line.upper()} \n{line}"), (3, f"{line}\n\n{line}"), (9, None), (8, ""), (None, line), (2, f" {line.upper()} \n{line}"), (7, "short\nshort"), (6, "short"), (5, "short")]
@@ -52,12 +69,36 @@ def test_line_dedup_runs_agree(spark):
     """Many batches and compactions give what one batch gives."""
     rng = np.random.default_rng(1)
     rows = [(int(k), "\n".join(f"line number {rng.integers(40)} of the common stock" for _ in range(6))) for k in range(120)]
-    one = linededup.LineDedupConfig(least_batches=1)
-    many = linededup.LineDedupConfig(least_batches=9, fan_in=2)
+    one = linededup.LineDedupConfig(batches=1)
+    many = linededup.LineDedupConfig(batches=7, part_lines=50)
     a, b = (sorted(map(tuple, linededup.dedup_lines(docs(spark, rows), c).select("doc_id", "text", "n_dropped").collect())) for c in (one, many))
     assert a == b and sum(r[2] for r in a) > 0
 
 
+def test_line_runs_stay_where_they_lie(spark):
+    """Merging runs and meeting them with a batch moves no run: the plans' exchanges are the batch's own."""
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    lines = linededup.stored(linededup.line_table(docs(spark, [(k, f"a line of enough letters, number {k % 5}\nanother line of enough letters {k}") for k in range(40)]), linededup.LineDedupConfig()), "lines")
+    runs = linededup.Runs(spark, 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for k in range(3):
+            runs.add(linededup._news(lines.where(f"doc_id % 3 = {k}"), runs, linededup.LineDedupConfig()))
+        plans = []
+        for df in (linededup._merged(*runs.all()), linededup._news(lines, runs, linededup.LineDedupConfig())):
+            with redirect_stdout(StringIO()) as said:
+                df.explain()
+            plans.append(said.getvalue())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        runs.drop()
+    assert "Exchange" not in plans[0], plans[0]
+    assert "SortMergeJoin" in plans[1] and "Exchange" not in plans[1].split("Bucketed: true", 1)[1], plans[1]
+    assert "HashAggregate" in plans[1].split("Exchange")[1], plans[1]
+
+
 def near_brute(rows, width=4):
     sets = []
     for k, t, *_ in rows:
@@ -316,6 +357,70 @@ def test_html_after_unclosed_skipped(name):
     assert htmltext.main_text(f"<head><title>x</title><meta charset=a>{ARTICLE}") == want
 
 
+def page_truth(page):
+    """The article's text, by patterns; pages of the small tables have one article without boilerplate inside."""
+    import html
+    import re
+
+    inner = re.search(r"<article>(.*?)</article>", page or "", re.S)
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?p>|<br>|</?h1>", " ", inner[1]))).split()) if inner else ""
+
+
+def test_op4_query(spark):
+    """The registered query on the small tables against the patterns."""
+    want = {(r["page_id"], t, len(t)) for r in spark.read.parquet(f"{SF}/pages.parquet").collect() for t in [page_truth(r["html"])]}
+    assert {(r["page_id"], " ".join(r["text"].split()), r["n_chars"]) for r in htmltext.op4_htmltext(spark, SF).collect()} == want
+
+
+def test_html_cut_decides(spark):
+    """On pages without telling elements, of sites that taught nothing, the cut mends the classifier's labels on many pages and spoils none."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host = F.crc32(F.split_part("url", F.lit("/"), F.lit(3))) % 2
+    weights, config = htmltext.fit(pages.where(host == 0)), htmltext.CutConfig()
+    assert dict(zip(htmltext.FEATURES, weights, strict=True))["links"] != config.start["links"]
+    better = worse = n = 0
+    for r in pages.where(host == 1).collect():
+        plain = re.sub(r"<(/?)(article|nav|footer|p|h1|li|ul)>", r"<\1div>", r["html"].replace(' class="ad"', ""))
+        truth, found = [bool(b.bits & htmltext.ARTICLE) for b in htmltext.blocks(r["html"])], htmltext.blocks(plain)
+        if len(found) != len(truth):
+            continue
+        costs = htmltext.block_costs(found, weights)
+        right = lambda labels: sum(a == b for a, b in zip(labels, truth, strict=True))  # noqa: B023, E731
+        cut, alone = right(htmltext.min_cut(costs, htmltext.block_edges(found, config))), right([c > 0 for c in costs])
+        better, worse, n = better + (cut > alone), worse + (cut < alone), n + 1
+    assert n > 80 and better >= 0.1 * n and not worse
+
+
+STORY = "<h1>Big news</h1><p>First part of the story, told at length, with commas and a full stop.</p><p>Yes.</p><p>Second part, longer than the first one, goes on and on here.</p>"
+STORY_TEXT = "Big news First part of the story, told at length, with commas and a full stop. Yes. Second part, longer than the first one, goes on and on here."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form action=/x><div><nav><a href=/>Home</a></nav><article>{STORY}</article></div><label>Name</label><input></form></body>",
+        "<body><article><header>" + STORY.replace("</h1>", "</h1></header>") + "</article></body>",
+        f"<body class='has-sidebar with-header'><div class='content with-sidebar'><main>{STORY}</main></div><div class=sidebar><p>Other things that you may like, one and two.</p></div></body>",
+        f"<body><article>{STORY}</article><div id=comments><article class=comment-body><p>I read it all, said a reader, and it was long.</p></article></div></body>",
+        f"<body><form class=search><p>Find what you like, all of it, in here.</p></form><article>{STORY}</article><form id=newsletter><p>Join us, it is free, and it is fun for all.</p></form></body>",
+        f"<div role=navigation><p>Go to this place, or to that place, as you like.</p></div><div role=main>{STORY}</div>",
+    ],
+)
+def test_html_wrappers(page):
+    assert htmltext.main_text(page) == STORY_TEXT
+
+
+def test_html_depth_takes_linear_time():
+    import time
+
+    start = time.time()
+    for page in ("<div>" * 50_000 + "x y. " * 20, "<p>" * 20_000 + "<x>" * 20_000 + "</p>" * 20_000 + "end", "<div>" * 30_000 + "</x>" * 30_000, "<center>" * 20_000 + "<p>a" * 20_000):
+        htmltext.main_text(page)
+    assert time.time() - start < 60
+
+
 def test_min_cut_is_least():
     rng = np.random.default_rng(4)
     for _ in range(60):
@@ -349,6 +454,12 @@ def test_warc(spark):
     want = sorted((str(k), len((h or "").encode()), b32(h), {3: 1, 5: 2}.get(k)) for k, _, h in pages)
     assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in found) == want
     assert {r["record_type"] for r in found if r["refers_to"]} == {"revisit"} and next(r["payload"] for r in found if r["page_id"] == 4).decode() == LONG
+    records = warc.read_archives(spark, path)
+    assert warc.broken_revisits(records).count() == 0 and warc.broken_revisits(records.where("record_type = 'revisit'")).count() == 2
+    clashing = frame.selectExpr("page_id", "url", "html", "'x' as frame", "1 as key", "2 as n", "3 as first", "4 as refers_to")
+    clash = warc.fresh_path(spark, "warc")
+    warc.write_archives(clashing, clash)
+    assert warc.read_archives(spark, clash).count() == len(pages)
     empty = warc.fresh_path(spark, "warc")
     warc.write_archives(frame.where("false"), empty)
     assert warc.read_archives(spark, empty).count() == 0
@@ -357,7 +468,7 @@ def test_warc(spark):
 def test_warc_reader_checks():
     good = warc.record(1, "http://a", b"payload", None, warc.WarcConfig())
     assert warc.parse_record(good)["payload"] == b"payload"
-    for bad in (good[:-1], good.replace(b"WARC/1.1", b"WARC/9.9"), good.replace(b"payload", b"payl0ad"), good.replace(b"WARC-Date", b"X-Date"), good.replace(b"Content-Length: 7", b"Content-Length: 6"), b"junk"):
+    for bad in (good[:-1], good.replace(b"WARC/1.1", b"WARC/9.9"), good.replace(b"payload", b"payl0ad"), good.replace(b"WARC-Date", b"X-Date"), good.replace(b"Content-Length: 7", b"Content-Length: 6"), good.replace(b"Content-Length: 7", b"Content-Length: x"), good.replace(b"sha1:", b"md5:"), good.replace(b"urn:page:1", b"urn:page:y"), b"junk"):
         with pytest.raises(warc.WarcError):
             warc.parse_record(bad)
     import zstandard
