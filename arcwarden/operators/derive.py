@@ -137,25 +137,29 @@ def best_edges(edges: DataFrame) -> DataFrame:
 
 
 def fixpoint(edges: DataFrame, nodes: DataFrame, config: DeriveConfig = DeriveConfig()) -> DataFrame:
-    """The derived edges of ``edges`` under the rules, promotions and takeovers, with all columns of the loop."""
+    """The derived edges of ``edges`` under the rules, promotions and takeovers, with all columns of the loop.
+
+    A round makes offers from what the last one changed, and one grouped pass over all edges and offers keeps the best of each
+    key, marks what is new or better, and is stored. Fails if ``max_rounds`` don't reach the end.
+    """
     types = stored(nodes.select("node_id", "node_type").dropDuplicates(["node_id"]), "types")
     special = config.takeovers and not is_empty(types.where(F.col("node_type").isin(*CONTAINER_TYPES, "Tenant")))
-    known = stored(best_edges(normalized(edges)), "edges")
-    fresh = known
+    known = stored(best_edges(normalized(edges)).withColumn("fresh", F.lit(True)), "edges")
     for step in range(config.max_rounds):
-        made = join_rules(fresh, known, config)
+        fresh, every = known.where("fresh").drop("fresh"), known.drop("fresh")
+        made = join_rules(fresh, every, config)
         if step:
-            made = made.unionByName(join_rules(known, fresh, config))
+            made = made.unionByName(join_rules(every.join(fresh.select("edge_id"), "edge_id", "left_anti").select(*COLUMNS), fresh, config))
         made = made.unionByName(promotions(fresh, types, config))
         if special:
             made = made.unionByName(account_takeover(fresh, types)).unionByName(tenant_takeover(fresh, types))
-        old = known.select(*KEY, F.col("nature").alias("old_nature"), F.col("weight").alias("old_weight"), state_rank(F.col("state")).alias("old_rank"))
-        better = F.col("old_nature").isNull() | (F.col("old_nature") == "derived") & ((F.col("weight") < F.col("old_weight")) | (F.col("weight") == F.col("old_weight")) & (state_rank(F.col("state")) > F.col("old_rank")))
-        fresh = stored(best_edges(made).join(old, KEY, "left").where(better).select(*COLUMNS), "fresh")
-        if is_empty(fresh):
-            break
-        known = stored(known.join(fresh.select(*KEY), KEY, "left_anti").select(*COLUMNS).unionByName(fresh), "edges")
-    return known.where("nature = 'derived'")
+        offers = best_edges(made).withColumn("fresh", F.lit(True)).unionByName(every.withColumn("fresh", F.lit(False)))
+        order = F.struct((F.col("nature") == "derived").alias("d"), "weight", (-state_rank(F.col("state"))).alias("r"), "fresh")
+        rest = [c for c in COLUMNS if c not in KEY]
+        known = stored(offers.groupBy(*KEY).agg(F.min_by(F.struct(*rest, "fresh"), order).alias("e")).select(*KEY, "e.*").select(*COLUMNS, "fresh"), "edges")
+        if is_empty(known.where("fresh")):
+            return known.where("nature = 'derived'").drop("fresh")
+    raise RuntimeError(f"the derivation isn't finished after {config.max_rounds} rounds")
 
 
 def derived_chain(derived: DataFrame, edges: DataFrame) -> DataFrame:

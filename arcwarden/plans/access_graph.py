@@ -1,4 +1,4 @@
-"""An access graph derived from the sales tables: customers assume suppliers, suppliers assume suppliers and read parts.
+"""An access graph derived from the whole sales tables: customers assume suppliers, suppliers assume suppliers and read parts.
 
 Every registered graph query runs on it, so that its work grows with the tables.
 """
@@ -31,23 +31,37 @@ def access_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("*", F.lit(None).cast("string").alias("arn"), F.lit(None).cast("string").alias("attributes"))
 
 
+def _top(df: DataFrame, by: list[str], pick: str, score: str) -> DataFrame:
+    """For each group the ``pick`` of the highest score, the smallest one where several have it."""
+    return df.groupBy(*by).agg(F.max_by(pick, F.struct(F.col(score), -F.col(pick))).alias(pick))
+
+
 def access_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explicit edges: edge_id, type, source, target, scope, state, weight, confidence, nature, provider, relationship_kind."""
+    """Explicit edges: edge_id, type, source, target, scope, state, weight, confidence, nature, provider, relationship_kind.
+
+    From all orders and line items: a customer assumes the supplier of most of its goods (ACTIVE), and that of its largest
+    single line (CONDITIONAL, if it is another one); a supplier assumes the one of a quarter of its number; a supplier reads,
+    of each type of part, the part that it delivers most.
+    """
     customer, supplier, orders, lineitem = (read_table(spark, sf_dir, t) for t in ("customer", "supplier", "orders", "lineitem"))
     s_id = supplier.select("s_suppkey", _id(F.col("s_nationkey"), "demo:iam:role", F.col("s_suppkey")).alias("supplier_id"))
     c_id = customer.select("c_custkey", _id(F.col("c_nationkey"), "demo:crm:customer", F.col("c_custkey")).alias("customer_id"))
-    first_lines = lineitem.where("l_linenumber = 1").select("l_orderkey", "l_suppkey", "l_quantity")
-    tenth = orders.where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey")
-    bought = tenth.join(first_lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.max("l_quantity").alias("q"))
-    assume = bought.join(c_id, F.col("o_custkey") == F.col("c_custkey")).join(s_id, F.col("l_suppkey") == F.col("s_suppkey"))
-    assume = assume.select(F.lit("CanAssume").alias("type"), F.col("customer_id").alias("source"), F.col("supplier_id").alias("target"), F.when(F.col("q") > 25, F.lit("ACTIVE")).otherwise(F.lit("CONDITIONAL")).alias("state"), F.lit(1.0).alias("weight"), F.lit(0.9).alias("confidence"), F.lit("AUTHORIZATION").alias("relationship_kind"))
-    n = supplier.count()
-    to = s_id.select(F.col("s_suppkey").alias("to_key"), F.col("supplier_id").alias("target"))
-    chain = s_id.where("s_suppkey % 3 = 0").withColumn("to_key", (F.col("s_suppkey") * 7) % n + 1).join(to, "to_key")
-    chain = chain.select(F.lit("CanAssume").alias("type"), F.col("supplier_id").alias("source"), "target", F.lit("ACTIVE").alias("state"), F.lit(1.0).alias("weight"), F.lit(1.0).alias("confidence"), F.lit("AUTHORIZATION").alias("relationship_kind"))
-    reads = lineitem.where("l_partkey % 20 = 0").select("l_suppkey", "l_partkey").distinct().join(s_id, F.col("l_suppkey") == F.col("s_suppkey"))
-    reads = reads.select(F.lit("CanReadData").alias("type"), F.col("supplier_id").alias("source"), _id(F.col("l_partkey") % 25, "demo:data:part", F.col("l_partkey")).alias("target"), F.lit("ACTIVE").alias("state"), F.lit(2.0).alias("weight"), F.lit(1.0).alias("confidence"), F.lit("CREDENTIAL").alias("relationship_kind"))
-    edges = assume.unionByName(chain).unionByName(reads)
+    bought = orders.select("o_orderkey", "o_custkey").join(lineitem.select("l_orderkey", "l_suppkey", "l_quantity"), F.col("o_orderkey") == F.col("l_orderkey"))
+    bought = bought.groupBy("o_custkey", "l_suppkey").agg(F.sum("l_quantity").alias("total"), F.max("l_quantity").alias("largest"))
+    mainly = _top(bought, ["o_custkey"], "l_suppkey", "total").withColumn("state", F.lit("ACTIVE"))
+    once = _top(bought, ["o_custkey"], "l_suppkey", "largest").withColumn("state", F.lit("CONDITIONAL"))
+    chosen = mainly.unionByName(once).groupBy("o_custkey", "l_suppkey").agg(F.min("state").alias("state"))
+    assume = chosen.join(c_id, F.col("o_custkey") == F.col("c_custkey")).join(s_id, F.col("l_suppkey") == F.col("s_suppkey"))
+    edge = lambda df, type_, source, target, state, weight, confidence, kind: df.select(F.lit(type_).alias("type"), source.alias("source"), target.alias("target"), state.alias("state"), F.lit(weight).alias("weight"), F.lit(confidence).alias("confidence"), F.lit(kind).alias("relationship_kind"))
+    to = s_id.select(F.col("s_suppkey").alias("to_key"), F.col("supplier_id").alias("to_id"))
+    chain = s_id.withColumn("to_key", F.floor(F.col("s_suppkey") / 4)).join(to, "to_key")
+    sold = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("total")).withColumn("part_type", F.col("l_partkey") % 4)
+    reads = _top(sold, ["l_suppkey", "part_type"], "l_partkey", "total").join(s_id, F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = (
+        edge(assume, "CanAssume", F.col("customer_id"), F.col("supplier_id"), F.col("state"), 1.0, 0.9, "AUTHORIZATION")
+        .unionByName(edge(chain, "CanAssume", F.col("supplier_id"), F.col("to_id"), F.lit("ACTIVE"), 1.0, 1.0, "AUTHORIZATION"))
+        .unionByName(edge(reads, "CanReadData", F.col("supplier_id"), _id(F.col("l_partkey") % 25, "demo:data:part", F.col("l_partkey")), F.lit("ACTIVE"), 2.0, 1.0, "CREDENTIAL"))
+    )
     return edges.select(edge_id("type", "source", "target", F.lit("")).alias("edge_id"), "type", "source", "target", F.lit("").alias("scope"), "state", "weight", "confidence", F.lit("explicit").alias("nature"), F.lit("tpch").alias("provider"), "relationship_kind")
 
 
@@ -60,13 +74,17 @@ nodes AS (
   UNION ALL SELECT 'tpch|' || s_nationkey || '|demo:iam:role|' || s_suppkey, 'Role', s_nationkey::VARCHAR FROM supplier
   UNION ALL SELECT 'tpch|' || (p_partkey % 25) || '|demo:data:part|' || p_partkey, ['Secret', 'ObjectStorage', 'NoSQLDatabase', 'EncryptionKey'][p_partkey % 4 + 1], (p_partkey % 25)::VARCHAR FROM part
 ),
+bought AS (SELECT o_custkey, l_suppkey, sum(l_quantity) AS total, max(l_quantity) AS largest FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
+chosen AS (SELECT o_custkey, l_suppkey, min(state) AS state FROM (
+  SELECT o_custkey, arg_max(l_suppkey, (total, -l_suppkey)) AS l_suppkey, 'ACTIVE' AS state FROM bought GROUP BY o_custkey
+  UNION ALL SELECT o_custkey, arg_max(l_suppkey, (largest, -l_suppkey)), 'CONDITIONAL' FROM bought GROUP BY o_custkey) GROUP BY o_custkey, l_suppkey),
+sold AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS total FROM lineitem GROUP BY ALL),
 raw_edges AS (
-  SELECT 'CanAssume' AS type, c.id AS source, s.id AS target, CASE WHEN b.q > 25 THEN 'ACTIVE' ELSE 'CONDITIONAL' END AS state, 1.0::DOUBLE AS weight, 0.9::DOUBLE AS confidence, 'AUTHORIZATION' AS relationship_kind
-  FROM (SELECT o_custkey, l_suppkey, max(l_quantity) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND o_orderkey % 10 = 0 GROUP BY ALL) b
-  JOIN c_id c ON b.o_custkey = c.c_custkey JOIN s_id s ON b.l_suppkey = s.s_suppkey
-  UNION ALL SELECT 'CanAssume', a.id, b.id, 'ACTIVE', 1.0, 1.0, 'AUTHORIZATION' FROM s_id a JOIN s_id b ON a.s_suppkey % 3 = 0 AND b.s_suppkey = (a.s_suppkey * 7) % (SELECT count(*) FROM supplier) + 1
+  SELECT 'CanAssume' AS type, c.id AS source, s.id AS target, b.state, 1.0::DOUBLE AS weight, 0.9::DOUBLE AS confidence, 'AUTHORIZATION' AS relationship_kind
+  FROM chosen b JOIN c_id c ON b.o_custkey = c.c_custkey JOIN s_id s ON b.l_suppkey = s.s_suppkey
+  UNION ALL SELECT 'CanAssume', a.id, b.id, 'ACTIVE', 1.0, 1.0, 'AUTHORIZATION' FROM s_id a JOIN s_id b ON b.s_suppkey = a.s_suppkey // 4
   UNION ALL SELECT 'CanReadData', s.id, 'tpch|' || (l.l_partkey % 25) || '|demo:data:part|' || l.l_partkey, 'ACTIVE', 2.0, 1.0, 'CREDENTIAL'
-  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 20 = 0) l JOIN s_id s ON l.l_suppkey = s.s_suppkey
+  FROM (SELECT l_suppkey, arg_max(l_partkey, (total, -l_partkey)) AS l_partkey FROM sold GROUP BY l_suppkey, l_partkey % 4) l JOIN s_id s ON l.l_suppkey = s.s_suppkey
 ),
 edges AS (SELECT 'e_' || substr(sha256(type || '|' || source || '|' || target || '|'), 1, 16) AS edge_id, *, '' AS scope, 'explicit' AS nature FROM raw_edges)
 """

@@ -142,30 +142,30 @@ query("traversable_edges", " SELECT edge_id, weight FROM edges WHERE state <> 'C
 query("reaches", walk(START, 40) + f" SELECT DISTINCT node FROM walk WHERE node <> {START}", True)(lambda n, e: T.reaches(e, first_customer(e)))
 query("reached_by", walk(GOAL, 40, False) + f" SELECT DISTINCT node FROM walk WHERE node <> {GOAL}", True)(lambda n, e: T.reached_by(e, last_part(e)))
 query("bfs_within", walk(START, 2) + " SELECT DISTINCT node FROM walk", True)(lambda n, e: T.bfs_within(e, first_customer(e), 2))
-query("bfs_depth", walk(GOAL, 6, False) + " SELECT node, min(d) AS depth FROM walk GROUP BY node", True)(lambda n, e: T.bfs_depth(e, last_part(e), 6, "backward"))
-query("shortest_path", costs(START, 8) + " SELECT node, cost, hops, hops AS n_edges FROM cost WHERE node = (SELECT max(w.node) FROM way w WHERE w.node LIKE '%part%')", True)(
-    lambda n, e: T.shortest_path(e, first_customer(e), T.bfs_within(e, first_customer(e), 8).where("node like '%part%'").groupBy().agg(F.max("node").alias("node")), 8).select("node", "cost", "hops", F.size("edge_ids").alias("n_edges"))
+query("bfs_depth", walk(GOAL, 40, False) + " SELECT node, min(d) AS depth FROM walk GROUP BY node", True)(lambda n, e: T.bfs_depth(e, last_part(e), direction="backward"))
+query("shortest_path", costs(START, 40) + " SELECT node, cost, hops, hops AS n_edges FROM cost WHERE node = (SELECT max(w.node) FROM way w WHERE w.node LIKE '%part%')", True)(
+    lambda n, e: T.shortest_path(e, first_customer(e), T.bfs_within(e, first_customer(e)).where("node like '%part%'").groupBy().agg(F.max("node").alias("node"))).select("node", "cost", "hops", F.size("edge_ids").alias("n_edges"))
 )
-query("shortest_bounded", costs(START, 6) + " SELECT node, cost, hops FROM cost JOIN nodes ON node = node_id WHERE node_type = 'Secret' ORDER BY cost, node LIMIT 1", True)(
-    lambda n, e: T.shortest_bounded(e, first_customer(e), X.resolve_targets(n, "type:Secret"), 6).select("node", "cost", "hops")
+query("shortest_bounded", costs(START, 12) + " SELECT node, cost, hops FROM cost JOIN nodes ON node = node_id WHERE node_type = 'Secret' ORDER BY cost, node LIMIT 1", True)(
+    lambda n, e: T.shortest_bounded(e, first_customer(e), X.resolve_targets(n, "type:Secret")).select("node", "cost", "hops")
 )
-query("shortest_to_each", costs(START, 6) + " SELECT node, cost, hops FROM cost JOIN nodes ON node = node_id WHERE node_type = 'Secret'", True)(
-    lambda n, e: T.shortest_to_each(e, first_customer(e), X.resolve_targets(n, "type:Secret"), 6).select("node", "cost", "hops")
+query("shortest_to_each", costs(START, 12) + " SELECT node, cost, hops FROM cost JOIN nodes ON node = node_id WHERE node_type = 'Secret'", True)(
+    lambda n, e: T.shortest_to_each(e, first_customer(e), X.resolve_targets(n, "type:Secret")).select("node", "cost", "hops")
 )
 
 # Explorations
 
 query("explore_all", " SELECT source AS node FROM edges UNION SELECT target FROM edges")(lambda n, e: X.explore_all(e))
-query("explore_reachable", walk(START, 6) + ", dep AS (SELECT node, min(d) AS d FROM walk GROUP BY node) SELECT e.edge_id, b.d AS layer FROM edges e JOIN dep a ON e.source = a.node JOIN dep b ON e.target = b.node WHERE b.d = a.d + 1", True)(
-    lambda n, e: X.explore_reachable(e, first_customer(e), 6).select("edge_id", "layer")
+query("explore_reachable", walk(START, 12) + ", dep AS (SELECT node, min(d) AS d FROM walk GROUP BY node) SELECT e.edge_id, b.d AS layer FROM edges e JOIN dep a ON e.source = a.node JOIN dep b ON e.target = b.node WHERE b.d = a.d + 1", True)(
+    lambda n, e: X.explore_reachable(e, first_customer(e)).select("edge_id", "layer")
 )
-query("explore_reaches", walk(GOAL, 6, False) + " SELECT edge_id FROM edges WHERE source IN (SELECT node FROM walk) AND target IN (SELECT node FROM walk)", True)(lambda n, e: X.explore_reaches(e, last_part(e), 6).select("edge_id"))
-query("explore_path", walk(START, 6) + f", back(node, d) AS (SELECT node_id, 0 FROM nodes WHERE node_type = 'Secret' UNION SELECT e.source, b.d + 1 FROM back b JOIN edges e ON e.target = b.node WHERE b.d < 6) SELECT edge_id FROM edges WHERE source IN (SELECT node FROM walk) AND target IN (SELECT node FROM back)", True)(
-    lambda n, e: X.explore_path(e, first_customer(e), X.resolve_targets(n, "type:Secret"), 6).select("edge_id")
+query("explore_reaches", walk(GOAL, 12, False) + " SELECT edge_id FROM edges WHERE source IN (SELECT node FROM walk) AND target IN (SELECT node FROM walk)", True)(lambda n, e: X.explore_reaches(e, last_part(e)).select("edge_id"))
+query("explore_path", walk(START, 12) + f", back(node, d) AS (SELECT node_id, 0 FROM nodes WHERE node_type = 'Secret' UNION SELECT e.source, b.d + 1 FROM back b JOIN edges e ON e.target = b.node WHERE b.d < 12) SELECT edge_id FROM edges WHERE source IN (SELECT node FROM walk) AND target IN (SELECT node FROM back)", True)(
+    lambda n, e: X.explore_path(e, first_customer(e), X.resolve_targets(n, "type:Secret")).select("edge_id")
 )
-query("explore_preset", f", src AS (SELECT node_id FROM nodes WHERE node_type IN {PEOPLE} ORDER BY node_id LIMIT 400), way(start, node, d, c) AS (SELECT node_id, node_id, 0, 0.0::DOUBLE FROM src UNION SELECT w.start, e.target, w.d + 1, w.c + e.weight FROM way w JOIN edges e ON e.source = w.node WHERE w.d < 4), "
+query("explore_preset", f", src AS (SELECT node_id FROM nodes WHERE node_type IN {PEOPLE} ORDER BY node_id LIMIT 400), way(start, node, d, c) AS (SELECT node_id, node_id, 0, 0.0::DOUBLE FROM src UNION SELECT w.start, e.target, w.d + 1, w.c + e.weight FROM way w JOIN edges e ON e.source = w.node WHERE w.d < 12), "
       "hit AS (SELECT start, node, min(c) AS cost FROM way JOIN nodes ON node = node_id WHERE node_type IN ('Secret', 'EncryptionKey') GROUP BY start, node) SELECT start, arg_min(node, (cost, node)) AS node, min(cost) AS cost FROM hit GROUP BY start", True)(
-    lambda n, e: X.explore_preset(n, e, "high_value", max_hops=4).select("start", "node", "cost")
+    lambda n, e: X.explore_preset(n, e, "high_value").select("start", "node", "cost")
 )
 query("resolve_targets", " SELECT node_id AS node FROM nodes WHERE node_type = 'Secret'")(lambda n, e: X.resolve_targets(n, "type:Secret"))
 query("admin_identities", f" SELECT DISTINCT node_id AS node FROM nodes JOIN edges ON source = node_id WHERE node_type IN {PEOPLE} AND type = 'CanAssume' AND target LIKE '%role|1%'")(
@@ -185,20 +185,20 @@ query("density_guard", ", ends AS (SELECT source AS x FROM edges UNION SELECT ta
 
 # Exposures, rankings and reports
 
-_EXPOSED = """, x AS (SELECT *, CASE WHEN type = 'CanAssume' THEN 'cross_account' ELSE 'internet' END AS kind FROM edges WHERE split_part(source, '|', 2) = '3')
+_EXPOSED = """, x AS (SELECT *, CASE WHEN type = 'CanAssume' THEN 'cross_account' ELSE 'internet' END AS kind FROM edges)
 SELECT DISTINCT kind, source AS node, CASE kind WHEN 'cross_account' THEN 'medium' ELSE 'high' END AS severity FROM x"""
 
 
 @query("exposures", _EXPOSED)
 def _exposures(nodes, edges):
-    """Edges out of account 3, taken for cross-account trust and internet exposure."""
-    out = edges.where(S.node_account("source") == "3").withColumn("type", F.when(F.col("type") == "CanAssume", "CrossAccountTrust").otherwise("ExposedToInternet"))
+    """Edges taken for cross-account trust and internet exposure."""
+    out = edges.withColumn("type", F.when(F.col("type") == "CanAssume", "CrossAccountTrust").otherwise("ExposedToInternet"))
     return X.exposures(nodes, out).select("kind", "node", "severity")
 
 
 @query("exposure_filter_sort", _EXPOSED.replace("FROM x", "FROM x WHERE kind = 'cross_account'"))
 def _exposure_filter(nodes, edges):
-    out = edges.where(S.node_account("source") == "3").withColumn("type", F.when(F.col("type") == "CanAssume", "CrossAccountTrust").otherwise("ExposedToInternet"))
+    out = edges.withColumn("type", F.when(F.col("type") == "CanAssume", "CrossAccountTrust").otherwise("ExposedToInternet"))
     return X.exposure_filter_sort(X.exposures(nodes, out), kind="cross_account").select("kind", "node", "severity")
 
 
@@ -210,8 +210,8 @@ def _triage(nodes, edges):
     return X.triage_join(items, keyed).select("node", "key", "status")
 
 
-query("report_paths", costs(START, 5) + ", hit AS (SELECT node, cost, hops FROM cost JOIN nodes ON node = node_id WHERE node_type IN ('Secret', 'EncryptionKey') ORDER BY node LIMIT 40) SELECT node, cost, hops FROM hit", True)(
-    lambda n, e: X.report_paths(n, e, first_customer(e), 5).select("node", "cost", "hops")
+query("report_paths", costs(START, 12) + ", hit AS (SELECT node, cost, hops FROM cost JOIN nodes ON node = node_id WHERE node_type IN ('Secret', 'EncryptionKey') ORDER BY node LIMIT 40) SELECT node, cost, hops FROM hit", True)(
+    lambda n, e: X.report_paths(n, e, first_customer(e)).select("node", "cost", "hops")
 )
 query("rank_footholds", f", seed AS (SELECT node_id FROM nodes WHERE node_type IN {PEOPLE}), w(start, node) AS (SELECT node_id, node_id FROM seed UNION SELECT w.start, e.target FROM w JOIN edges e ON e.source = w.node), "
       "r AS (SELECT start, count(*) AS reaches, count(*) FILTER (node_type IN ('Secret', 'EncryptionKey')) AS crown_jewels FROM w JOIN nodes ON node = node_id GROUP BY start) "

@@ -110,7 +110,7 @@ def _nodes(df: DataFrame, provider: str, id_, type_: str, account, arn) -> DataF
 
 @query(
     "aws_permission_edges",
-    """WITH held AS (SELECT l_suppkey AS s, l_partkey AS p, max(l_quantity) AS q FROM lineitem WHERE l_partkey % 20 = 0 GROUP BY ALL)
+    """WITH held AS (SELECT l_suppkey AS s, l_partkey AS p, max(l_quantity) AS q FROM lineitem GROUP BY ALL)
 SELECT 'arn:aws:iam::000000000001:role/r' || s AS source, 'arn:aws:secretsmanager:eu:000000000001:secret:p' || p AS target, CASE WHEN q > 40 THEN 'ACTIVE' ELSE 'CONDITIONAL' END AS state FROM held WHERE s IN (SELECT s_suppkey FROM supplier) AND p IN (SELECT p_partkey FROM part) AND s % 5 <> 0""",
 )
 def _aws(s, d):
@@ -118,7 +118,7 @@ def _aws(s, d):
     supplier, part = read_table(s, d, "supplier"), read_table(s, d, "part")
     role, secret = F.concat(F.lit("arn:aws:iam::000000000001:role/r"), F.col("s_suppkey").cast("string")), F.concat(F.lit("arn:aws:secretsmanager:eu:000000000001:secret:p"), F.col("p_partkey").cast("string"))
     nodes = _nodes(supplier, "aws", F.concat(F.lit("aws|1|aws:iam:role|"), role), "Role", F.lit("1"), role).unionByName(_nodes(part, "aws", F.concat(F.lit("aws|1|aws:secretsmanager:secret|"), secret), "Secret", F.lit("1"), secret))
-    held = read_table(s, d, "lineitem").where("l_partkey % 20 = 0").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+    held = read_table(s, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
     arn = F.concat(F.lit("arn:aws:secretsmanager:eu:000000000001:secret:p"), F.col("l_partkey").cast("string"))
     lists = held.groupBy("l_suppkey").agg(F.collect_list(F.when(F.col("q") > 40, arn)).alias("sure"), F.collect_list(F.when(F.col("q") <= 40, arn)).alias("maybe"))
     read = F.lit("secretsmanager:Get*")
@@ -133,13 +133,13 @@ def _aws(s, d):
 
 @query(
     "gcp_permission_edges",
-    """WITH b AS (SELECT DISTINCT o_custkey AS c, n_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 10 = 0)
+    """WITH b AS (SELECT DISTINCT o_custkey AS c, n_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 SELECT 'gcp|x.example|gcp:iam:user|c' || c || '@x.example' AS source, 'gcp|n' || n || '|gcp:storage:bucket|b' || s_suppkey AS target, t.type FROM b JOIN supplier ON s_nationkey = n, (VALUES ('CanReadData'), ('CanWriteData')) AS t(type)""",
 )
 def _gcp(s, d):
     """Customers with some order hold a storage role on their nation's project, whose buckets are its suppliers."""
     orders, customer, supplier = (read_table(s, d, t) for t in ("orders", "customer", "supplier"))
-    bound = orders.where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("c_custkey")).distinct().join(customer, "c_custkey")
+    bound = orders.select(F.col("o_custkey").alias("c_custkey")).distinct().join(customer, "c_custkey")
     nation = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
     bindings = _facts(bound, "iam_binding", "gcp", F.concat(F.lit("user:c"), F.col("c_custkey").cast("string"), F.lit("@x.example")), nation, F.lit('{"role":"roles/store","level":"project","condition":""}'), "concat('n', cast(c_nationkey as string))")
     roles = _facts(supplier.limit(1), "role_permissions", "gcp", F.lit("roles/store"), F.lit(""), F.lit('{"permissions":["storage.objects.get","storage.objects.create"]}'))
@@ -178,12 +178,12 @@ def _cover(s, d):
 
 @query(
     "azure_permission_edges",
-    """SELECT c_custkey::VARCHAR AS principal, s_suppkey AS k FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN supplier ON s_nationkey = a.n_nationkey WHERE c_custkey % 7 = 0 AND c_custkey % 14 <> 0
+    """SELECT c_custkey::VARCHAR AS principal, s_suppkey AS k FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN supplier ON s_nationkey = a.n_nationkey WHERE c_custkey % 14 <> 0
 UNION ALL SELECT c_custkey::VARCHAR, s_suppkey FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey JOIN supplier ON s_nationkey = b.n_nationkey WHERE c_custkey % 14 = 0""",
 )
 def _azure(s, d):
-    """Every seventh customer reads the secrets of its nation's subscription, every fourteenth those of its region's group."""
-    customer = read_table(s, d, "customer").where("c_custkey % 7 = 0").join(read_table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    """Customers read the secrets of their nation's subscription, every fourteenth those of its region's group."""
+    customer = read_table(s, d, "customer").join(read_table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     scope = F.when(F.col("c_custkey") % 14 == 0, F.concat(F.lit(A.GROUPS + "r"), F.col("n_regionkey").cast("string"))).otherwise(F.concat(F.lit("/subscriptions/n"), F.col("n_nationkey").cast("string")))
     assigned = _facts(customer, "role_assignment", "azure", F.col("c_custkey").cast("string"), scope, F.lit('{"roleDefinitionId":"/x/reader","condition":""}'))
     role = _facts(read_table(s, d, "region").limit(1), "role_definition", "azure", F.lit("/x/reader"), F.lit(""), F.lit('{"actions":[],"notActions":[],"dataActions":["Microsoft.KeyVault/vaults/secrets/getSecret/action"],"notDataActions":[]}'))
@@ -214,13 +214,13 @@ def _merged(s, d):
     return X.merge_scopes([{"facts": facts}, {"facts": facts}])["facts"].select("source")
 
 
-@query("build_base", """SELECT 'PlacedBy' AS type, 'name|o' || o_orderkey AS source, 'tpch|1|crm|c' || o_custkey AS target, 'AUTHORIZATION' AS relationship_kind FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0""")
+@query("build_base", """SELECT 'PlacedBy' AS type, 'name|o' || o_orderkey AS source, 'tpch|1|crm|c' || o_custkey AS target, 'AUTHORIZATION' AS relationship_kind FROM orders JOIN customer ON o_custkey = c_custkey""")
 def _base(s, d):
     """Orders as facts whose target is an inventory node and whose source is none."""
     customer = read_table(s, d, "customer")
     null = F.lit(None).cast("string")
     inventory = customer.select(F.lit("tpch").alias("provider"), F.lit("1").alias("account"), F.expr(SCOPE.format("tpch", "'1'")).alias("scope"), F.lit("crm").alias("resource_type"), F.lit("HumanIdentity").alias("node_type"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("native_id"), null.alias("arn"), null.alias("attributes"))
-    placed = read_table(s, d, "orders").where("o_orderkey % 10 = 0").join(customer.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    placed = read_table(s, d, "orders").join(customer.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
     facts = _facts(placed, "order", "tpch", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.concat(F.lit("tpch|1|crm|c"), F.col("o_custkey").cast("string")), F.lit("{}")).withColumn("edge_hint", F.lit("PlacedBy"))
     return B.build_base(inventory, facts)[1].select("type", "source", "target", "relationship_kind")
 
