@@ -206,10 +206,18 @@ def map_nature(nature: C) -> Column:
 # Patterns
 
 
+#: Stand for a literal ``*`` and ``?`` inside a pattern (private code points, which identifiers don't hold).
+LITERAL_STAR, LITERAL_MARK = "\ue000", "\ue001"
+
+
 def _escaped(pattern: Column) -> Column:
     return F.regexp_replace(pattern, r"([\\\.\[\]\{\}\(\)\+\^\$\|])", r"\\$1")
 
 
+def _literal(pattern: Column) -> Column:
+    return F.translate(pattern, LITERAL_STAR + LITERAL_MARK, "*?")
+
+
 def glob_class(pattern: C) -> Column:
     """``all``, ``exact``, ``prefix``, ``suffix`` or ``general``: most patterns need no regular expression."""
     p = text(pattern)
@@ -224,17 +232,18 @@ def glob_class(pattern: C) -> Column:
 
 
 def glob_match(pattern: C, subject: C, fold: bool = False) -> Column:
-    """Whole-string match: ``*`` any run, ``?`` one character."""
+    """Whole-string match: ``*`` any run, ``?`` one character; signs that ``expand_policy_vars`` made literal stand for themselves."""
     p, s = text(pattern), text(subject)
     if fold:
         p, s = F.lower(p), F.lower(s)
-    regex = F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(_escaped(p), r"\?", "."), r"\*+", ".*"), F.lit("$"))
+    open_ = F.regexp_replace(F.regexp_replace(_escaped(p), r"\?", "."), r"\*+", ".*")
+    regex = F.concat(F.lit("(?s)^"), F.replace(F.replace(open_, F.lit(LITERAL_STAR), F.lit(r"\*")), F.lit(LITERAL_MARK), F.lit(r"\?")), F.lit("$"))
     kind = glob_class(p)
     return (
         F.when(kind == "all", F.lit(True))
-        .when(kind == "exact", p == s)
-        .when(kind == "prefix", F.startswith(s, F.regexp_replace(p, r"\*$", "")))
-        .when(kind == "suffix", F.endswith(s, F.regexp_replace(p, r"^\*", "")))
+        .when(kind == "exact", _literal(p) == s)
+        .when(kind == "prefix", F.startswith(s, _literal(F.regexp_replace(p, r"\*$", ""))))
+        .when(kind == "suffix", F.endswith(s, _literal(F.regexp_replace(p, r"^\*", ""))))
         .otherwise(F.regexp_like(s, regex))
     )
 
@@ -251,12 +260,15 @@ def azure_wildcard_match(pattern: C, action: C) -> Column:
 
 
 def expand_policy_vars(pattern: C, context: dict[str, Column]) -> Column:
-    """``${name}`` replaced from the context (names without case); unknown names leave a pattern that nothing matches."""
+    """``${name}`` replaced from the context (names without case); unknown names leave a pattern that nothing matches.
+
+    ``${*}`` and ``${?}`` become signs that ``glob_match`` takes literally.
+    """
     p = text(pattern)
     for name, value in context.items():
         p = F.regexp_replace(p, F.lit(r"(?i)\$\{" + name.replace(".", r"\.") + r"\}"), F.regexp_replace(text(value), r"([\\$])", r"\\$1"))
     known = F.regexp_replace(p, r"\$\{[*?$]\}", "")
-    literal = F.regexp_replace(p, r"\$\{([*?$])\}", "$1")
+    literal = F.replace(F.replace(F.replace(p, F.lit("${*}"), F.lit(LITERAL_STAR)), F.lit("${?}"), F.lit(LITERAL_MARK)), F.lit("${$}"), F.lit("$"))
     return F.when(F.contains(known, F.lit("${")), F.lit(None).cast("string")).otherwise(literal)
 
 

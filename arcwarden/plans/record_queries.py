@@ -53,9 +53,6 @@ query("norm_identity", "SELECT page_id, trim(regexp_replace(split_part(lower(url
 
 _MARKED = "regexp_matches(text, '(?i)AKIA|ASIA|-----BEGIN|PRIVATE KEY|aws_secret_access_key|password|passwd|xoxb-|xoxp-|ghp_|github_pat_|eyJ')"
 query("credential_pattern", f"SELECT doc_id, {_MARKED} AS hit FROM documents")(lambda s, d: read_table(s, d, "documents").select("doc_id", T.credential_pattern("text").alias("hit")))
-query("assess", f"SELECT doc_id, {_MARKED} OR source = 'src0' AS hit, CASE WHEN {_MARKED} THEN 0.99 WHEN source = 'src0' THEN 0.75 ELSE 0.2 END::DOUBLE AS confidence FROM documents WHERE text LIKE '% %'")(
-    lambda s, d: read_table(s, d, "documents").where("text like '% %'").select("doc_id", T.assess("text", F.when(F.col("source") == "src0", "secret_value").otherwise("tag")).alias("a")).select("doc_id", "a.hit", "a.confidence")
-)
 query("fingerprint", "SELECT doc_id, 'sha256:' || substr(sha256('pepper' || text), 1, 16) || ' len=' || octet_length(encode(text)) || ' …' || right(text, 4) AS value_ref FROM documents")(
     lambda s, d: read_table(s, d, "documents").select("doc_id", T.fingerprint("text", "pepper").alias("value_ref"))
 )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from arcwarden.plans import graph_queries, record_queries
+from arcwarden.plans import graph_queries, record_queries, value_queries
 
-QUERIES = {**graph_queries.QUERIES, **record_queries.QUERIES}
-ORACLE = {**graph_queries.ORACLE, **record_queries.ORACLE}
+_MODULES = (graph_queries, record_queries, value_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
 entry = graph_queries.entry_query

@@ -86,4 +86,4 @@ def test_values(ask):
     assert ask(S.preview(F.lit(" a \n b "), 10)) == "a b" and ask(S.preview(F.lit("abcdef"), 3)) == "abc…"
     assert ask(S.parse_condition_date(F.lit("2024-01-01T00:00:00Z"))).year == 2024 and ask(S.parse_condition_date(F.lit("0"))).year == 1970 and ask(S.parse_condition_date(F.lit("soon"))) is None
     known = {"aws:username": F.lit("jo")}
-    assert ask(S.expand_policy_vars(F.lit("home/${aws:username}/${*}"), known)) == "home/jo/*" and ask(S.expand_policy_vars(F.lit("${other}"), known)) is None
+    assert ask(S.glob_match(S.expand_policy_vars(F.lit("home/${aws:username}/${*}"), known), F.lit("home/jo/*"))) and not ask(S.glob_match(S.expand_policy_vars(F.lit("home/${aws:username}/${*}"), known), F.lit("home/jo/x"))) and ask(S.expand_policy_vars(F.lit("${other}"), known)) is None
