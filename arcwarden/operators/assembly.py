@@ -11,7 +11,7 @@ from arcwarden.operators.azure import azure_permission_edges
 from arcwarden.operators.base_graph import build_base
 from arcwarden.operators.derive import DeriveConfig, fixpoint
 from arcwarden.operators.gcp import foothold_node, gcp_permission_edges
-from arcwarden.tables import is_empty, stored
+from arcwarden.tables import is_empty, small, stored
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def merge_edges(edges: DataFrame) -> DataFrame:
 
 def vocab_conformance(edges: DataFrame, nodes: DataFrame, edge_types: DataFrame, node_types: DataFrame) -> DataFrame:
     """``(part, name, n)`` of edge and node types that the vocabularies don't have."""
-    bad_edges = edges.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).join(F.broadcast(edge_types.select("name")), "name", "left_anti")
-    bad_nodes = nodes.groupBy(text("node_type").alias("name")).agg(F.count("*").alias("n")).join(F.broadcast(node_types.select("name")), "name", "left_anti")
+    bad_edges = edges.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).join(small(edge_types.select("name").distinct()), "name", "left_anti")
+    bad_nodes = nodes.groupBy(text("node_type").alias("name")).agg(F.count("*").alias("n")).join(small(node_types.select("name").distinct()), "name", "left_anti")
     return bad_edges.select(F.lit("edge_type").alias("part"), "name", "n").unionByName(bad_nodes.select(F.lit("node_type").alias("part"), "name", "n"))
 
 
@@ -48,11 +48,13 @@ def mark_footholds(nodes: DataFrame, callers: DataFrame) -> DataFrame:
     native = nodes.select(F.substring_index("node_id", "|", -1).alias("caller"), "node_id").union(nodes.where(text("arn") != "").select("arn", "node_id"))
     exact = named.join(native, "caller").groupBy("caller").agg(F.min("node_id").alias("node_id"))
     rest = named.join(exact, "caller", "left_anti")
-    part = F.broadcast(rest).join(nodes.where(text("arn") != "").select("arn", "node_id"), F.contains("arn", "caller")).groupBy("caller").agg(F.min("node_id").alias("node_id"))
+    rest, arns = stored(rest, "callers"), nodes.where(text("arn") != "").select("arn", "node_id")
+    part = arns.join(small(rest), F.contains("arn", "caller")).groupBy("caller").agg(F.min("node_id").alias("node_id"))
     found = exact.unionByName(part)
     made = foothold_node(F.col("caller"))
     new = rest.join(part, "caller", "left_anti").where(F.col("caller").endswith("gserviceaccount.com")).select(made.alias("n"), "caller").select("n.node_id", "n.node_type", F.lit("gcp").alias("provider"), F.split_part("n.node_id", F.lit("|"), F.lit(2)).alias("account"), F.col("caller").alias("arn"), F.lit(True).alias("foothold"))
-    marked = nodes.join(F.broadcast(found.select("node_id").distinct().withColumn("foothold", F.lit(True))), "node_id", "left").withColumn("foothold", F.coalesce("foothold", F.lit(False)))
+    feet = stored(found.select("node_id").distinct(), "footholds").withColumn("foothold", F.lit(True))
+    marked = nodes.join(small(feet), "node_id", "left").withColumn("foothold", F.coalesce("foothold", F.lit(False)))
     return marked.unionByName(new.dropDuplicates(["node_id"]), allowMissingColumns=True)
 
 

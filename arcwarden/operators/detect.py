@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from arcwarden.catalog import CREDENTIAL_MARKERS, HARD_LOCATIONS
 from arcwarden.functions.scalars import C, shannon_entropy, text
+from arcwarden.tables import small, stored
 
 
 def path_steps(path: str) -> list[list[str]]:
@@ -85,22 +86,34 @@ def surface_gate(sites: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sites.where(readable), sites.where(~F.coalesce(readable, F.lit(False)))
 
 
+def _all_values(body: Column, steps: Column) -> Column:
+    """Scalars at a path given as an array of steps: one walk for all paths, each step chosen by its word."""
+
+    def step(nodes: Column, word: Column) -> Column:
+        held = lambda n: F.from_json(n, "map<string,string>")
+        into = lambda n: (
+            F.when(word == "[]", F.when(n.startswith("["), F.from_json(n, "array<string>")))
+            .when(word.startswith("<"), F.when(n.startswith("{"), F.map_values(held(n))))
+            .otherwise(F.when(n.startswith("{"), F.array(F.try_element_at(held(n), word))))
+        )
+        found = F.flatten(F.transform(nodes, lambda n: F.coalesce(into(n), F.array().cast("array<string>"))))
+        return F.filter(found, lambda n: n.isNotNull())
+
+    every = F.aggregate(steps, F.array(body), step)
+    return F.filter(every, lambda v: (F.trim(v) != "") & ~v.rlike(r"^\s*[\{\[]"))
+
+
 def detect_sensitive(responses: DataFrame, sites: DataFrame, salt: str = "") -> DataFrame:
     """Findings of ``responses(operation, resource_type, resource_id, body)`` at ``sites(site_id, operation, resource_type, response_path,
-    location, location_kind, emits_hint, severity)``; sites are configuration, read once to compile their paths."""
-    rows = sites.collect()
-    parts = []
-    for path in sorted({r["response_path"] for r in rows if r["response_path"]}):
-        here = F.broadcast(sites.where(F.col("response_path") == path))
-        met = extract_path(responses.join(here, ["operation", "resource_type"]), "body", path)
-        parts.append(met.withColumn("a", assess("value", "location_kind")).where("a.hit"))
-    schema = ["site_id", "resource_id", "location", "emits_hint", "severity", "confidence", "value_ref"]
-    if not parts:
-        return responses.sparkSession.createDataFrame([], ", ".join(f"{c} {'double' if c == 'confidence' else 'string'}" for c in schema))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.select("site_id", "resource_id", "location", "emits_hint", "severity", F.col("a.confidence").alias("confidence"), fingerprint("value", salt).alias("value_ref")).distinct()
+    location, location_kind, emits_hint, severity)``. Responses are scanned once, however many paths the sites have: a site's path
+    is a column of steps, and each response walks those of its own operation and type."""
+    paths = sites.select("response_path").where(text("response_path") != "").distinct()
+    words = F.transform(F.split("response_path", "/"), lambda p: F.flatten(F.transform(F.filter(F.split(F.trim(p), r"\."), lambda w: F.trim(w) != ""), lambda w: F.filter(F.array(F.regexp_replace(F.trim(w), r"\[\]$", ""), F.when(F.trim(w).endswith("[]"), "[]")), lambda x: x.isNotNull() & (x != "")))))
+    alternatives = paths.withColumn("steps", F.explode(words)).where(F.size("steps") > 0)
+    looked = stored(sites.join(alternatives, "response_path"), "sites")
+    met = responses.join(small(looked), ["operation", "resource_type"]).withColumn("value", F.explode(_all_values(F.col("body"), F.col("steps"))))
+    hits = met.withColumn("a", assess("value", "location_kind")).where("a.hit")
+    return hits.select("site_id", "resource_id", "location", "emits_hint", "severity", F.col("a.confidence").alias("confidence"), fingerprint("value", salt).alias("value_ref")).distinct()
 
 
 def site_outcomes(sites: DataFrame, responses: DataFrame, inventory_types: DataFrame, findings: DataFrame, errors: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arcwarden.functions.scalars import blank, json_text, text
 from arcwarden.operators.detect import _walk
+from arcwarden.tables import small, stored
 
 FACT = ["kind", "edge_hint", "provider", "scope", "source", "target", "attributes"]
 
@@ -55,7 +56,7 @@ def _object(names: Column, record: Column) -> Column:
 def normalize_inventory(records: DataFrame, registry: DataFrame) -> DataFrame:
     """Artifacts of ``records(resource_type, scope, operation, record)`` by the registry's fields; ``__account`` overrides the account."""
     cfg = registry.select("resource_type", "node_type", F.col("enumerate.id_field").alias("id_field"), F.col("enumerate.arn_field").alias("arn_field"), F.coalesce("enumerate.attributes", F.array().cast("array<string>")).alias("fields"))
-    met = records.join(F.broadcast(cfg), "resource_type").withColumn("held", F.from_json("record", "map<string,string>"))
+    met = records.join(small(stored(cfg, "registry")), "resource_type").withColumn("held", F.from_json("record", "map<string,string>"))
     pick = lambda c: F.try_element_at("held", F.col(c))
     account = F.coalesce(F.try_element_at("held", F.lit("__account")), F.col("scope.account"))
     rows = met.select(F.col("scope.provider").alias("provider"), account.alias("account"), "scope", "resource_type", "node_type", pick("id_field").alias("native_id"), text(pick("arn_field")).alias("arn"), F.to_json(_object(F.col("fields"), F.col("record"))).alias("attributes"), F.array("operation").alias("collected_by"))
@@ -164,7 +165,8 @@ def extract_member_of(raw: DataFrame, op: str = "transitiveMembers") -> DataFram
 def extract_network_rules(raw: DataFrame) -> DataFrame:
     """Ingress of security groups from ranges and groups, peerings, and routes with a gateway."""
     perms = _op(raw, "securityGroups").withColumn("p", F.explode(items("body", "IpPermissions")))
-    peers = F.concat(*[F.transform(items("p", k), lambda x, f=f: F.get_json_object(x, f"$.{f}")) for k, f in (("IpRanges", "CidrIp"), ("Ipv6Ranges", "CidrIpv6"), ("UserIdGroupPairs", "GroupId"))])
+    field = lambda f: lambda x: F.get_json_object(x, f"$.{f}")
+    peers = F.concat(*[F.transform(items("p", k), field(f)) for k, f in (("IpRanges", "CidrIp"), ("Ipv6Ranges", "CidrIpv6"), ("UserIdGroupPairs", "GroupId"))])
     rules = _fact(perms.withColumn("peer", F.explode(peers)), "network_rule", "CanReachPort", F.col("peer"), get("body", "GroupId"), protocol=text(get("p", "IpProtocol")), from_port=get("p", "FromPort").cast("int"), to_port=get("p", "ToPort").cast("int"))
     peering = _fact(_op(raw, "peering"), "peering", "PeeredWith", text(get("body", "RequesterVpcInfo.VpcId")), text(get("body", "AccepterVpcInfo.VpcId")))
     first = lambda *ks: F.coalesce(*[F.nullif(get("r", k), F.lit("")) for k in ks])
@@ -205,15 +207,16 @@ def extract_scps(raw: DataFrame, op: str = "organizationPolicies") -> DataFrame:
 def plan_coverage(registry: DataFrame, scopes: DataFrame) -> DataFrame:
     """Expected tasks of ``registry(resource_type, scope, operation)``: regional types in each region, global types once for each account."""
     spots = scopes.select("provider", "account", "region").distinct()
-    regional = F.broadcast(registry.where("scope = 'regional'")).join(spots.where(~blank("region")))
-    globally = F.broadcast(registry.where("scope != 'regional'")).join(spots.select("provider", "account").distinct()).withColumn("region", F.lit("global"))
+    tasks = stored(registry.select("resource_type", "scope", "operation"), "registry")
+    regional = spots.where(~blank("region")).join(small(tasks.where("scope = 'regional'")))
+    globally = spots.select("provider", "account").distinct().join(small(tasks.where("scope != 'regional'"))).withColumn("region", F.lit("global"))
     cols = ["provider", "account", "region", "resource_type", "operation"]
     both = regional.select(*cols).unionByName(globally.select(*cols))
     return both.withColumn("task_id", F.concat_ws("/", F.concat_ws(":", "provider", "account", "region"), "resource_type", "operation"))
 
 
 def merge_scopes(frames: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """Bundles as one: facts and findings once, by their JSON; inventory once by id; ledgers after one another."""
+    """Bundles as one: facts and findings once, by their JSON; inventory once by id, the row of the smallest content; ledgers after one another."""
 
     def joined(name: str) -> DataFrame:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f[name] for f in frames if name in f])
@@ -224,7 +227,9 @@ def merge_scopes(frames: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
         if name in ("facts", "findings", "surfaces"):
             df = df.withColumn("_j", F.to_json(F.struct(*df.columns))).dropDuplicates(["_j"]).drop("_j")
         elif name == "inventory":
-            df = df.dropDuplicates(["provider", "account", "resource_type", "native_id"])
+            key = ["provider", "account", "resource_type", "native_id"]
+            rest = [c for c in df.columns if c not in key]
+            df = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_r")).select(*key, "_r.*").select(*df.columns)
         out[name] = df
     return out
 
