@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from arcwarden.catalog import AWS_CAPABILITIES, AWS_SERVICE_OVERRIDES, PRINCIPAL_TYPES
 from arcwarden.functions.scalars import account_of, blank, edge_id, glob_class, service_of_resource
 from arcwarden.operators import policy as P
-from arcwarden.tables import config_frame, stored
+from arcwarden.tables import config_frame, small, stored
 
 ACTIONS = [c[1] for c in AWS_CAPABILITIES]
 PAIR = ["principal", "action", "target_arn"]
@@ -109,7 +109,7 @@ def _resource_allows(policies: Policies, resources: DataFrame, people: DataFrame
     at = rows.join(resources.select("action", "target_arn").distinct(), ["action", "target_arn"]).where(P.statement_resource_match("target_arn"))
     plain = ~F.col("public") & F.forall("principals", lambda p: glob_class(p) == "exact")
     named = at.where(plain).withColumn("principal", F.explode(F.array_distinct("principals"))).where(~F.col("principal").endswith(":root")).join(people.select("principal"), "principal", "left_semi")
-    loose = at.where(~plain).withColumn("one", F.lit(1)).join(people.select("principal", F.lit(1).alias("one")), "one").where(P.principal_match_direct("principal")).drop("one")
+    loose = people.select("principal").join(small(stored(at.where(~plain), "loose")), P.principal_match_direct("principal"))
     return allowed_by(_tri(named.unionByName(loose.select(*named.columns))))
 
 
@@ -149,12 +149,29 @@ def boundary_gate(pairs: DataFrame, policies: Policies) -> DataFrame:
     return free.select(*pairs.columns).unionByName(pairs.join(fine, PAIR, "left_semi").select(*pairs.columns))
 
 
+def _key_principals(grants: DataFrame, people: DataFrame) -> DataFrame:
+    """Grants with each principal that they name (``names``) or whose account's root they name (``root``).
+
+    Names meet principals by equality, roots meet accounts; only grants to everyone or to a pattern are compared with all.
+    """
+    flags = lambda df, names: df.withColumn("names", F.lit(names)).withColumn("root", F.lit(not names))
+    own = grants.columns
+    each = grants.withColumn("p", F.explode(F.array_distinct("principals")))
+    rooted = F.col("p").endswith(":root") | F.col("p").rlike("^[0-9]{12}$")
+    exact = each.where(~rooted & (glob_class("p") == "exact")).withColumn("principal", F.col("p")).join(people.select("principal").distinct(), "principal", "left_semi")
+    roots = each.where(rooted).select(*own, account_of("p").alias("of")).distinct().join(people.select("principal", account_of("principal").alias("of")).distinct(), "of")
+    open_ = grants.where(F.col("public") | F.exists("principals", lambda x: ~x.endswith(":root") & (glob_class(x) != "exact")))
+    loose = people.select("principal").distinct().join(small(stored(open_, "loose")), P.principal_match_direct("principal"))
+    columns = ["principal", *own]
+    return flags(exact.select(*columns), True).unionByName(flags(roots.select(*columns), False)).unionByName(flags(loose.select(*columns), True))
+
+
 def kms_decision(identity: DataFrame, policies: Policies, resources: DataFrame, people: DataFrame) -> DataFrame:
     """Pairs of ``kms:`` actions: direct grants of the key policy, delegation to IAM, or an unknown key policy."""
     keys = policies.of("resource_policy")
     grants = _matched(keys.where(P.allows() & ~P.has_condition_key("conditions", "kms:viaservice"))).where("action like 'kms:%'")
     grants = grants.select(F.col("source").alias("target_arn"), *STATEMENT).join(resources.select("action", "target_arn").distinct(), ["action", "target_arn"])
-    met = grants.withColumn("one", F.lit(1)).join(people.select("principal", F.lit(1).alias("one")), "one").drop("one").withColumn("names", P.principal_match_direct("principal")).withColumn("root", P.principal_names_root(account_of("principal"))).where("names or root")
+    met = _key_principals(grants, people)
     tri = _tri(met)
     by_key = tri.groupBy(*PAIR).agg(
         F.max(F.col("names") & (F.col("tri") == 0)).alias("direct"), F.max(F.col("names") & (F.col("tri") == 1)).alias("maybe"), F.max("root").alias("root"),

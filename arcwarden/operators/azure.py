@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from arcwarden.catalog import AZURE_CAPABILITIES
 from arcwarden.functions.scalars import azure_wildcard_match, blank, edge_id, fact_id, json_text, last_seg, rg_scope_of, role_def_key, sub_of, text
 from arcwarden.operators.grants import GRANTED, dedup_upgrade
-from arcwarden.tables import config_frame, is_empty, stored
+from arcwarden.tables import config_frame, is_empty, small, stored
 
 GROUPS = "/providers/Microsoft.Management/managementGroups/"
 TENANT = "azure|tenant|azure:entra:tenant|tenant"
@@ -118,7 +118,7 @@ def scope_cover(scopes: DataFrame, nodes: DataFrame, closure: DataFrame) -> Data
     groups = scopes.where(F.col("scope").startswith(GROUPS)).withColumn("mg", F.substring("scope", len(GROUPS) + 1, 1 << 20))
     known = closure.select("mg").distinct()
     by_group = groups.join(closure, "mg").join(ids.select("node_id", sub_of("arn").alias("subscription")).where("subscription != ''"), "subscription").select("scope", "node_id")
-    unknown = groups.join(known, "mg", "left_anti").withColumn("one", F.lit(1)).join(ids.select("node_id", F.lit(1).alias("one")), "one").select("scope", "node_id")
+    unknown = ids.select("node_id").join(small(stored(groups.join(known, "mg", "left_anti").select("scope"), "unknown"))).select("scope", "node_id")
     return by_prefix.unionByName(by_group).unionByName(unknown).distinct()
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from arcwarden.catalog import CHAIN, CONTAINER_TYPES, IDENTITY_TYPES, PROMOTIONS, RULES, SAME_SOURCE, SAME_TARGET
 from arcwarden.functions.scalars import edge_id, node_account, text
-from arcwarden.tables import config_frame, is_empty, stored
+from arcwarden.tables import config_frame, is_empty, small, stored
 
 KEY = ["type", "source", "target", "scope"]
 COLUMNS = ["edge_id", *KEY, "relationship_kind", "nature", "provider", "state", "confidence", "weight", "permissions", "conditions", "derived_from", "rule_id"]
@@ -123,9 +123,9 @@ def account_takeover(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def tenant_takeover(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Who controls a tenant controls its subscriptions, and escalates to every identity. Meets all nodes of these two kinds."""
-    held = _controllers(edges, nodes, ("Tenant",)).withColumn("one", F.lit(1))
-    reach = nodes.where(F.col("node_type").isin("Subscription", *IDENTITY_TYPES)).select("node_id", "node_type", F.lit(1).alias("one"))
-    pairs = held.join(reach, "one").where(F.col("node_id") != F.col("source"))
+    held = stored(_controllers(edges, nodes, ("Tenant",)), "held")
+    reach = nodes.where(F.col("node_type").isin("Subscription", *IDENTITY_TYPES)).select("node_id", "node_type")
+    pairs = reach.join(small(held), F.col("node_id") != F.col("source"))
     return _taken(pairs.where("node_type = 'Subscription'"), *_CONTROL).unionByName(_taken(pairs.where("node_type != 'Subscription'"), *_ESCALATE))
 
 

@@ -255,8 +255,14 @@ def _redact(s, d):
     return n(out["nodes"], "nodes").join(n(out["edges"], "edges")).join(n(audit["leaks"], "leaks")).join(n(audit["shape"], "shape"))
 
 
-@query("scrub_text")
+_LOOKS = R.ANY_PATTERN.replace("'", "''")
+
+
+@query("scrub_text", f"SELECT doc_id, regexp_matches(coalesce(text, ''), '{_LOOKS}') AS changed, 0 AS left_over FROM documents")
 def _scrub(s, d):
-    """Texts of documents with what looks like an identifier replaced; there is nothing registered."""
-    scrub = R.Scrubber(SALT, {})
-    return read_table(s, d, "documents").select("doc_id", F.sha2(R.scrub_text(F.col("text"), scrub), 256).alias("sha256"))
+    """Texts of documents with all that looks like an identifier replaced: which ones changed, and how many identifiers of the mapping are left in them."""
+    docs = read_table(s, d, "documents").select("doc_id", "text")
+    mapping = R.identifier_map(R.register_texts(docs, "text"), SALT)
+    scrubbed = stored(R.scrub_columns(docs.withColumn("before", F.col("text")), mapping, ("text",)), "scrubbed")
+    again = scrubbed.select("doc_id", F.explode(F.regexp_extract_all(S.text("text"), F.lit(R.ANY_PATTERN), F.lit(0))).alias("real")).join(mapping, "real", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return scrubbed.join(again, "doc_id", "left").select("doc_id", (S.text("before") != S.text("text")).alias("changed"), F.coalesce("n", F.lit(0)).cast("int").alias("left_over"))
