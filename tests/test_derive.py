@@ -40,4 +40,4 @@ def test_walks_with_cycles(spark):
     near = T.shortest_path(given, one("a"), one("d"), 2).first()
     assert (near["cost"], near["hops"]) == (6.0, 2) and T.shortest_path(given, one("d"), one("a")).count() == 0
     assert {(r["node"], r["depth"]) for r in T.bfs_depth(given, one("a")).collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
-    assert T.traversable_edges(given, conditional=False).count() == 4
+    assert T.traversable_edges(given, conditional=False, attack_only=False).count() == 4
