@@ -59,6 +59,8 @@ def test_langid_rejects(spark):
 def test_line_dedup(spark):
     line = "A line of more than twenty signs"
     rows = [(1, f"x\n{line}\ny"), (2, f" {line.upper()} \n{line}"), (3, f"{line}\n\n{line}"), (9, None), (8, ""), (None, line), (2, f" {line.upper()} \n{line}"), (7, "short\nshort"), (6, "short"), (5, "short")]
+    long = linededup.dedup_lines(docs(spark, [*rows, (77, "\n".join(f"{line} {k}" for k in range(20_000)) + f"\n{line}")])).where("doc_id in (3, 77)").select("doc_id", "n_lines", "n_dropped").collect()
+    assert sorted(map(tuple, long)) == [(3, 3, 2), (77, 20_001, 0)]
     out = linededup.dedup_lines(docs(spark, rows))
     found = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()}
     assert found == {1: ("x\ny", 3, 1), 2: ("", 2, 2), 3: (f"{line}\n\n{line}", 3, 0), 9: (None, 1, 0), 8: ("", 1, 0), None: (line, 1, 0), 7: ("short\nshort", 2, 0), 6: ("short", 1, 0), 5: ("short", 1, 0)}
@@ -155,10 +157,13 @@ def brute_leak(text, item, window=13, percent=80):
     if len(i) < 5:
         return bool(i) and d == i
     width = min(window, len(i))
-    for s in range(len(i) - width + 1):
-        for t in range(len(d) - width + 1):
-            if 100 * sum(a == b for a, b in zip(i[s : s + width], d[t : t + width], strict=True)) >= percent * width:
-                return True
+    known = {w: k for k, w in enumerate(dict.fromkeys(i))}
+    d, i = np.array([known.get(w, -1) for w in d]), np.array([known[w] for w in i])
+    for shift in range(width - len(i), len(d) - width + 1):  # every way to lay the item over the text
+        low, high = max(0, shift), min(len(d), shift + len(i))
+        same = (d[low:high] == i[low - shift : high - shift]).astype(int)
+        if high - low >= width and 100 * np.convolve(same, np.ones(width, int), "valid").max() >= percent * width:
+            return True
     return False
 
 
@@ -444,6 +449,61 @@ def test_quality(spark):
     assert {round(r["doc_score"], 6) for r in none} == {0.5} and quality.classify_quality(frame.where("false"), labels).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    """Posteriors of sites and sections recomputed from the documents' evidence; a site of one document has the global mean."""
+    rng = np.random.default_rng(3)
+    text = lambda bad: "BUY!! NOW!! " * int(rng.integers(2, 9)) if bad else " ".join(rng.choice(WORDS, int(rng.integers(5, 40)))).capitalize() + "."
+    rows = [(k, f"s{k % 5}" if k % 11 else None, f"p{k % 3}", text(rng.random() < 0.15 * (k % 5)), "x", 1.0) for k in range(300)] + [(900, "lonely", None, text(True), "x", 1.0), (901, "long", "p", LONG, "x", 1.0), (902, "s1", "p1", None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, site string, section string, text string, quality string, doc_score double")
+    labels = spark.createDataFrame([(k, int("!!" not in (t or ""))) for k, _, _, t, *_ in rows if k % 2], "doc_id long, quality int")
+    found = {r["doc_id"]: r for r in quality.classify_quality(frame, labels).collect()}
+    assert len(found) == len(rows)
+    score = {k: r["doc_score"] for k, r in found.items()}
+    mu = np.mean(list(score.values()))
+
+    def groups(key):
+        out = {}
+        for k, site, section, *_ in rows:
+            out.setdefault(key(site, section), []).append(score[k])
+        return {g: (len(v), sum(v)) for g, v in out.items()}
+
+    def strength(stats):
+        n, mean, prior = (np.array(x) for x in zip(*stats, strict=True))
+        within = (n * prior * (1 - prior)).sum() / n.sum()
+        between = max((n * (mean - prior) ** 2).sum() / n.sum() - (prior * (1 - prior)).sum() / n.sum(), within / 1e6)
+        return min(1e6, max(1.0, within / between - 1))
+
+    sites, sections = groups(lambda a, b: a), groups(lambda a, b: (a, b))
+    k1 = strength([(n, t / n, mu) for n, t in sites.values()])
+    k2 = strength([(n, t / n, (sites[a][1] + k1 * mu) / (sites[a][0] + k1)) for (a, _), (n, t) in sections.items()])
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    for k, site, section, *_ in rows:
+        n1, t1, n2, t2 = *sites[site], *sections[site, section]
+        above = (t1 - score[k] + k1 * mu) / (n1 - 1 + k1)
+        own = (t2 - score[k] + k2 * above) / (n2 - 1 + k2)
+        assert found[k]["site_posterior"] == pytest.approx(above) and found[k]["section_posterior"] == pytest.approx(own)
+        assert found[k]["quality"] == pytest.approx(1 / (1 + np.exp(-(logit(score[k]) - logit(mu) + logit(own)))))
+    assert found[900]["site_posterior"] == pytest.approx(mu)
+    spread = lambda name: np.std([found[k][name] for k in found])
+    assert spread("site_posterior") < np.std([t / n for n, t in sites.values()])
+
+
+def test_clashing_columns(spark):
+    """Columns that carry the names of outputs and of inner steps change nothing."""
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ho")], "conv_id long, turn long, role string, text string")
+    more = turns.selectExpr("*", "1 as turns", "2 as formatted", "3 as loss_mask", "4 as t")
+    assert chat.format_chats(more).collect() == chat.format_chats(turns).collect()
+    rng = np.random.default_rng(7)
+    vectors = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=8)]) for k in range(60)], "vec_id long, embedding array<double>")
+    extra = vectors.selectExpr("*", "1 as v", "2 as shard", "3 as block", "4 as rank", "5 as score", "6 as query_id", "7 as dim")
+    found = lambda df: sorted(map(tuple, forest.nearest(df, df.where("vec_id % 20 = 0")).collect()))
+    assert found(extra) == found(vectors)
+    bench = spark.createDataFrame([(1, " ".join(WORDS))], "item_id long, text string")
+    rows = docs(spark, [(1, " ".join(WORDS)), (2, "clean")]).selectExpr("*", "1 as seg", "2 as keys", "3 as item_id", "4 as h")
+    kept = decontam.drop_contaminated(rows, bench.selectExpr("*", "1 as tokens", "2 as at"))
+    assert kept.columns == rows.columns and [r["doc_id"] for r in kept.collect()] == [2]
+
+
 def test_warc(spark):
     pages = [(3, "http://a", "same"), (1, "http://b/é x", "same"), (5, None, None), (2, "u\r\nX: y", ""), (4, "http://c", LONG), (None, "http://d", "same"), (1, "http://b", "same")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
@@ -535,8 +595,11 @@ def test_pipeline_against_brute_force(spark):
 
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
-    identified = c.identify(spark, rows, SF)
-    assert len(ids(identified)) >= 0.98 * rows.count()
+    identified = c.common.stored(c.identify(spark, rows, SF), "t")
+    model = langid.fit(rows)
+    assert ids(identified) == {r["doc_id"] for r in rows.collect() if not langid.predict_text(model, r["text"])[2]} and len(ids(identified)) >= 0.98 * rows.count()
+    junk = rows.withColumn("text", F.lit("qzx vkj wqzxk jvqx zkqw xjvz qqzk vxwk jzqv kxzw")).withColumn("lang", F.lit(None).cast("string"))
+    assert c.identify(spark, junk.unionByName(rows), SF).count() == identified.count()
     lined = c.common.stored(c.drop_lines(spark, identified, SF), "t")
     assert lined.columns == rows.columns and ids(lined) == ids(identified) and lined.where("n_chars != length(text)").count() == 0
     texts = [(r["doc_id"], r["text"]) for r in lined.collect()]
@@ -547,8 +610,16 @@ def test_pipeline_against_brute_force(spark):
     words = [set(plain_words(i)) for i in items]
     leaks = {k for k, t in texts if k in ids(single) for i, w in zip(items, words, strict=True) if len(w & set(plain_words(t))) >= 8 and brute_leak(t, i)}
     assert ids(clean) == ids(single) - leaks
-    mixed = c.mix(spark, clean, SF)
-    assert ids(mixed) <= ids(clean) and mixed.where("copy > 3").count() == 0
+    kept = [(r["doc_id"], len((r["text"] or "").encode().split()), r["source"]) for r in clean.collect()]
+    want = {s: [x for x in taken if x] for s, (_, taken) in mix_brute(kept).items()}
+    taken = {}
+    for r in c.mix(spark, clean, SF).collect():
+        assert 1 <= r["copy"] <= r["copies"] <= 3
+        taken.setdefault((r["source"], r["doc_id"]), []).append(len(r["text"].encode().split()))
+    got = {}
+    for (source, _), sizes in taken.items():
+        got.setdefault(source, []).append(sum(sizes))
+    assert {s: sorted(v) for s, v in got.items()} == {s: v for s, v in want.items() if v}
 
 
 def test_contract_digests(spark):
