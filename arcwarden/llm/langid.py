@@ -21,6 +21,7 @@ of the input that carry an output's name are replaced.
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,8 +52,10 @@ class LangIdConfig:
     reject_cap: float = 0.5
     #: Buckets of a training row, characters of a calibration text that are shuffled, and word counts of its short pieces.
     most_features: int = 2048
-    junk_chars: int = 20_000
+    junk_chars: int = 800
     pieces: tuple[int, ...] = (1, 3, 10)
+    #: Every so many calibration texts one is shuffled.
+    junk_every: int = 4
     #: Characters handled at once, which bounds memory on very long texts.
     chunk: int = 1 << 20
     seed: int = 7
@@ -120,7 +123,11 @@ def _commonest(text: str, config: LangIdConfig) -> tuple[bytes, bytes, int]:
     if len(index) > config.most_features:
         top = np.sort(np.argsort(-share, kind="stable")[: config.most_features])
         index, share = index[top], share[top] / share[top].sum()
-    return index.tobytes(), share.tobytes(), sum(map(len, subword_buckets(text, config)))
+    return index.astype(_index_type(config)).tobytes(), share.tobytes(), sum(map(len, subword_buckets(text, config)))
+
+
+def _index_type(config: LangIdConfig) -> type:
+    return np.uint16 if config.buckets <= 1 << 16 else np.uint32
 
 
 def _shuffled(text: str, config: LangIdConfig) -> str:
@@ -156,13 +163,15 @@ def _sample(docs: DataFrame, config: LangIdConfig) -> list:
                 if fold == 1:
                     first = text.split(None, max(config.pieces))[: max(config.pieces)]
                     rows += [(doc, lang, PIECE, *_commonest(" ".join(first[:k]), config)) for k in config.pieces if k < len(first)]
-                    rows.append((doc, lang, JUNK, *_commonest(_shuffled(text, config), config)))
+                    if zlib.crc32(text[: config.junk_chars].encode()) % config.junk_every == 0:
+                        rows.append((doc, lang, JUNK, *_commonest(_shuffled(text, config), config)))
             types = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, types, strict=True)], ["doc_id", "lang", "kind", "index", "share", "n"])
 
     columns = drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int").alias("fold"), "text")
     rows = columns.mapInArrow(featurise, "doc_id long, lang string, kind int, index binary, share binary, n long").dropDuplicates().collect()
-    return sorted(((r["doc_id"], r["lang"], r["kind"], np.frombuffer(r["index"], np.int32), np.frombuffer(r["share"], np.float32), r["n"]) for r in rows if len(r["index"])), key=lambda r: (r[0], r[1], r[2], r[5], r[3].tobytes(), r[4].tobytes()))
+    own = [(r["doc_id"], r["lang"], r["kind"], np.frombuffer(r["index"], _index_type(config)), np.frombuffer(r["share"], np.float32), r["n"]) for r in rows if len(r["index"])]
+    return sorted(own, key=lambda r: (r[0], r[1], r[2], r[5], zlib.crc32(r[3]), zlib.crc32(r[4])))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
