@@ -169,8 +169,11 @@ def _sample(docs: DataFrame, config: LangIdConfig) -> list:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, types, strict=True)], ["doc_id", "lang", "kind", "index", "share", "n"])
 
     columns = drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int").alias("fold"), "text")
-    rows = columns.mapInArrow(featurise, "doc_id long, lang string, kind int, index binary, share binary, n long").dropDuplicates().collect()
-    own = [(r["doc_id"], r["lang"], r["kind"], np.frombuffer(r["index"], _index_type(config)), np.frombuffer(r["share"], np.float32), r["n"]) for r in rows if len(r["index"])]
+    featurised = columns.mapInArrow(featurise, "doc_id long, lang string, kind int, index binary, share binary, n long").dropDuplicates()
+    found = featurised.where(F.length("index") > 0).toArrow()  # in Arrow's buffers, which the arrays below look into
+    index = (np.frombuffer(v.as_buffer(), _index_type(config)) for v in found["index"])
+    share = (np.frombuffer(v.as_buffer(), np.float32) for v in found["share"])
+    own = zip(*(found[k].to_pylist() for k in ("doc_id", "lang", "kind")), index, share, found["n"].to_pylist(), strict=True)
     return sorted(own, key=lambda r: (r[0], r[1], r[2], r[5], zlib.crc32(r[3]), zlib.crc32(r[4])))
 
 
