@@ -42,3 +42,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components ``labels`` (stored) after further ``edges``: the rounds run over edges between components only."""
+    moved = labels.where("node != component")
+    between = edges.select("a", "b")
+    for end in ("a", "b"):
+        own = moved.select(F.col("node").alias(end), "component")
+        between = between.join(maybe_broadcast(own), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    found = stored(components(between), "joined")
+    up = found.where("node != component").select(F.col("node").alias("component"), F.col("component").alias("_up"))
+    old = labels.join(maybe_broadcast(up), "component", "left").select("node", F.coalesce("_up", "component").alias("component"))
+    return old.union(found.join(labels.select("node"), "node", "left_anti").select("node", "component"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcwarden.llm.common import byte_word_ids, maybe_broadcast, mix64, small_batches, stored, table, without_ids
-from arcwarden.llm.components import components
+from arcwarden.llm.components import components, joined
 
 
 @dataclass(frozen=True)
@@ -260,8 +260,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
         last = step == config.star_rounds
         more = stored(confirmed(_block_pairs(several, reps, sets, config) if last else _star(several), sets, config), "links")
         if more.limit(1).count():
-            links = links.union(more)
-            labels = stored(components(links), "components")
+            labels = stored(joined(labels, more), "components")
     named = classed.join(maybe_broadcast(labels.where("node != component")), F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

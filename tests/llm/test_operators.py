@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arcwarden.llm import chat, decontam, forest, htmltext, langid, linededup, minhash, mixing, quality, warc
+from arcwarden.llm import chat, components, decontam, forest, htmltext, langid, linededup, minhash, mixing, quality, warc
+from arcwarden.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, score double, n_lines long, size string"
@@ -114,6 +115,25 @@ def near_brute(rows, width=4):
     return {k: (len(s), label[k]) for k, s in sets}
 
 
+def test_joined_components(spark):
+    rng = np.random.default_rng(3)
+    first = [*[(k, k + 1) for k in range(20, 24)], *rng.integers(0, 60, (20, 2)).tolist()]
+    later = [(70, 5), (24, 80), (80, 81), (90, 91), (33, 33), *rng.integers(0, 60, (8, 2)).tolist()]
+    edges = lambda rows: stored(spark.createDataFrame(rows, "a long, b long"), "edges")
+    root = {}
+    for a, b in [*first, *later]:
+        low, high = sorted((root.get(a, a), root.get(b, b)))
+        root |= {a: low, b: low} if a != b else {}
+        root |= {n: low for n, r in root.items() if r == high}
+    for rows in ([], later):
+        joined = components.joined(stored(components.components(edges(first)), "labels"), edges(rows))
+        got = [tuple(r) for r in joined.select("node", "component").collect()]
+        assert len(got) == len({n for n, _ in got})
+        plain = {tuple(r) for r in components.components(edges(first + rows)).select("node", "component").collect()}
+        assert set(got) == plain
+    assert plain == set(root.items())
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(2)
     rows = [(1000, None), (1001, ""), (1002, "one two"), (1003, "ONE\ttwo"), (1004, LONG), (1005, LONG + " end")]
