@@ -8,6 +8,7 @@ from arcwarden.llm.forest import op9_forest
 from arcwarden.llm.htmltext import op4_htmltext
 from arcwarden.llm.langid import op1_langid
 from arcwarden.llm.linededup import OP10_SQL, op10_linededup
+from arcwarden.llm.merkle import OP13_SQL, op13_merkle
 from arcwarden.llm.minhash import OP7_SQL, op7_minhash
 from arcwarden.llm.mixing import OP2_SQL, op2_mixing
 from arcwarden.llm.quality import op5_quality
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_forest": op9_forest,
     "op10_linededup": op10_linededup,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL = {
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op7_minhash": OP7_SQL,
     "op8_chat": OP8_SQL,
     "op10_linededup": OP10_SQL,
+    "op13_merkle": OP13_SQL,
 }
