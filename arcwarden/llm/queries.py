@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from arcwarden.llm.chat import OP8_SQL, op8_chat
 from arcwarden.llm.decontam import op3_decontam
+from arcwarden.llm.divergence import OP12_SQL, op12_divergence
 from arcwarden.llm.forest import op9_forest
 from arcwarden.llm.htmltext import op4_htmltext
 from arcwarden.llm.langid import op1_langid
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_forest": op9_forest,
     "op10_linededup": op10_linededup,
+    "op12_divergence": op12_divergence,
     "op13_merkle": op13_merkle,
 }
 
@@ -34,5 +36,6 @@ ORACLE_SQL = {
     "op7_minhash": OP7_SQL,
     "op8_chat": OP8_SQL,
     "op10_linededup": OP10_SQL,
+    "op12_divergence": OP12_SQL,
     "op13_merkle": OP13_SQL,
 }
