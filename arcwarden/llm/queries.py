@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from arcwarden.llm.bpe import op11_bpe
 from arcwarden.llm.chat import OP8_SQL, op8_chat
 from arcwarden.llm.decontam import op3_decontam
 from arcwarden.llm.divergence import OP12_SQL, op12_divergence
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_forest": op9_forest,
     "op10_linededup": op10_linededup,
+    "op11_bpe": op11_bpe,
     "op12_divergence": op12_divergence,
     "op13_merkle": op13_merkle,
 }
