@@ -440,13 +440,13 @@ query("token_for", "SELECT count(*) AS n, count(DISTINCT c_name) AS tokens, 0 AS
 
 
 def renamed(s, d) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """The graph with customers' names, and an output in which every seventh kept it."""
+    """The graph with customers' names, and an output in which every seventh kept it, inside a longer word."""
     nodes = stored(access_nodes(s, d).where("node_type = 'HumanIdentity'").withColumn("arn", F.concat(F.lit("person-"), F.substring_index("node_id", "|", -1))), "nodes")
-    hidden = F.when(F.substring_index("arn", "-", -1).cast("long") % 7 != 0, F.lit("hidden")).otherwise(F.concat(F.lit("see "), "arn", F.lit("!")))
+    hidden = F.when(F.substring_index("arn", "-", -1).cast("long") % 7 != 0, F.lit("hidden")).otherwise(F.concat(F.lit("see_"), "arn", F.lit("x")))
     return {"nodes": nodes.select(F.col("arn").alias("name"), "node_type")}, {"nodes": nodes.select(hidden.alias("name"), "node_type")}
 
 
-query("leak_audit", "SELECT 'nodes' AS file, 'person-' || c_custkey AS token FROM customer WHERE c_custkey % 7 = 0")(lambda s, d: R.leak_audit(*renamed(s, d)))
+query("leak_audit", "SELECT DISTINCT 'nodes' AS file, 'person-' || a.c_custkey AS token FROM customer a JOIN customer b ON b.c_custkey % 7 = 0 AND contains('see_person-' || b.c_custkey || 'x', 'person-' || a.c_custkey)")(lambda s, d: R.leak_audit(*renamed(s, d)))
 
 
 @query("isomorphism_check", f"WITH {GRAPH_SQL} SELECT 'count' AS problem, 'edges' AS key, count(*) AS n_before, count(*) FILTER (type <> 'CanReadData') AS n_after FROM edges UNION ALL SELECT 'edge_type', 'CanReadData', count(*), NULL FROM edges WHERE type = 'CanReadData'")

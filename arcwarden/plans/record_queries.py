@@ -263,6 +263,30 @@ def _scrub(s, d):
     """Texts of documents with all that looks like an identifier replaced: which ones changed, and how many identifiers of the mapping are left in them."""
     docs = read_table(s, d, "documents").select("doc_id", "text")
     mapping = R.identifier_map(R.register_texts(docs, "text"), SALT)
-    scrubbed = stored(R.scrub_columns(docs.withColumn("before", F.col("text")), mapping, ("text",)), "scrubbed")
+    scrubbed = stored(R.scrub_known(docs.withColumn("before", F.col("text")), mapping, ("text",)), "scrubbed")
     again = scrubbed.select("doc_id", F.explode(F.regexp_extract_all(S.text("text"), F.lit(R.ANY_PATTERN), F.lit(0))).alias("real")).join(mapping, "real", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
     return scrubbed.join(again, "doc_id", "left").select("doc_id", (S.text("before") != S.text("text")).alias("changed"), F.coalesce("n", F.lit(0)).cast("int").alias("left_over"))
+
+
+@query("scrub_residual", f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{_LOOKS}')) AS looked, regexp_matches(coalesce(text, ''), '{_LOOKS}') AS changed, 0 AS left_over FROM documents")
+def _residual(s, d):
+    """Texts of documents swept of what looks like an identifier: how much did, which texts changed, and how much of it still stands."""
+    docs = read_table(s, d, "documents").select("doc_id", "text")
+    looks = lambda c: F.regexp_extract_all(S.text(c), F.lit(R.ANY_PATTERN), F.lit(0))
+    swept = stored(R.scrub_residual(docs.withColumn("before", F.col("text")), SALT, "text"), "swept")
+    return swept.select("doc_id", F.size(looks("before")).cast("long").alias("looked"), (S.text("before") != S.text("text")).alias("changed"), F.size(F.array_intersect(looks("before"), looks("text"))).alias("left_over"))
+
+
+#: A customer's nation and region inside longer words, overlapping, and in the other case.
+_GLUED = "concat('x', n_name, 'y_', n_name, substr(r_name, 2), ' ', lower(n_name), '/', c_name, r_name, 'N ', substr(n_name, 2), n_name)"
+
+
+@query("scrub_known", f"""WITH known AS (SELECT n_name AS real, '<n' || n_nationkey || '>' AS fake FROM nation UNION ALL SELECT r_name, '<r' || r_regionkey || '>' FROM region),
+subs AS (SELECT list(real || '=' || fake ORDER BY length(real) DESC, real) AS pairs FROM known)
+SELECT c_custkey, list_reduce(list_prepend({_GLUED}, pairs), lambda said, pair: replace(said, split_part(pair, '=', 1), split_part(pair, '=', 2))) AS said
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, subs""")
+def _known(s, d):
+    nation, region = read_table(s, d, "nation"), read_table(s, d, "region")
+    mapping = nation.selectExpr("n_name AS real", "concat('<n', n_nationkey, '>') AS fake").unionByName(region.selectExpr("r_name AS real", "concat('<r', r_regionkey, '>') AS fake"))
+    people = read_table(s, d, "customer").join(nation, F.expr("c_nationkey = n_nationkey")).join(region, F.expr("n_regionkey = r_regionkey"))
+    return R.scrub_known(people.select("c_custkey", F.expr(_GLUED).alias("said")), mapping, ("said",))
