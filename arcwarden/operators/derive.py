@@ -1,14 +1,18 @@
 """Composition of edges to a fixpoint with a configurable rule table.
 
 Rounds are semi-naive: only edges that are new or better than in the last round meet the others. Both edges of a rule are
-first matched with the broadcast rule table, so each geometry is one equi-join on (rule, node). Every round is stored in the
-shared folder; the loop ends when a round brings nothing better. A derived edge is better by less weight, then by state;
-ties go to the smaller rule and history, so results don't depend on the order of rows.
+first matched with the broadcast rule table, so each geometry is one equi-join on (rule, node). A derived edge is better by less
+weight, then by state; ties go to the smaller rule and parents, so results don't depend on the order of rows.
+
+Known edges are a store of runs that only grows: a round writes the edges it found or bettered, and the numbers of those that
+these replace. Runs of like size are merged, so that there are few of them and every row is written a logarithm of times.
+Offers are narrow: they meet the narrow columns of what is known, and only those that win fetch permissions, conditions and
+history from their parents. The loop ends when a round brings nothing better, however many rounds that takes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +30,6 @@ class DeriveConfig:
     rules: tuple = RULES
     promotions: tuple = PROMOTIONS
     takeovers: bool = True
-    max_rounds: int = 200
 
 
 def state_rank(state: Column) -> Column:
@@ -55,22 +58,25 @@ def _from(ids: Column, own: Column) -> Column:
     return F.when(F.size(ids) > 0, ids).otherwise(F.array(own))
 
 
+def _composed(more: dict[str, Column]) -> list[Column]:
+    """The columns of the edge that a rule makes of a pair ``a_*``, ``b_*``, and ``more`` of them."""
+    own = {
+        "type": F.coalesce(F.col("emit"), F.col("b_type")), "source": F.col("a_source"), "target": F.when(F.col("geometry") == SAME_TARGET, F.col("b_source")).otherwise(F.col("b_target")),
+        "scope": F.col("b_scope"), "relationship_kind": F.col("b_relationship_kind"), "nature": F.lit("derived"), "provider": F.col("b_provider"), "state": weakest(F.col("a_state"), F.col("b_state")),
+        "confidence": F.least("a_confidence", "b_confidence") * F.col("prior"), "weight": F.col("a_weight") + F.col("b_weight") + F.col("add"), "rule_id": F.col("rule_id"),
+    }
+    return [c.alias(n) for n, c in {**own, **more}.items()]
+
+
 def compose(pairs: DataFrame) -> DataFrame:
     """The edge that a rule makes of each pair ``a_*``, ``b_*``; needs the rule's columns too."""
-    type_ = F.coalesce(F.col("emit"), F.col("b_type"))
-    target = F.when(F.col("geometry") == SAME_TARGET, F.col("b_source")).otherwise(F.col("b_target"))
-    made = pairs.select(
-        type_.alias("type"), F.col("a_source").alias("source"), target.alias("target"), F.col("b_scope").alias("scope"), F.col("b_relationship_kind").alias("relationship_kind"),
-        F.lit("derived").alias("nature"), F.col("b_provider").alias("provider"), weakest(F.col("a_state"), F.col("b_state")).alias("state"),
-        (F.least("a_confidence", "b_confidence") * F.col("prior")).alias("confidence"), (F.col("a_weight") + F.col("b_weight") + F.col("add")).alias("weight"),
-        F.col("b_permissions").alias("permissions"), F.array_union("a_conditions", "b_conditions").alias("conditions"),
-        F.concat(_from(F.col("a_derived_from"), F.col("a_edge_id")), _from(F.col("b_derived_from"), F.col("b_edge_id"))).alias("derived_from"), "rule_id",
-    )
-    return made.withColumn("edge_id", edge_id(*KEY)).select(*COLUMNS)
+    history = F.concat(_from(F.col("a_derived_from"), F.col("a_edge_id")), _from(F.col("b_derived_from"), F.col("b_edge_id")))
+    wide = {"permissions": F.col("b_permissions"), "conditions": F.array_union("a_conditions", "b_conditions"), "derived_from": history}
+    return pairs.select(*_composed(wide)).withColumn("edge_id", edge_id(*KEY)).select(*COLUMNS)
 
 
-def join_rules(left: DataFrame, right: DataFrame, config: DeriveConfig = DeriveConfig()) -> DataFrame:
-    """All two-edge rules with their first edge from ``left`` and their second from ``right``."""
+def rule_pairs(left: DataFrame, right: DataFrame, config: DeriveConfig) -> DataFrame:
+    """Pairs of edges that some rule joins, as ``a_*`` and ``b_*``, with the rule's columns."""
     spark = left.sparkSession
     firsts = config_frame(spark, [(r, g, t, e, p, w) for r, g, first, _, e, p, w in config.rules for t in first], "rule_id string, geometry string, a_type string, emit string, prior double, add double")
     seconds = config_frame(spark, [(r, g, t) for r, g, _, second, *_ in config.rules for t in second], "rule string, geo string, b_type string")
@@ -78,8 +84,12 @@ def join_rules(left: DataFrame, right: DataFrame, config: DeriveConfig = DeriveC
     a = a.withColumn("at", F.when(F.col("geometry") == SAME_SOURCE, F.col("a_source")).otherwise(F.col("a_target")))
     b = _side(right.drop("rule_id"), "b").join(F.broadcast(seconds), "b_type")
     b = b.withColumn("at", F.when(F.col("geo") == SAME_TARGET, F.col("b_target")).otherwise(F.col("b_source")))
-    met = a.join(b, (a["at"] == b["at"]) & (F.col("rule_id") == F.col("rule")) & (F.col("a_edge_id") != F.col("b_edge_id")))
-    return compose(met.drop("at", "rule", "geo"))
+    return a.join(b, (a["at"] == b["at"]) & (F.col("rule_id") == F.col("rule")) & (F.col("a_edge_id") != F.col("b_edge_id"))).drop("at", "rule", "geo")
+
+
+def join_rules(left: DataFrame, right: DataFrame, config: DeriveConfig = DeriveConfig()) -> DataFrame:
+    """All two-edge rules with their first edge from ``left`` and their second from ``right``."""
+    return compose(rule_pairs(left, right, config))
 
 
 def promotions(edges: DataFrame, nodes: DataFrame, config: DeriveConfig = DeriveConfig()) -> DataFrame:
@@ -136,30 +146,124 @@ def best_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*KEY).agg(F.min_by(F.struct(*rest), order).alias("e")).select(*KEY, "e.*").select(*COLUMNS)
 
 
+#: What offers know of their edges; ``kid`` is the key's hash.
+NARROW = ["kid", "edge_id", *KEY, "relationship_kind", "nature", "provider", "state", "confidence", "weight"]
+#: How an edge gets its permissions and conditions from its parents.
+RULE, PROMOTION, TAKEOVER = "rule", "promotion", "takeover"
+
+
+def _rating() -> Column:
+    return F.struct((F.col("nature") == "derived").alias("d"), "weight", (-state_rank(F.col("state"))).alias("r"))
+
+
+@dataclass
+class EdgeStore:
+    """Edges by runs, with the ``round`` each row was written in, and rows that later ones replaced, as ``gone(kid, round)``."""
+
+    runs: list[tuple[DataFrame, int]] = field(default_factory=list)
+    gone: list[tuple[DataFrame, int]] = field(default_factory=list)
+
+    def rows(self, columns: list[str] | None = None) -> DataFrame | None:
+        """The current rows, with ``round``; only ``columns`` of them are read."""
+        if not self.runs:
+            return None
+        every = None
+        for run, _ in self.runs:
+            own = run if columns is None else run.select(*columns, "round")
+            every = own if every is None else every.unionByName(own)
+        return self._without_gone(every)
+
+    def _without_gone(self, rows: DataFrame) -> DataFrame:
+        for g, n in self.gone:
+            rows = rows.join(small(g, n), ["kid", "round"], "left_anti")
+        return rows
+
+    def add(self, run: DataFrame, n: int) -> None:
+        """One more run (stored); while the run before isn't larger, both become one."""
+        self.runs.append((run, n))
+        while len(self.runs) > 1 and self.runs[-2][1] <= self.runs[-1][1]:
+            (a, m), (b, n) = self.runs[-2:]
+            self.runs[-2:] = [(stored(self._without_gone(a.unionByName(b)), "edges"), m + n)]
+
+    def drop(self, gone: DataFrame, n: int) -> None:
+        """Rows that don't count any longer (a stored table)."""
+        if not n:
+            return
+        self.gone.append((gone, n))
+        if len(self.gone) > 4:
+            every, n = self.gone[0]
+            for g, m in self.gone[1:]:
+                every, n = every.unionByName(g), n + m
+            self.gone = [(stored(every, "gone"), n)]
+
+
+def _rule_offers(left: DataFrame, right: DataFrame, config: DeriveConfig) -> DataFrame:
+    parents = {"a_kid": F.col("a_kid"), "b_kid": F.col("b_kid"), "how": F.lit(RULE)}
+    return rule_pairs(left, right, config).select(*_composed(parents))
+
+
+def _single_offers(made: DataFrame, how: str) -> DataFrame:
+    """Offers of promotions and takeovers: their history is their parent's, by its ``kid``."""
+    return made.select(*KEY, "relationship_kind", "nature", "provider", "state", "confidence", "weight", "rule_id", F.element_at("derived_from", 1).alias("a_kid"), F.lit(None).cast("string").alias("b_kid"), F.lit(how).alias("how"))
+
+
+def _widened(won: DataFrame, n: int, every: DataFrame) -> DataFrame:
+    """The ``n`` offers that won with permissions, conditions and history, from their parents among ``every``."""
+    held = every.select("kid", "edge_id", "permissions", "conditions", "derived_from")
+    for side in ("a", "b"):
+        # no more parents than offers, so both are small if the offers are
+        parents = held.join(small(won.select(F.col(f"{side}_kid").alias("kid")), n), "kid", "left_semi")
+        won = won.join(small(_side(parents, side), n), f"{side}_kid", "left")
+    empty = F.array().cast("array<string>")
+    history = F.concat(_from(F.col("a_derived_from"), F.col("a_edge_id")), F.when(F.col("b_kid").isNotNull(), _from(F.col("b_derived_from"), F.col("b_edge_id"))).otherwise(empty))
+    by = lambda rule, promotion: F.when(F.col("how") == RULE, rule).when(F.col("how") == PROMOTION, promotion).otherwise(empty)
+    wide = {"permissions": by(F.col("b_permissions"), F.col("a_permissions")), "conditions": by(F.array_union("a_conditions", "b_conditions"), F.col("a_conditions")), "derived_from": history}
+    return won.withColumns(wide).withColumn("edge_id", F.col("kid")).select("kid", *COLUMNS)
+
+
 def fixpoint(edges: DataFrame, nodes: DataFrame, config: DeriveConfig = DeriveConfig()) -> DataFrame:
     """The derived edges of ``edges`` under the rules, promotions and takeovers, with all columns of the loop.
 
-    A round makes offers from what the last one changed, and one grouped pass over all edges and offers keeps the best of each
-    key, marks what is new or better, and is stored. Fails if ``max_rounds`` don't reach the end.
+    A round makes offers from what the last one changed, keeps the best of each key, and those of them that are new or better
+    than what is known. Weights below 0 are an error, as the loop might not end.
     """
     types = stored(nodes.select("node_id", "node_type").dropDuplicates(["node_id"]), "types")
     special = config.takeovers and not is_empty(types.where(F.col("node_type").isin(*CONTAINER_TYPES, "Tenant")))
-    known = stored(best_edges(normalized(edges)).withColumn("fresh", F.lit(True)), "edges")
-    for step in range(config.max_rounds):
-        fresh, every = known.where("fresh").drop("fresh"), known.drop("fresh")
-        made = join_rules(fresh, every, config)
-        if step:
-            made = made.unionByName(join_rules(every.join(fresh.select("edge_id"), "edge_id", "left_anti").select(*COLUMNS), fresh, config))
-        made = made.unionByName(promotions(fresh, types, config))
+    best = best_edges(normalized(edges)).withColumn("kid", edge_id(*KEY))
+    fresh = stored(best.withColumn("round", F.lit(0)), "edges")
+    n, least = fresh.agg(F.count("*"), F.min("weight")).first()
+    if least is not None and least < 0:
+        raise ValueError("edges must not have weights below 0")
+    store, step = EdgeStore(), 0
+    while n:
+        step += 1
+        old = store.rows(NARROW)
+        new = fresh.select(*NARROW, "round")
+        narrow = new if old is None else old.unionByName(new)
+        # a parent stands for its history, and is found again by its kid
+        single = new.drop("edge_id").withColumnRenamed("kid", "edge_id").withColumns({c: F.array().cast("array<string>") for c in ("permissions", "conditions", "derived_from")}).withColumn("rule_id", F.lit(""))
+        offers = _rule_offers(new.drop("round"), narrow.drop("round"), config).unionByName(_single_offers(promotions(single.select(*COLUMNS), types, config), PROMOTION))
+        if old is not None:
+            offers = offers.unionByName(_rule_offers(old.drop("round"), new.drop("round"), config))
         if special:
-            made = made.unionByName(account_takeover(fresh, types)).unionByName(tenant_takeover(fresh, types))
-        offers = best_edges(made).withColumn("fresh", F.lit(True)).unionByName(every.withColumn("fresh", F.lit(False)))
-        order = F.struct((F.col("nature") == "derived").alias("d"), "weight", (-state_rank(F.col("state"))).alias("r"), "fresh")
-        rest = [c for c in COLUMNS if c not in KEY]
-        known = stored(offers.groupBy(*KEY).agg(F.min_by(F.struct(*rest, "fresh"), order).alias("e")).select(*KEY, "e.*").select(*COLUMNS, "fresh"), "edges")
-        if is_empty(known.where("fresh")):
-            return known.where("nature = 'derived'").drop("fresh")
-    raise RuntimeError(f"the derivation isn't finished after {config.max_rounds} rounds")
+            taken = account_takeover(single.select(*COLUMNS), types).unionByName(tenant_takeover(single.select(*COLUMNS), types))
+            offers = offers.unionByName(_single_offers(taken, TAKEOVER))
+        rest = [c for c in offers.columns if c not in KEY]
+        order = F.struct("weight", (-state_rank(F.col("state"))).alias("r"), "rule_id", "a_kid", "b_kid")
+        picked = offers.groupBy(*KEY).agg(F.min_by(F.struct(*rest), order).alias("o")).select(*KEY, "o.*")
+        picked = stored(picked.withColumn("kid", edge_id(*KEY)).withColumn("rating", _rating()), "offers")
+        offered = picked.count()
+        # a key has one current row, so no more of them meet than were offered
+        met = narrow.join(small(picked.select("kid"), offered), "kid", "left_semi").select("kid", _rating().alias("held"), F.col("round").alias("held_round"))
+        won = stored(picked.join(small(met, offered), "kid", "left").where("held is null or rating < held").drop("rating", "held"), "won")
+        n_won, n_gone = won.agg(F.count("*"), F.count("held_round")).first()
+        every = fresh if old is None else store.rows().unionByName(fresh)
+        following = stored(_widened(won, n_won, every).withColumn("round", F.lit(step)), "edges") if n_won else None
+        store.drop(won.where("held_round is not null").select("kid", F.col("held_round").alias("round")), n_gone)
+        store.add(fresh, n)
+        fresh, n = following, n_won
+    known = store.rows()
+    return (best if known is None else known).where("nature = 'derived'").select(*COLUMNS)
 
 
 def derived_chain(derived: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 from helpers import edges, nodes
+from pyspark.sql import functions as F
 
 from arcwarden.operators import derive as D
 from arcwarden.operators import traverse as T
@@ -27,8 +28,26 @@ def test_fixpoint_with_cycles_and_late_shortcuts(spark):
     people = nodes(spark, *[(n, "Role") for n in "abcde"], ("x", "Secret"), ("y", "Secret"))
     found = {(r["type"], r["source"], r["target"]): r["weight"] for r in D.fixpoint(given, people).collect()}
     assert found == closure(rows)
-    with pytest.raises(RuntimeError):
-        D.fixpoint(given, people, D.DeriveConfig(max_rounds=1))
+    with pytest.raises(ValueError):
+        D.fixpoint(given.withColumn("weight", F.lit(-1.0)), people)
+
+
+def test_fixpoint_keeps_fields_of_the_best_way(spark):
+    """Conditions, permissions and history are those of the parents that won, also where a better way came late."""
+    given = edges(spark, ("CanAssume", "a", "d", "ACTIVE", 9.0), ("CanAssume", "a", "b", "CONDITIONAL", 1.0), ("CanAssume", "b", "c", "ACTIVE", 1.0), ("CanAssume", "c", "d", "ACTIVE", 1.0), ("CanReadData", "d", "x", "ACTIVE", 1.0))
+    given = given.withColumns({"edge_id": F.concat("source", F.lit(">"), "target"), "conditions": F.when(F.col("state") == "CONDITIONAL", F.array(F.lit("c1"))), "permissions": F.when(F.col("type") == "CanReadData", F.array(F.lit("p1")))})
+    found = {(r["source"], r["target"]): r for r in D.fixpoint(given, nodes(spark, ("x", "Secret"))).collect() if r["type"] == "CanReadData"}
+    assert found.keys() == {("a", "x"), ("b", "x"), ("c", "x")}
+    best = found["a", "x"]
+    assert (best["weight"], best["state"], best["conditions"], best["permissions"], best["derived_from"]) == (7.0, "CONDITIONAL", ["c1"], ["p1"], ["a>b", "b>c", "c>d", "d>x"])
+
+
+def test_fixpoint_has_no_limit_of_rounds(spark):
+    """A chain that takes 24 rounds; runs are merged as they grow."""
+    n = 24
+    given = edges(spark, *[("CanAssume", f"n{k:03d}", f"n{k + 1:03d}") for k in range(n)], ("CanReadData", f"n{n:03d}", "x"))
+    found = {r["source"]: r["weight"] for r in D.fixpoint(given, nodes(spark, ("x", "Secret"))).where("type = 'CanReadData'").collect()}
+    assert found == {f"n{k:03d}": 1.0 + 2.0 * (n - k) for k in range(n)}
 
 
 def test_walks_with_cycles(spark):
