@@ -1,17 +1,19 @@
 """Audit of how far the sources of a language diverge from one another, from exact term counts.
 
-Texts are cut into terms once, into a stored table of tokens: a language and a term of its. ``CountVectorizer`` is fitted on
-these, with the least document frequency and the largest vocabulary that an integer allows: as tokens carry their language,
-one fit gives every language its own vocabulary, however many languages there are. The sparse vectors of the documents are
-summed by group (a source within a language) term by term, as ``Summarizer`` would, but without its dense arrays.
+Texts are cut into terms once, into a stored table of tokens: a language and a term of its. A document is written down by the
+bits of its counts: one list of tokens for each bit, so that a token that occurs five times stands in the lists of 1 and 4.
+``CountVectorizer`` is fitted on these documents, with the least document frequency and the largest vocabulary that an integer
+allows: as tokens carry their language, one fit gives every language its own vocabulary, however many languages there are. It
+then makes exact sparse vectors of the lists, which add up, each times its power of two, to the document's; these are summed by
+group (a source within a language) term by term, as ``Summarizer`` would, but without its dense arrays.
 
 Pairs of sources are evaluated on these sparse sums. A term that neither source has contributes the same for every term, and
 one that only one has depends on its smoothed share alone, so the shares of a group are counted by value and meet the other
 sources of the language; the terms that both have meet in a join by term, which corrects the two sums.
 
-``CountVectorizer`` keeps its vocabulary on the driver and on each executor. The number of tokens is estimated beforehand
-(``approx_count_distinct``, within some 5 %), and beyond ``shard_terms`` they are dealt by hash to so many fits as keep every
-vocabulary below that size; each fit reads all tokens.
+``CountVectorizer`` keeps its vocabulary on the driver and on each executor. Its size is estimated beforehand, from the tokens
+of one in ``estimate`` hash values, and beyond ``shard_terms`` tokens are dealt by hash to so many fits as keep every vocabulary
+near that size; each fit reads all tokens. The number of fits changes no result.
 
 Shares are integers: ``p = 1 + floor(scale * (count + smooth) / (N + smooth * V))``, and a term's contribution is
 ``floor((p - q) ** 2 / q)``. All sums are exact: counts in 64 bits, products in decimals.
@@ -23,17 +25,21 @@ smaller item bytewise. An empty table gives no rows. Columns other than ``text``
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcwarden.llm.common import maybe_broadcast, stored, table
+from arcwarden.llm.common import fresh_path, maybe_broadcast, raw_texts, small_batches, stored, table
 
+#: A term of a text whose A to Z are lower-cased; as all that separates terms is ASCII, its bytes in UTF-8 can be split.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BYTES = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else 0x20 for b in range(256))
 #: Between language and term of a token; no term holds it.
 MARK = "\0"
 
@@ -45,8 +51,9 @@ class DivergenceConfig:
     smooth: int = 1
     scale: int = 1_000_000_000
     top_terms: int = 200
-    #: Tokens of one fit.
+    #: Tokens of one fit, and the share of hash values that their number is estimated from.
     shard_terms: int = 1_000_000
+    estimate: int = 64
 
     @property
     def vocabulary(self) -> int:
@@ -54,30 +61,58 @@ class DivergenceConfig:
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
-    """``(lang, source, tokens)`` of every row: all terms of the text in order, marked with the language."""
+    """``(lang, source, tokens array<array<string>>)`` of every row: the tokens whose count has bit 0, bit 1, and so on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                flat: list[bytes] = []
+                inner, outer = [0], [0]
+                for lang, text in zip(raw_texts(part.column(0)), raw_texts(part.column(2)), strict=True):
+                    mark, counts = lang + MARK.encode(), Counter(text.translate(_BYTES).split())
+                    bits = max(counts.values(), default=0).bit_length()
+                    for bit in range(bits):
+                        flat += [mark + term for term, n in counts.items() if n >> bit & 1]
+                        inner.append(len(flat))
+                    outer.append(outer[-1] + bits)
+                lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(flat, pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(outer, pa.int32()), lists)], ["lang", "source", "tokens"])
+
+    small_batches(docs.sparkSession)
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    terms = F.regexp_extract_all(F.translate("text", _UPPER, _LOWER), F.lit(TERM), F.lit(0))
-    return plain.select("lang", "source", F.transform(terms, lambda t: F.concat("lang", F.lit(MARK), t)).alias("tokens"))
+    return plain.mapInArrow(run, "lang string, source string, tokens array<array<string>>")
+
+
+def vocabulary_size(tokens: DataFrame, config: DivergenceConfig) -> int:
+    """About how many tokens occur in as many documents as is asked for."""
+    number = F.monotonically_increasing_id().alias("row")
+    drawn = tokens.select(number, F.explode(F.flatten("tokens")).alias("token")).where(F.pmod(F.xxhash64("token"), F.lit(config.estimate)) == 0)
+    return config.estimate * drawn.distinct().groupBy("token").count().where(F.col("count") >= config.min_docs).count()
 
 
 def group_sums(tokens: DataFrame, config: DivergenceConfig) -> DataFrame:
     """``(lang, source, term, count)``: occurrences of kept terms in each group that has them, from a stored table of tokens."""
     spark = tokens.sparkSession
-    n = tokens.select(F.explode("tokens").alias("token")).agg(F.approx_count_distinct("token")).first()[0]
-    shards = max(1, -(-n // config.shard_terms))
+    shards = max(1, -(-vocabulary_size(tokens, config) // config.shard_terms))
     # a fit without any token that is frequent enough is refused; these make one that belongs to no language
-    ballast = spark.range(config.min_docs).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit("")).alias("tokens"))
+    ballast = spark.range(config.min_docs).select(F.array(F.lit("")).alias("tokens"))
     counter = CountVectorizer(inputCol="tokens", outputCol="vector", minTF=1.0, minDF=float(config.min_docs), vocabSize=config.vocabulary)
     found = []
     for shard in range(shards):
-        own = tokens if shards == 1 else tokens.withColumn("tokens", F.filter("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == shard))
-        model = counter.fit(own.unionByName(ballast))
-        terms = spark.createDataFrame([(k, t) for k, t in enumerate(model.vocabulary) if t], "index int, token string")
+        own = lambda c, k=shard: c if shards == 1 else F.filter(c, lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == k)
+        model = counter.fit(tokens.select(own(F.flatten("tokens")).alias("tokens")).unionByName(ballast))
+        # the vocabulary as a table: as written with the model, so that it needn't pass through Python
+        path = fresh_path(spark, "divergence-model")
+        model.write().save(path)
+        terms = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "token")).where("token != ''")
         vector = F.unwrap_udt("vector")
-        entries = model.transform(own).select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("value"))).alias("e"))
-        sums = entries.groupBy("lang", "source", F.col("e.index").alias("index")).agg(F.sum(F.col("e.value").cast("long")).alias("count"))
+        lists = tokens.select("lang", "source", F.posexplode("tokens").alias("bit", "tokens"))
+        vectors = model.transform(lists.select("lang", "source", "bit", own(F.col("tokens")).alias("tokens")))
+        entries = vectors.select("lang", "source", "bit", F.explode(vector["indices"]).alias("index"))
+        sums = entries.groupBy("lang", "source", "index").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("count"))
         # a fit's vocabulary is bounded by shard_terms, so its terms are joined by a broadcast of that size at most
-        named = sums.join(maybe_broadcast(terms, len(model.vocabulary)), "index").select("lang", "source", F.substring_index("token", MARK, -1).alias("term"), "count")
+        named = sums.join(maybe_broadcast(terms), "index").select("lang", "source", F.substring_index("token", MARK, -1).alias("term"), "count")
         found.append(stored(named, "divergence-sums"))
     return reduce(DataFrame.unionByName, found)
 

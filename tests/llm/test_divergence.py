@@ -43,7 +43,7 @@ ROWS = [(k, " ".join(WORDS[(k * j) % len(WORDS)] for j in range(k % 23)), ["en",
 ODD = [(1, None, None, None), (2, "", "xx", "s"), (3, "123 !?", "xx", "t"), (4, "rare", "xx", "u"), (5, "LONG words " * 200_000, "en", "s1"), (5, "LONG words " * 200_000, "en", "s1"), (None, "nobody", "en", "s\0"), (6, "three three three", "l\0x", "s"), (7, "three", "l\0x", "s"), (8, "three two", "l\0x", "t")]
 
 
-@pytest.mark.parametrize("config", [divergence.DivergenceConfig(), divergence.DivergenceConfig(shard_terms=7, top_terms=4), divergence.DivergenceConfig(min_docs=1, smooth=3, scale=1000)])
+@pytest.mark.parametrize("config", [divergence.DivergenceConfig(), divergence.DivergenceConfig(shard_terms=7, top_terms=4, estimate=1), divergence.DivergenceConfig(min_docs=1, smooth=3, scale=1000)])
 def test_audit(spark, config):
     check(spark, ROWS + ODD, config)
 
