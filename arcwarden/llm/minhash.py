@@ -9,15 +9,16 @@ give bucket keys. Work then goes from cheap to exact:
    edited copies that is the original, as a rule): a star, so pairs grow as members do;
 3. star pairs are confirmed on the full shingle sets, and confirmed links give components;
 4. where a bucket still holds several components, the best member outside its commonest component becomes the centre of a
-   new star over the other components;
+   new star over the other components, again and again until no star brings a link;
 5. where a bucket holds several components even then, the members outside its commonest component meet the others in blocks
    of bounded size. A pair is looked at in the first band that it shares; if its sketches agree in nearly as many bins as
    the threshold asks for, and so do the least hashes of both sets (all of them, for sets of up to ``low``), it is confirmed
    on full sets as well. So a block hands on links, and few pairs besides, however many rows a bucket has.
 
 Pairs inside a component need no test, as they can't change it, so no link between components is lost to the stars. With 32
-bands of 4 bins, a pair at the threshold of 0.8 shares no band about once in 20 million pairs, and its sketches agree in less
-than 0.635 of the bins about once in a million.
+bands of 4 bins, a pair at the threshold of 0.8 shares no band about once in 20 million pairs. The sketches of such a pair
+agree in fewer bins than ``least_agreement`` allows, or its least hashes in less than ``low_agree``, less than once in a
+million; small sets, whose sketches say little, are told by their hashes alone.
 
 Edge cases: a text without words has the empty set and links with nothing; one of fewer words than a shingle is one shingle.
 A row without a ``doc_id`` links with nothing, has a null component and is kept. Repeated rows get the same answer.
@@ -46,13 +47,12 @@ class MinHashConfig:
     threshold: int = 80
     bands: int = 32
     band_bins: int = 4
-    star_rounds: int = 1
-    #: Members of one block in the residual comparison, the share of sketch bins that a pair must agree in there, the least
-    #: hashes looked at, and the similarity that they must have where they aren't the whole sets.
+    #: Members of one block in the residual comparison, the standard deviations by which a pair's sketches may agree less than
+    #: the threshold there, the least hashes looked at, and the similarity that they must have where they aren't the whole sets.
     block: int = 512
-    agree: float = 0.635
+    deviations: float = 5.0
     low: int = 512
-    low_agree: float = 0.72
+    low_agree: float = 0.7
     seed: int = 11
 
     @property
@@ -173,6 +173,16 @@ def low_similarity(a: np.ndarray, b: np.ndarray, low: int) -> tuple[float, bool]
     return both / max(1, len(a) + len(b) - both), whole
 
 
+def least_agreement(sizes: np.ndarray, config: MinHashConfig) -> np.ndarray:
+    """Bins that the sketches of a similar pair agree in at least, by the size of the larger set; 0 for small sets.
+
+    A sketch looks at no more elements than bins or set has, and empty bins repeat some of them, which counts as a quarter fewer.
+    """
+    t = config.threshold / 100
+    looked = np.maximum(1, 0.75 * np.minimum(config.bins, sizes))
+    return np.maximum(0, np.ceil(config.bins * (t - config.deviations * np.sqrt(t * (1 - t) / looked))))
+
+
 def _block_pairs(several: DataFrame, reps: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataFrame:
     """Pairs of one bucket in different components whose sketches agree well enough.
 
@@ -189,17 +199,17 @@ def _block_pairs(several: DataFrame, reps: DataFrame, sets: DataFrame, config: M
     shapes = reps.select("doc_id", "bands").join(sets.select("doc_id", least_hashes.alias("lows")), "doc_id")
     placed = left.unionByName(right).join(stored(shapes, "shapes"), "doc_id")
     dealt = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "doc_id", "label", "bands", "lows")
-    least = int(np.ceil(config.agree * config.bins))
-
     def compare(t: pa.Table) -> np.ndarray:
         side, ids, label = (t.column(c).to_numpy() for c in ("side", "doc_id", "label"))
         bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         key, bins = t.column("key")[0].as_py(), bands.view(np.uint16)
         flat = t.column("lows").combine_chunks()
-        ends, lows = flat.value_lengths().to_numpy().cumsum(), flat.flatten().to_numpy()
+        sizes, lows = flat.value_lengths().to_numpy(), flat.flatten().to_numpy()
+        ends = sizes.cumsum()
         low = lambda n: lows[ends[n - 1] if n else 0 : ends[n]]
         right, found = np.flatnonzero(side == 1), [np.zeros((0, 2), np.int64)]
         for k in np.flatnonzero(side == 0):
+            least = least_agreement(np.maximum(sizes[right], sizes[k]), config)
             near = right[((bins[right] == bins[k]).sum(axis=1) >= least) & (label[right] != label[k])]
             if len(near):
                 near = near[_first_key(bands[near], bands[k]) == key]
@@ -253,14 +263,18 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     stars = members.join(maybe_broadcast(centres), "key").where("doc_id != c").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
     links = stored(confirmed(stars, sets, config), "links")
     labels = stored(components(links), "components")
-    for step in range(config.star_rounds + 1):
+    stars_left = True
+    while True:
         several = _several(members, labels)
         if not several.limit(1).count():
             break
-        last = step == config.star_rounds
-        more = stored(confirmed(_block_pairs(several, reps, sets, config) if last else _star(several), sets, config), "links")
-        if more.limit(1).count():
+        more = stored(confirmed(_star(several) if stars_left else _block_pairs(several, reps, sets, config), sets, config), "links")
+        linked = more.limit(1).count() > 0
+        if linked:
             labels = stored(joined(labels, more), "components")
+        if not stars_left:
+            break  # all pairs that share a bucket have been looked at
+        stars_left = linked
     named = classed.join(maybe_broadcast(labels.where("node != component")), F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
