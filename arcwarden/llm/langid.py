@@ -10,8 +10,9 @@ few n-grams, makes the probabilities honest. Texts are rejected for two reasons:
 of right answers, or too many n-grams that training never met. The limit of the latter lies half way between what texts of the
 fold have, as a rule, and what the same texts have with their letters shuffled.
 
-What the driver gets is bounded: ``max_sample`` rows of at most ``most_features`` buckets each, their commonest ones, a few
-times over for the calibration fold. Predictions use whole texts and all their n-grams.
+What the driver gets is a bounded sample: about ``max_sample`` rows of the ``max_langs`` commonest languages, fewer where
+texts are long, so that their lengths add up to about ``max_chars``; a few times over for the calibration fold. Which rows
+these are depends on hashes alone, and training, calibration and prediction use whole texts and all their n-grams.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text when nothing could
 be learned. Rows with a null language train nothing. Repeated rows are predicted alike. Extra columns pass through; columns
@@ -44,19 +45,20 @@ class LangIdConfig:
     epochs: int = 6
     least_steps: int = 6000
     rate: float = 0.4
-    #: Bounds of the training sample: documents of a language, and of all languages.
+    #: Bounds of the training sample: languages, documents of each and of all, and the characters of all their texts (a text
+    #: has no more different n-grams than buckets, so it counts for no more characters than that).
+    max_langs: int = 1000
     per_lang: int = 1200
     max_sample: int = 12_000
+    max_chars: int = 40_000_000
     #: Share of right calibration answers that the rejection may lose.
     reject_quantile: float = 0.001
     reject_cap: float = 0.5
-    #: Buckets of a training row, characters of a calibration text that are shuffled, and word counts of its short pieces.
-    most_features: int = 2048
-    junk_chars: int = 800
+    #: Word counts of the short pieces of a calibration text.
     pieces: tuple[int, ...] = (1, 3, 10)
     #: Every so many calibration texts one is shuffled.
     junk_every: int = 4
-    #: Characters handled at once, which bounds memory on very long texts.
+    #: Characters handled at once, and what is left of the last word: this bounds memory on very long texts.
     chunk: int = 1 << 20
     seed: int = 7
 
@@ -84,10 +86,21 @@ def _fold() -> np.ndarray:
     return out
 
 
+def _chunks(text: str, size: int) -> Iterator[str]:
+    """A text in parts of some ``size`` characters, cut where no letter follows, so never inside a word."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def subword_buckets(text: str, config: LangIdConfig) -> Iterator[np.ndarray]:
     """Bucket numbers of all character n-grams of ``text``, chunk by chunk; nothing for a text without a letter."""
-    for at in range(0, len(text), config.chunk):
-        points = np.frombuffer(text[at : at + config.chunk].encode("utf-32-le", "surrogatepass"), "<u4")
+    for part in _chunks(text, config.chunk):
+        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
         letters = _fold()[np.minimum(points, 0x10FFFF)]
         padded = np.concatenate(([np.uint32(32)], letters, [np.uint32(32)]))
         gap = padded == 32
@@ -117,12 +130,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _commonest(text: str, config: LangIdConfig) -> tuple[bytes, bytes, int]:
-    """The text's commonest buckets and their shares, as bytes, and its number of n-grams."""
+def _features(text: str, config: LangIdConfig) -> tuple[bytes, bytes, int]:
+    """The text's buckets and their shares, as bytes, and its number of n-grams."""
     index, share = text_features(text, config)
-    if len(index) > config.most_features:
-        top = np.sort(np.argsort(-share, kind="stable")[: config.most_features])
-        index, share = index[top], share[top] / share[top].sum()
     return index.astype(_index_type(config)).tobytes(), share.tobytes(), sum(map(len, subword_buckets(text, config)))
 
 
@@ -131,12 +141,11 @@ def _index_type(config: LangIdConfig) -> type:
 
 
 def _shuffled(text: str, config: LangIdConfig) -> str:
-    """The start of a text with its letters dealt out anew; other characters stay."""
-    signs = list(text[: config.junk_chars])
-    places = [k for k, c in enumerate(signs) if c.isalpha()]
-    for k, other in zip(places, np.random.default_rng([config.seed, len(signs)]).permutation(places).tolist(), strict=True):
-        signs[k] = text[other]
-    return "".join(signs)
+    """A text with its letters dealt out anew; other characters stay."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    places = np.flatnonzero(_fold()[np.minimum(points, 0x10FFFF)] != 32)
+    points[places] = points[np.random.default_rng([config.seed, len(points)]).permutation(places)]
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 #: What a sampled row is: a text that trains, one of the calibration fold, its first words, or it with its letters shuffled.
@@ -146,11 +155,13 @@ TRAIN, WHOLE, PIECE, JUNK = range(4)
 def _sample(docs: DataFrame, config: LangIdConfig) -> list:
     """Featurised rows ``(doc_id, lang, kind, index, share, n)``: about ``per_lang`` texts of a language, by a hash of the row; equal rows count once."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    found = usable.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.least(F.length("text"), F.lit(config.buckets))).alias("chars")).orderBy(F.desc("n"), "lang").limit(config.max_langs).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return []
-    wanted = min(config.per_lang, max(1, config.max_sample // len(counts)))
-    shares = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(float(wanted / n)))])
+    wanted = min(config.per_lang, config.max_sample / len(counts))
+    fits = min(1.0, config.max_chars / max(1.0, sum(min(wanted, r["n"]) * r["chars"] for r in found)))
+    shares = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, wanted / n) * fits))])
     small_batches(docs.sparkSession)
     drawn = usable.withColumn("h", F.xxhash64("doc_id", F.md5("text"), F.lit(config.seed))).where(F.pmod("h", F.lit(1 << 24)) < shares[F.col("lang")] * (1 << 24))
 
@@ -159,12 +170,12 @@ def _sample(docs: DataFrame, config: LangIdConfig) -> list:
             rows = []
             for doc, lang, fold, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
                 text = text.as_py()
-                rows.append((doc, lang, WHOLE if fold == 1 else TRAIN, *_commonest(text, config)))
+                rows.append((doc, lang, WHOLE if fold == 1 else TRAIN, *_features(text, config)))
                 if fold == 1:
                     first = text.split(None, max(config.pieces))[: max(config.pieces)]
-                    rows += [(doc, lang, PIECE, *_commonest(" ".join(first[:k]), config)) for k in config.pieces if k < len(first)]
-                    if zlib.crc32(text[: config.junk_chars].encode()) % config.junk_every == 0:
-                        rows.append((doc, lang, JUNK, *_commonest(_shuffled(text, config), config)))
+                    rows += [(doc, lang, PIECE, *_features(" ".join(first[:k]), config)) for k in config.pieces if k < len(first)]
+                    if zlib.crc32(text.encode()) % config.junk_every == 0:
+                        rows.append((doc, lang, JUNK, *_features(_shuffled(text, config), config)))
             types = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, types, strict=True)], ["doc_id", "lang", "kind", "index", "share", "n"])
 
