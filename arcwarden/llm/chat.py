@@ -1,13 +1,14 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's turns are collected as structs and sorted; adjacent turns of one role share a block of the template
+A conversation's turns are collected as structs and sorted; adjacent turns of one role are merged into a block, which holds the
+role and the array of its texts, cut from the sorted array between the places where the role changes. The template of a block:
 
     <|turn|>role<|text|>first text<|next|>second text<|end|>
 
 Roles and texts are escaped, so that no control string (all start with ``<|``) can stand inside them: a backslash is doubled
 and ``<|`` becomes ``<\\|``. The loss mask comes as run lengths over the formatted string, two for each control string: the
-control string itself, and what stands between it and the next one, which is under the mask for assistant texts only. Both
-are made in one pass over the sorted array, linear in the conversation's length.
+control string itself, and what stands between it and the next one, which is under the mask for assistant texts only. Merging
+and both of these are linear in the conversation's length; the bounds inside a block are kept, so that turns can be read back.
 
 Edge cases: null texts and roles are empty strings; turns without a number come first; equal numbers are ordered by role and
 text; repeated rows are turns of their own; rows without a ``conv_id`` form one conversation without an id. An empty table
@@ -33,21 +34,27 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\|])", "$1")
 
 
+def merged_turns(turns: DataFrame) -> DataFrame:
+    """``(conv_id, blocks)``: the conversation's adjacent turns of one role as ``struct<role, texts array>``, escaped, in order."""
+    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    collected = turns.select("conv_id", row.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    role = lambda i: F.get("turns", i)["role"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (role(i - 1) != role(i)))
+    length = lambda i, k: F.coalesce(F.get("starts", k + 1), F.size("turns")) - i
+    texts = lambda i, k: F.transform(F.slice("turns", i + 1, length(i, k)), lambda t: escape(t["text"]))
+    blocks = F.transform("starts", lambda i, k: F.struct(role(i).alias("role"), escape(role(i)).alias("said"), texts(i, k).alias("texts")))
+    return collected.withColumn("starts", starts).select("conv_id", blocks.alias("blocks"))
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """``(conv_id, formatted, loss_mask)`` of ``turns(conv_id, turn, role, text)``."""
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    sorted_turns = turns.select("conv_id", row.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    starts = lambda i: (i == 0) | (F.get("turns", i - 1)["role"] != F.get("turns", i)["role"])
-    ends = lambda i: (i + 1 == F.size("turns")) | (F.get("turns", i + 1)["role"] != F.get("turns", i)["role"])
-    piece = lambda t, i: F.concat(F.when(starts(i), F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT))).otherwise(F.lit(NEXT)), escape(t["text"]), F.when(ends(i), F.lit(END)).otherwise(F.lit("")))
+    string = lambda b: F.concat(F.lit(TURN), b["said"], F.lit(TEXT), F.array_join(b["texts"], NEXT), F.lit(END))
     run = lambda chars, loss: F.struct(chars.cast("int").alias("chars"), loss.alias("loss"))
     no, marker = F.lit(False), lambda m: run(F.lit(len(m)), F.lit(False))
-    runs = lambda t, i: F.concat(
-        F.when(starts(i), F.array(marker(TURN), run(F.length(escape(t["role"])), no), marker(TEXT))).otherwise(F.array(marker(NEXT))),
-        F.array(run(F.length(escape(t["text"])), t["role"] == ASSISTANT)),
-        F.when(ends(i), F.array(marker(END), run(F.lit(0), no))).otherwise(F.slice(F.array(marker(END)), 1, 0)),
-    )
-    return sorted_turns.select("conv_id", F.array_join(F.transform("turns", piece), "").alias("formatted"), F.flatten(F.transform("turns", runs)).alias("loss_mask"))
+    own = lambda b, t: run(F.length(t), b["role"] == ASSISTANT)
+    inner = lambda b: F.flatten(F.transform(b["texts"], lambda t, i: F.when(i == 0, F.array(own(b, t))).otherwise(F.array(marker(NEXT), own(b, t)))))
+    runs = lambda b: F.concat(F.array(marker(TURN), run(F.length(b["said"]), no), marker(TEXT)), inner(b), F.array(marker(END), run(F.lit(0), no)))
+    return merged_turns(turns).select("conv_id", F.array_join(F.transform("blocks", string), "").alias("formatted"), F.flatten(F.transform("blocks", runs)).alias("loss_mask"))
 
 
 def read_turns(formatted: Column) -> Column:
