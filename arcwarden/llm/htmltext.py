@@ -4,7 +4,7 @@ A page is split into blocks, the runs of text between block-level tags. A logist
 being content, from its shape (length, links, sentences, commas, headings) and its place (elements, class and id words and
 roles of its ancestors). The odds become capacities from the source (content) or to the sink (boilerplate). Smoothness edges
 tie neighbours in page order, the less the farther apart they are in the DOM, blocks of one container, and neighbours in one
-article. A minimum cut then labels all blocks at once, so that a short odd paragraph stays with its article, and a long advert
+article. Text beside an article or main element of at least its length leans to boilerplate. A minimum cut then labels all blocks at once, so that a short odd paragraph stays with its article, and a long advert
 inside a menu goes with the menu.
 
 The classifier starts from the weights of ``CutConfig`` and learns from the pages themselves: blocks inside ``article`` or
@@ -59,21 +59,23 @@ SCOPES = frozenset("ul ol dl table tbody article section main div body aside nav
 #: Their start tags end a skipped element that has no end tag in the rest of the page.
 SECTIONS = frozenset("article main section nav aside header footer".split())
 
-NEGATIVE = frozenset("ad ads advert adverts advertisement advertising banner menu menus nav navbar navigation sidebar footer header masthead comment comments reply replies disqus cookie cookies consent notice notices alert promo promotion sponsor sponsored share sharing social related recommended subscribe newsletter signup login popup modal overlay breadcrumb breadcrumbs pagination pager widget toolbar copyright legal disclaimer skip".split())
+NEGATIVE = frozenset("ad ads advert adverts advertisement advertising banner menu menus nav navbar navigation sidebar footer header masthead comment comments reply replies disqus discussion discussions responses respond talkback guestbook cookie cookies consent notice notices alert promo promotion sponsor sponsored recommended subscribe newsletter signup login popup modal overlay breadcrumb breadcrumbs pagination pager widget toolbar skip".split())
+#: Names of boilerplate that parts of articles carry as well: they only lean towards it, and the neighbours decide.
+AMBIGUOUS = frozenset("share sharing social related copyright legal disclaimer".split())
 POSITIVE = frozenset("article content main post entry story body text".split())
 NEGATIVE_ROLES = frozenset("navigation banner contentinfo complementary search menu alert dialog".split())
 POSITIVE_ROLES = frozenset("main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: What an element's place says, inherited by all below it.
-BOILER, HEADER, ARTICLE, BAD_ROLE, GOOD_ROLE, GOOD_NAME = (1 << k for k in range(6))
-FEATURES = ("bias", "length", "links", "sentence", "commas", "heading", "good_name", "bad_name", "boiler", "header", "article", "bad_role", "good_role", "form")
+BOILER, HEADER, ARTICLE, BAD_ROLE, GOOD_ROLE, GOOD_NAME, WEAK_NAME = (1 << k for k in range(7))
+FEATURES = ("bias", "length", "links", "sentence", "commas", "heading", "good_name", "bad_name", "weak_name", "boiler", "header", "article", "outside", "bad_role", "good_role", "form")
 #: Weights that labels from elements can't teach: those of the elements themselves.
-FIXED = frozenset("boiler header article bad_role good_role form".split())
+FIXED = frozenset("boiler header article outside bad_role good_role form".split())
 
 
 def _start() -> dict[str, float]:
-    return {"bias": -2.5, "length": 0.5, "links": -4.0, "sentence": 0.5, "commas": 0.5, "heading": 1.0, "good_name": 1.0, "bad_name": -7.0, "boiler": -8.0, "header": -5.0, "article": 2.0, "bad_role": -8.0, "good_role": 2.0, "form": -8.0}
+    return {"bias": -2.5, "length": 0.5, "links": -4.0, "sentence": 0.5, "commas": 0.5, "heading": 1.0, "good_name": 1.0, "bad_name": -11.0, "weak_name": -1.5, "boiler": -8.0, "header": -5.0, "article": 2.0, "outside": -3.0, "bad_role": -8.0, "good_role": 2.0, "form": -8.0}
 
 
 @dataclass(frozen=True)
@@ -107,6 +109,8 @@ class Block:
     link_share: float
     bad_name: bool = False
     form: bool = False
+    #: Beside the page's article or main element, which has text of its own.
+    outside: bool = False
 
 
 def blocks(page: str) -> list[Block]:
@@ -251,8 +255,10 @@ def blocks(page: str) -> list[Block]:
     for number in range(1, len(parent)):
         under_bad.append(under_bad[parent[number]] or bad[number] and trusted[number])
         under_form.append(under_form[parent[number]] or form[number] and trusted[number])
+    marked = sum(len(b.text) for b in out if b.bits & ARTICLE and not b.bits & BOILER)
     for block in out:
         block.bad_name, block.form = under_bad[block.element], under_form[block.element]
+        block.outside = not block.bits & ARTICLE and marked >= len(block.text)
     return out
 
 
@@ -275,6 +281,7 @@ def _place(name: str, attributes: str, bits: int) -> tuple[int, bool]:
                 names = {w.lower() for w in NAME_WORD.findall(value)}
                 bad = bad or bool(names & NEGATIVE)
                 bits |= GOOD_NAME if names & POSITIVE and not names & NEGATIVE else 0
+                bits |= WEAK_NAME if names & AMBIGUOUS else 0
     return bits, bad
 
 
@@ -287,7 +294,7 @@ def features(block: Block) -> tuple[float, ...]:
     has = lambda bit: float(bool(block.bits & bit))
     return (
         1.0, min(5.0, math.log2(1 + words)), block.link_share, float(bool(SENTENCE.search(block.text))), min(1.0, 10 * block.text.count(",") / words),
-        float(block.tag in HEADINGS), has(GOOD_NAME), float(block.bad_name), has(BOILER), has(HEADER), has(ARTICLE), has(BAD_ROLE), has(GOOD_ROLE), float(block.form),
+        float(block.tag in HEADINGS), has(GOOD_NAME), float(block.bad_name), has(WEAK_NAME), has(BOILER), has(HEADER), has(ARTICLE), float(block.outside), has(BAD_ROLE), has(GOOD_ROLE), float(block.form),
     )
 
 
