@@ -138,11 +138,12 @@ def repeated_lines(lines: DataFrame, config: LineDedupConfig) -> DataFrame:
     edges = lines.approxQuantile("doc_id", [k / config.batches for k in range(1, config.batches)], 0.01) if high > low and config.batches > 1 else []
     edges = sorted({int(x) for x in edges} | {low})
     runs = Runs(spark, max(4, -(-n // config.part_lines)))
-    for start, end in reversed(list(zip(edges, [*edges[1:], high + 1], strict=True))):
-        runs.add(_news(lines.where((F.col("doc_id") >= start) & (F.col("doc_id") < end)), runs, config))
-    found = stored(runs.merged().where(F.col("n_docs") >= config.min_docs).select("hash", "max_doc"), "repeated")
-    runs.drop()
-    return found
+    try:
+        for start, end in reversed(list(zip(edges, [*edges[1:], high + 1], strict=True))):
+            runs.add(_news(lines.where((F.col("doc_id") >= start) & (F.col("doc_id") < end)), runs, config))
+        return stored(runs.merged().where(F.col("n_docs") >= config.min_docs).select("hash", "max_doc"), "repeated")
+    finally:
+        runs.drop()
 
 
 def dedup_lines(docs: DataFrame, config: LineDedupConfig = LineDedupConfig()) -> DataFrame:
