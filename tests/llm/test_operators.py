@@ -647,3 +647,100 @@ def test_contract_digests(spark):
     rows = [(1, "a\nb")]
     out = linededup.dedup_lines(docs(spark, rows)).first()
     assert hashlib.sha256(out["text"].encode()).hexdigest() == hashlib.sha256(b"a\nb").hexdigest()
+
+
+SAID = "This is a paragraph of the article, with several clauses, that goes on for a while and ends here. It even has a second sentence."
+REMARK = "I liked this a lot, thank you for writing it. COMMENT"
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        (f"<article><p>{SAID} one</p><p class='legal-text'>{SAID} two</p><p>{SAID} three</p></article>", "one two three"),
+        (f"<article><p>{SAID} one</p><div class='related-work'>{SAID} two</div><p>{SAID} three</p></article>", "one two three"),
+        (f"<article><p>{SAID} one</p><div class='share-price'>{SAID} two</div><p>{SAID} three</p></article>", "one two three"),
+        (f"<article><p>{SAID} one</p><div class='advert'>{SAID} two</div><p>{SAID} three</p></article>", "one three"),
+        (f"<article><p>{SAID} one</p><p>{SAID} two</p><section id='discussion'><p>{REMARK}</p></section></article>", "one two"),
+        (f"<article><p>{SAID} one</p><p>{SAID} two</p></article><ol><li>{REMARK}</li><li>{REMARK}</li></ol>", "one two"),
+    ],
+)
+def test_html_names_and_places(spark, page, kept):
+    """Names that articles use too don't take paragraphs out of them; adverts and comments go, with and without telling names."""
+    learned = htmltext.fit(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html"))
+    for weights in (None, learned):
+        text = htmltext.main_text(f"<body><nav><a href='/'>Home</a></nav>{page}</body>", weights)
+        assert [w for w in ("one", "two", "three") if f". {w}" in text] == kept.split() and "COMMENT" not in text
+
+
+def plain_buckets(text, config):
+    """Buckets of all n-grams by their definition, word by word, in 32 bits."""
+    out, low = [], 0xFFFFFFFF
+    words, word = [], ""
+    for c in text + " ":
+        if c.isalpha():
+            word += c.lower()[0]
+        elif word:
+            words.append(word)
+            word = ""
+    for w in words:
+        p = [32, *map(ord, w), 32]
+        two = [(a * 0x01000193 + b) & low for a, b in zip(p, p[1:])]
+        three = [(h * 0x01000193 + c) & low for h, c in zip(two, p[2:])]
+        four = [(h * 0x01000193 + c) & low for h, c in zip(three, p[3:])]
+        for h in [*two, *(h ^ 0x5BD1E995 for h in three), *(h ^ 0x27D4EB2F for h in four)]:
+            h = ((h ^ (h >> 15)) * 0x85EBCA6B) & low
+            out.append(((h ^ (h >> 13)) & low) % config.buckets)
+    return out
+
+
+def test_langid_against_plain_version():
+    """Predictions from n-grams counted word by word, whatever the chunk; a letter's place in a chunk changes nothing."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcÄéß東京 .-7\nI'’"), int(n))) for n in rng.integers(1, 60, 60)] + ["a", "ab", "  x  ", "word " * 50]
+    scores = rng.normal(size=(1 << 16, 3)).astype(np.float32)
+    known = rng.random(1 << 16) < 0.9
+    for chunk in (1, 8, 1 << 20):
+        config = langid.LangIdConfig(chunk=chunk)
+        model = langid.LangIdModel(("a", "b", "c"), scores, np.array([0.1, 0.0, -0.2]), 1.3, 20.0, 0.4, known, 0.85, config)
+        for text in texts:
+            grams = plain_buckets(text, config)
+            assert sorted(np.concatenate([np.zeros(0, np.int64), *langid.subword_buckets(text, config)]).tolist()) == sorted(grams)
+            if not grams:
+                assert langid.predict_text(model, text) == ("und", 0.0, True)
+                continue
+            z = (np.mean(scores[grams].astype(np.float64), axis=0) + model.bias) / (1.3 * (1 + 20.0 / len(grams)))
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            lang, score, rejected = langid.predict_text(model, text)
+            assert lang == "abc"[int(p.argmax())] and abs(score - p.max()) < 1e-4
+            assert rejected == (score < 0.4 or sum(known[g] for g in grams) < 0.85 * len(grams))
+
+
+def test_langid_sample_is_bounded(spark):
+    """Long texts and many languages make the sample smaller, not the texts; a training row keeps all its n-grams."""
+    frame = docs(spark, [(k, " ".join(WORDS[(k * j) % 20] + "xyzq"[j % 4] * (1 + j % 9) for j in range(900)), f"l{k % 4}") for k in range(1, 200)])
+    config = langid.LangIdConfig(max_chars=200_000)
+    rows = [r for r in langid._sample(frame, config) if r[2] == langid.TRAIN]
+    assert 4 < len(rows) < 80 and len({r[1] for r in langid._sample(frame, langid.LangIdConfig(max_langs=2))}) == 2
+    text = frame.where(F.col("doc_id") == rows[0][0]).first()["text"]
+    assert len(rows[0][3]) == len(set(plain_buckets(text, config)))
+
+
+def test_small_sets_need_no_sketch():
+    config = minhash.MinHashConfig()
+    assert minhash.least_agreement(np.array([1, 5, 10]), config).tolist() == [0, 0, 0] and 70 < minhash.least_agreement(np.array([10_000]), config)[0] < 80
+    rng, lost = np.random.default_rng(5), 0
+    for n in (5, 10, 20, 40, 80, 160, 640):
+        for _ in range(400):
+            x = rng.integers(0, 1 << 63, n + n // 4, dtype=np.uint64) * np.uint64(2)
+            a, b = np.unique(x[:n]), np.unique(x[n // 4 - n // 8 :][: n + n // 8])
+            both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            if 100 * both >= 80 * either:
+                agree = (minhash.sketch(a, config).view(np.uint16) == minhash.sketch(b, config).view(np.uint16)).sum()
+                lost += agree < minhash.least_agreement(np.array([max(len(a), len(b))]), config)[0]
+    assert lost == 0
+
+
+def test_chat_merges_adjacent_turns(spark):
+    rows = [(1, k, role, text) for k, (role, text) in enumerate([("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", None), ("assistant", "<|d"), ("user", "e " * 400_000)])]
+    blocks = chat.merged_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()["blocks"]
+    assert [(b["role"], len(b["texts"])) for b in blocks] == [("user", 2), ("assistant", 3), ("user", 1)] and blocks[1]["texts"] == ["c", "", "<\\|d"]
