@@ -1,24 +1,25 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is cut into matches of the vocabulary's pattern, each encoded separately. A match of up to ``leaf`` bytes is merged
-directly, lowest rank first, leftmost among equals. A longer one is encoded by halves, recursively, and the two encodings are
+A text is cut into matches of the vocabulary's pattern, each encoded separately: neighbours are merged, the pair of lowest rank
+first, leftmost among equals. A match of more than ``leaf`` bytes is encoded by halves, recursively, and the two encodings are
 joined: the tokens beside the border are taken out and their bytes encoded anew, in a window that grows until its outermost
 tokens come out as they were. Then nothing outside can change. For a sequence of tokens, each of them the encoding of its own
-bytes, is the encoding of all bytes if every two neighbours are the encoding of theirs: the first merge across a border between tokens
-would be the lowest in these two alone as well, so it would show there. All pairs beside the window's ends were pairs of
+bytes, is the encoding of all bytes if every two neighbours are the encoding of theirs: the first merge across a border between
+tokens would be the lowest in these two alone as well, so it would show there. All pairs beside the window's ends were pairs of
 an encoding before, and all inside come from one. So joining is associative, and the result that of merging the match as a whole.
 
+
 Halves are cut where the left one is ``leaf`` times a power of two long, so that runs of one character come out in step and
 windows stay small.
 
 Decoding concatenates the tokens' bytes up a tree, halves first.
 
-No match of the pattern goes on from other characters to a space, nor does one before such a place depend on what follows. So
-a text is taken apart at its spaces first, and a worker remembers the ids of short stretches, up to ``memory`` of them. A task
-holds a text with its ids; a match has no bound on its length. Ranks are read on each worker from the vocabulary file.
+No match of the pattern goes on from other characters to white space, nor does one before such a place depend on what follows. So
+a text is taken apart at its spaces and line ends first, and a worker remembers the ids of short words, up to ``memory`` of
+them. A task holds a text with its ids; a match has no bound on its length. Ranks are read on each worker from the vocabulary file.
 
 Edge cases: a null text is an empty one, without ids; invalid UTF-8 counts as U+FFFD. Names of special tokens are ordinary text.
-Ids that the vocabulary lacks are an error when decoding; null ids decode to no bytes. Repeated rows, a null ``doc_id`` and extra columns pass through; ``ids`` and
+Ids that the vocabulary lacks, and nulls among ids, are an error when decoding; a null array decodes to no bytes. Repeated rows, a null ``doc_id`` and extra columns pass through; ``ids`` and
 ``decoded`` of the input are replaced. An empty table gives an empty result.
 """
 
@@ -45,8 +46,8 @@ class BpeConfig:
     #: Bytes of a match that are merged directly, and tokens on each side of the first window of a join.
     leaf: int = 64
     window: int = 2
-    #: Stretches whose encodings a worker remembers, and characters of the longest of them.
-    memory: int = 500_000
+    #: Words whose encodings a worker remembers, and characters of the longest of them.
+    memory: int = 800_000
     memory_chars: int = 32
     #: Characters of a very long text that are taken apart at once.
     chunk: int = 1 << 20
@@ -70,34 +71,31 @@ class Codec:
                 self.ranks[base64.b64decode(token)] = int(rank)
         self.none = max(self.ranks.values()) + 1
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.pairs = [self.ranks.get(bytes((k >> 8, k & 255)), self.none) for k in range(1 << 16)]
         self.matches = regex.compile(public_tokenizers.PATTERN).finditer
-        self.blank = regex.compile(r"\s").match
+        self.blank = regex.compile(r"\s").search
         self.border = regex.compile(r"(?<=\S) ").search
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def merged(self, piece: bytes) -> list[int]:
-        """Ids of a piece by merging neighbours, lowest rank first."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        return self._merged_short(piece) if len(piece) <= self.config.leaf else self._merged_long(piece)
+        #: Ids of words after a space, and of words by themselves; of marks that follow a word.
+        self.known: tuple[dict[str, tuple[int, ...]], ...] = ({}, {})
+        self.marks = {c: (self.ranks[c.encode()],) for c in ".,;:!?" if c.encode() in self.ranks}
+        self.line_end = self.ranks.get(b"\n")
 
     def _merged_short(self, piece: bytes) -> list[int]:
-        rank, none = self.ranks.get, self.none
-        parts = [piece[k : k + 1] for k in range(len(piece))]
-        pairs = [rank(piece[k : k + 2], none) for k in range(len(piece) - 1)]
+        """Ids of a few bytes by merging neighbours, lowest rank first."""
+        rank, none, two = self.ranks.get, self.none, self.pairs
+        cuts = list(range(len(piece) + 1))
+        pairs = [two[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
         while pairs and (least := min(pairs)) != none:
             k = pairs.index(least)
-            parts[k] += parts.pop(k + 1)
-            del pairs[k]
+            del pairs[k], cuts[k + 1]
             if k < len(pairs):
-                pairs[k] = rank(parts[k] + parts[k + 1], none)
+                pairs[k] = rank(piece[cuts[k] : cuts[k + 2]], none)
             if k:
-                pairs[k - 1] = rank(parts[k - 1] + parts[k], none)
-        return [self.ranks[part] for part in parts]
+                pairs[k - 1] = rank(piece[cuts[k - 1] : cuts[k + 1]], none)
+        return [self.ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _merged_long(self, piece: bytes) -> list[int]:
-        """The same with a heap of pairs."""
+        """Ids of a long window by merging neighbours, with a heap of pairs."""
         ranks, size = self.ranks, len(piece)
         end, before = list(range(1, size + 1)), list(range(-1, size - 1))  # of the part that starts at a place
         heap = [(rank, k, k + 2) for k in range(size - 1) if (rank := ranks.get(piece[k : k + 2])) is not None]
@@ -128,46 +126,72 @@ class Codec:
         tokens = self.tokens
         while True:
             head, tail = left[-a:], right[:b]
-            middle = self.merged(b"".join(tokens[t] for t in head + tail))
+            window = b"".join([tokens[t] for t in head + tail])
+            middle = self._merged_short(window) if len(window) <= self.config.leaf else self._merged_long(window)
             steady_left = a >= len(left) or middle[0] == head[0]
             steady_right = b >= len(right) or middle[-1] == tail[-1]
             if steady_left and steady_right:
                 return left[: len(left) - len(head)] + middle + right[len(tail) :]
             a, b = a if steady_left else 4 * a, b if steady_right else 4 * b
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def merged(self, piece: bytes) -> list[int]:
+        """Ids of a piece by the tree of its halves."""
         if len(piece) <= self.config.leaf:
-            return self.merged(piece)
+            return self._merged_short(piece)
         half = self.config.leaf
         while 2 * half < len(piece):
             half *= 2
-        return self.joined(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
+        return self.joined(self.merged(piece[:half]), self.merged(piece[half:]))
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        """Ids of a match; one that is a token is that token, whether or not merging would make it."""
+        whole = self.ranks.get(piece)
+        return [whole] if whole is not None else self.merged(piece)
 
     def _stretch(self, stretch: str) -> list[int]:
-        """Ids of a text without places where a space follows other characters."""
+        """Ids of any text, match by match."""
         return [token for match in self.matches(stretch) for token in self.encode_piece(match[0].encode())]
 
+    def _word(self, word: str, alone: bool) -> tuple[int, ...]:
+        """Ids of a word without white space, by itself or after a space."""
+        known = self.known[alone]
+        ids = known.get(word)
+        if ids is None:
+            if word[-1] in self.marks and len(word) > 1 and (c := word[-2]).isascii() and c.isalnum():
+                ids = self._word(word[:-1], alone) + self.marks[word[-1]]  # the mark is a match by itself
+            elif word.isascii() and word.isalpha():
+                ids = tuple(self.encode_piece((word if alone else " " + word).encode()))  # and so are letters, with a space before
+            else:
+                ids = tuple(self._stretch(word if alone else " " + word))
+            if len(word) <= self.config.memory_chars:
+                if len(known) >= self.config.memory:
+                    known.clear()
+                known[word] = ids
+        return ids
+
     def _spaced(self, text: str, out: list[int]) -> None:
-        """Add the ids of a text to ``out``: stretch by stretch, each from such a place to the next."""
-        known, words = self.known, iter(text.split(" "))
+        """Add the ids of a text to ``out``: stretch by stretch, each from a space after other characters to the next."""
+        known, words = self.known[False], iter(text.split(" "))
         rest: str | None = next(words)  # what isn't encoded yet; None where a stretch ends
-        if rest and not self.blank(rest[-1]):
-            out.extend(self._stretch(rest))
+        if rest and not self.blank(rest):
+            out.extend(self._word(rest, True))
             rest = None
         for word in words:
             if rest is None and (ids := known.get(word)) is not None:
-                out.extend(ids)  # of a space and the word
+                out.extend(ids)
                 continue
-            stretch = f"{rest or ''} {word}"
             if not word or self.blank(word[-1]):
-                rest = stretch
+                rest = f"{rest or ''} {word}"
                 continue
-            found = self._stretch(stretch)
-            out.extend(found)
-            if rest is None and len(word) <= self.config.memory_chars:
-                if len(known) >= self.config.memory:
-                    known.clear()
-                known[word] = tuple(found)
+            lines = word.split("\n")
+            if rest is None and all(lines) and self.line_end is not None and not any(map(self.blank, lines)):
+                # a line end between other characters is a match by itself
+                out.extend(self._word(lines[0], False))
+                for line in lines[1:]:
+                    out.append(self.line_end)
+                    out.extend(self._word(line, True))
+            else:
+                out.extend(self._stretch(f"{rest or ''} {word}"))
             rest = None
         if rest:
             out.extend(self._stretch(rest))
@@ -226,7 +250,7 @@ def decode_ids(docs: DataFrame, config: BpeConfig = BpeConfig(), ids: str = "ids
     """``docs`` with ``decoded binary``, the bytes of its ids."""
 
     def decoded(value: pa.Scalar) -> bytes:
-        return codec(config).decode(value.values.to_pylist() if value.is_valid else [])
+        return codec(config).decode(value.values.to_numpy(zero_copy_only=False).tolist() if value.is_valid else [])
 
     return _with_column(docs, ids, "decoded", "binary", pa.binary(), decoded)
 

@@ -60,7 +60,7 @@ def test_joining_is_associative():
         piece = "".join(rng.choice("abeinrst") for _ in range(rng.randint(3, 90))).encode()
         i, j = sorted(rng.sample(range(1, len(piece)), 2))
         a, b, c = (codec.encode_piece(p) for p in (piece[:i], piece[i:j], piece[j:]))
-        assert codec.joined(codec.joined(a, b), c) == codec.joined(a, codec.joined(b, c)) == codec.merged(piece)
+        assert codec.joined(codec.joined(a, b), c) == codec.joined(a, codec.joined(b, c)) == codec.merged(piece) == codec._merged_short(piece) == codec._merged_long(piece)
 
 
 def test_other_vocabulary():
