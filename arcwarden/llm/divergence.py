@@ -107,12 +107,14 @@ def group_sums(tokens: DataFrame, config: DivergenceConfig) -> DataFrame:
         model.write().save(path)
         terms = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "token")).where("token != ''")
         vector = F.unwrap_udt("vector")
-        lists = tokens.select("lang", "source", F.posexplode("tokens").alias("bit", "tokens"))
-        vectors = model.transform(lists.select("lang", "source", "bit", own(F.col("tokens")).alias("tokens")))
-        entries = vectors.select("lang", "source", "bit", F.explode(vector["indices"]).alias("index"))
-        sums = entries.groupBy("lang", "source", "index").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("count"))
+        lists = tokens.select("source", F.posexplode("tokens").alias("bit", "tokens"))
+        vectors = model.transform(lists.select("source", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("times"), own(F.col("tokens")).alias("tokens")))
+        # a token tells its language, so source and token are a group's term
+        sums = vectors.select("source", "times", F.explode(vector["indices"]).alias("index")).groupBy("source", "index").agg(F.sum("times").alias("count"))
         # a fit's vocabulary is bounded by shard_terms, so its terms are joined by a broadcast of that size at most
-        named = sums.join(maybe_broadcast(terms), "index").select("lang", "source", F.substring_index("token", MARK, -1).alias("term"), "count")
+        term = F.substring_index("token", MARK, -1)
+        lang = F.expr(f"substring(token, 1, length(token) - length(term) - {len(MARK)})")
+        named = sums.join(maybe_broadcast(terms), "index").withColumn("term", term).select(lang.alias("lang"), "source", "term", "count")
         found.append(stored(named, "divergence-sums"))
     return reduce(DataFrame.unionByName, found)
 
