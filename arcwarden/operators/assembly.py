@@ -10,6 +10,7 @@ from arcwarden.operators.aws import aws_permission_edges
 from arcwarden.operators.azure import azure_permission_edges
 from arcwarden.operators.base_graph import build_base
 from arcwarden.operators.derive import DeriveConfig, fixpoint
+from arcwarden.operators.substrings import containing
 from arcwarden.operators.gcp import foothold_node, gcp_permission_edges
 from arcwarden.tables import is_empty, small, stored
 
@@ -49,7 +50,8 @@ def mark_footholds(nodes: DataFrame, callers: DataFrame) -> DataFrame:
     exact = named.join(native, "caller").groupBy("caller").agg(F.min("node_id").alias("node_id"))
     rest = named.join(exact, "caller", "left_anti")
     rest, arns = stored(rest, "callers"), nodes.where(text("arn") != "").select("arn", "node_id")
-    part = arns.join(small(rest), F.contains("arn", "caller")).groupBy("caller").agg(F.min("node_id").alias("node_id"))
+    held = containing(arns.select(F.col("arn").alias("text")), rest.select(F.col("caller").alias("pattern")))
+    part = arns.join(held.select(F.col("text").alias("arn"), F.col("pattern").alias("caller")), "arn").groupBy("caller").agg(F.min("node_id").alias("node_id"))
     found = exact.unionByName(part)
     made = foothold_node(F.col("caller"))
     new = rest.join(part, "caller", "left_anti").where(F.col("caller").endswith("gserviceaccount.com")).select(made.alias("n"), "caller").select("n.node_id", "n.node_type", F.lit("gcp").alias("provider"), F.split_part("n.node_id", F.lit("|"), F.lit(2)).alias("account"), F.col("caller").alias("arn"), F.lit(True).alias("foothold"))

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcwarden.catalog import AWS_CAPABILITIES, AWS_SERVICE_OVERRIDES, PRINCIPAL_TYPES
-from arcwarden.functions.scalars import account_of, blank, edge_id, glob_class, service_of_resource
+from arcwarden.functions.scalars import account_of, blank, edge_id, glob_class, glob_match, service_of_resource
 from arcwarden.operators import policy as P
-from arcwarden.tables import config_frame, small, stored
+from arcwarden.tables import config_frame, stored
 
 ACTIONS = [c[1] for c in AWS_CAPABILITIES]
 PAIR = ["principal", "action", "target_arn"]
@@ -103,14 +103,43 @@ def _resource_statements(policies: Policies) -> DataFrame:
     return _matched(rows)
 
 
+#: Parts that people are dealt to where a statement is open to everyone.
+SALTS = 64
+
+
+def _prefix(pattern: Column) -> Column:
+    """What a pattern starts with before its first wildcard, up to the last border of a segment."""
+    return F.regexp_extract(pattern, r"^([^*?]*[:/])", 1)
+
+
+def _prefixes(subject: Column) -> Column:
+    """All that ``_prefix`` may be of a pattern that matches the subject, and the subject itself."""
+    parts = F.split(subject, r"(?<=[:/])")
+    return F.array_distinct(F.concat(F.array(F.lit(""), subject), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ""))))
+
+
+def named_people(statements: DataFrame, people: DataFrame) -> DataFrame:
+    """Statements with each principal that they name directly (``principal_match_direct``), by joins on equality.
+
+    A pattern meets the principals that share what stands before its wildcard, segment by segment, and is compared with these.
+    A statement for everyone meets all of them, dealt to ``SALTS`` parts.
+    """
+    rows = stored(statements.withColumn("_row", F.monotonically_increasing_id()), "statements")
+    everyone = stored(people.select("principal").where("principal is not null").distinct(), "people")
+    part = F.pmod(F.xxhash64("principal"), F.lit(SALTS))
+    public = rows.where("public").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).join(everyone.withColumn("_part", part), "_part").drop("_part")
+    each = rows.where("not public").withColumn("_x", F.explode(F.array_distinct(F.filter("principals", lambda x: ~x.endswith(":root")))))
+    keyed = each.withColumn("_key", F.when(glob_class("_x") == "exact", F.col("_x")).otherwise(_prefix(F.col("_x"))))
+    met = keyed.join(everyone.withColumn("_key", F.explode(_prefixes(F.col("principal")))), "_key").where((F.col("_x") == F.col("principal")) | glob_match("_x", "principal"))
+    columns = ["principal", *statements.columns]
+    return public.select(*columns, "_row").unionByName(met.select(*columns, "_row")).dropDuplicates(["_row", "principal"]).select(*columns)
+
+
 def _resource_allows(policies: Policies, resources: DataFrame, people: DataFrame) -> DataFrame:
     """Direct allows of resource policies; a policy belongs to the arn that it is attached to."""
     rows = _resource_statements(policies).where(P.allows()).select(F.col("source").alias("target_arn"), *STATEMENT)
     at = rows.join(resources.select("action", "target_arn").distinct(), ["action", "target_arn"]).where(P.statement_resource_match("target_arn"))
-    plain = ~F.col("public") & F.forall("principals", lambda p: glob_class(p) == "exact")
-    named = at.where(plain).withColumn("principal", F.explode(F.array_distinct("principals"))).where(~F.col("principal").endswith(":root")).join(people.select("principal"), "principal", "left_semi")
-    loose = people.select("principal").join(small(stored(at.where(~plain), "loose")), P.principal_match_direct("principal"))
-    return allowed_by(_tri(named.unionByName(loose.select(*named.columns))))
+    return allowed_by(_tri(named_people(at, people)))
 
 
 def explicit_deny(pairs: DataFrame, policies: Policies) -> DataFrame:
@@ -152,18 +181,14 @@ def boundary_gate(pairs: DataFrame, policies: Policies) -> DataFrame:
 def _key_principals(grants: DataFrame, people: DataFrame) -> DataFrame:
     """Grants with each principal that they name (``names``) or whose account's root they name (``root``).
 
-    Names meet principals by equality, roots meet accounts; only grants to everyone or to a pattern are compared with all.
+    Names and patterns meet principals as in ``named_people``, roots meet accounts.
     """
     flags = lambda df, names: df.withColumn("names", F.lit(names)).withColumn("root", F.lit(not names))
     own = grants.columns
     each = grants.withColumn("p", F.explode(F.array_distinct("principals")))
     rooted = F.col("p").endswith(":root") | F.col("p").rlike("^[0-9]{12}$")
-    exact = each.where(~rooted & (glob_class("p") == "exact")).withColumn("principal", F.col("p")).join(people.select("principal").distinct(), "principal", "left_semi")
     roots = each.where(rooted).select(*own, account_of("p").alias("of")).distinct().join(people.select("principal", account_of("principal").alias("of")).distinct(), "of")
-    open_ = grants.where(F.col("public") | F.exists("principals", lambda x: ~x.endswith(":root") & (glob_class(x) != "exact")))
-    loose = people.select("principal").distinct().join(small(stored(open_, "loose")), P.principal_match_direct("principal"))
-    columns = ["principal", *own]
-    return flags(exact.select(*columns), True).unionByName(flags(roots.select(*columns), False)).unionByName(flags(loose.select(*columns), True))
+    return flags(named_people(grants, people), True).unionByName(flags(roots.select("principal", *own), False))
 
 
 def kms_decision(identity: DataFrame, policies: Policies, resources: DataFrame, people: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from arcwarden.catalog import HIGH_VALUE_TYPES, IDENTITY_TYPES
 from arcwarden.functions.scalars import b64_text, cluster_of, is_admin, json_text, kind_of, label, node_account, node_class, norm_identity, preview, text
-from arcwarden.operators.traverse import bfs_depth, bfs_pairs, bfs_within, least_costs, path_edges, relax
+from arcwarden.operators.condense import condensed, strong_components
+from arcwarden.operators.traverse import bfs_depth, bfs_pairs, bfs_within, least_costs, nearest_target, path_edges, relax
 from arcwarden.tables import is_empty, small, stored
 
 EVERYONE = (*IDENTITY_TYPES, "Everyone")
@@ -92,8 +93,7 @@ def explore_preset(nodes: DataFrame, edges: DataFrame, preset: str, start: DataF
         return found.orderBy("node").limit(MAX_OBJECTIVES)
     people = nodes.where(F.col("node_type").isin(*EVERYONE) & ((F.lit(account) == "") | (F.col("account") == account)))
     first = people.select(F.col("node_id").alias("node")).orderBy("node").limit(MAX_PRINCIPALS).join(small(targets), "node", "left_anti")
-    costs = least_costs(relax(edges, first, max_hops)).join(small(targets), "node", "left_semi").where("node != start")
-    return costs.groupBy("start").agg(F.min(F.struct("cost", "node", "hops")).alias("b")).select("start", "b.node", "b.cost", "b.hops")
+    return nearest_target(edges, targets, max_hops).join(small(first, MAX_PRINCIPALS), "node").select(F.col("node").alias("start"), F.col("target").alias("node"), "cost", "hops")
 
 
 def node_list(nodes: DataFrame) -> DataFrame:
@@ -225,14 +225,37 @@ def report_paths(nodes: DataFrame, edges: DataFrame, foothold: DataFrame, max_ho
     return ends.join(states, ["start", "node"], "left").select("start", "node", "cost", "hops", state.alias("state")).orderBy("state", "hops", "node")
 
 
-def rank_footholds(nodes: DataFrame, edges: DataFrame, top: int = 25, max_hops: int = 20) -> DataFrame:
+def reach_counts(edges: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFrame:
+    """``(node, reaches, goals)`` for each row of ``starts(node)``: nodes within reach, itself included, and those of ``goals(node)``.
+
+    The members of a strongly connected component share one answer, and so do components with the same successors, but for what
+    they hold themselves. So the closure is one of classes of components over components, and sizes are added up.
+    """
+    parts = strong_components(edges)
+    between = condensed(edges, parts)
+    ends = edges.select(F.col("source").alias("node")).union(edges.select("target")).union(starts.select("node")).where("node is not null").distinct()
+    named = stored(ends.join(small(parts), "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    sizes = named.join(small(goals.select("node", F.lit(1).alias("goal"))), "node", "left").groupBy("component").agg(F.count("*").alias("size"), F.coalesce(F.sum("goal"), F.lit(0)).alias("goals"))
+    sizes = stored(sizes, "sizes")
+    wanted = stored(named.join(starts.select("node").distinct(), "node", "left_semi").select("node", "component"), "wanted")
+    # what a component's successors are, as two hashes that don't depend on their order
+    sums = [F.sum(F.xxhash64("target", F.lit(salt)).cast("decimal(38,0)")).alias(f"h{salt}") for salt in (1, 2)]
+    first = between.join(wanted.select(F.col("component").alias("source")).distinct(), "source", "left_semi").groupBy("source").agg(F.count("*").alias("m"), *sums)
+    first = stored(first, "successors")
+    least = stored(first.groupBy("m", "h1", "h2").agg(F.min("source").alias("class")), "least")
+    classes = stored(first.join(small(least), ["m", "h1", "h2"]).select(F.col("source").alias("component"), "class"), "classes")
+    beyond = bfs_pairs(between, classes.select(F.col("class").alias("node")).distinct()).where("depth > 0")
+    counted = beyond.join(small(sizes), F.col("node") == F.col("component")).groupBy(F.col("start").alias("class")).agg(F.sum("size").alias("more"), F.sum("goals").alias("more_goals"))
+    own = wanted.join(small(sizes), "component").join(small(classes), "component", "left").join(small(stored(counted, "counted")), "class", "left")
+    return own.select("node", (F.col("size") + F.coalesce("more", F.lit(0))).alias("reaches"), (F.col("goals") + F.coalesce("more_goals", F.lit(0))).alias("goals"))
+
+
+def rank_footholds(nodes: DataFrame, edges: DataFrame, top: int = 25) -> DataFrame:
     """``(node_id, label, node_type, reaches, crown_jewels)``: identities by objectives and nodes within reach, themselves included."""
     people = nodes.where(F.col("node_type").isin(*EVERYONE))
-    pairs = bfs_pairs(edges, people.select(F.col("node_id").alias("node")), max_hops)
-    goals = stored(objectives(nodes).withColumn("goal", F.lit(1)), "goals")
-    counted = pairs.join(small(goals), "node", "left").groupBy("start").agg(F.count("*").alias("reaches"), F.coalesce(F.sum("goal"), F.lit(0)).alias("crown_jewels"))
-    named = counted.join(people.select(F.col("node_id").alias("start"), label("node_id", "attributes").alias("label"), "node_type"), "start")
-    return named.select(F.col("start").alias("node_id"), "label", "node_type", "reaches", "crown_jewels").orderBy(F.desc("crown_jewels"), F.desc("reaches"), "label", "node_id").limit(top)
+    counted = reach_counts(edges, people.select(F.col("node_id").alias("node")), stored(objectives(nodes), "goals"))
+    named = counted.join(people.select(F.col("node_id").alias("node"), label("node_id", "attributes").alias("label"), "node_type"), "node")
+    return named.select(F.col("node").alias("node_id"), "label", "node_type", "reaches", F.col("goals").alias("crown_jewels")).orderBy(F.desc("crown_jewels"), F.desc("reaches"), "label", "node_id").limit(top)
 
 
 def cross_scope_edges(edges: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
@@ -280,11 +303,12 @@ def cluster_counts(nodes: DataFrame) -> DataFrame:
 def graph_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(part, key, n)``: edges by type, edges by state, nodes by type, and the conditional edges, the largest first."""
     named = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(untyped)"))
-    parts = F.array(F.struct(F.lit("edge_type").alias("part"), named("type").alias("key")), F.struct(F.lit("edge_state").alias("part"), named("state").alias("key")))
-    by = edges.select(F.inline(parts)).groupBy("part", "key").agg(F.count("*").alias("n"))
-    types = nodes.groupBy(named("node_type").alias("key")).agg(F.count("*").alias("n")).select(F.lit("node_type").alias("part"), "key", "n")
-    loose = edges.agg(F.count_if(F.col("state") == "CONDITIONAL").alias("n")).select(F.lit("conditional").alias("part"), F.lit("total").alias("key"), "n")
-    return by.unionByName(types).unionByName(loose).orderBy("part", F.desc("n"), "key")
+    one = F.lit(1).cast("long")
+    counted = lambda name, key, n: F.struct(F.lit(name).alias("part"), key.alias("key"), n.cast("long").alias("n"))
+    parts = F.array(counted("edge_type", named("type"), one), counted("edge_state", named("state"), one), counted("conditional", F.lit("total"), F.coalesce(F.col("state") == "CONDITIONAL", F.lit(False))))
+    by = edges.select(F.inline(parts)).unionByName(nodes.select(F.inline(F.array(counted("node_type", named("node_type"), one)))))
+    none = edges.sparkSession.range(1).select(F.lit("conditional").alias("part"), F.lit("total").alias("key"), F.lit(0).cast("long").alias("n"))
+    return by.unionByName(none).groupBy("part", "key").agg(F.sum("n").alias("n")).orderBy("part", F.desc("n"), "key")
 
 
 def custody_summary(manifest: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

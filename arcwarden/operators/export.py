@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcwarden.functions.scalars import fact_id, last_seg, map_nature, map_node_type, norm_type, text
+from arcwarden.operators.substrings import containing
 from arcwarden.tables import is_empty, small, stored
 
 
@@ -47,11 +48,14 @@ def fact_records(facts: DataFrame, nodes: DataFrame) -> DataFrame:
 def fact_evidence_link(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     """``(fact_id, evidence_id)`` where the normalised fact type and resource type contain each other.
 
-    The comparison meets only the distinct types of both sides, then goes back to the rows by equality.
+    Only the distinct types of both sides meet, in joins on n-grams, and then the rows by equality.
     """
     types = facts.select(norm_type("fact_type").alias("f")).distinct().where("f != ''")
     kinds = evidence.select(norm_type("resource_type").alias("r")).distinct().where("r != ''")
-    alike = types.join(small(kinds), F.contains("f", "r") | F.contains("r", "f"))
+    as_text, as_pattern = (lambda df, c: df.select(F.col(c).alias("text"))), (lambda df, c: df.select(F.col(c).alias("pattern")))
+    one = containing(as_text(types, "f"), as_pattern(kinds, "r")).select(F.col("text").alias("f"), F.col("pattern").alias("r"))
+    other = containing(as_text(kinds, "r"), as_pattern(types, "f")).select(F.col("pattern").alias("f"), F.col("text").alias("r"))
+    alike = stored(one.unionByName(other).distinct(), "alike")
     return facts.select("fact_id", norm_type("fact_type").alias("f")).join(small(alike), "f").join(evidence.select("evidence_id", norm_type("resource_type").alias("r")), "r").select("fact_id", "evidence_id").distinct()
 
 

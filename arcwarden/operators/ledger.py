@@ -38,18 +38,20 @@ def service_of(resource_type: str) -> Column:
 
 
 def coverage_report(ledger: DataFrame) -> DataFrame:
-    """``(part, key, n)``: outcomes, denied and failed operations, skip reasons (surfaces folded), resources by service, empty tasks."""
-    part = lambda df, name, key, n: df.groupBy(key.alias("key")).agg(n.alias("n")).select(F.lit(name).alias("part"), "key", "n")
-    one = F.count("*")
+    """``(part, key, n)``: outcomes, denied and failed operations, skip reasons (surfaces folded), resources by service, empty tasks.
+
+    A task says which parts it counts in, so the ledger is read and grouped once.
+    """
     reason = F.when(text("reason").startswith("surface:"), "surface:*").otherwise(text("reason"))
-    parts = [
-        part(ledger, "outcome", F.col("status"), one), part(ledger.where("status = 'denied'"), "denied", F.col("operation"), one), part(ledger.where("status = 'error'"), "errored", F.col("operation"), one),
-        part(ledger.where("status = 'skipped'"), "skipped", reason, one), part(ledger.where("status = 'ok'"), "service", service_of("resource_type"), F.sum("count")), part(ledger.where("status = 'empty'"), "empty", F.lit("total"), one),
-    ]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every
+    one, status = F.lit(1).cast("long"), F.col("status")
+    counted = lambda name, key, n: F.struct(F.lit(name).alias("part"), key.alias("key"), n.cast("long").alias("n"))
+    parts = F.array_compact(
+        F.array(
+            counted("outcome", status, one), F.when(status == "denied", counted("denied", F.col("operation"), one)), F.when(status == "error", counted("errored", F.col("operation"), one)),
+            F.when(status == "skipped", counted("skipped", reason, one)), F.when(status == "ok", counted("service", service_of("resource_type"), F.col("count"))), F.when(status == "empty", counted("empty", F.lit("total"), one)),
+        )
+    )
+    return ledger.select(F.inline(parts)).groupBy("part", "key").agg(F.sum("n").alias("n")).select("part", "key", "n")
 
 
 def denied_permissions(ledger: DataFrame) -> DataFrame:

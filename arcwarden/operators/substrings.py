@@ -22,6 +22,8 @@ from arcwarden.tables import small, stored
 
 #: Widths of n-grams; patterns of fewer characters than the least aren't looked for inside texts.
 WIDTHS = (4, 8, 16)
+#: Widths with which any pattern of a character or more is found.
+ALL_WIDTHS = (1, 2, *WIDTHS)
 
 
 #: Characters of a text that are cut into n-grams at once, and hashes of one Arrow batch, at least.
@@ -66,24 +68,43 @@ def sent_grams(rows: Iterable[tuple[int, list[str]]]) -> Iterator[pa.RecordBatch
     yield batch()
 
 
-def anchored(patterns: DataFrame) -> DataFrame:
-    """``(pattern, h)``: each pattern of ``patterns(pattern)`` with the hash of its anchor, stored."""
+def anchored(patterns: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """``(pattern, h, width)``: each pattern of ``patterns(pattern)`` with the hash and width of its anchor, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, places, hashes = [], [], []
             for s in batch.column(0).to_pylist():
-                own = gram_hashes(s, max(w for w in WIDTHS if w <= len(s)))
+                own = gram_hashes(s, max(w for w in widths if w <= len(s)))
                 names += [s] * len(own)
                 places += range(len(own))
                 hashes += own
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64())], ["pattern", "at", "h"])
 
-    long_enough = patterns.select("pattern").where(F.length("pattern") >= WIDTHS[0]).distinct()
+    long_enough = patterns.select("pattern").where(F.length("pattern") >= widths[0]).distinct()
     grams = stored(long_enough.mapInArrow(run, "pattern string, at int, h long"), "grams")
     counts = grams.groupBy("h").agg(F.count_distinct("pattern").alias("n"))
     best = grams.join(counts, "h").groupBy("pattern").agg(F.min(F.struct("n", "at", "h")).alias("best"))
-    return stored(best.select("pattern", F.col("best.h").alias("h")), "anchors")
+    width = F.greatest(*[F.when(F.length("pattern") >= w, F.lit(w)) for w in (0, *widths)])
+    return stored(best.select("pattern", F.col("best.h").alias("h"), width.alias("width")), "anchors")
+
+
+def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(text, pattern)`` of the distinct ``texts(text)``, which should be short, that hold a pattern of one character or more.
+
+    A join by equality of hashes, and a look at what it brings. The driver gets the widths that patterns have, five at most.
+    """
+    anchors = anchored(patterns, ALL_WIDTHS)
+    used = sorted(r["width"] for r in anchors.select("width").distinct().collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                held = {h for width in used for h in gram_hashes(s, width)}
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(held), pa.string()), pa.array(list(held), pa.int64())], ["text", "h"])
+
+    sent = texts.select("text").where("text is not null").distinct().mapInArrow(run, "text string, h long")
+    return sent.join(small(anchors.select("pattern", "h")), "h").where(F.contains("text", "pattern")).select("text", "pattern").distinct()
 
 
 def replaced(s: str, pairs: dict[str, str]) -> str:

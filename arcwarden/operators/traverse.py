@@ -1,13 +1,13 @@
 """Reachability and least-weight paths by frontier joins.
 
-Each hop is one join of the frontier with the edges, an anti-join with what is known, and a stored table; all starts go
+Each hop is one join of the frontier with the edges, a look at what is known of the nodes met, and a stored table; all starts go
 together as (start, node) pairs. Paths are exact under the hop cap: costs are kept by number of hops, and only nodes whose
 cost the last hop improved go on. Equal costs go to the smaller edge id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcwarden.tables import is_empty, small, stored
@@ -90,21 +90,68 @@ def reached_by(edges: DataFrame, target: DataFrame) -> DataFrame:
     return bfs_depth(edges, target, direction="backward").where("depth > 0").select("node")
 
 
+class _Labels:
+    """Labels found so far, as runs that are only added to; while a run isn't larger than the next one, both become one."""
+
+    def __init__(self, first: DataFrame, n: int):
+        self.runs = [(first, n)]
+
+    def rows(self) -> DataFrame:
+        return _union([run for run, _ in self.runs])
+
+    def known(self, offers: DataFrame, n: int, keys: list[str], label: Column) -> DataFrame:
+        """The least label, ``known``, of each of the ``n`` offers' keys that has one."""
+        return self.rows().join(small(offers.select(*keys), n), keys, "left_semi").groupBy(*keys).agg(F.min(label).alias("known"))
+
+    def add(self, run: DataFrame, n: int) -> None:
+        self.runs.append((run, n))
+        while len(self.runs) > 1 and self.runs[-2][1] <= self.runs[-1][1]:
+            (a, m), (b, n) = self.runs[-2:]
+            self.runs[-2:] = [(stored(a.unionByName(b), "labels"), m + n)]
+
+
 def relax(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """``(start, node, hops, cost, edge_id, prev)``: each improvement of a node's cost, by hops; starts have cost 0."""
+    """``(start, node, hops, cost, edge_id, prev)``: each improvement of a node's cost, by hops; starts have cost 0.
+
+    A hop's offers meet the labels of their own nodes only, and what is better is added to the tree; nothing is written anew.
+    """
     steps = stored(edges.select("edge_id", F.col("source").alias("at"), F.col("target").alias("to"), "weight"), "steps")
     now = stored(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("string").alias("prev")).distinct(), "relax")
-    best, tree, hop = now.select("start", "node", "cost"), now, 0
-    while (max_hops is None or hop < max_hops) and not is_empty(now):
+    n, hop, keys = now.count(), 0, ["start", "node"]
+    tree = _Labels(now, n)
+    while n and (max_hops is None or hop < max_hops):
         hop += 1
-        met = now.select("start", "node", "cost").join(steps, F.col("node") == F.col("at"))
-        offers = met.groupBy("start", F.col("to").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("weight")).alias("cost"), steps["edge_id"].alias("edge_id"), F.col("at").alias("prev"))).alias("o"))
-        known = best.select("start", "node", F.col("cost").alias("known"))
-        better = offers.join(known, ["start", "node"], "left").where(F.col("known").isNull() | (F.col("o.cost") < F.col("known")))
+        met = steps.join(small(now.select("start", "node", "cost"), n), F.col("node") == F.col("at"))
+        best = met.groupBy("start", F.col("to").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("weight")).alias("cost"), steps["edge_id"].alias("edge_id"), F.col("at").alias("prev"))).alias("o"))
+        offers = stored(best, "offers")
+        offered = offers.count()
+        better = offers.join(small(tree.known(offers, offered, keys, F.col("cost")), offered), keys, "left").where(F.col("known").isNull() | (F.col("o.cost") < F.col("known")))
         now = stored(better.select("start", "node", F.lit(hop).alias("hops"), "o.cost", "o.edge_id", "o.prev"), "relax")
-        tree = stored(tree.unionByName(now), "tree")
-        best = tree.groupBy("start", "node").agg(F.min("cost").alias("cost"))
-    return tree
+        n = now.count()
+        tree.add(now, n)
+    return tree.rows()
+
+
+def nearest_target(edges: DataFrame, targets: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``(node, target, cost, hops)``: each node's nearest target within ``max_hops``, ties to the smaller target.
+
+    One backward search from all targets: labels are (cost, target), and a node hands on its least one only.
+    """
+    steps = stored(edges.select(F.col("source").alias("at"), F.col("target").alias("to"), "weight"), "steps")
+    now = stored(targets.select("node", F.col("node").alias("target"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops")).where("node is not null").distinct(), "nearest")
+    n, hop, label = now.count(), 0, F.struct("cost", "target")
+    found = _Labels(now, n)
+    while n and (max_hops is None or hop < max_hops):
+        hop += 1
+        met = steps.join(small(now.select("node", "target", "cost"), n), F.col("node") == F.col("to"))
+        offers = stored(met.groupBy(F.col("at").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("weight")).alias("cost"), "target")).alias("o")), "offers")
+        offered = offers.count()
+        better = offers.join(small(found.known(offers, offered, ["node"], label), offered), "node", "left").where(F.col("known").isNull() | (F.col("o") < F.col("known")))
+        now = stored(better.select("node", "o.target", "o.cost", F.lit(hop).alias("hops")), "nearest")
+        n = now.count()
+        found.add(now, n)
+    best = found.rows().groupBy("node").agg(F.min(F.struct("cost", "target", "hops")).alias("b"))
+    return best.select("node", "b.target", "b.cost", "b.hops")
 
 
 def least_costs(tree: DataFrame) -> DataFrame:

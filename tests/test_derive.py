@@ -1,10 +1,13 @@
 """Closure and walks on hand-made graphs with cycles, ties and better ways found late, against plain versions."""
 
+import numpy as np
 import pytest
 from helpers import edges, nodes
 from pyspark.sql import functions as F
 
+from arcwarden.operators import condense
 from arcwarden.operators import derive as D
+from arcwarden.operators import explore as X
 from arcwarden.operators import traverse as T
 
 
@@ -60,3 +63,50 @@ def test_walks_with_cycles(spark):
     assert (near["cost"], near["hops"]) == (6.0, 2) and T.shortest_path(given, one("d"), one("a")).count() == 0
     assert {(r["node"], r["depth"]) for r in T.bfs_depth(given, one("a")).collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
     assert T.traversable_edges(given, conditional=False, attack_only=False).count() == 4
+
+
+def random_graph(spark, rng, n, m):
+    rows = [("T", f"n{a:02d}", f"n{b:02d}", "ACTIVE", float(w)) for a, b, w in zip(rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(1, 9, m), strict=True)]
+    return rows, edges(spark, *rows).withColumn("edge_id", F.concat(F.lit("e"), F.monotonically_increasing_id()))
+
+
+def reach(rows, start):
+    seen, todo = {start}, [start]
+    while todo:
+        at = todo.pop()
+        for _, s, d, *_ in rows:
+            if s == at and d not in seen:
+                seen.add(d)
+                todo.append(d)
+    return seen
+
+
+@pytest.mark.parametrize(("n", "m"), [(12, 10), (12, 18), (20, 60), (30, 33)])
+def test_components_and_reach_counts(spark, n, m):
+    rows, given = random_graph(spark, np.random.default_rng(n * m), n, m)
+    all_nodes = {x for r in rows for x in r[1:3]}
+    ahead = {x: reach(rows, x) for x in all_nodes}
+    want = {x: max(y for y in ahead[x] if x in ahead[y]) for x in all_nodes if any(x in ahead[y] for y in ahead[x] - {x})}
+    parts = condense.strong_components(given)
+    assert {r["node"]: r["component"] for r in parts.collect()} == want
+    names = {x: want.get(x, x) for x in all_nodes}
+    assert {tuple(r) for r in condense.condensed(given, parts).collect()} == {(names[r[1]], names[r[2]]) for r in rows if names[r[1]] != names[r[2]]}
+    starts, goals = sorted(all_nodes)[::2] + ["alone"], sorted(all_nodes)[::3]
+    one = lambda names: spark.createDataFrame([(x,) for x in names], "node string")
+    got = {r["node"]: (r["reaches"], r["goals"]) for r in X.reach_counts(given, one(starts), one(goals)).collect()}
+    assert got == {x: (len(r), len(r & set(goals))) for x in starts for r in [ahead.get(x, {x})]}
+    assert condense.strong_components(given.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("hops", [None, 1, 3])
+def test_nearest_target(spark, hops):
+    rows, given = random_graph(spark, np.random.default_rng(7), 20, 34)
+    targets = ["n01", "n05", "n11"]
+    best = {t: (0.0, t) for t in targets}
+    for _ in range(hops or 50):
+        old = dict(best)
+        for _, s, d, _, w in rows:
+            if d in old and (s not in best or (old[d][0] + w, old[d][1]) < best[s]):
+                best[s] = (old[d][0] + w, old[d][1])
+    found = T.nearest_target(given, spark.createDataFrame([(t,) for t in targets], "node string"), hops).collect()
+    assert {r["node"]: (r["cost"], r["target"]) for r in found} == best and all((r["hops"] == 0) == (r["node"] in targets and r["cost"] == 0) for r in found)
