@@ -141,7 +141,7 @@ def _chain(nodes, edges):
 query("traversable_edges", " SELECT edge_id, weight FROM edges WHERE state <> 'CONDITIONAL'")(lambda n, e: T.traversable_edges(e, n, conditional=False).select("edge_id", "weight"))
 query("reaches", walk(START, 40) + f" SELECT DISTINCT node FROM walk WHERE node <> {START}", True)(lambda n, e: T.reaches(e, first_customer(e)))
 query("reached_by", walk(GOAL, 40, False) + f" SELECT DISTINCT node FROM walk WHERE node <> {GOAL}", True)(lambda n, e: T.reached_by(e, last_part(e)))
-query("bfs_within", walk(START, 2) + " SELECT DISTINCT node FROM walk", True)(lambda n, e: T.bfs_within(e, first_customer(e), 2))
+query("bfs_within", walk(START, 12) + " SELECT DISTINCT node FROM walk", True)(lambda n, e: T.bfs_within(e, first_customer(e), 12))
 query("bfs_depth", walk(GOAL, 40, False) + " SELECT node, min(d) AS depth FROM walk GROUP BY node", True)(lambda n, e: T.bfs_depth(e, last_part(e), direction="backward"))
 query("shortest_path", costs(START, 40) + " SELECT node, cost, hops, hops AS n_edges FROM cost WHERE node = (SELECT max(w.node) FROM way w WHERE w.node LIKE '%part%')", True)(
     lambda n, e: T.shortest_path(e, first_customer(e), T.bfs_within(e, first_customer(e)).where("node like '%part%'").groupBy().agg(F.max("node").alias("node"))).select("node", "cost", "hops", F.size("edge_ids").alias("n_edges"))

@@ -118,22 +118,38 @@ query("principal_names_root", "SELECT s_suppkey, s_suppkey % 5 = 2 AS hit FROM s
 query("principal_context", f"SELECT s_suppkey, '00000000000' || (s_suppkey % 2 + 1) AS account, {_R} AS arn FROM supplier")(lambda s, d: named(s, d).select("s_suppkey", P.principal_context("p").alias("k")).select("s_suppkey", F.expr("k['aws:principalaccount'][0]").alias("account"), F.expr("k['aws:principalarn'][0]").alias("arn")))
 
 
+#: Twelve clauses: operator, key and values.
+CLAUSES = (
+    ("NumericLessThan", "quantity", ["25"]), ("NumericEquals", "quantity", ["10", "20"]), ("StringEquals", "flag", ["N"]), ("StringNotEquals", "flag", ["N"]), ("StringLike", "flag", ["?", "x"]), ("ForAllValues:StringEquals", "flag", ["N", "O"]),
+    ("ForAnyValue:StringEquals", "flag", ["N", "O"]), ("DateGreaterThan", "shipped", ["1998-01-01T00:00:00Z"]), ("IpAddress", "ip", ["10.0.0.0/17"]), ("NotIpAddress", "ip", ["10.0.0.0/17"]), ("StringEqualsIfExists", "missing", ["x"]), ("Null", "aws:SourceIp", ["true"]),
+)
+
+
 def asked(s, d) -> DataFrame:
-    """Line items as requests: what is known of them, and a clause of one of twelve operators."""
+    """Line items as requests: what is known of them, and one of the twelve clauses."""
     known = F.expr("map('quantity', array(cast(l_quantity as string)), 'flag', array(l_returnflag, l_linestatus), 'shipped', array(concat(date_format(l_shipdate, 'yyyy-MM-dd'), 'T00:00:00Z')), 'ip', array(concat('10.0.', l_suppkey % 256, '.1')))")
-    op = F.expr("element_at(array('NumericLessThan', 'NumericEquals', 'StringEquals', 'StringNotEquals', 'StringLike', 'ForAllValues:StringEquals', 'ForAnyValue:StringEquals', 'DateGreaterThan', 'IpAddress', 'NotIpAddress', 'StringEqualsIfExists', 'Null'), k + 1)")
-    key = F.expr("element_at(array('quantity', 'quantity', 'flag', 'flag', 'flag', 'flag', 'flag', 'shipped', 'ip', 'ip', 'missing', 'aws:SourceIp'), k + 1)")
-    wanted = F.expr("element_at(array(array('25'), array('10', '20'), array('N'), array('N'), array('?', 'x'), array('N', 'O'), array('N', 'O'), array('1998-01-01T00:00:00Z'), array('10.0.0.0/17'), array('10.0.0.0/17'), array('x'), array('true')), k + 1)")
-    return read_table(s, d, "lineitem").withColumn("k", F.expr("cast((l_orderkey + l_linenumber) % 12 as int)")).select("l_orderkey", "l_linenumber", "l_partkey", "k", known.alias("known"), op.alias("op"), key.alias("key"), wanted.alias("wanted"))
+    clauses = F.array(*[F.struct(F.lit(op).alias("op"), F.lit(key).alias("key"), F.array(*map(F.lit, values)).alias("wanted")) for op, key, values in CLAUSES])
+    numbered = read_table(s, d, "lineitem").withColumn("k", F.expr("cast((l_orderkey + l_linenumber) % 12 as int)"))
+    return numbered.withColumn("known", known).withColumn("clause", F.get(clauses, F.col("k"))).select("l_orderkey", "l_linenumber", "l_partkey", "k", "known", "clause.op", "clause.key", "clause.wanted")
 
 
 _CLAUSE = """CASE k WHEN 0 THEN if(l_quantity < 25, 0, 2) WHEN 1 THEN if(l_quantity IN (10, 20), 0, 2) WHEN 2 THEN if(l_returnflag = 'N' OR l_linestatus = 'N', 0, 2) WHEN 3 THEN if(l_returnflag <> 'N' OR l_linestatus <> 'N', 0, 2) WHEN 4 THEN 0
   WHEN 5 THEN if(l_returnflag IN ('N', 'O') AND l_linestatus IN ('N', 'O'), 0, 2) WHEN 6 THEN if(l_returnflag IN ('N', 'O') OR l_linestatus IN ('N', 'O'), 0, 2) WHEN 7 THEN if(l_shipdate::DATE > DATE '1998-01-01', 0, 2) WHEN 8 THEN if(l_suppkey % 256 < 128, 0, 2) WHEN 9 THEN if(l_suppkey % 256 < 128, 2, 0) WHEN 10 THEN 0 ELSE 1 END"""
 _LINES = "(SELECT *, (l_orderkey + l_linenumber) % 12 AS k FROM lineitem)"
-for _name, _some in (("eval_clause", range(12)), ("condition_comparators", (0, 1, 2, 3, 4, 7, 8, 9)), ("condition_set_quantifiers", (5, 6))):
-    query(_name, f"SELECT l_orderkey, l_linenumber, l_partkey, {_CLAUSE} AS outcome FROM {_LINES} WHERE k IN ({', '.join(map(str, _some))})")(
-        lambda s, d, some=tuple(_some): asked(s, d).where(F.col("k").isin(*some)).select("l_orderkey", "l_linenumber", "l_partkey", P.eval_clause("op", "key", "wanted", "known").alias("outcome"))
-    )
+query("eval_clause", f"SELECT l_orderkey, l_linenumber, l_partkey, {_CLAUSE} AS outcome FROM {_LINES}")(
+    lambda s, d: asked(s, d).select("l_orderkey", "l_linenumber", "l_partkey", P.eval_clause("op", "key", "wanted", "known").alias("outcome"))
+)
+
+
+def every_clause(s, d, kinds: tuple[int, ...]) -> DataFrame:
+    """Each line item under every clause of some kinds: the outcomes one after the other."""
+    outcomes = [P.eval_clause(F.lit(op), F.lit(key), F.array(*map(F.lit, values)), F.col("known")).cast("string") for op, key, values in (CLAUSES[k] for k in kinds)]
+    return asked(s, d).select("l_orderkey", "l_linenumber", "l_partkey", F.concat(*outcomes).alias("outcomes"))
+
+
+for _name, _some in (("condition_comparators", (0, 1, 2, 3, 4, 7, 8, 9)), ("condition_set_quantifiers", (5, 6))):
+    _said = " || ".join(f"({_CLAUSE.replace('CASE k', f'CASE {k}')})" for k in _some)
+    query(_name, f"SELECT l_orderkey, l_linenumber, l_partkey, {_said} AS outcomes FROM {_LINES} WHERE true")(lambda s, d, some=_some: every_clause(s, d, some))
 
 
 @query("eval_conditions", f"SELECT l_orderkey, l_linenumber, l_partkey, greatest({_CLAUSE}, CASE l_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END) AS outcome FROM {_LINES}")

@@ -18,7 +18,7 @@ from arcwarden.operators import redact as R
 from arcwarden.operators.aws import aws_permission_edges
 from arcwarden.plans.access_graph import GRAPH_SQL, access_edges, access_nodes
 from arcwarden.sources import extract as X
-from arcwarden.tables import read_table, stored
+from arcwarden.tables import config_frame, read_table, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,7 +108,7 @@ def _nodes(df: DataFrame, provider: str, id_, type_: str, account, arn) -> DataF
 @query(
     "aws_permission_edges",
     """WITH held AS (SELECT l_suppkey AS s, l_partkey AS p, max(l_quantity) AS q FROM lineitem GROUP BY ALL)
-SELECT 'arn:aws:iam::000000000001:role/r' || s AS source, 'arn:aws:secretsmanager:eu:000000000001:secret:p' || p AS target, CASE WHEN q > 40 THEN 'ACTIVE' ELSE 'CONDITIONAL' END AS state FROM held WHERE s IN (SELECT s_suppkey FROM supplier) AND p IN (SELECT p_partkey FROM part) AND s % 5 <> 0""",
+SELECT 'CanReadSecret' AS type, 'secretsmanager:GetSecretValue' AS permissions, 'arn:aws:iam::000000000001:role/r' || s AS source, 'arn:aws:secretsmanager:eu:000000000001:secret:p' || p AS target, CASE WHEN q > 40 THEN 'ACTIVE' ELSE 'CONDITIONAL' END AS state FROM held WHERE s IN (SELECT s_suppkey FROM supplier) AND p IN (SELECT p_partkey FROM part) AND s % 5 <> 0""",
 )
 def _aws(s, d):
     """Suppliers hold secrets of parts they deliver, small deliveries only from some address; every fifth is denied."""
@@ -125,7 +125,7 @@ def _aws(s, d):
     statements = F.array_compact(F.array(one("sure", "}"), one("maybe", ',"Condition":{"IpAddress":{"aws:SourceIp":"10.0.0.0/8"}}}'), deny))
     document = F.concat(F.lit('{"Statement":['), F.array_join(statements, ","), F.lit("]}"))
     facts = _facts(lists, "identity_policy", "aws", F.concat(F.lit("arn:aws:iam::000000000001:role/r"), F.col("l_suppkey").cast("string")), F.lit(""), F.to_json(F.struct(document.alias("document"))), "'000000000001'")
-    return aws_permission_edges(facts, nodes).where("type = 'CanReadSecret' and permissions[0] = 'secretsmanager:GetSecretValue'").select(F.substring_index("source", "|", -1).alias("source"), F.substring_index("target", "|", -1).alias("target"), "state")
+    return aws_permission_edges(facts, nodes).select("type", F.array_join("permissions", ",").alias("permissions"), F.substring_index("source", "|", -1).alias("source"), F.substring_index("target", "|", -1).alias("target"), "state")
 
 
 @query(
@@ -139,7 +139,7 @@ def _gcp(s, d):
     bound = orders.select(F.col("o_custkey").alias("c_custkey")).distinct().join(customer, "c_custkey")
     nation = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
     bindings = _facts(bound, "iam_binding", "gcp", F.concat(F.lit("user:c"), F.col("c_custkey").cast("string"), F.lit("@x.example")), nation, F.lit('{"role":"roles/store","level":"project","condition":""}'), "concat('n', cast(c_nationkey as string))")
-    roles = _facts(supplier.limit(1), "role_permissions", "gcp", F.lit("roles/store"), F.lit(""), F.lit('{"permissions":["storage.objects.get","storage.objects.create"]}'))
+    roles = _facts(config_frame(s, [(1,)], "one int"), "role_permissions", "gcp", F.lit("roles/store"), F.lit(""), F.lit('{"permissions":["storage.objects.get","storage.objects.create"]}'))
     account = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
     nodes = _nodes(supplier, "gcp", F.concat_ws("|", F.lit("gcp"), account, F.lit("gcp:storage:bucket"), F.concat(F.lit("b"), F.col("s_suppkey").cast("string"))), "ObjectStorage", account, F.concat(F.lit("//b"), F.col("s_suppkey").cast("string")))
     return G.gcp_permission_edges(bindings.unionByName(roles), nodes)[0].select("source", "target", "type")
@@ -183,7 +183,7 @@ def _azure(s, d):
     customer = read_table(s, d, "customer").join(read_table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     scope = F.when(F.col("c_custkey") % 14 == 0, F.concat(F.lit(A.GROUPS + "r"), F.col("n_regionkey").cast("string"))).otherwise(F.concat(F.lit("/subscriptions/n"), F.col("n_nationkey").cast("string")))
     assigned = _facts(customer, "role_assignment", "azure", F.col("c_custkey").cast("string"), scope, F.lit('{"roleDefinitionId":"/x/reader","condition":""}'))
-    role = _facts(read_table(s, d, "region").limit(1), "role_definition", "azure", F.lit("/x/reader"), F.lit(""), F.lit('{"actions":[],"notActions":[],"dataActions":["Microsoft.KeyVault/vaults/secrets/getSecret/action"],"notDataActions":[]}'))
+    role = _facts(config_frame(s, [(1,)], "one int"), "role_definition", "azure", F.lit("/x/reader"), F.lit(""), F.lit('{"actions":[],"notActions":[],"dataActions":["Microsoft.KeyVault/vaults/secrets/getSecret/action"],"notDataActions":[]}'))
     facts = stored(assigned.unionByName(role).unionByName(hierarchy(s, d)), "facts")
     edges, _ = A.azure_permission_edges(facts, vaults(s, d))
     return edges.where("type = 'CanReadSecret'").select(F.substring_index("source", "|", -1).alias("principal"), F.regexp_extract("target", r"/v([0-9]+)$", 1).try_cast("long").alias("k"))

@@ -102,18 +102,22 @@ ORACLE["surface_gate"] = "SELECT p_partkey::VARCHAR AS site_id, CASE p_partkey %
 
 
 def _outcomes(s: SparkSession, d: str) -> DataFrame:
-    """Brands up to 12 were probed, economy types are in the inventory, sites with large sales have hits, the last hundred failed."""
-    sites, part = _sites(s, d), read_table(s, d, "part")
-    responses = part.where("cast(substr(p_brand, 7) as int) <= 12").select(F.col("p_brand").alias("operation"), F.col("p_type").alias("resource_type"))
-    listed = part.where("p_type = 'ECONOMY'").select(F.col("p_type").alias("resource_type"))
-    hits = read_table(s, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").cast("string").alias("site_id"))
+    """Brands and types of large parts were probed, types of many parts are in the inventory, sites that sell more than others have hits, the largest parts failed."""
+    sites, part, lines = _sites(s, d), read_table(s, d, "part"), read_table(s, d, "lineitem")
+    responses = part.groupBy("p_brand", "p_type").agg(F.avg("p_size").alias("size")).where("size > 24").select(F.col("p_brand").alias("operation"), F.col("p_type").alias("resource_type"))
+    types = part.groupBy("p_type").count()
+    listed = types.join(types.agg(F.avg("count").alias("mean"))).where(F.col("count") >= F.col("mean")).select(F.col("p_type").alias("resource_type"))
+    sold = lines.groupBy("l_partkey").agg(F.sum("l_quantity").alias("total"))
+    most = sold.join(sold.agg(F.avg("total").alias("mean"))).where(F.col("total") > F.col("mean") * 1.2)
+    hits = lines.join(most, "l_partkey", "left_semi").select(F.col("l_partkey").cast("string").alias("site_id"))
     errors = part.where("p_size > 45").select(F.col("p_partkey").cast("string").alias("site_id"), F.lit("denied").alias("reason"))
     return T.site_outcomes(sites, responses, listed, hits, errors)
 
 
 QUERIES["site_outcomes"] = _outcomes
-ORACLE["site_outcomes"] = """WITH h AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity >= 49 GROUP BY 1), probed AS (SELECT DISTINCT p_brand, p_type FROM part WHERE substr(p_brand, 7)::INT <= 12)
-SELECT p.p_partkey::VARCHAR AS site_id, CASE WHEN n > 0 THEN 'ok' WHEN p_size > 45 THEN 'denied' WHEN r.p_brand IS NULL THEN 'no_probe_impl' WHEN p.p_type <> 'ECONOMY' THEN 'no_inventory_targets' ELSE 'empty' END AS outcome, coalesce(n, 0) AS n
+ORACLE["site_outcomes"] = """WITH sold AS (SELECT l_partkey, count(*) AS n, sum(l_quantity) AS total FROM lineitem GROUP BY 1), h AS (SELECT l_partkey, n FROM sold WHERE total > 1.2 * (SELECT avg(total) FROM sold)),
+probed AS (SELECT p_brand, p_type FROM part GROUP BY ALL HAVING avg(p_size) > 24), types AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1), listed AS (SELECT p_type FROM types WHERE n >= (SELECT avg(n) FROM types))
+SELECT p.p_partkey::VARCHAR AS site_id, CASE WHEN n > 0 THEN 'ok' WHEN p_size > 45 THEN 'denied' WHEN r.p_brand IS NULL THEN 'no_probe_impl' WHEN p.p_type NOT IN (SELECT p_type FROM listed) THEN 'no_inventory_targets' ELSE 'empty' END AS outcome, coalesce(n, 0) AS n
 FROM part p LEFT JOIN h ON p.p_partkey = h.l_partkey LEFT JOIN probed r ON p.p_brand = r.p_brand AND p.p_type = r.p_type WHERE p.p_partkey % 4 <> 0"""
 QUERIES["decoded_findings"] = lambda s, d: X.decoded_findings(read_table(s, d, "customer").select("c_custkey", F.base64(F.encode("c_name", "UTF-8")).alias("value"), F.lit("customData").alias("location")), n=12).drop("location")
 ORACLE["decoded_findings"] = "SELECT c_custkey, CASE WHEN length(c_name) > 12 THEN substr(c_name, 1, 12) || '…' ELSE c_name END AS preview FROM customer"
