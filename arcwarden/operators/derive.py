@@ -131,11 +131,19 @@ def account_takeover(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return _taken(pairs, *_CONTROL).unionByName(_taken(pairs.where(F.col("node_type").isin(*IDENTITY_TYPES)), *_ESCALATE))
 
 
+#: Parts that nodes are dealt to where controllers of a tenant meet all of them.
+SALTS = 64
+
+
 def tenant_takeover(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Who controls a tenant controls its subscriptions, and escalates to every identity. Meets all nodes of these two kinds."""
-    held = stored(_controllers(edges, nodes, ("Tenant",)), "held")
-    reach = nodes.where(F.col("node_type").isin("Subscription", *IDENTITY_TYPES)).select("node_id", "node_type")
-    pairs = reach.join(small(held), F.col("node_id") != F.col("source"))
+    """Who controls a tenant controls its subscriptions, and escalates to every identity.
+
+    Meets all nodes of these two kinds, dealt to ``SALTS`` parts, each of which meets all controllers by equality.
+    """
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    held = _controllers(edges, nodes, ("Tenant",)).withColumn("_part", parts)
+    reach = nodes.where(F.col("node_type").isin("Subscription", *IDENTITY_TYPES)).select("node_id", "node_type", F.pmod(F.xxhash64("node_id"), F.lit(SALTS)).alias("_part"))
+    pairs = reach.join(held, "_part").where(F.col("node_id") != F.col("source")).drop("_part")
     return _taken(pairs.where("node_type = 'Subscription'"), *_CONTROL).unionByName(_taken(pairs.where("node_type != 'Subscription'"), *_ESCALATE))
 
 

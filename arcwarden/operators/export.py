@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arcwarden.functions.scalars import fact_id, last_seg, map_nature, map_node_type, norm_type, text
 from arcwarden.operators.substrings import containing
-from arcwarden.tables import is_empty, small, stored
+from arcwarden.tables import small, stored
 
 
 def content_hash(*columns: str) -> Column:
@@ -62,22 +62,30 @@ def fact_evidence_link(facts: DataFrame, evidence: DataFrame) -> DataFrame:
 def edge_fact_provenance(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """``(edge_id, facts, tier)``: the edge's own facts; else those that its history leads to; else facts of the same ends.
 
-    History is followed one step a round; a branch ends at the first edge that has facts, or at one seen before.
+    Facts are pushed down the histories: a round hands what edges without facts of their own have newly got to the edges made
+    of them, so rows are those of the answer, and a cycle ends where nothing is new.
     """
     rows = stored(edges.select("edge_id", "source", "target", F.coalesce("facts", F.array().cast("array<string>")).alias("facts"), F.coalesce("derived_from", F.array().cast("array<string>")).alias("derived_from")), "edges")
     own = rows.where(F.size("facts") > 0).select("edge_id", F.array_sort(F.array_distinct("facts")).alias("facts"), F.lit("own").alias("tier"))
-    parts = rows.select(F.col("edge_id").alias("at"), "facts", "derived_from")
-    walk = stored(rows.where((F.size("facts") == 0) & (F.size("derived_from") > 0)).select("edge_id", F.explode("derived_from").alias("at")).distinct(), "walk")
-    seen, ends = walk, []
-    while not is_empty(walk):
-        met = stored(walk.join(parts, "at"), "met")
-        ends.append(met.where(F.size("facts") > 0).select("edge_id", F.explode("facts").alias("fact")))
-        step = met.where(F.size("facts") == 0).select("edge_id", F.explode("derived_from").alias("at")).distinct()
-        walk = stored(step.join(seen, ["edge_id", "at"], "left_anti"), "walk")
-        seen = stored(seen.unionByName(walk), "seen")
+    steps = stored(rows.where(F.size("facts") == 0).select(F.col("edge_id").alias("made"), F.explode("derived_from").alias("edge_id")).distinct(), "steps")
+    fresh = stored(own.select("edge_id", F.explode("facts").alias("fact")), "pushed")
+    n, got = fresh.count(), []
+    while n:
+        offers = stored(steps.join(small(fresh, n), "edge_id").select(F.col("made").alias("edge_id"), "fact").distinct(), "offers")
+        fresh = offers
+        for before in got:
+            fresh = fresh.join(before, ["edge_id", "fact"], "left_anti")
+        fresh = stored(fresh, "pushed")
+        n = fresh.count()
+        got.append(fresh)
+        if len(got) > 6:  # few tables to look into, however long the histories
+            every = got[0]
+            for g in got[1:]:
+                every = every.unionByName(g)
+            got = [stored(every, "got")]
     through = rows.select("edge_id", F.lit("").alias("fact")).where("false")
-    for e in ends:
-        through = through.unionByName(e)
+    for g in got:
+        through = through.unionByName(g)
     transitive = through.groupBy("edge_id").agg(F.array_sort(F.collect_set("fact")).alias("facts")).withColumn("tier", F.lit("history"))
     settled = own.unionByName(transitive)
     left = rows.join(settled.select("edge_id"), "edge_id", "left_anti").select("edge_id", "source", "target")
