@@ -8,11 +8,17 @@ CAPABILITY_TYPES = (
     "CanExportKey", "CanPassIdentity", "CanTrigger", "CanModifyPolicy", "CanModify", "CanModifyTrust", "CanAddMember", "CanCreateCredentialFor",
     "CanResetCredential", "CanDelete", "CanStart", "CanImpersonate", "CanSignAs", "CanGrantPermission",
 )
+# Edge types that give a hold on a running thing.
 CONTROL_PIVOTS = ("CanModifyCode", "CanExecuteCommand", "CanInvoke", "CanModifyConfiguration")
+# Node types that act.
 IDENTITY_TYPES = ("HumanIdentity", "Role", "Group", "ServiceIdentity", "FederatedIdentity", "ApplicationIdentity", "WorkloadIdentity", "ServiceAccount")
+# Node types that policies are evaluated for.
 PRINCIPAL_TYPES = ("HumanIdentity", "Role", "ServiceIdentity", "FederatedIdentity", "ApplicationIdentity")
+# Node types that hold data.
 STORE_TYPES = ("ObjectStorage", "DataWarehouse", "FileStore", "BlockStorage", "Cache", "NoSQLDatabase", "RelationalDatabase")
+# Node types that an account's takeover starts from.
 CONTAINER_TYPES = ("Project", "Subscription", "Account")
+# Node types that are objectives.
 HIGH_VALUE_TYPES = ("Secret", "EncryptionKey", "SigningKey", "Organization")
 CHAIN, SAME_SOURCE, SAME_TARGET = "CHAIN", "SAME_SOURCE", "SAME_TARGET"
 
@@ -35,8 +41,11 @@ RULES = (
     ("network-proxy-reach", CHAIN, ("CanNetworkReach",), ("CanNetworkReach",), "CanNetworkReach", 0.85, 1.0),
 )
 
+# Edge types that give control of an identity.
 _CONTROL_IDENTITY = ("CanCreateCredentialFor", "CanResetCredential", "CanModifyTrust", "CanAddMember", "CanModifyPolicy", "CanGrantPermission")
+# Edge types that let one act as another.
 _IMPERSONATE = ("CanImpersonate", "CanExecuteAs", "CanFederateAs")
+# Edge types that let one change a thing.
 _MODIFY = ("CanModifyPolicy", "CanModifyTrust", "CanModify", "CanDelete", "CanTakeOwnership", "CanGrantPermission")
 # One-edge promotions (id, matched types, emitted type, target types or None for any, prior, relationship kind).
 PROMOTIONS = (
