@@ -2,7 +2,7 @@
 
 from tests.helpers import facts, nodes
 
-from arcwarden.operators.azure import azure_permission_edges
+from arcwarden.operators.azure import azure_permission_edges, rbac_edges
 from arcwarden.operators.gcp import gcp_permission_edges
 
 BUCKET = ("gcp|p1|gcp:storage:bucket|b1", "ObjectStorage", "//storage/b1")
@@ -103,3 +103,32 @@ def test_exposure(spark):
     assert "medium" in azure(spark)[0]["ExposedToInternet", "st", "Anonymous"]["evidence"]
     public = ("public_container", "", STORE[2], "", {"container": "c"}, "azure")
     assert "critical" in azure(spark, public)[0]["ExposedToInternet", "st", "Anonymous"]["evidence"]
+
+
+def written_out_last(edges, members):
+    """No grouping and no shuffle of the edges once they are written out for their members."""
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    return "HashAggregate" not in plan and "SortAggregate" not in plan and members in plan
+
+
+def test_scoped_roles_are_written_out_last(spark):
+    """Settled by class of resources, before they are written out; denials take some resources away, a resource met twice counts once."""
+    deny = ("deny_assignment", "", "u1", "/subscriptions/s1/resourceGroups/rg", {"actions": ["Microsoft.KeyVault/*"], "notActions": []}, "azure")
+    vaults = [(f"azure|s1|azure:keyvault:vault|{SUB}/resourceGroups/{g}/vault/v{k}", "Secret", f"{SUB}/resourceGroups/{g}/vault/v{k}") for g in ("rg", "rg2") for k in range(3)]
+    given = facts(spark, READER, assign("u1", SUB), assign("u2", SUB, condition="x"), assign("u2", f"{SUB}/resourceGroups/rg2"), deny)
+    people = spark.createDataFrame([("u1", "p1"), ("u2", "p2")], "principal string, source string")
+    edges = rbac_edges(given, nodes(spark, *vaults, vaults[0]), spark.createDataFrame([], "mg string, subscription string"), people)
+    assert written_out_last(edges, "BroadcastHashJoin")
+    got = [(r["source"], r["target"].split("/")[4], r["target"][-2:], r["state"]) for r in edges.where("type = 'CanReadSecret'").collect()]
+    assert sorted(got) == sorted([("p1", "rg2", f"v{k}", "ACTIVE") for k in range(3)] + [("p2", g, f"v{k}", s) for g, s in (("rg", "CONDITIONAL"), ("rg2", "ACTIVE")) for k in range(3)])
+
+
+def test_project_grants_are_written_out_last(spark):
+    """What only a project's grant gives is settled by class; a resource's own grant meets only its own edges."""
+    buckets = [(f"gcp|p1|gcp:storage:bucket|b{k}", "ObjectStorage", f"//storage/b{k}") for k in range(4)]
+    edges, _ = gcp_permission_edges(facts(spark, ROLE, bind("user:jo@x.org"), bind("user:al@x.org", condition="x")), nodes(spark, *buckets, buckets[0]))
+    assert written_out_last(edges, "BroadcastHashJoin") and edges.count() == 2 * 2 * 4
+    given = facts(spark, ROLE, bind("user:jo@x.org", condition="x"), bind("user:jo@x.org", "//storage/b1", "resource"), bind("user:al@x.org", "//storage/b2", "resource", condition="x"))
+    own, _ = gcp_permission_edges(given, nodes(spark, *buckets))
+    got = sorted((r["type"][3:7], r["source"][-8:-6], r["target"][-2:], r["state"]) for r in own.collect())
+    assert got == sorted((t, who, b, s) for t in ("Read", "Writ") for who, b, s in [("jo", f"b{k}", "ACTIVE" if k == 1 else "CONDITIONAL") for k in range(4)] + [("al", "b2", "CONDITIONAL")])
