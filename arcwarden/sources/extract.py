@@ -32,6 +32,11 @@ def _fact(df: DataFrame, kind: str, hint: str, source: Column, target: Column |
     return df.select(F.lit(kind).alias("kind"), F.lit(hint).alias("edge_hint"), F.lit(provider).alias("provider"), "scope", source.alias("source"), (target if target is not None else F.lit("")).alias("target"), bag.alias("attributes"))
 
 
+def _each(raw: DataFrame, column: str, found: Column, **said: Column) -> DataFrame:
+    """A row for each element of ``found``, with what the response says of all of them; the response itself, which may hold any number of elements, isn't carried along."""
+    return raw.select("scope", *[c.alias(k) for k, c in said.items()], found.alias("_found")).select("scope", *said, F.explode("_found").alias(column))
+
+
 def _all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -85,8 +90,9 @@ def enrich_detail(parents: DataFrame, details: DataFrame, bind: dict[str, str],
 
 def extract_iam_bindings(raw: DataFrame, op: str = "getIamPolicy") -> DataFrame:
     """Each member of each binding; ``target`` and ``level`` come with the response."""
-    rows = _op(raw, op).withColumn("b", F.explode(items("body", "bindings"))).withColumn("role", text(get("b", "role"))).where("role != ''").withColumn("member", F.explode(items("b", "members")))
-    return _fact(rows, "iam_binding", "HasBinding", F.col("member"), text(get("body", "target")), "gcp", role=F.col("role"), condition=text(get("b", "condition.expression")), level=text(get("body", "level")))
+    bindings = _each(_op(raw, op), "b", items("body", "bindings"), to=text(get("body", "target")), level=text(get("body", "level"))).withColumn("role", text(get("b", "role"))).where("role != ''")
+    rows = _each(bindings, "member", items("b", "members"), to=F.col("to"), level=F.col("level"), role=F.col("role"), condition=text(get("b", "condition.expression")))
+    return _fact(rows, "iam_binding", "HasBinding", F.col("member"), F.col("to"), "gcp", role=F.col("role"), condition=F.col("condition"), level=F.col("level"))
 
 
 def extract_role_permissions(raw: DataFrame, op: str = "getRole") -> DataFrame:
@@ -112,8 +118,8 @@ def extract_role_definitions(raw: DataFrame, op: str = "roledefinitions") -> Dat
 
 
 def extract_deny_assignments(raw: DataFrame, op: str = "denyassignments") -> DataFrame:
-    rows = _op(raw, op).withColumn("who", F.explode(items("body", "properties.principals"))).where(~blank(get("who", "id")))
-    return _fact(rows, "deny_assignment", "", get("who", "id"), text(get("body", "properties.scope")), "azure", actions=_flat("actions"), notActions=_flat("notActions"), denyAssignmentName=text(get("body", "properties.denyAssignmentName")))
+    rows = _each(_op(raw, op), "who", items("body", "properties.principals"), on=text(get("body", "properties.scope")), actions=_flat("actions"), notActions=_flat("notActions"), name=text(get("body", "properties.denyAssignmentName"))).where(~blank(get("who", "id")))
+    return _fact(rows, "deny_assignment", "", get("who", "id"), F.col("on"), "azure", actions=F.col("actions"), notActions=F.col("notActions"), denyAssignmentName=F.col("name"))
 
 
 # Directory
@@ -125,26 +131,26 @@ def extract_directory_facts(raw: DataFrame) -> DataFrame:
     Owners of an application own the service principal of the same application id, compared without case.
     """
     held = lambda op, kind, field, out: _fact(_op(raw, op).where(~blank(get("body", "principalId"))), kind, "", get("body", "principalId"), None, "azure", **{out: F.lower(text(get("body", field)))})
-    owners = lambda op: _op(raw, op).withColumn("owner", F.explode(F.transform(items("body", "owners"), lambda o: F.get_json_object(o, "$.id")))).where(~blank("owner"))
-    sps, groups = owners("servicePrincipals").where(~blank(get("body", "id"))), owners("groups").where(~blank(get("body", "id")))
+    owners = lambda op: _each(_op(raw, op), "owner", F.transform(items("body", "owners"), lambda o: F.get_json_object(o, "$.id")), id=get("body", "id"), app=F.lower(get("body", "appId"))).where(~blank("owner"))
+    sps, groups = owners("servicePrincipals").where(~blank("id")), owners("groups").where(~blank("id"))
     ids = _op(raw, "servicePrincipals").where(~blank(get("body", "appId"))).groupBy(F.lower(get("body", "appId")).alias("app")).agg(F.max(get("body", "id")).alias("sp"))
-    apps = owners("applications").withColumn("app", F.lower(get("body", "appId"))).join(ids, "app")
+    apps = owners("applications").join(ids, "app")
     return _all(
         held("roleAssignments", "entra_role_assignment", "roleDefinitionId", "roleTemplateId"), held("appRoleAssignedTo", "entra_app_role", "appRoleId", "appRoleId"), held("roleEligibility", "entra_role_eligible", "roleDefinitionId", "roleTemplateId"),
-        _fact(sps, "entra_owner", "", F.col("owner"), get("body", "id"), "azure"), _fact(apps, "entra_owner", "", F.col("owner"), F.col("sp"), "azure"), _fact(groups, "entra_group_owner", "", F.col("owner"), get("body", "id"), "azure"),
+        _fact(sps, "entra_owner", "", F.col("owner"), F.col("id"), "azure"), _fact(apps, "entra_owner", "", F.col("owner"), F.col("sp"), "azure"), _fact(groups, "entra_group_owner", "", F.col("owner"), F.col("id"), "azure"),
     )
 
 
 def extract_mg_hierarchy(raw: DataFrame, op: str = "managementGroups") -> DataFrame:
-    rows = _op(raw, op).withColumn("child", F.explode(items("body", "properties.children")))
+    rows = _each(_op(raw, op), "child", items("body", "properties.children"), name=get("body", "name"))
     kind = F.when(F.contains(F.lower(text(get("child", "type"))), F.lit("subscription")), "subscription").otherwise("managementGroup")
-    return _fact(rows, "mg_hierarchy", "", get("body", "name"), get("child", "name"), "azure", childType=kind)
+    return _fact(rows, "mg_hierarchy", "", F.col("name"), get("child", "name"), "azure", childType=kind)
 
 
 def extract_public_containers(raw: DataFrame, op: str = "containers") -> DataFrame:
     """Containers of ``body(account, value[])`` whose public access is neither empty nor none."""
-    rows = _op(raw, op).withColumn("c", F.explode(items("body", "value"))).withColumn("access", text(get("c", "properties.publicAccess")))
-    return _fact(rows.where("access != '' and lower(access) != 'none'"), "public_container", "", get("body", "account"), None, "azure", container=text(get("c", "name")), access=F.col("access"))
+    rows = _each(_op(raw, op), "c", items("body", "value"), account=get("body", "account")).withColumn("access", text(get("c", "properties.publicAccess")))
+    return _fact(rows.where("access != '' and lower(access) != 'none'"), "public_container", "", F.col("account"), None, "azure", container=text(get("c", "name")), access=F.col("access"))
 
 
 def extract_principals(raw: DataFrame, op: str = "directoryObjects") -> DataFrame:
@@ -155,8 +161,8 @@ def extract_principals(raw: DataFrame, op: str = "directoryObjects") -> DataFram
 
 
 def extract_member_of(raw: DataFrame, op: str = "transitiveMembers") -> DataFrame:
-    rows = _op(raw, op).withColumn("m", F.explode(F.transform(items("body", "value"), lambda x: F.get_json_object(x, "$.id")))).where(~blank("m"))
-    return _fact(rows, "member_of", "", F.col("m"), text(get("body", "group")), "azure")
+    rows = _each(_op(raw, op), "m", F.transform(items("body", "value"), lambda x: F.get_json_object(x, "$.id")), group=text(get("body", "group"))).where(~blank("m"))
+    return _fact(rows, "member_of", "", F.col("m"), F.col("group"), "azure")
 
 
 # Network and documents
