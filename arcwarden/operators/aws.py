@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from arcwarden.catalog import AWS_CAPABILITIES, AWS_SERVICE_OVERRIDES, PRINCIPAL_TYPES
 from arcwarden.functions.scalars import account_of, blank, edge_id, glob_class, glob_match, service_of_resource
 from arcwarden.operators import policy as P
-from arcwarden.tables import config_frame, stored
+from arcwarden.tables import config_frame, small, stored
 
 ACTIONS = [c[1] for c in AWS_CAPABILITIES]
 PAIR = ["principal", "action", "target_arn"]
@@ -69,12 +69,19 @@ def candidate_resources(nodes: DataFrame) -> DataFrame:
     return held.select("ord", "edge", "action", "kind", "weight", F.col("node_id").alias("res_node"), F.col("arn").alias("res_arn"), F.concat("arn", "suffix").alias("target_arn"))
 
 
+#: Parts that people are dealt to where a statement is open to everyone, and resources where a statement has a pattern of them.
+SALTS = 64
+
+
 def _on_resources(statements: DataFrame, resources: DataFrame) -> DataFrame:
     """Statements (with ``action``) and the resources of the action that they match."""
     spots = resources.select("action", "target_arn", "res_node", "edge")
     exact = (F.size("not_resources") == 0) & (F.size("resources") > 0) & F.forall("resources", lambda r: glob_class(r) == "exact")
     named = statements.where(exact).withColumn("target_arn", F.explode(F.array_distinct("resources"))).join(spots, ["action", "target_arn"])
-    loose = statements.where(~exact).join(spots, "action").where(P.statement_resource_match("target_arn"))
+    # an action may have any number of resources: they are dealt to SALTS parts, each of which meets all statements of the action
+    part = F.pmod(F.xxhash64("target_arn"), F.lit(SALTS))
+    dealt = statements.where(~exact).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    loose = dealt.join(spots.withColumn("_part", part), ["action", "_part"]).where(P.statement_resource_match("target_arn"))
     return named.unionByName(loose.select(*named.columns))
 
 
@@ -103,10 +110,6 @@ def _resource_statements(policies: Policies) -> DataFrame:
     return _matched(rows)
 
 
-#: Parts that people are dealt to where a statement is open to everyone.
-SALTS = 64
-
-
 def _prefix(pattern: Column) -> Column:
     """What a pattern starts with before its first wildcard, up to the last border of a segment."""
     return F.regexp_extract(pattern, r"^([^*?]*[:/])", 1)
@@ -150,7 +153,8 @@ def explicit_deny(pairs: DataFrame, policies: Policies) -> DataFrame:
     for rows in (own, bounds):
         sets.append(_matched(rows).select("principal", *STATEMENT).join(pairs.select(*PAIR), ["principal", "action"]))
     scps = _matched(policies.of("scp").where(P.denies())).select(F.col("account").alias("of"), *STATEMENT)
-    sets.append(scps.join(pairs.select(*PAIR, account_of("principal").alias("of")), ["of", "action"]).drop("of"))
+    # one account may have most of the pairs, so the policies go to them, not both to the account
+    sets.append(pairs.select(*PAIR, account_of("principal").alias("of")).join(small(stored(scps, "scps")), ["of", "action"]).drop("of"))
     attached = _resource_statements(policies).where(P.denies()).select(F.col("source").alias("target_arn"), *STATEMENT)
     sets.append(attached.join(pairs.select(*PAIR), ["target_arn", "action"]).where(P.principal_match_broad("principal")))
     every = sets[0].select(*PAIR, *[c for c in STATEMENT if c != "action"])
@@ -163,9 +167,9 @@ def explicit_deny(pairs: DataFrame, policies: Policies) -> DataFrame:
 def scp_gate(pairs: DataFrame, policies: Policies) -> DataFrame:
     """Pairs whose account has no service control policy, or one that allows the action."""
     scps = policies.of("scp")
-    allowed = _matched(scps.where(P.allows())).select(F.col("account").alias("of"), "action").distinct()
+    allowed = small(stored(_matched(scps.where(P.allows())).select(F.col("account").alias("of"), "action").distinct(), "allowed"))
     of = pairs.withColumn("of", account_of("principal"))
-    governed = scps.select(F.col("account").alias("of")).distinct()
+    governed = small(stored(scps.select(F.col("account").alias("of")).distinct(), "governed"))
     return of.join(governed, "of", "left_anti").unionByName(of.join(allowed, ["of", "action"], "left_semi"), allowMissingColumns=True).select(*pairs.columns)
 
 
@@ -178,16 +182,18 @@ def boundary_gate(pairs: DataFrame, policies: Policies) -> DataFrame:
     return free.select(*pairs.columns).unionByName(pairs.join(fine, PAIR, "left_semi").select(*pairs.columns))
 
 
-def _key_principals(grants: DataFrame, people: DataFrame) -> DataFrame:
+def _key_principals(grants: DataFrame, people: DataFrame, identity: DataFrame) -> DataFrame:
     """Grants with each principal that they name (``names``) or whose account's root they name (``root``).
 
-    Names and patterns meet principals as in ``named_people``, roots meet accounts.
+    Names and patterns meet principals as in ``named_people``. A root only hands over to what identity policies grant, so it meets
+    the pairs of its account, key and action in ``identity`` rather than all principals of the account.
     """
     flags = lambda df, names: df.withColumn("names", F.lit(names)).withColumn("root", F.lit(not names))
     own = grants.columns
     each = grants.withColumn("p", F.explode(F.array_distinct("principals")))
     rooted = F.col("p").endswith(":root") | F.col("p").rlike("^[0-9]{12}$")
-    roots = each.where(rooted).select(*own, account_of("p").alias("of")).distinct().join(people.select("principal", account_of("principal").alias("of")).distinct(), "of")
+    granted = identity.select(*PAIR, account_of("principal").alias("of")).join(people.select("principal"), "principal", "left_semi")
+    roots = each.where(rooted).select(*own, account_of("p").alias("of")).distinct().join(granted.distinct(), ["of", "target_arn", "action"])
     return flags(named_people(grants, people), True).unionByName(flags(roots.select("principal", *own), False))
 
 
@@ -196,7 +202,7 @@ def kms_decision(identity: DataFrame, policies: Policies, resources: DataFrame,
     keys = policies.of("resource_policy")
     grants = _matched(keys.where(P.allows() & ~P.has_condition_key("conditions", "kms:viaservice"))).where("action like 'kms:%'")
     grants = grants.select(F.col("source").alias("target_arn"), *STATEMENT).join(resources.select("action", "target_arn").distinct(), ["action", "target_arn"])
-    met = _key_principals(grants, people)
+    met = _key_principals(grants, people, identity)
     tri = _tri(met)
     by_key = tri.groupBy(*PAIR).agg(
         F.max(F.col("names") & (F.col("tri") == 0)).alias("direct"), F.max(F.col("names") & (F.col("tri") == 1)).alias("maybe"), F.max("root").alias("root"),
