@@ -101,3 +101,13 @@ def test_fakes_keep_types_and_prefixes():
         assert R.classify(R.fake_for(SALT, real, kind)) == kind and R.fake_for(SALT, real, kind) != real or kind == "cidr"
     a, b = R.prefix_preserving_ip(SALT, "10.1.2.3").split("."), R.prefix_preserving_ip(SALT, "10.1.2.9").split(".")
     assert a[:3] == b[:3] and a[0] == "10" and R.prefix_preserving_ip(SALT, "0.0.0.0/0") == "0.0.0.0/0"
+
+
+def test_fakes_of_accounts_hold_no_identifier(spark):
+    """Where all numbers of five digits are identifiers, accounts get fakes of twelve digits without any, each its own, in arns as well."""
+    numbers = spark.range(10_000, 100_000).selectExpr("cast(id as string) AS real", "'resource' AS type")
+    own = spark.createDataFrame([(f"{k}", "aws_account") for k in range(5)] + [(f"arn:aws:iam::{k}:role/x", "arn") for k in range(5)], "real string, type string")
+    got = {r["real"]: r["fake"] for r in R.identifier_map(numbers.unionByName(own), SALT).where("type in ('aws_account', 'arn')").collect()}
+    fakes = [got[f"{k}"] for k in range(5)]
+    assert len(set(fakes)) == 5 and all(len(f) == 12 and f[:8] == "0" * 8 and f.isdigit() for f in fakes)
+    assert [got[f"arn:aws:iam::{k}:role/x"].split(":")[4] for k in range(5)] == fakes
