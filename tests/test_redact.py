@@ -111,3 +111,13 @@ def test_fakes_of_accounts_hold_no_identifier(spark):
     fakes = [got[f"{k}"] for k in range(5)]
     assert len(set(fakes)) == 5 and all(len(f) == 12 and f[:8] == "0" * 8 and f.isdigit() for f in fakes)
     assert [got[f"arn:aws:iam::{k}:role/x"].split(":")[4] for k in range(5)] == fakes
+
+
+def test_numbers_come_back_only_where_they_stand(spark):
+    """Identifiers that share all their short n-grams: a text gets those that it holds, not all that share an n-gram with it."""
+    known = spark.range(10_000, 12_000).selectExpr("cast(id as string) AS pattern")
+    anchors = substrings.anchored(known)
+    assert substrings.widths_of(anchors) == [5]
+    sent = list(substrings.sent_grams([(1, ["about 10555"]), (2, ["x10111999"]), (3, ["none"])], [5]))
+    grams = spark.createDataFrame([(r, h) for b in sent for r, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], "r long, h long")
+    assert sorted((x["r"], x["pattern"]) for x in grams.join(anchors, "h").collect()) == [(1, "10555"), (2, "10111"), (2, "11199"), (2, "11999")]
