@@ -5,21 +5,23 @@ first matched with the broadcast rule table, so each geometry is one equi-join o
 weight, then by state; ties go to the smaller rule and parents, so results don't depend on the order of rows.
 
 Known edges are a store of runs that only grows: a round writes the edges it found or bettered, and the numbers of those that
-these replace. Runs of like size are merged, so that there are few of them and every row is written a logarithm of times.
+these replace. Beyond a few, runs of like size are merged, so that there are few of them and every row is written a logarithm of times.
 Offers are narrow: they meet the narrow columns of what is known, and only those that win fetch permissions, conditions and
 history from their parents. The loop ends when a round brings nothing better, however many rounds that takes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcwarden.catalog import CHAIN, CONTAINER_TYPES, IDENTITY_TYPES, PROMOTIONS, RULES, SAME_SOURCE, SAME_TARGET
 from arcwarden.functions.scalars import edge_id, node_account, text
-from arcwarden.tables import config_frame, is_empty, small, stored
+from arcwarden.tables import BROADCAST_ROWS, config_frame, is_empty, small, stored
 
 KEY = ["type", "source", "target", "scope"]
 COLUMNS = ["edge_id", *KEY, "relationship_kind", "nature", "provider", "state", "confidence", "weight", "permissions", "conditions", "derived_from", "rule_id"]
@@ -75,8 +77,11 @@ def compose(pairs: DataFrame) -> DataFrame:
     return pairs.select(*_composed(wide)).withColumn("edge_id", edge_id(*KEY)).select(*COLUMNS)
 
 
-def rule_pairs(left: DataFrame, right: DataFrame, config: DeriveConfig) -> DataFrame:
-    """Pairs of edges that some rule joins, as ``a_*`` and ``b_*``, with the rule's columns."""
+def rule_pairs(left: DataFrame, right: DataFrame, config: DeriveConfig, pivots: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Pairs of edges that some rule joins, as ``a_*`` and ``b_*``, with the rule's columns.
+
+    Where most of a large ``right`` meets nothing, ``pivots`` makes of the nodes ``at`` of the left those that the right is cut to first.
+    """
     spark = left.sparkSession
     firsts = config_frame(spark, [(r, g, t, e, p, w) for r, g, first, _, e, p, w in config.rules for t in first], "rule_id string, geometry string, a_type string, emit string, prior double, add double")
     seconds = config_frame(spark, [(r, g, t) for r, g, _, second, *_ in config.rules for t in second], "rule string, geo string, b_type string")
@@ -84,7 +89,12 @@ def rule_pairs(left: DataFrame, right: DataFrame, config: DeriveConfig) -> DataF
     a = a.withColumn("at", F.when(F.col("geometry") == SAME_SOURCE, F.col("a_source")).otherwise(F.col("a_target")))
     b = _side(right.drop("rule_id"), "b").join(F.broadcast(seconds), "b_type")
     b = b.withColumn("at", F.when(F.col("geo") == SAME_TARGET, F.col("b_target")).otherwise(F.col("b_source")))
-    return a.join(b, (a["at"] == b["at"]) & (F.col("rule_id") == F.col("rule")) & (F.col("a_edge_id") != F.col("b_edge_id"))).drop("at", "rule", "geo")
+    if pivots is not None:
+        b = b.join(pivots(a.select("at")), "at", "left_semi")
+    # nodes of one kind begin alike, so rows are sorted by a number
+    a, b = a.withColumn("_h", F.xxhash64("at", "rule_id")), b.withColumn("_h", F.xxhash64("at", "rule"))
+    met = (a["_h"] == b["_h"]) & (a["at"] == b["at"]) & (F.col("rule_id") == F.col("rule"))
+    return a.join(b, met & (F.col("a_edge_id") != F.col("b_edge_id"))).drop("at", "rule", "geo", "_h")
 
 
 def join_rules(left: DataFrame, right: DataFrame, config: DeriveConfig = DeriveConfig()) -> DataFrame:
@@ -164,6 +174,10 @@ def _rating() -> Column:
     return F.struct((F.col("nature") == "derived").alias("d"), "weight", (-state_rank(F.col("state"))).alias("r"))
 
 
+#: Runs that are kept as they are.
+RUNS = 8
+
+
 @dataclass
 class EdgeStore:
     """Edges by runs, with the ``round`` each row was written in, and rows that later ones replaced, as ``gone(kid, round)``."""
@@ -187,9 +201,9 @@ class EdgeStore:
         return rows
 
     def add(self, run: DataFrame, n: int) -> None:
-        """One more run (stored); while the run before isn't larger, both become one."""
+        """One more run (stored); while there are more than ``RUNS`` and the run before isn't larger, both become one."""
         self.runs.append((run, n))
-        while len(self.runs) > 1 and self.runs[-2][1] <= self.runs[-1][1]:
+        while len(self.runs) > RUNS and self.runs[-2][1] <= self.runs[-1][1]:
             (a, m), (b, n) = self.runs[-2:]
             self.runs[-2:] = [(stored(self._without_gone(a.unionByName(b)), "edges"), m + n)]
 
@@ -205,9 +219,14 @@ class EdgeStore:
             self.gone = [(stored(every, "gone"), n)]
 
 
-def _rule_offers(left: DataFrame, right: DataFrame, config: DeriveConfig) -> DataFrame:
+def _pivots(ats: DataFrame) -> DataFrame:
+    found = stored(ats.distinct(), "pivots")
+    return small(found)
+
+
+def _rule_offers(left: DataFrame, right: DataFrame, config: DeriveConfig, large: bool) -> DataFrame:
     parents = {"a_kid": F.col("a_kid"), "b_kid": F.col("b_kid"), "how": F.lit(RULE)}
-    return rule_pairs(left, right, config).select(*_composed(parents))
+    return rule_pairs(left, right, config, _pivots if large else None).select(*_composed(parents))
 
 
 def _single_offers(made: DataFrame, how: str) -> DataFrame:
@@ -229,49 +248,141 @@ def _widened(won: DataFrame, n: int, every: DataFrame) -> DataFrame:
     return won.withColumns(wide).withColumn("edge_id", F.col("kid")).select("kid", *COLUMNS)
 
 
-def fixpoint(edges: DataFrame, nodes: DataFrame, config: DeriveConfig = DeriveConfig()) -> DataFrame:
+def _firing(config: DeriveConfig, left: set[str], right: set[str]) -> DeriveConfig | None:
+    """``config`` with the rules that edges of the types ``left`` and ``right`` may fire; None if there is none."""
+    rules = tuple((r, g, a, b, *rest) for r, g, first, second, *rest in config.rules if (a := tuple(t for t in first if t in left)) and (b := tuple(t for t in second if t in right)))
+    return replace(config, rules=rules) if rules else None
+
+
+def _offers(new: DataFrame, old: DataFrame | None, types: DataFrame, kinds: set[str], before: set[str], special: bool, large: bool, config: DeriveConfig) -> DataFrame | None:
+    """What edges that are ``new`` (of types ``kinds``) bring with one another and with ``old`` ones (of types ``before``).
+
+    Only what some rule, promotion or takeover may make of these types is read at all; None if that is nothing. Where new edges
+    are many (``large``), those that no old one meets don't move.
+    """
+    parts = []
+    if firing := _firing(config, kinds, kinds | before):
+        narrow = new if old is None else old.unionByName(new)
+        parts.append(_rule_offers(new.drop("round"), narrow.drop("round"), firing, False))
+    if old is not None and (firing := _firing(config, before, kinds)):
+        parts.append(_rule_offers(old.drop("round"), new.drop("round"), firing, large))
+    promoted = {t for _, match, *_ in config.promotions for t in match} & kinds
+    taking = special and kinds & {"CanControl", "CanGrantPermission"}
+    if promoted or taking:
+        # a parent stands for its history, and is found again by its kid
+        single = new.drop("edge_id").withColumnRenamed("kid", "edge_id").withColumns({c: F.array().cast("array<string>") for c in ("permissions", "conditions", "derived_from")}).withColumn("rule_id", F.lit("")).select(*COLUMNS)
+        if promoted:
+            parts.append(_single_offers(promotions(single, types, config), PROMOTION))
+        if taking:
+            parts.append(_single_offers(account_takeover(single, types).unionByName(tenant_takeover(single, types)), TAKEOVER))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _kinds(config: DeriveConfig) -> Column:
+    """Aggregate: the types of edges that rules, promotions or takeovers look at."""
+    looked = {t for _, _, first, second, *_ in config.rules for t in (*first, *second)} | {t for _, match, *_ in config.promotions for t in match} | {"CanControl", "CanGrantPermission"}
+    return F.collect_set(F.when(F.col("type").isin(*sorted(looked)), F.col("type")))
+
+
+def fixpoint(edges: DataFrame, nodes: DataFrame, config: DeriveConfig = DeriveConfig(), history: bool = True) -> DataFrame:
     """The derived edges of ``edges`` under the rules, promotions and takeovers, with all columns of the loop.
 
     A round makes offers from what the last one changed, keeps the best of each key, and those of them that are new or better
-    than what is known. Weights below 0 are an error, as the loop might not end.
+    than what is known. Where only chains fire and no derived edge is the first of one, the rounds run over the edges of pivots
+    (nodes that first edges lead to), and edges of all other nodes are made last, in one step. Weights below 0 are an error, as the loop might not end. Without ``history`` the columns ``permissions``,
+    ``conditions``, ``derived_from`` and ``rule_id`` are left out; no edge depends on them, so the others are the same.
     """
+    columns = COLUMNS if history else NARROW[1:]
     types = stored(nodes.select("node_id", "node_type").dropDuplicates(["node_id"]), "types")
     special = config.takeovers and not is_empty(types.where(F.col("node_type").isin(*CONTAINER_TYPES, "Tenant")))
-    best = best_edges(normalized(edges)).withColumn("kid", edge_id(*KEY))
-    fresh = stored(best.withColumn("round", F.lit(0)), "edges")
-    n, least = fresh.agg(F.count("*"), F.min("weight")).first()
+    best = best_edges(normalized(edges)).withColumn("kid", edge_id(*KEY)).select("kid", *columns)
+    given = stored(best.withColumn("round", F.lit(0)), "edges")
+    n, least, kinds = given.agg(F.count("*"), F.min("weight"), _kinds(config)).first()
     if least is not None and least < 0:
         raise ValueError("edges must not have weights below 0")
-    store, step = EdgeStore(), 0
+    if not _chains(config, set(kinds), special):
+        return _closed(given, n, set(kinds), types, special, config, history).where("nature = 'derived'").select(*columns)
+    firing = _firing(config, set(kinds), set(kinds))
+    if firing is None:
+        return given.where("nature = 'derived'").select(*columns)
+    first = given.where(F.col("type").isin(*sorted({t for _, _, types_, *_ in firing.rules for t in types_})))
+    pivots = stored(first.select(F.col("target").alias("source")).distinct(), "pivots")
+    at = small(pivots)
+    core = stored(given.join(at, "source", "left_semi"), "edges")
+    known = stored(_closed(core, core.count(), set(kinds), types, special, config, history).drop("round"), "edges")
+    # what stands before all pivots takes the best of what these hold, once
+    outer = first.join(at, "source", "left_anti")
+    picked = _picked(_rule_offers(outer.select(*NARROW), known.select(*NARROW), firing, False))
+    won = picked.join(given.select("kid"), "kid", "left_anti")
+    if history:
+        won = stored(won, "won")
+        made = _widened(won, won.count(), known.unionByName(outer.drop("round")))
+    else:
+        made = won.withColumn("edge_id", F.col("kid"))
+    own = given.join(at, "source", "left_anti").select(*columns)
+    return known.select(*columns).unionByName(own).where("nature = 'derived'").unionByName(made.select(*columns))
+
+
+def _chains(config: DeriveConfig, kinds: set[str], special: bool) -> bool:
+    """Whether of edges of the types ``kinds`` only ``CHAIN`` rules make others, none of which is the first edge of a rule.
+
+    Then the nodes that first edges lead to, the pivots, are known beforehand, and edges from other nodes are nobody's second.
+    """
+    found, made = set(kinds), set()
+    while True:
+        firing = _firing(config, found, found)
+        rules = firing.rules if firing else ()
+        if any(geometry != CHAIN for _, geometry, *_ in rules):
+            return False
+        made |= {t for _, _, _, second, emit, *_ in rules for t in ((emit,) if emit else second)}
+        if made <= found:
+            break
+        found |= made
+    single = {t for _, match, *_ in config.promotions for t in match} | ({"CanControl", "CanGrantPermission"} if special else set())
+    return not found & single and not made & {t for _, _, first, *_ in config.rules for t in first}
+
+
+def _picked(offers: DataFrame) -> DataFrame:
+    """The best offer of each key; grouped by the key's hash first, as keys begin alike and groups are sorted."""
+    key = ["kid", *KEY]
+    rest = [c for c in offers.columns if c not in KEY]
+    order = F.struct("weight", (-state_rank(F.col("state"))).alias("r"), "rule_id", "a_kid", "b_kid")
+    return offers.withColumn("kid", edge_id(*KEY)).groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("o")).select(*key, "o.*")
+
+
+def _closed(given: DataFrame, n: int, kinds: set[str], types: DataFrame, special: bool, config: DeriveConfig, history: bool) -> DataFrame:
+    """The ``n`` stored edges ``given``, of types ``kinds``, and all that they bring, round by round."""
+    fresh, store, step, before = given, EdgeStore(), 0, set()
     while n:
         step += 1
         old = store.rows(NARROW)
         new = fresh.select(*NARROW, "round")
-        narrow = new if old is None else old.unionByName(new)
-        # a parent stands for its history, and is found again by its kid
-        single = new.drop("edge_id").withColumnRenamed("kid", "edge_id").withColumns({c: F.array().cast("array<string>") for c in ("permissions", "conditions", "derived_from")}).withColumn("rule_id", F.lit(""))
-        offers = _rule_offers(new.drop("round"), narrow.drop("round"), config).unionByName(_single_offers(promotions(single.select(*COLUMNS), types, config), PROMOTION))
-        if old is not None:
-            offers = offers.unionByName(_rule_offers(old.drop("round"), new.drop("round"), config))
-        if special:
-            taken = account_takeover(single.select(*COLUMNS), types).unionByName(tenant_takeover(single.select(*COLUMNS), types))
-            offers = offers.unionByName(_single_offers(taken, TAKEOVER))
-        rest = [c for c in offers.columns if c not in KEY]
-        order = F.struct("weight", (-state_rank(F.col("state"))).alias("r"), "rule_id", "a_kid", "b_kid")
-        picked = offers.groupBy(*KEY).agg(F.min_by(F.struct(*rest), order).alias("o")).select(*KEY, "o.*")
-        picked = stored(picked.withColumn("kid", edge_id(*KEY)).withColumn("rating", _rating()), "offers")
+        offers = _offers(new, old, types, set(kinds), before, special, n > BROADCAST_ROWS, config)
+        if offers is None:
+            store.add(fresh, n)
+            break
+        picked = stored(_picked(offers).withColumn("rating", _rating()), "offers")
         offered = picked.count()
         # a key has one current row, so no more of them meet than were offered
-        met = narrow.join(small(picked.select("kid"), offered), "kid", "left_semi").select("kid", _rating().alias("held"), F.col("round").alias("held_round"))
+        narrow = new if old is None else old.unionByName(new)
+        met = narrow.select("kid", _rating().alias("held"), F.col("round").alias("held_round"))
+        if offered <= BROADCAST_ROWS:
+            met = met.join(F.broadcast(picked.select("kid")), "kid", "left_semi")
         won = stored(picked.join(small(met, offered), "kid", "left").where("held is null or rating < held").drop("rating", "held"), "won")
-        n_won, n_gone = won.agg(F.count("*"), F.count("held_round")).first()
-        every = fresh if old is None else store.rows().unionByName(fresh)
-        following = stored(_widened(won, n_won, every).withColumn("round", F.lit(step)), "edges") if n_won else None
+        before |= set(kinds)
+        n_won, n_gone, kinds = won.agg(F.count("*"), F.count("held_round"), _kinds(config)).first()
+        if not n_won:
+            following = None
+        elif history:
+            every = fresh if old is None else store.rows().unionByName(fresh)
+            following = stored(_widened(won, n_won, every).withColumn("round", F.lit(step)), "edges")
+        else:
+            following = won.withColumn("edge_id", F.col("kid")).select(*NARROW).withColumn("round", F.lit(step))
         store.drop(won.where("held_round is not null").select("kid", F.col("held_round").alias("round")), n_gone)
         store.add(fresh, n)
         fresh, n = following, n_won
     known = store.rows()
-    return (best if known is None else known).where("nature = 'derived'").select(*COLUMNS)
+    return given if known is None else known
 
 
 def derived_chain(derived: DataFrame, edges: DataFrame) -> DataFrame:

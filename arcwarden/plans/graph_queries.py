@@ -81,7 +81,7 @@ _DERIVED = """, r(source, target, w, k) AS (
 
 @query("fixpoint", _DERIVED + " SELECT edge_id, type, source, target, weight, state FROM derived", recursive=True)
 def _fixpoint(nodes, edges):
-    return D.fixpoint(edges, nodes).select("edge_id", "type", "source", "target", "weight", "state")
+    return D.fixpoint(edges, nodes, history=False).select("edge_id", "type", "source", "target", "weight", "state")
 
 
 @query("join_rules", """ SELECT b.type, a.source, b.target, min(a.weight + b.weight + 1) AS weight, count(*) AS pairs, round(max(least(a.confidence, b.confidence) * 0.95), 6) AS confidence

@@ -110,3 +110,22 @@ def test_nearest_target(spark, hops):
                 best[s] = (old[d][0] + w, old[d][1])
     found = T.nearest_target(given, spark.createDataFrame([(t,) for t in targets], "node string"), hops).collect()
     assert {r["node"]: (r["cost"], r["target"]) for r in found} == best and all((r["hops"] == 0) == (r["node"] in targets and r["cost"] == 0) for r in found)
+
+
+def test_rounds_run_over_pivots_only(spark, monkeypatch):
+    """Leaves that assume pivots get their edges in one step, the same as round by round, with and without history."""
+    chain = [("CanAssume", f"aws|1|t|p{k}", f"aws|1|t|p{k // 2}", "ACTIVE") for k in range(1, 8)] + [("CanAssume", "aws|1|t|p0", "aws|1|t|p3", "CONDITIONAL")]
+    reads = [("CanReadData", f"aws|1|t|p{k}", f"aws|1|t|d{k % 5}", "ACTIVE", 2.0) for k in range(0, 8, 3)]
+    leaves = [("CanAssume", f"aws|1|t|leaf{k}", f"aws|1|t|p{(k * m) % 8}", state) for k in range(40) for m, state in ((1, "ACTIVE"), (7, "CONDITIONAL"))] + [("CanReadData", "aws|1|t|leaf1", "aws|1|t|d0", "CONDITIONAL", 9.0)]
+    graph, none = edges(spark, *chain, *reads, *leaves), nodes(spark, ("aws|1|t|p0", "Role"))
+    assert D._chains(D.DeriveConfig(), {"CanAssume", "CanReadData"}, False) and not D._chains(D.DeriveConfig(), {"CanAssume", "CanImpersonate"}, False)
+    seen, closed = [], D._closed
+    monkeypatch.setattr(D, "_closed", lambda given, n, *rest: seen.append(n) or closed(given, n, *rest))
+    fast = D.fixpoint(graph, none)
+    assert seen == [len(chain) + len(reads)]
+    monkeypatch.setattr(D, "_chains", lambda *_: False)
+    slow = {r["edge_id"]: r.asDict() for r in D.fixpoint(graph, none).collect()}
+    assert {r["edge_id"]: r.asDict() for r in fast.collect()} == slow and len(slow) > 80
+    monkeypatch.undo()
+    narrow = D.fixpoint(graph, none, history=False)
+    assert {r["edge_id"]: r.asDict() for r in narrow.collect()} == {k: {c: v for c, v in r.items() if c in narrow.columns} for k, r in slow.items()}
