@@ -102,6 +102,54 @@ def join_rules(left: DataFrame, right: DataFrame, config: DeriveConfig = DeriveC
     return compose(rule_pairs(left, right, config))
 
 
+def rule_groups(left: DataFrame, right: DataFrame, config: DeriveConfig = DeriveConfig()) -> DataFrame:
+    """What ``join_rules`` makes, by rule, type, source, target and state: number ``n``, least weight, most confidence.
+
+    Edges that differ in type alone go through join and grouping as one row with a list of types, written out last: no join,
+    grouping or shuffle meets as many rows as come out. Edges are told apart by their key.
+    """
+    spark, key = left.sparkSession, ["source", "target", "scope", "state", "weight", "confidence"]
+    firsts = config_frame(spark, [(r, g, t, e, p, w) for r, g, first, _, e, p, w in config.rules for t in first], "rule_id string, geometry string, type string, emit string, prior double, add double")
+    seconds = config_frame(spark, [(r, g, t) for r, g, _, second, *_ in config.rules for t in second], "rule_id string, geometry string, type string")
+
+    def side(edges: DataFrame, cfg: DataFrame, prefix: str, away: str, by_target: Column) -> DataFrame:
+        rule = [c for c in cfg.columns if c != "type"]
+        alike = edges.select("type", *key).join(F.broadcast(cfg), "type").groupBy(*rule, *key).agg(F.sort_array(F.collect_list("type")).alias("types"))
+        at = F.when(by_target, F.col("target")).otherwise(F.col("source"))
+        return alike.select(*[c for c in rule if c not in away], *[F.col(c).alias(f"{prefix}_{c}") for c in (*key, "types")], at.alias("at")).withColumn("_h", F.xxhash64("at", "rule_id"))
+
+    a = side(left, firsts, "a", "", F.col("geometry") != SAME_SOURCE)
+    b = side(right, seconds, "b", "geometry", F.col("geometry") == SAME_TARGET)
+    pairs = a.join(b, ["_h", "at", "rule_id"])
+    # an edge doesn't meet itself
+    same = (F.col("a_source") == F.col("b_source")) & (F.col("a_target") == F.col("b_target")) & (F.col("a_scope") == F.col("b_scope"))
+    part = lambda types, n: F.struct(types.alias("types"), n.cast("long").alias("n"))
+    others = F.transform("b_types", lambda t: part(F.array(t), F.size(F.filter("a_types", lambda x: x != t))))
+    parts = pairs.withColumn("p", F.explode(F.when(same, others).otherwise(F.array(part(F.col("b_types"), F.size("a_types")))))).where("p.n > 0")
+    made = parts.select(
+        "rule_id", F.col("a_source").alias("source"), F.when(F.col("geometry") == SAME_TARGET, F.col("b_source")).otherwise(F.col("b_target")).alias("target"), weakest(F.col("a_state"), F.col("b_state")).alias("state"),
+        F.when(F.col("emit").isNull(), F.col("p.types")).otherwise(F.array("emit")).alias("types"), (F.col("p.n") * F.when(F.col("emit").isNull(), 1).otherwise(F.size("p.types"))).alias("n"),
+        (F.col("a_weight") + F.col("b_weight") + F.col("add")).alias("weight"), (F.least("a_confidence", "b_confidence") * F.col("prior")).alias("confidence"),
+    )
+    by = ["rule_id", "source", "target", "state"]
+    # both groupings stay where this deals the rows
+    once = made.repartition(*by).groupBy(*by, "types").agg(F.sum("n").alias("n"), F.min("weight").alias("weight"), F.max("confidence").alias("confidence"))
+    held = once.groupBy(*by).agg(F.collect_list(F.struct("types", "n", "weight", "confidence")).alias("e"))
+    one = lambda t, n, weight, confidence: F.struct(t.alias("type"), n.alias("n"), weight.alias("weight"), confidence.alias("confidence"))
+    times = lambda e, t: F.size(F.filter(e["types"], lambda x: x == t))
+    first = F.col("e")[0]
+
+    def merged(t: Column) -> Column:
+        own = F.filter("e", lambda e: F.array_contains(e["types"], t))
+        n = F.aggregate(own, F.lit(0).cast("long"), lambda s, e: s + e["n"] * times(e, t))
+        return one(t, n, F.array_min(F.transform(own, lambda e: e["weight"])), F.array_max(F.transform(own, lambda e: e["confidence"])))
+
+    plain = (F.size("e") == 1) & (F.size(first["types"]) == F.size(F.array_distinct(first["types"])))
+    alone = F.transform(first["types"], lambda t: one(t, first["n"], first["weight"], first["confidence"]))
+    several = F.transform(F.array_distinct(F.flatten(F.transform("e", lambda e: e["types"]))), merged)
+    return held.select(*by, F.explode(F.when(plain, alone).otherwise(several)).alias("m")).select("rule_id", "m.type", "source", "target", "state", "m.n", "m.weight", "m.confidence")
+
+
 def promotions(edges: DataFrame, nodes: DataFrame, config: DeriveConfig = DeriveConfig()) -> DataFrame:
     """One-edge promotions; ``nodes(node_id, node_type)`` gives the targets' types."""
     spark = edges.sparkSession

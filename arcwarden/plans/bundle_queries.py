@@ -56,8 +56,8 @@ def _rule(rule: tuple) -> None:
         edges = stored(access_edges(s, d), "graph").drop("edge_id")
         left = edges.where(a).withColumn("type", F.explode(F.array(*map(F.lit, first))))
         right = edges.where(b).withColumn("type", F.explode(F.array(*map(F.lit, second))))
-        made = D.join_rules(D.normalized(left), D.normalized(right)).where(F.col("rule_id") == rule_id)
-        return made.groupBy("type", "source", "target", "state").agg(F.count("*").alias("n"), F.min("weight").alias("weight"), F.round(F.max("confidence"), 6).alias("confidence"))
+        made = D.rule_groups(D.normalized(left), D.normalized(right)).where(F.col("rule_id") == rule_id)
+        return made.select("type", "source", "target", "state", "n", "weight", F.round("confidence", 6).alias("confidence"))
 
     query(
         f"rule_{rule_id.replace('-', '_')}",

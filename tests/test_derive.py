@@ -129,3 +129,18 @@ def test_rounds_run_over_pivots_only(spark, monkeypatch):
     monkeypatch.undo()
     narrow = D.fixpoint(graph, none, history=False)
     assert {r["edge_id"]: r.asDict() for r in narrow.collect()} == {k: {c: v for c, v in r.items() if c in narrow.columns} for k, r in slow.items()}
+
+
+def test_groups_of_rules_are_those_of_their_pairs(spark):
+    """Lists of types give what pairs one by one give: repeated edges, loops that mustn't meet themselves, several ways, all geometries."""
+    ends = [("x", "p"), ("y", "p"), ("p", "p"), ("p", "d"), ("p", "e"), ("q", "d"), ("x", "q"), ("p", "p2"), ("z", "q")]
+    kinds = [t for t, _ in (("CanAssume", 0), ("CanReadData", 1), ("CanInvoke", 2), ("CanModifyCode", 3), ("CanModifyConfiguration", 4), ("CanPassIdentity", 5), ("ContainsResourceReference", 6), ("ExecutesAs", 7), ("CanTrigger", 8))]
+    rows = [(t, s, d, "ACTIVE" if (k + n) % 3 else "CONDITIONAL", 1.0 + n % 2, 0.9) for n, t in enumerate(kinds) for k, (s, d) in enumerate(ends)]
+    graph = D.normalized(edges(spark, *rows, rows[3], rows[12]))
+    by = ["rule_id", "type", "source", "target", "state"]
+    plain = D.join_rules(graph, graph).groupBy(*by).agg(F.count("*").alias("n"), F.min("weight").alias("weight"), F.max("confidence").alias("confidence"))
+    grouped = D.rule_groups(graph, graph)
+    assert sorted(map(tuple, grouped.collect())) == sorted(map(tuple, plain.collect())) and plain.count() > 100
+    # what leaves the grouping is one row for all types
+    plan = grouped._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate")
