@@ -174,13 +174,14 @@ def low_similarity(a: np.ndarray, b: np.ndarray, low: int) -> tuple[float, bool]
 
 
 def least_agreement(sizes: np.ndarray, config: MinHashConfig) -> np.ndarray:
-    """Bins that the sketches of a similar pair agree in at least, by the size of the larger set; 0 for small sets.
+    """Bins that the sketches of a similar pair agree in at least, by the size of the larger set; 0 for sets that fill less than an eighth of the bins.
 
     A sketch looks at no more elements than bins or set has, and empty bins repeat some of them, which counts as a quarter fewer.
     """
     t = config.threshold / 100
     looked = np.maximum(1, 0.75 * np.minimum(config.bins, sizes))
-    return np.maximum(0, np.ceil(config.bins * (t - config.deviations * np.sqrt(t * (1 - t) / looked))))
+    least = np.maximum(0, np.ceil(config.bins * (t - config.deviations * np.sqrt(t * (1 - t) / looked))))
+    return np.where(8 * np.asarray(sizes) < config.bins, 0.0, least)
 
 
 def _block_pairs(several: DataFrame, reps: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataFrame:
