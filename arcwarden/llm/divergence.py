@@ -40,6 +40,8 @@ from arcwarden.llm.common import fresh_path, maybe_broadcast, raw_texts, small_b
 #: A term of a text whose A to Z are lower-cased; as all that separates terms is ASCII, its bytes in UTF-8 can be split.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _BYTES = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else 0x20 for b in range(256))
+#: Terms of a broadcast, which is built on the driver; more of them are shuffled.
+BROADCAST_TERMS = 50_000
 #: Between language and term of a token; no term holds it.
 MARK = "\0"
 
@@ -111,10 +113,10 @@ def group_sums(tokens: DataFrame, config: DivergenceConfig) -> DataFrame:
         vectors = model.transform(lists.select("source", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("times"), own(F.col("tokens")).alias("tokens")))
         # a token tells its language, so source and token are a group's term
         sums = vectors.select("source", "times", F.explode(vector["indices"]).alias("index")).groupBy("source", "index").agg(F.sum("times").alias("count"))
-        # a fit's vocabulary is bounded by shard_terms, so its terms are joined by a broadcast of that size at most
+        # a fit's vocabulary is bounded by shard_terms; as a broadcast it would be built on the driver, beside the model's
         term = F.substring_index("token", MARK, -1)
         lang = F.expr(f"substring(token, 1, length(token) - length(term) - {len(MARK)})")
-        named = sums.join(maybe_broadcast(terms), "index").withColumn("term", term).select(lang.alias("lang"), "source", "term", "count")
+        named = sums.join(maybe_broadcast(terms, limit=BROADCAST_TERMS), "index").withColumn("term", term).select(lang.alias("lang"), "source", "term", "count")
         found.append(stored(named, "divergence-sums"))
     return reduce(DataFrame.unionByName, found)
 
@@ -194,7 +196,7 @@ def pair_divergence(found: Shares) -> DataFrame:
 
 def leading_terms(found: Shares, config: DivergenceConfig) -> DataFrame:
     """``(lang, source, item, value, rank)``: the terms that a group has more of than its language, the foremost ``top_terms``."""
-    both = found.terms.join(maybe_broadcast(found.langs), ["lang", "term"]).where(F.col("p") > F.col("q"))
+    both = found.terms.join(maybe_broadcast(found.langs, limit=BROADCAST_TERMS), ["lang", "term"]).where(F.col("p") > F.col("q"))
     rated = both.select("lang", "source", F.col("term").alias("item"), contribution(F.col("p"), F.col("q")).alias("value"))
     # the limit on row numbers lets Spark cut each group before it moves
     return rated.withColumn("rank", _rank()).where(F.col("rank") <= config.top_terms)

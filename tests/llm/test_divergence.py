@@ -57,3 +57,9 @@ def test_sums_are_sparse(spark):
     frame = spark.createDataFrame([(*r, *[None] * 4) for r in ROWS], SCHEMA)
     found = divergence.shares(frame, divergence.DivergenceConfig())
     assert found.terms.where("p <= 0").count() == 0 and found.terms.count() == found.groups.selectExpr("sum(kinds)").first()[0]
+
+
+def test_terms_are_shuffled_beyond_the_limit(spark, monkeypatch):
+    """The same rows where vocabulary and shares of languages are too many for a broadcast."""
+    monkeypatch.setattr(divergence, "BROADCAST_TERMS", 0)
+    check(spark, [(k, f"a b{k % 2} c{k % 3} a", "xy"[k % 2], "st"[k // 6]) for k in range(12)], divergence.DivergenceConfig())
