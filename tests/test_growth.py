@@ -6,7 +6,7 @@ import pytest
 from helpers import allow, doc, facts
 from pyspark.sql import functions as F
 
-from arcwarden.operators import aws
+from arcwarden.operators import aws, gcp, grants
 from arcwarden.sources import extract as X
 
 
@@ -46,3 +46,19 @@ def test_policies_of_an_account_go_to_its_pairs(spark):
         assert sorted((r["principal"].split(":")[4][-1], r["action"]) for r in gated.collect()) == [("1", "secretsmanager:GetSecretValue"), ("2", "kms:Decrypt"), ("2", "secretsmanager:GetSecretValue")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_written_out_grants_name_few_members_at_a_time(spark, monkeypatch):
+    """Project grants come with the same rows as a plain join, block after block: neighbouring rows don't go through all of a project's resources."""
+    monkeypatch.setattr(grants, "BLOCK", 8)
+    monkeypatch.setattr(grants, "DEALT", 32)
+    monkeypatch.setattr(grants, "WRITTEN", 500)
+    held = spark.range(40).selectExpr("concat('m', id) AS source", "concat('p', id % 3) AS project", "CAST(NULL AS string) AS target", "'CanReadData' AS edge", "array('Bucket', 'Table') AS types", "'DATA' AS kind", "1D AS weight", "'get' AS permission", "1 AS ord", "id % 2 = 0 AS conditional", "array('f') AS facts")
+    nodes = spark.range(200).selectExpr("concat('p', id % 4) AS account", "CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Table' ELSE 'Bucket' END AS node_type", "concat('t', id) AS node_id", "concat('//t', id) AS arn")
+    nodes = nodes.unionByName(nodes.limit(2))
+    got = gcp.project_wide_edges(held, nodes)
+    plain = held.withColumn("node_type", F.explode("types")).drop("target").join(nodes.selectExpr("account AS project", "node_type", "node_id AS target", "arn AS scope"), ["project", "node_type"]).select(*got.columns)
+    assert sorted(got.collect()) == sorted(plain.collect())
+    numbered = got.select("source", "target", F.spark_partition_id().alias("part")).collect()
+    runs = [len({r["target"] for r in numbered[k : k + 24] if r["part"] == numbered[k]["part"]}) for k in range(0, len(numbered) - 24, 24)]
+    assert len({r["part"] for r in numbered}) > 1 and sum(runs) / len(runs) <= 16
