@@ -121,3 +121,17 @@ def test_numbers_come_back_only_where_they_stand(spark):
     sent = list(substrings.sent_grams([(1, ["about 10555"]), (2, ["x10111999"]), (3, ["none"])], [5]))
     grams = spark.createDataFrame([(r, h) for b in sent for r, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], "r long, h long")
     assert sorted((x["r"], x["pattern"]) for x in grams.join(anchors, "h").collect()) == [(1, "10555"), (2, "10111"), (2, "11199"), (2, "11999")]
+
+
+def test_lookalikes_are_what_the_patterns_find(spark):
+    """Texts without a sign of an identifier aren't tried, nor do they go to Python; nothing is lost by that."""
+    kinds = ["arn:aws:iam::123456789012:role/x", "arn:aws::::é", "http://é", "https://a", "x@gserviceaccount.com", "x@p-1.iam.gserviceaccount.com", "a%b@c.de", "10.1.0.0/16", "1.2.3.4", "a:b:c", "FE80:0:1::1", "0:1:2", "01234567-89ab-cdef-0123-456789ABCDEF", "123456789012", "a-.io", "Host.Example"]
+    plain = ["", None, "one two", "a. b", "12:30", "3.5", "1234567890123", "end.", "a-b-c", "x:/y", "a.b", "::", "12345678-1234-"]
+    texts = [*kinds, *plain, *(f"({a}) {b}\n{c}." for a, b, c in zip(kinds, reversed(kinds), plain, strict=False)), *(f"{a}{b}" for a, b in zip(kinds, kinds[1:], strict=False))]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    rows = frame.select("t", R.lookalikes("t").alias("got"), F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(R.ANY_PATTERN), F.lit(0)).alias("all")).collect()
+    assert all(r["got"] == r["all"] for r in rows) and all(r["all"] for r in rows[: len(kinds)])
+    swept = R.scrub_residual(frame, SALT, "t")
+    assert "Union" in swept._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["k"]: r["t"] for r in swept.collect()}
+    assert len(found) == len(texts) and [t for k, t in enumerate(texts) if (found[k] == t) == bool(rows[k]["all"])] == []
