@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcwarden.llm.common import byte_word_ids, maybe_broadcast, mix64, small_batches, stored, table, without_ids
+from arcwarden.llm.common import BROADCAST_ROWS, byte_word_ids, maybe_broadcast, mix64, small_batches, stored, table, without_ids
 from arcwarden.llm.components import components, joined
 
 
@@ -127,25 +127,38 @@ def signatures(docs: DataFrame, config: MinHashConfig) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, config: MinHashConfig) -> DataFrame:
-    """``(doc_id, shingles)`` of the documents named in the stored table ``ids``."""
+    """``(doc_id, n, shingles)`` of the documents named in the stored table ``ids``: the set and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(v.as_py(), config).view(np.int64) for v in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "n", "shingles"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(ids), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
+    return wanted.mapInArrow(run, "doc_id long, n long, shingles array<long>").dropDuplicates(["doc_id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    na, nb = F.size("sa"), F.size("sb")
-    near = 100 * F.least(na, nb) >= config.threshold * F.greatest(na, nb)
+    """The pairs ``(a, b)`` whose full sets are similar enough.
+
+    Pairs of too different sizes go before any set moves, and only sets that the others name do, as long as their ids may be broadcast.
+    """
+    near = 100 * F.least("na", "nb") >= config.threshold * F.greatest("na", "nb")
+    sizes = sets.select("doc_id", "n")
+    n = sizes.count()
+    sized = pairs.select("a", "b")
+    for end in ("a", "b"):
+        sized = sized.join(maybe_broadcast(sizes.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}")), n), end)
+    left_over = stored(sized.where(near), "pairs")
+    sides = []
+    for end in ("a", "b"):
+        side = sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"s{end}"))
+        named = stored(left_over.select(end).distinct(), "named")
+        few = named.count()
+        sides.append(side.join(F.broadcast(named), end, "left_semi") if few <= min(BROADCAST_ROWS, n // 2) else side)
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(right, "b").join(left, "a").where(near & (100 * both >= config.threshold * (na + nb - both))).select("a", "b")
+    return left_over.join(sides[1], "b").join(sides[0], "a").where(100 * both >= config.threshold * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def _several(members: DataFrame, labels: DataFrame) -> DataFrame:

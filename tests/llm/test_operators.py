@@ -744,3 +744,14 @@ def test_chat_merges_adjacent_turns(spark):
     rows = [(1, k, role, text) for k, (role, text) in enumerate([("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", None), ("assistant", "<|d"), ("user", "e " * 400_000)])]
     blocks = chat.merged_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()["blocks"]
     assert [(b["role"], len(b["texts"])) for b in blocks] == [("user", 2), ("assistant", 3), ("user", 1)] and blocks[1]["texts"] == ["c", "", "<\\|d"]
+
+
+def test_only_named_sets_of_like_sizes_move(spark):
+    """Pairs are confirmed as by their sets alone; sets that no pair of like sizes names stay where they are."""
+    held = {k: list(range(k % 4, 20 + 30 * (k == 7))) for k in range(12)}
+    sets = minhash.stored(spark.createDataFrame([(k, len(v), v) for k, v in held.items()], "doc_id long, n long, shingles array<long>"), "sets")
+    pairs = spark.createDataFrame([(0, 1), (0, 7), (1, 7), (0, 3), (2, 3)], "a long, b long")
+    found = minhash.confirmed(pairs, sets, minhash.MinHashConfig())
+    similar = lambda a, b: 100 * len({*held[a]} & {*held[b]}) >= 80 * len({*held[a]} | {*held[b]})
+    assert sorted(map(tuple, found.collect())) == sorted((r["a"], r["b"]) for r in pairs.collect() if similar(r["a"], r["b"])) != []
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
