@@ -9,9 +9,9 @@ give bucket keys. Work then goes from cheap to exact:
    edited copies that is the original, as a rule): a star, so pairs grow as members do;
 3. star pairs are confirmed on the full shingle sets, and confirmed links give components;
 4. where a bucket still holds several components, the best member outside its commonest component becomes the centre of a
-   new star over the other components, again and again until no star brings a link;
+   new star over the other components, again and again until no star brings a link; pairs of the round before aren't asked anew;
 5. where a bucket holds several components even then, the members outside its commonest component meet the others in blocks
-   of bounded size. A pair is looked at in the first band that it shares; if its sketches agree in nearly as many bins as
+   of bounded size; a bucket with but one such member is done, as its last star was all of its pairs. A pair is looked at in the first band that it shares; if its sketches agree in nearly as many bins as
    the threshold asks for, and so do the least hashes of both sets (all of them, for sets of up to ``low``), it is confirmed
    on full sets as well. So a block hands on links, and few pairs besides, however many rows a bucket has.
 
@@ -108,35 +108,42 @@ def sketch(shingles: np.ndarray, config: MinHashConfig) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, config: MinHashConfig) -> DataFrame:
-    """``(doc_id, n_shingles, set_key, bands, keys)`` of every row: the sketch by band, and the bands' bucket keys; null for empty sets."""
+    """``(doc_id, n_shingles, set_key, keys)`` of every row: the bucket keys of the sketch's bands; null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, bands, buckets = [], [], [], []
+            sizes, keys, buckets = [], [], []
             for value in batch.column(1).cast(pa.binary()):
                 found = shingle_set(value.as_py(), config)
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                bands.append(sketch(found, config) if len(found) else None)
-                buckets.append(bucket_keys(bands[-1]) if len(found) else None)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(buckets, longs)], ["doc_id", "n_shingles", "set_key", "bands", "keys"])
+                buckets.append(bucket_keys(sketch(found, config)) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "keys"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, keys array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, config: MinHashConfig) -> DataFrame:
-    """``(doc_id, n, shingles)`` of the documents named in the stored table ``ids``: the set and its size."""
+def _once(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row for each ``doc_id``; only rows of the ids in the stored table ``repeated``, which several rows have, are moved."""
+    if not repeated.limit(1).count():
+        return rows
+    ids = maybe_broadcast(repeated)
+    return rows.join(ids, "doc_id", "left_anti").unionByName(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, repeated: DataFrame, config: MinHashConfig) -> DataFrame:
+    """``(doc_id, n, shingles, bands)`` of the documents named in the stored table ``ids``: the set, its size, and its sketch by band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(v.as_py(), config).view(np.int64) for v in batch.column(1).cast(pa.binary())]
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "n", "shingles"])
+            sizes, longs = pa.array([len(s) for s in sets], pa.int64()), pa.list_(pa.int64())
+            bands = [sketch(s.view(np.uint64), config) if len(s) else np.zeros(config.bands, np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(sets, longs), pa.array(bands, longs)], ["doc_id", "n", "shingles", "bands"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(ids), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc_id long, n long, shingles array<long>").dropDuplicates(["doc_id"])
+    return _once(wanted, repeated).mapInArrow(run, "doc_id long, n long, shingles array<long>, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataFrame:
@@ -197,21 +204,25 @@ def least_agreement(sizes: np.ndarray, config: MinHashConfig) -> np.ndarray:
     return np.where(8 * np.asarray(sizes) < config.bins, 0.0, least)
 
 
-def _block_pairs(several: DataFrame, reps: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataFrame:
+def _block_pairs(several: DataFrame, sets: DataFrame, config: MinHashConfig) -> DataFrame:
     """Pairs of one bucket in different components whose sketches agree well enough.
 
-    Members of a bucket's main component stand on the right side only; all others stand on the left, and on the right too.
-    Both sides are dealt to blocks, and every block of the left meets every block of the right in a group of its own.
+    Members of a bucket's main component stand on the right side only (1); all others stand on the left (0), and on the right too,
+    where a bucket is one block by the same row (2). Both sides are dealt to blocks, and every block of the left meets every block
+    of the right in a group of its own. A bucket with one member outside the main component has no pair but those of its star.
     """
+    several = several.where(F.col("all") - F.col("most") > 1)
     blocks = lambda n: F.ceil(n / config.block).cast("int")
     lefts, rights = blocks(F.col("all") - F.col("most")), blocks(F.col("all"))
     spread = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = several.where("label != main").select("key", "doc_id", "label", F.lit(0).alias("side"), spread(lefts, 1).alias("i"), every(rights).alias("j"))
-    right = several.select("key", "doc_id", "label", F.lit(1).alias("side"), every(lefts).alias("i"), spread(rights, 2).alias("j"))
+    whole = rights == 1
+    left = several.where("label != main").select("key", "doc_id", "label", F.when(whole, 2).otherwise(0).alias("side"), spread(lefts, 1).alias("i"), every(rights).alias("j"))
+    right = several.where(~whole | (F.col("label") == F.col("main"))).select("key", "doc_id", "label", F.lit(1).alias("side"), every(lefts).alias("i"), spread(rights, 2).alias("j"))
     least_hashes = F.transform(F.slice("shingles", 1, config.low), lambda x: F.shiftrightunsigned(x, 32))
-    shapes = reps.select("doc_id", "bands").join(sets.select("doc_id", least_hashes.alias("lows")), "doc_id")
-    placed = left.unionByName(right).join(stored(shapes, "shapes"), "doc_id")
+    asked = stored(several.select("doc_id").distinct(), "asked")
+    shapes = sets.select("doc_id", "bands", least_hashes.alias("lows")).join(maybe_broadcast(asked), "doc_id", "left_semi")
+    placed = left.unionByName(right).join(shapes, "doc_id")
     dealt = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "doc_id", "label", "bands", "lows")
     def compare(t: pa.Table) -> np.ndarray:
         side, ids, label = (t.column(c).to_numpy() for c in ("side", "doc_id", "label"))
@@ -221,8 +232,8 @@ def _block_pairs(several: DataFrame, reps: DataFrame, sets: DataFrame, config: M
         sizes, lows = flat.value_lengths().to_numpy(), flat.flatten().to_numpy()
         ends = sizes.cumsum()
         low = lambda n: lows[ends[n - 1] if n else 0 : ends[n]]
-        right, found = np.flatnonzero(side == 1), [np.zeros((0, 2), np.int64)]
-        for k in np.flatnonzero(side == 0):
+        right, found = np.flatnonzero(side != 0), [np.zeros((0, 2), np.int64)]
+        for k in np.flatnonzero(side != 1):
             least = least_agreement(np.maximum(sizes[right], sizes[k]), config)
             near = right[((bins[right] == bins[k]).sum(axis=1) >= least) & (label[right] != label[k])]
             if len(near):
@@ -264,17 +275,18 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``."""
     signed = stored(signatures(docs, config), "signatures")
     usable = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+    repeated = stored(usable.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     classes = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("set_key", "rep"), "classes")
     classed = signed.join(maybe_broadcast(classes), "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    reps = stored(classed.where(F.col("set_key").isNotNull() & (F.col("doc_id") == F.col("rep"))).select("doc_id", "bands", "keys").dropDuplicates(["doc_id"]), "reps")
+    reps = stored(_once(classed.where(F.col("set_key").isNotNull() & (F.col("doc_id") == F.col("rep"))).select("doc_id", "keys"), repeated), "reps")
     keyed = reps.select("doc_id", F.explode("keys").alias("key"))
     buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
     shared = stored(keyed.join(maybe_broadcast(buckets), "key"), "shared")
     scores = stored(shared.groupBy("doc_id").agg(F.sum("m").alias("score")), "scores")
     members = stored(shared.select("key", "doc_id").join(maybe_broadcast(scores), "doc_id"), "members")
-    sets = stored(full_sets(docs, scores.select("doc_id"), config), "sets")
+    sets = stored(full_sets(docs, scores.select("doc_id"), repeated, config), "sets")
     centres = stored(members.groupBy("key").agg((-F.max(F.struct("score", -F.col("doc_id"))).getField("col2")).alias("c")), "centres")
-    stars = members.join(maybe_broadcast(centres), "key").where("doc_id != c").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
+    stars = stored(members.join(maybe_broadcast(centres), "key").where("doc_id != c").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct(), "stars")
     links = stored(confirmed(stars, sets, config), "links")
     labels = stored(components(links), "components")
     stars_left = True
@@ -282,7 +294,10 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
         several = _several(members, labels)
         if not several.limit(1).count():
             break
-        more = stored(confirmed(_star(several) if stars_left else _block_pairs(several, reps, sets, config), sets, config), "links")
+        pairs = stored(_star(several) if stars_left else _block_pairs(several, sets, config), "stars")
+        # all pairs of the round before have been asked, and those that are links lie in one component by now
+        more = stored(confirmed(pairs.join(maybe_broadcast(stars), ["a", "b"], "left_anti"), sets, config), "links")
+        stars = pairs
         linked = more.limit(1).count() > 0
         if linked:
             labels = stored(joined(labels, more), "components")

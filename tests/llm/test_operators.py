@@ -755,3 +755,15 @@ def test_only_named_sets_of_like_sizes_move(spark):
     similar = lambda a, b: 100 * len({*held[a]} & {*held[b]}) >= 80 * len({*held[a]} | {*held[b]})
     assert sorted(map(tuple, found.collect())) == sorted((r["a"], r["b"]) for r in pairs.collect() if similar(r["a"], r["b"])) != []
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+
+
+def test_refuted_pairs_are_asked_once(spark, monkeypatch):
+    """Families of three whose texts share a bucket but too few shingles, and one of true copies: no pair is confirmed in two rounds."""
+    asked, real = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, sets, config: (asked.append(sorted(map(tuple, pairs.select("a", "b").collect()))), real(pairs, sets, config))[1])
+    words = [[f"w{f}x{k}" for k in range(200)] for f in range(9)]
+    rows = [(3 * f + v, " ".join(w if not v or k % 50 != 11 * v or not f else f"e{v}" for k, w in enumerate(own)) + f" {'tail ' * v * bool(f)}" + " ".join(f"t{f}v{v}k{k}" for k in range(22 * bool(f)))) for f, own in enumerate(words) for v in range(3)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, [(d, t.strip()) for d, t in rows])).collect()}
+    assert got == {d: 0 if d < 3 else d for d, _ in rows}
+    assert len(asked) > 1 and asked[0] and all(not {*x} & {*y} for x, y in zip(asked, asked[1:], strict=False))
+    assert "bands" not in minhash.signatures(docs(spark, rows[:1]), minhash.MinHashConfig()).columns
