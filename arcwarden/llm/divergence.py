@@ -1,11 +1,13 @@
 """Audit of how far the sources of a language diverge from one another, from exact term counts.
 
-Texts are cut into terms once, into a stored table of tokens: a language and a term of its. A document is written down by the
-bits of its counts: one list of tokens for each bit, so that a token that occurs five times stands in the lists of 1 and 4.
-``CountVectorizer`` is fitted on these documents, with the least document frequency and the largest vocabulary that an integer
-allows: as tokens carry their language, one fit gives every language its own vocabulary, however many languages there are. It
-then makes exact sparse vectors of the lists, which add up, each times its power of two, to the document's; these are summed by
-group (a source within a language) term by term, as ``Summarizer`` would, but without its dense arrays.
+Documents of a group (a source within a language) are brought together and cut into terms once, into a stored table of tokens: a
+language and a term of its. Runs of a group's documents are written down by the bits of their summed counts: one list of tokens
+for each bit, so that a token that occurs five times stands in the lists of 1 and 4. For ``CountVectorizer``'s fit a run is as
+many documents as the least document frequency: the first holds the terms of one document or more, the second those of two or
+more, and so on. A term is in at least so many of these as is asked for if and only if it is in so many documents. The fit has the
+largest vocabulary that an integer allows: as tokens carry their language, one fit gives every language its own vocabulary,
+however many languages there are. The model then makes exact sparse vectors of the lists, which add up, each times its power of
+two, to the run's; these are summed by group term by term, as ``Summarizer`` would, but without its dense arrays.
 
 Pairs of sources are evaluated on these sparse sums. A term that neither source has contributes the same for every term, and
 one that only one has depends on its smoothed share alone, so the shares of a group are counted by value and meet the other
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +45,8 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _BYTES = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else 0x20 for b in range(256))
 #: Terms of a broadcast, which is built on the driver; more of them are shuffled.
 BROADCAST_TERMS = 50_000
+#: Terms that a task counts before it writes them down, and those of one row.
+HELD_TERMS, ROW_TERMS = 1 << 17, 1 << 13
 #: Between language and term of a token; no term holds it.
 MARK = "\0"
 
@@ -62,35 +67,57 @@ class DivergenceConfig:
         return (1 << 31) - 1
 
 
-def tokens_of(docs: DataFrame) -> DataFrame:
-    """``(lang, source, tokens array<array<string>>)`` of every row: the tokens whose count has bit 0, bit 1, and so on."""
+def tokens_of(docs: DataFrame, config: DivergenceConfig) -> DataFrame:
+    """``(lang, source, tokens, docs)`` of runs of each group's rows, both ``array<array<string>>``.
+
+    ``tokens`` are those whose count has bit 0, bit 1, and so on, ``docs`` those of at least 1, 2 and up to ``min_docs`` rows.
+    """
+    schema = "lang string, source string, tokens array<array<string>>, docs array<array<string>>"
+
+    def nested(rows: list[list[list[bytes]]]) -> pa.Array:
+        lists = [own for row in rows for own in row]
+        ends = lambda parts: pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+        flat = pa.array([token for own in lists for token in own], pa.binary()).cast(pa.string())
+        return pa.ListArray.from_arrays(ends(rows), pa.ListArray.from_arrays(ends(lists), flat))
+
+    def written(groups: dict[tuple[bytes, bytes], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (counts, held) in groups.items():
+            terms, mark = list(counts), lang + MARK.encode()
+            for at in range(0, max(1, len(terms)), ROW_TERMS):
+                part = [(mark + t, counts[t], held[t]) for t in terms[at : at + ROW_TERMS]]
+                bits = max((n for _, n, _ in part), default=0).bit_length()
+                tokens = [[token for token, n, _ in part if n >> bit & 1] for bit in range(bits)]
+                rows = [[token for token, _, m in part if m > k] for k in range(config.min_docs)]
+                names = [pa.array([x], pa.binary()).cast(pa.string()) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*names, nested([tokens]), nested([rows])], ["lang", "source", "tokens", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
+        size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                flat: list[bytes] = []
-                inner, outer = [0], [0]
-                for lang, text in zip(raw_texts(part.column(0)), raw_texts(part.column(2)), strict=True):
-                    mark, counts = lang + MARK.encode(), Counter(text.translate(_BYTES).split())
-                    bits = max(counts.values(), default=0).bit_length()
-                    for bit in range(bits):
-                        flat += [mark + term for term, n in counts.items() if n >> bit & 1]
-                        inner.append(len(flat))
-                    outer.append(outer[-1] + bits)
-                lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(flat, pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(outer, pa.int32()), lists)], ["lang", "source", "tokens"])
+            for lang, source, text in zip(*(raw_texts(batch.column(k)) for k in range(3)), strict=True):
+                if (lang, source) not in groups:
+                    groups[lang, source], size = (Counter(), Counter()), size + 1
+                counts, held = groups[lang, source]
+                words, before = text.translate(_BYTES).split(), len(counts)
+                counts.update(words)
+                held.update(set(words))
+                size += len(counts) - before
+                if size >= HELD_TERMS:
+                    yield from written(groups)
+                    groups, size = {}, 0
+        yield from written(groups)
 
     small_batches(docs.sparkSession)
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    return plain.mapInArrow(run, "lang string, source string, tokens array<array<string>>")
+    # the fewer groups a task has, the fewer rows its terms make; a large group is dealt to several tasks
+    return plain.hint("rebalance", F.col("lang"), F.col("source")).mapInArrow(run, schema)
 
 
 def vocabulary_size(tokens: DataFrame, config: DivergenceConfig) -> int:
     """About how many tokens occur in as many documents as is asked for."""
-    number = F.monotonically_increasing_id().alias("row")
-    drawn = tokens.select(number, F.explode(F.flatten("tokens")).alias("token")).where(F.pmod(F.xxhash64("token"), F.lit(config.estimate)) == 0)
-    return config.estimate * drawn.distinct().groupBy("token").count().where(F.col("count") >= config.min_docs).count()
+    drawn = tokens.select(F.explode(F.flatten("docs")).alias("token")).where(F.pmod(F.xxhash64("token"), F.lit(config.estimate)) == 0)
+    return config.estimate * drawn.groupBy("token").count().where(F.col("count") >= config.min_docs).count()
 
 
 def group_sums(tokens: DataFrame, config: DivergenceConfig) -> DataFrame:
@@ -103,7 +130,7 @@ def group_sums(tokens: DataFrame, config: DivergenceConfig) -> DataFrame:
     found = []
     for shard in range(shards):
         own = lambda c, k=shard: c if shards == 1 else F.filter(c, lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == k)
-        model = counter.fit(tokens.select(own(F.flatten("tokens")).alias("tokens")).unionByName(ballast))
+        model = counter.fit(tokens.select(F.explode("docs").alias("tokens")).select(own(F.col("tokens")).alias("tokens")).unionByName(ballast))
         # the vocabulary as a table: as written with the model, so that it needn't pass through Python
         path = fresh_path(spark, "divergence-model")
         model.write().save(path)
@@ -143,7 +170,7 @@ class Shares:
 
 
 def shares(docs: DataFrame, config: DivergenceConfig) -> Shares:
-    tokens = stored(tokens_of(docs), "divergence-tokens")
+    tokens = stored(tokens_of(docs, config), "divergence-tokens")
     sums = stored(group_sums(tokens, config), "divergence-counts")
     whole = stored(sums.groupBy("lang", "term").agg(F.sum("count").alias("count")), "divergence-langs")
     sizes = stored(whole.groupBy("lang").agg(F.sum("count").alias("n"), F.count("*").alias("v")), "divergence-sizes")

@@ -63,3 +63,21 @@ def test_terms_are_shuffled_beyond_the_limit(spark, monkeypatch):
     """The same rows where vocabulary and shares of languages are too many for a broadcast."""
     monkeypatch.setattr(divergence, "BROADCAST_TERMS", 0)
     check(spark, [(k, f"a b{k % 2} c{k % 3} a", "xy"[k % 2], "st"[k // 6]) for k in range(12)], divergence.DivergenceConfig())
+
+
+def test_tokens_are_those_of_groups(spark):
+    """A group's rows make one run, however many they are, and the fit sees a term in as many documents as have it, up to the least number."""
+    frame = spark.createDataFrame([(f"A b a c{k % 9}", "en", "s") for k in range(90)] + [("b x", "en", "s"), ("x", "en", "s")], "text string, lang string, source string")
+    rows = divergence.tokens_of(frame.coalesce(1), divergence.DivergenceConfig()).collect()
+    assert len(rows) == 1 and sum(2**k for k, own in enumerate(rows[0]["tokens"]) if "en\0a" in own) == 180
+    assert [("en\0x" in own, "en\0b" in own) for own in rows[0]["docs"]] == [(True, True), (True, True), (False, True)]
+
+
+def test_runs_are_cut(spark, monkeypatch):
+    """The same rows where tasks write their terms down early, a few in a row."""
+    real = divergence.tokens_of
+    monkeypatch.setattr(divergence, "HELD_TERMS", 5)
+    monkeypatch.setattr(divergence, "ROW_TERMS", 2)
+    frame = spark.createDataFrame([(*r, *[None] * 4) for r in ROWS + ODD], SCHEMA)
+    assert real(frame, divergence.DivergenceConfig()).count() > 20
+    check(spark, ROWS + ODD, divergence.DivergenceConfig())
