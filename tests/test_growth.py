@@ -3,9 +3,10 @@
 import json
 
 import pytest
-from helpers import allow, doc, facts
+from helpers import allow, doc, facts, nodes
 from pyspark.sql import functions as F
 
+from arcwarden import tables
 from arcwarden.operators import aws, gcp, grants
 from arcwarden.sources import extract as X
 
@@ -62,3 +63,29 @@ def test_written_out_grants_name_few_members_at_a_time(spark, monkeypatch):
     numbered = got.select("source", "target", F.spark_partition_id().alias("part")).collect()
     runs = [len({r["target"] for r in numbered[k : k + 24] if r["part"] == numbered[k]["part"]}) for k in range(0, len(numbered) - 24, 24)]
     assert len({r["part"] for r in numbered}) > 1 and sum(runs) / len(runs) <= 16
+
+
+def test_edges_of_classes_come_in_blocks(spark, monkeypatch):
+    """Edges of the binding and the scoped-role model are written out block after block too; what a resource's own grant gives doesn't reorder or repeat the others."""
+    monkeypatch.setattr(grants, "BLOCK", 8)
+    monkeypatch.setattr(grants, "DEALT", 32)
+    monkeypatch.setattr(grants, "WRITTEN", 500)
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 40)
+    buckets = nodes(spark, *[(f"gcp|p{k % 2}|gcp:storage:bucket|b{k}", "ObjectStorage", f"//storage/b{k}") for k in range(200)])
+    role = ("role_permissions", "", "roles/r", "", {"permissions": ["storage.objects.get"]}, "gcp", "p1")
+    bind = lambda who, target, level, p: ("iam_binding", "", f"user:u{who}@x.org", target, {"role": "roles/r", "condition": "x" if level == "project" else "", "level": level}, "gcp", p)
+    project = [bind(k, f"p{k % 2}", "project", f"p{k % 2}") for k in range(20)]
+    own = [bind(k, f"//storage/b{b}", "bucket", "p9") for k in range(0, 20, 2) for b in range(0, 200, 3)]
+    edges, _ = gcp.gcp_permission_edges(facts(spark, role, *project, *own), buckets)
+    rows = edges.select("source", "target", "state", F.spark_partition_id().alias("part")).collect()
+    got = sorted((r["source"].split("|")[-1], r["target"].split("|")[-1], r["state"]) for r in rows)
+    given = {(k, b) for k in range(0, 20, 2) for b in range(0, 200, 3)}
+    assert got == sorted((f"u{k}@x.org", f"b{b}", "ACTIVE" if (k, b) in given else "CONDITIONAL") for k in range(20) for b in range(200) if (k, b) in given or k % 2 == b % 2)
+    rest = [r for r in rows if r["state"] == "CONDITIONAL"]
+    runs = [len({r["target"] for r in rest[k : k + 24]}) for k in range(0, len(rest) - 24, 24) if rest[k]["part"] == rest[k + 23]["part"]]
+    assert len(runs) > 20 and sum(runs) / len(runs) <= 16
+    best = spark.range(30).selectExpr("'c' AS class", "concat('p', id) AS source", "'CanReadSecret' AS edge", "false AS conditional", "named_struct('kind', 'DATA', 'weight', 1D, 'permission', 'get', 'facts', array('f')) AS f")
+    members = spark.range(100).selectExpr("'c' AS class", "concat('v', id) AS target", "concat('/v', id) AS scope")
+    many = grants.class_edges(best, members, "azure", "role-assignment").select("source", "target", F.spark_partition_id().alias("part")).collect()
+    runs = [len({r["target"] for r in many[k : k + 24]}) for k in range(0, len(many) - 24, 24) if many[k]["part"] == many[k + 23]["part"]]
+    assert len({(r["source"], r["target"]) for r in many}) == len(many) == 3000 and sum(runs) / len(runs) <= 16
