@@ -7,7 +7,7 @@ from helpers import allow, doc, facts, nodes
 from pyspark.sql import functions as F
 
 from arcwarden import tables
-from arcwarden.operators import aws, gcp, grants
+from arcwarden.operators import aws, azure, gcp, grants
 from arcwarden.sources import extract as X
 
 
@@ -89,3 +89,13 @@ def test_edges_of_classes_come_in_blocks(spark, monkeypatch):
     many = grants.class_edges(best, members, "azure", "role-assignment").select("source", "target", F.spark_partition_id().alias("part")).collect()
     runs = [len({r["target"] for r in many[k : k + 24]}) for k in range(0, len(many) - 24, 24) if many[k]["part"] == many[k + 23]["part"]]
     assert len({(r["source"], r["target"]) for r in many}) == len(many) == 3000 and sum(runs) / len(runs) <= 16
+
+
+def test_takeovers_of_containers_do_not_write_all_edges_again(spark):
+    """All edges of assignments come in blocks, in one place of the plan; takeovers read the grants on containers by themselves."""
+    vaults = [(f"azure|s1|azure:keyvault:vault|/subscriptions/s1/resourceGroups/rg/vault/v{k}", "Secret", f"/subscriptions/s1/resourceGroups/rg/vault/v{k}") for k in range(3)]
+    owner = ("role_definition", "", "/x/own", "", {"actions": ["*"], "notActions": [], "dataActions": [], "notDataActions": []}, "azure")
+    holds = ("role_assignment", "", "u1", "/subscriptions/s1", {"roleDefinitionId": "/x/own", "condition": ""}, "azure")
+    edges, _ = azure.azure_permission_edges(facts(spark, owner, holds), nodes(spark, *vaults))
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("monotonically_increasing_id") == 1
+    assert sorted(r["target"][-2:] for r in edges.where("type = 'CanControl' and nature = 'derived'").collect()) == ["v0", "v1", "v2"]
