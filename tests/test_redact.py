@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from arcwarden.operators import redact as R
 from arcwarden.operators import substrings
+from arcwarden.tables import stored
 
 SALT = b"0123456789abcdef0123456789abcdef"
 BAG = {
@@ -135,3 +136,30 @@ def test_lookalikes_are_what_the_patterns_find(spark):
     assert "Union" in swept._jdf.queryExecution().optimizedPlan().toString()
     found = {r["k"]: r["t"] for r in swept.collect()}
     assert len(found) == len(texts) and [t for k, t in enumerate(texts) if (found[k] == t) == bool(rows[k]["all"])] == []
+
+
+def test_few_grams_are_sent(spark):
+    """The sieve lets all anchors and whole identifiers through that stand in a text, on both sides of pieces, and hardly anything else."""
+    rng = np.random.default_rng(5)
+    known = ["".join(rng.choice(list("abcdefghij.@0123"), int(k))) for k in rng.integers(4, 30, 300)] + ["éèêëïîôû", "plain text"]
+    noise = ["".join(rng.choice(list("klmnopqrstuvwxyz ,"), 400)) for _ in range(200)]
+    texts = [f"{n[:200]}{p}{n[200:]}" for n, p in zip(noise, known, strict=False)] + [f" {p}\n" for p in known] + ["", "z" * (substrings.CHUNK - 2) + known[0] + "z" * 9 + known[1], "".join(known)]
+    patterns = spark.createDataFrame([(p,) for p in known], "pattern string")
+    anchors = substrings.anchored(patterns)
+    held = {r["pattern"]: r["h"] for r in anchors.collect()}
+    whole = {substrings.text_hash(p) for p in known}
+    entries = stored(anchors.select("h").union(patterns.select(F.xxhash64("pattern"))), "entries")
+    widths = substrings.widths_of(anchors)
+    pairs = lambda *sieve: {(r, h) for b in substrings.sent_grams(((k, [t]) for k, t in enumerate(texts)), widths, *sieve) for r, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    got, every = pairs(substrings.sieve_of(anchors, entries)), pairs()
+    wanted = {(k, h) for k, t in enumerate(texts) for p, h in held.items() if p in t} | {(k, substrings.text_hash(t.strip())) for k, t in enumerate(texts) if substrings.text_hash(t.strip()) in whole}
+    assert wanted <= got <= every and len(got) < len(wanted) + len(every) / 500
+
+
+def test_texts_without_identifiers_stay_out_of_python(spark):
+    """Only rows that hold an identifier are rewritten, and no shuffle moves texts where few identifiers are held."""
+    frame = spark.createDataFrame([(k, "ask jane.doe" if k == 3 else f"nothing {k}") for k in range(20)] + [(20, None)], "k int, t string")
+    scrubbed = R.scrub_known(frame, spark.createDataFrame([("jane.doe", "<j>")], "real string, fake string"), ("t",))
+    plan = scrubbed._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "SortMergeJoin" not in plan
+    assert {r["k"]: r["t"] for r in scrubbed.collect()} == {k: "ask <j>" if k == 3 else f"nothing {k}" for k in range(20)} | {20: None}
